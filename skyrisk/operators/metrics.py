@@ -18,9 +18,9 @@ def confusion_matrix(df: DataFrame, actual: str = "actual", predicted: str = "mo
         F.count_if(a & ~p).alias("tf"), F.count_if(a & p).alias("tt"))
     cells = F.array(
         F.struct(F.lit(False).alias("actual"), F.lit(False).alias("predicted"), F.col("ff").alias("count")),
-        F.struct(F.lit(False), F.lit(True), F.col("ft")),
-        F.struct(F.lit(True), F.lit(False), F.col("tf")),
-        F.struct(F.lit(True), F.lit(True), F.col("tt")))
+        F.struct(F.lit(False).alias("actual"), F.lit(True).alias("predicted"), F.col("ft").alias("count")),
+        F.struct(F.lit(True).alias("actual"), F.lit(False).alias("predicted"), F.col("tf").alias("count")),
+        F.struct(F.lit(True).alias("actual"), F.lit(True).alias("predicted"), F.col("tt").alias("count")))
     return counts.select(F.inline(cells))
 
 
@@ -66,5 +66,6 @@ def classification_report(df: DataFrame, actual: str = "actual", predicted: str
     avgs = totals.select(F.inline(F.array(
         F.struct(F.lit("macro avg").alias("label"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
                  F.col("mf").alias("f1_score"), F.col("n").alias("support")),
-        F.struct(F.lit("weighted avg"), F.col("wp"), F.col("wr"), F.col("wf"), F.col("n")))))
+        F.struct(F.lit("weighted avg").alias("label"), F.col("wp").alias("precision"), F.col("wr").alias("recall"),
+                 F.col("wf").alias("f1_score"), F.col("n").alias("support")))))
     return rows.unionByName(avgs)

@@ -166,7 +166,7 @@ risk_{t} AS (
          {risk_category(normalised('RiskScore_raw', '_m_lo', '_m_hi'))} AS RiskCategoryManual,
          {normalised('_raw_dd', '_d_lo', '_d_hi')} AS RiskScorenormDDriven,
          {risk_category(normalised('_raw_dd', '_d_lo', '_d_hi'))} AS RiskCategoryDDriven,
-         DATE '{as_of}' AS risk_analysed_on_date
+         '{as_of}' AS risk_analysed_on_date
   FROM rraw_{t} CROSS JOIN (SELECT min(RiskScore_raw) AS _m_lo, max(RiskScore_raw) AS _m_hi,
                                    min(_raw_dd) AS _d_lo, max(_raw_dd) AS _d_hi FROM rraw_{t})
 )"""
