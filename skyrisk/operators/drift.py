@@ -76,7 +76,7 @@ def histogram_on_edges(long: DataFrame, edges: DataFrame) -> DataFrame:
     in_range = (F.col("value") >= F.element_at("edges", 1)) & (F.col("value") <= F.element_at("edges", -1))
     le = F.size(F.filter("edges", lambda e: e <= F.col("value")))
     b = F.least(le - 1, n_bins - 1)
-    return (j.where(in_range).select("feature", b.alias("bin"))
+    return (j.where(in_range).select("feature", b.cast("long").alias("bin"))
             .groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("count")))
 
 
@@ -89,7 +89,7 @@ def _psi_terms(b: str, n: str, btot: str, ntot: str):
 def psi_numeric_bins(base_long: DataFrame, new_long: DataFrame, buckets: int = NUMERIC_BUCKETS) -> DataFrame:
     """Per (feature, bin): baseline and new counts (zero-filled) and totals."""
     edges = baseline_edges(base_long, buckets)
-    bins = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
+    bins = edges.select("feature", F.explode(F.sequence(F.lit(0).cast("long"), (F.size("edges") - 2).cast("long"))).alias("bin"))
     bc = histogram_on_edges(base_long, edges).withColumnRenamed("count", "b")
     nc = histogram_on_edges(new_long, edges).withColumnRenamed("count", "n")
     g = (bins.join(bc, ["feature", "bin"], "left").join(nc, ["feature", "bin"], "left")
@@ -126,7 +126,7 @@ def categorical_stats(base_long: DataFrame, new_long: DataFrame) -> DataFrame:
         F.sum(_psi_terms("b", "n", "btot", "ntot")).alias("psi"),
         F.sum(masked).alias("chi2_masked"),
         F.sum((F.col("n") - floored) * (F.col("n") - floored) / floored).alias("chi2_stat"),
-        (F.first("k") - 1).alias("dof"))
+        (F.max("k") - 1).alias("dof"))
 
 
 def drift_report(base: DataFrame, new: DataFrame, run_id: str, created_at: dt.datetime | str,

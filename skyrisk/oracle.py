@@ -188,3 +188,84 @@ BASE_LOGS = with_(APPROACHES, MODEL_LOGS)
 __all__ = ["APPROACHES", "LATEST", "PREDICTIONS", "MODEL_LOGS", "RECIPIENTS", "RISK", "BASE", "BASE_PRED",
            "BASE_RISK", "BASE_LOGS", "with_", "d", "risk_run", "week_filter", "risk_category", "clip01",
            "minmax", "normalised", "finite_or_null", "PSI_EPS", "DRIFT_CUTOFF"]
+
+
+DRIFT_NUMERIC = ["absolute_magnitude_h", "epoch_date_close_approach", "relative_velocity_kps", "miss_distance_km",
+                 "diameter_range"]
+DRIFT_CATEGORICAL = ["is_potentially_hazardous", "is_sentry_object"]
+
+
+def _prop(c: str, tot: str) -> str:
+    return f"greatest({c} / CAST(greatest({tot}, 1) AS DOUBLE), {d(PSI_EPS)})"
+
+
+def drift_run(t: str, logs_filter: str, run_id: str, created_at: str, buckets: int = 10) -> str:
+    """CTEs of one drift run (no p-value branch); final CTE drift_{t}.  Needs approaches, model_logs."""
+    qs = ", ".join(f"{i / buckets!r}e0" for i in range(buckets + 1))
+    nums = " UNION ALL ".join(f"SELECT _is_base, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM dsp_{t}"
+                              for c in DRIFT_NUMERIC)
+    cats = " UNION ALL ".join(f"SELECT _is_base, '{c}' AS feature, CAST({c} AS VARCHAR) AS category FROM dsp_{t}"
+                              for c in DRIFT_CATEGORICAL)
+    e = f"(c.b / CAST(greatest(t.btot, 1) AS DOUBLE) * t.ntot)"
+    ef = f"greatest({e}, {d(PSI_EPS)})"
+    return f"""
+dsp_{t} AS (
+  SELECT a.*, a.max_diameter_km - a.min_diameter_km AS diameter_range,
+         CAST(a.close_approach_date AS DATE) < c.cut AS _is_base
+  FROM approaches a CROSS JOIN (SELECT max(CAST(training_date AS DATE)) AS cut FROM model_logs WHERE {logs_filter}) c
+),
+dnum_{t} AS (SELECT * FROM ({nums}) WHERE value IS NOT NULL AND NOT isnan(value)),
+dq_{t} AS (
+  SELECT feature, quantile_cont(value, [{qs}]) AS qs, quantile_cont(value, 0.5e0) AS med, min(value) AS mn, max(value) AS mx
+  FROM dnum_{t} WHERE _is_base GROUP BY feature
+),
+ded_{t} AS (
+  SELECT feature, CASE WHEN len(list_distinct(qs)) < 3 THEN [mn, med, mx] ELSE list_sort(list_distinct(qs)) END AS edges
+  FROM dq_{t}
+),
+dh_{t} AS (
+  SELECT n.feature, n._is_base,
+         least(len(list_filter(e.edges, lambda x: x <= n.value)) - 1, len(e.edges) - 2) AS bin, count(*) AS cnt
+  FROM dnum_{t} n JOIN ded_{t} e ON e.feature = n.feature
+  WHERE n.value >= e.edges[1] AND n.value <= e.edges[len(e.edges)]
+  GROUP BY ALL
+),
+dg_{t} AS (
+  SELECT g.feature, g.bin, coalesce(b.cnt, 0) AS b, coalesce(nn.cnt, 0) AS n
+  FROM (SELECT feature, unnest(range(0, len(edges) - 1)) AS bin FROM ded_{t}) g
+  LEFT JOIN dh_{t} b ON b.feature = g.feature AND b.bin = g.bin AND b._is_base
+  LEFT JOIN dh_{t} nn ON nn.feature = g.feature AND nn.bin = g.bin AND NOT nn._is_base
+),
+dpsi_{t} AS (
+  SELECT g.feature, sum(({_prop('g.b', 't.btot')} - {_prop('g.n', 't.ntot')}) * ln({_prop('g.b', 't.btot')} / {_prop('g.n', 't.ntot')})) AS psi
+  FROM dg_{t} g JOIN (SELECT feature, sum(b) AS btot, sum(n) AS ntot FROM dg_{t} GROUP BY feature) t ON t.feature = g.feature
+  GROUP BY g.feature
+),
+dnc_{t} AS (SELECT feature, count(*) FILTER (WHERE _is_base) AS baseline_count, count(*) FILTER (WHERE NOT _is_base) AS new_count
+            FROM dnum_{t} GROUP BY feature HAVING count(*) FILTER (WHERE _is_base) > 0 AND count(*) FILTER (WHERE NOT _is_base) > 0),
+dcat_{t} AS (SELECT * FROM ({cats}) WHERE category IS NOT NULL),
+dcc_{t} AS (SELECT feature, category, count(*) FILTER (WHERE _is_base) AS b, count(*) FILTER (WHERE NOT _is_base) AS n
+            FROM dcat_{t} GROUP BY ALL),
+dct_{t} AS (SELECT feature, sum(b) AS btot, sum(n) AS ntot, count(*) AS k FROM dcc_{t} GROUP BY feature),
+dcs_{t} AS (
+  SELECT c.feature,
+         sum(({_prop('c.b', 't.btot')} - {_prop('c.n', 't.ntot')}) * ln({_prop('c.b', 't.btot')} / {_prop('c.n', 't.ntot')})) AS psi,
+         sum(CASE WHEN {e} > 0 THEN (c.n - {e}) * (c.n - {e}) / {e} ELSE 0.0e0 END) AS chi2_masked,
+         sum((c.n - {ef}) * (c.n - {ef}) / {ef}) AS chi2_stat,
+         max(t.k) - 1 AS dof
+  FROM dcc_{t} c JOIN dct_{t} t ON t.feature = c.feature GROUP BY c.feature
+),
+dcn_{t} AS (SELECT feature, count(*) FILTER (WHERE _is_base) AS baseline_count, count(*) FILTER (WHERE NOT _is_base) AS new_count
+            FROM dcat_{t} GROUP BY feature HAVING count(*) FILTER (WHERE _is_base) > 0 AND count(*) FILTER (WHERE NOT _is_base) > 0),
+drift_{t} AS (
+  SELECT '{run_id}' AS run_id, p.feature, 'numeric' AS feature_type, 'psi' AS method, round(p.psi, 9) AS psi,
+         CAST(NULL AS DOUBLE) AS chi2_stat, CAST(NULL AS DOUBLE) AS chi2_p_value, 0.05e0 AS chi2_alpha,
+         CASE WHEN p.psi > 0.2 THEN 'High Drift' WHEN p.psi > 0.1 THEN 'Moderate Drift' ELSE 'No Drift' END AS drift_status,
+         n.baseline_count, n.new_count, '{created_at}' AS created_at
+  FROM dpsi_{t} p JOIN dnc_{t} n ON n.feature = p.feature
+  UNION ALL
+  SELECT '{run_id}', s.feature, 'categorical', 'psi', round(s.psi, 9), round(s.chi2_masked, 9), CAST(NULL AS DOUBLE), 0.05e0,
+         CASE WHEN s.psi > 0.2 THEN 'High Drift' WHEN s.psi > 0.1 THEN 'Moderate Drift' ELSE 'No Drift' END,
+         n.baseline_count, n.new_count, '{created_at}'
+  FROM dcs_{t} s JOIN dcn_{t} n ON n.feature = s.feature
+)"""
