@@ -156,5 +156,5 @@ register("approach_timeline",
 
 def registry() -> dict[str, tuple[QueryFn, str | None]]:
     # import side modules that register more queries
-    from skyrisk import catalog_drift, catalog_more  # noqa: F401
+    from skyrisk import catalog_drift, catalog_more, catalog_stream  # noqa: F401
     return dict(_REGISTRY)

@@ -87,7 +87,7 @@ def job_weekly_alert(spark: SparkSession, paths: Paths, recipients: DataFrame, r
     return weekly_alert(approaches, risk, recipients, run_date or dt.date.today())
 
 
-def job_ingest_week(spark: SparkSession, feed_dir: str, paths: Paths) -> int:
+def job_ingest_week(spark: SparkSession, feed_dir: str, paths: Paths, multi_line: bool = True) -> int:
     """Landed feed pages -> flat rows -> appended to both fact tables."""
-    rows = flatten_feed(read_feed(spark, feed_dir))
+    rows = flatten_feed(read_feed(spark, feed_dir, multi_line))
     return append_both(rows, paths.approaches, paths.approaches_copy or paths.approaches + "_copy")

@@ -47,9 +47,10 @@ def flatten_feed(feed: DataFrame) -> DataFrame:
     ).select(*APPROACH_COLUMNS)
 
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Landed feed pages (one JSON document per file) with the explicit feed schema."""
-    return spark.read.schema(FEED).option("multiLine", True).json(path)
+def read_feed(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Landed feed documents with the explicit feed schema: JSON lines (one document per line,
+    splittable) or, with ``multi_line``, one pretty-printed page per file as the feed API returns."""
+    return spark.read.schema(FEED).option("multiLine", multi_line).json(path)
 
 
 def feed_windows(spark: SparkSession, start, today, days: int = 7) -> DataFrame:
