@@ -98,6 +98,19 @@ def _drops(s, sf, root: str):
     return a
 
 
+def _run_new_ids_table(s, sf, with_baseline: bool):
+    root = _scratch(s, "newids-table")
+    a = appr(s, sf)
+    inp, out, known, ckpt = f"{root}/in", f"{root}/out", f"{root}/known", f"{root}/ckpt"
+    a.where(F.col("close_approach_date") < DROP_AT).write.parquet(f"{inp}/d1")
+    stream = s.readStream.schema(a.schema).parquet(f"{inp}/*")
+    baseline = a.where(F.col("close_approach_date") < DROP_AT).select("id") if with_baseline else None
+    ST.run_new_ids_table(stream, out, known, ckpt, baseline)
+    a.where(F.col("close_approach_date") >= DROP_AT).write.parquet(f"{inp}/d2")
+    ST.run_new_ids_table(stream, out, known, ckpt, baseline)
+    return s.read.parquet(out).select(*LATEST_COLUMNS)
+
+
 def _run_new_ids(s, sf, with_baseline: bool, events: bool = False):
     root = _scratch(s, "newids")
     a = appr(s, sf)
@@ -120,8 +133,12 @@ l1 AS (SELECT * EXCLUDE (_rn) FROM (SELECT *, row_number() OVER (PARTITION BY id
 l2 AS (SELECT * EXCLUDE (_rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY epoch_date_close_approach DESC NULLS FIRST) AS _rn
        FROM d2 WHERE id NOT IN (SELECT id FROM d1)) WHERE _rn = 1)"""
 register("stream_new_ids", f"{W(O.APPROACHES, _L1)}SELECT {LC} FROM l1 UNION ALL SELECT {LC} FROM l2")(
+    lambda s, sf: _run_new_ids_table(s, sf, with_baseline=False))
+register("stream_new_ids_state", f"{W(O.APPROACHES, _L1)}SELECT {LC} FROM l1 UNION ALL SELECT {LC} FROM l2")(
     lambda s, sf: _run_new_ids(s, sf, with_baseline=False))
 register("stream_new_ids_baseline", f"{W(O.APPROACHES, _L1)}SELECT {LC} FROM l2")(
+    lambda s, sf: _run_new_ids_table(s, sf, with_baseline=True))
+register("stream_new_ids_state_baseline", f"{W(O.APPROACHES, _L1)}SELECT {LC} FROM l2")(
     lambda s, sf: _run_new_ids(s, sf, with_baseline=True))
 register("stream_new_id_events", None)(lambda s, sf: _run_new_ids(s, sf, with_baseline=True, events=True))
 

@@ -126,3 +126,41 @@ def stream_feed_ingest(spark: SparkSession, in_dir: str, path_a: str, path_b: st
     q = (rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def detect_new_ids_batch(batch: DataFrame, batch_id: int, events_path: str, known_path: str) -> int:
+    """One micro-batch of the table-backed detector: newest row per id in the batch (partial
+    aggregate, JVM side), anti-joined with the ids announced by earlier batches, written to
+    ``batch=<id>`` folders of the event and known-id tables.  A retried batch overwrites its own
+    folders and ignores them when reading the known set, so output is exactly once."""
+    from skyrisk.operators.explore import latest_approach
+
+    spark = batch.sparkSession
+    newest = latest_approach(batch.select(*LATEST_COLUMNS), LATEST_COLUMNS)
+    try:
+        known = spark.read.parquet(known_path).where(F.col("batch") < F.lit(batch_id)).select("id")
+        fresh = newest.join(known, "id", "left_anti")
+    except Exception as exc:  # no batch written yet
+        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc).lower() \
+                and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
+            raise
+        fresh = newest
+    fresh = fresh.persist()
+    try:
+        fresh.write.mode("overwrite").parquet(f"{events_path}/batch={batch_id}")
+        fresh.select("id").write.mode("overwrite").parquet(f"{known_path}/batch={batch_id}")
+        return fresh.count()
+    finally:
+        fresh.unpersist()
+
+
+def run_new_ids_table(stream: DataFrame, events_path: str, known_path: str, checkpoint: str,
+                      baseline: DataFrame | None = None) -> None:
+    """Table-backed new-id detector (same output as ``stream_new_ids``): the set of announced ids
+    is an append-only table instead of state-store entries, so every step stays in the JVM."""
+    src = stream.select(*LATEST_COLUMNS)
+    if baseline is not None:
+        src = src.join(baseline.select("id").distinct(), "id", "left_anti").select(*LATEST_COLUMNS)
+    q = (src.writeStream.foreachBatch(lambda b, i: detect_new_ids_batch(b, i, events_path, known_path))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
