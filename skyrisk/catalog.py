@@ -156,5 +156,9 @@ register("approach_timeline",
 
 def registry() -> dict[str, tuple[QueryFn, str | None]]:
     # import side modules that register more queries
-    from skyrisk import catalog_drift, catalog_more, catalog_stream  # noqa: F401
+    # ML queries register last: they are the slowest and run after everything else
+    from skyrisk import catalog_more  # noqa: F401
+    from skyrisk import catalog_drift  # noqa: F401
+    from skyrisk import catalog_stream  # noqa: F401
+    from skyrisk import catalog_ml  # noqa: F401
     return dict(_REGISTRY)
