@@ -19,6 +19,7 @@ from skyrisk.functions.columns import drift_status
 from skyrisk.functions.quantiles import exact_quantiles
 from skyrisk.functions.special import chi2_sf
 from skyrisk.schemas import CHI2_ALPHA, NUMERIC_BUCKETS, PSI_ALERT, PSI_EPS, PSI_WARN
+from skyrisk.session import cut_lineage
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 _CATEGORICAL = (T.StringType, T.BooleanType)
@@ -65,7 +66,8 @@ def baseline_edges(base_long: DataFrame, buckets: int = NUMERIC_BUCKETS) -> Data
         F.max(F.when(F.col("q") == 0.5, F.col("quantile"))).alias("_median"),
         F.max("quantile").alias("_max"))
     edges = F.when(F.size("_e") < 3, F.array("_min", "_median", "_max")).otherwise(F.col("_e"))
-    return per.select("feature", edges.alias("edges"))
+    # one row per feature: materialised once, then read by the bin grid and both histograms
+    return cut_lineage(per.select("feature", edges.alias("edges")))
 
 
 def histogram_on_edges(long: DataFrame, edges: DataFrame) -> DataFrame:
