@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from skyrisk import oracle as O
 from skyrisk.operators import explore as X
 from skyrisk.sources import fixtures as FX
+from skyrisk.sources.ingest import scan_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -73,8 +74,7 @@ register("latest_approach", f"{B}SELECT {LC} FROM latest")(
     lambda s, sf: X.latest_approach(appr(s, sf).select(*X.LATEST_COLUMNS), X.LATEST_COLUMNS))
 
 register("scan_table", "SELECT * FROM part")(
-    lambda s, sf: __import__("skyrisk.sources.ingest", fromlist=["scan_table"]).scan_table(
-        s, f"{sf}/part.parquet", FX.table(s, sf, "part").schema))
+    lambda s, sf: scan_table(s, f"{sf}/part.parquet", FX.table(s, sf, "part").schema))
 
 register("approaches", f"{B}SELECT * FROM approaches")(lambda s, sf: appr(s, sf))
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from skyrisk import oracle as O
 from skyrisk.catalog import appr, logs, register
 from skyrisk.catalog_more import rounded
+from skyrisk.functions.special import chi2_sf
+from skyrisk.operators.explore import category_union
 from skyrisk.operators import drift as D
 from skyrisk.operators import mlops as ML
 from skyrisk.plans.jobs import drift_inputs, drift_rows
@@ -69,7 +71,7 @@ register("category_counts", f"{BD}SELECT feature, category, b, n FROM dcc_b")(
     lambda s, sf: (lambda t: D.category_counts(t[2], t[3]).select("feature", "category", "b", "n"))(_long(s, sf)))
 
 register("category_union", f"{BD}SELECT DISTINCT category FROM dcat_b WHERE feature = 'is_sentry_object'")(
-    lambda s, sf: (lambda t: __import__("skyrisk.operators.explore", fromlist=["x"]).category_union(
+    lambda s, sf: (lambda t: category_union(
         t[2].where(F.col("feature") == "is_sentry_object"), t[3].where(F.col("feature") == "is_sentry_object"),
         "category"))(_long(s, sf)))
 
@@ -87,7 +89,7 @@ register("chi2_gof_stat", f"{BD}SELECT feature, round(chi2_stat, 9) AS chi2_stat
 register("chi2_gof", None)(
     lambda s, sf: (lambda t: D.categorical_stats(t[2], t[3]).select(
         "feature", "chi2_stat", "dof",
-        __import__("skyrisk.functions.special", fromlist=["chi2_sf"]).chi2_sf(
+        chi2_sf(
             F.col("chi2_stat"), F.col("dof").cast("double")).alias("chi2_p_value")))(_long(s, sf)))
 
 register("drift_report_no_p", f"{BD}SELECT * FROM drift_b")(

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from skyrisk import oracle as O
 from skyrisk.catalog import appr, logs, pred, register, risk
+from skyrisk.functions import columns as C
+from skyrisk.operators import alerts as AL
 from skyrisk.operators import explore as X
 from skyrisk.operators import features as FE
 from skyrisk.operators import metrics as M
@@ -19,6 +21,7 @@ from skyrisk.operators import physics as P
 from skyrisk.operators import risk as R
 from skyrisk.schemas import DROP_COLUMNS, NUMERIC_COLUMNS
 from skyrisk.sources import fixtures as FX
+from skyrisk.sources import registry as REG
 
 W = O.with_
 A, L, PR, RK, ML_, RC = O.APPROACHES, O.LATEST, O.PREDICTIONS, O.RISK, O.MODEL_LOGS, O.RECIPIENTS
@@ -80,8 +83,7 @@ register("score_merge", f"{BR}SELECT * FROM risk_late")(
 register("risk_category", f"{BR}SELECT id, risk_analysed_on_date, RiskScorenormDDriven, "
                           f"{O.risk_category('RiskScorenormDDriven')} AS category FROM risk_analysis")(
     lambda s, sf: risk(s, sf).select("id", "risk_analysed_on_date", "RiskScorenormDDriven",
-                                     __import__("skyrisk.functions.columns", fromlist=["risk_category"])
-                                     .risk_category("RiskScorenormDDriven").alias("category")))
+                                     C.risk_category("RiskScorenormDDriven").alias("category")))
 
 # =============================================================== risk-table readers
 register("risk_breakdown", f"{BR}SELECT RiskCategoryManual AS category, count(*) AS count FROM risk_analysis GROUP BY 1")(
@@ -201,7 +203,7 @@ register("hazard_class",
          f"THEN 'both' WHEN coalesce(is_potentially_hazardous, false) THEN 'pho' WHEN coalesce(is_sentry_object, false) "
          f"THEN 'sentry' ELSE 'safe' END AS hazard_class FROM latest")(
     lambda s, sf: X.latest_approach(appr(s, sf).select(*X.LATEST_COLUMNS), X.LATEST_COLUMNS).select(
-        "id", __import__("skyrisk.functions.columns", fromlist=["hazard_class"]).hazard_class().alias("hazard_class")))
+        "id", C.hazard_class().alias("hazard_class")))
 
 _HZ = ("(coalesce(is_potentially_hazardous, false) OR coalesce(risk_score_manual, 0.0e0) >= 0.5 "
        "OR coalesce(probability_being_truely_hazardous, 0.0e0) >= 0.5)")
@@ -218,8 +220,7 @@ register("hazard_badge",
          f"{W(A, L, PR, RK, BOARD, NEWEST_PRED, BOARD_P)}SELECT id, risk_score_manual, CASE WHEN {_HZ} AND "
          f"coalesce(is_sentry_object, false) THEN 'both' WHEN {_HZ} THEN 'pho' WHEN coalesce(is_sentry_object, false) "
          f"THEN 'sentry' ELSE 'safe' END AS badge FROM boardp")(
-    lambda s, sf: _board_p(s, sf).select("id", "risk_score_manual", __import__(
-        "skyrisk.functions.columns", fromlist=["hazard_badge"]).hazard_badge(
+    lambda s, sf: _board_p(s, sf).select("id", "risk_score_manual", C.hazard_badge(
         risk="risk_score_manual", probability="probability_being_truely_hazardous").alias("badge")))
 
 
@@ -398,13 +399,13 @@ register("model_versions",
 register("latest_artifact",
          f"{BL}SELECT model_name AS name, artifact_uri AS artifact, training_date AS created_at FROM model_logs "
          f"ORDER BY training_date DESC, model_name DESC LIMIT 1")(
-    lambda s, sf: __import__("skyrisk.sources.registry", fromlist=["latest_artifact"]).latest_artifact(
+    lambda s, sf: REG.latest_artifact(
         logs(s, sf).select(F.col("model_name").alias("name"), F.col("artifact_uri").alias("artifact"),
                            F.col("training_date").alias("created_at"))))
 
 # =============================================================== alerts
 register("recipients", f"{W(RC)}SELECT email FROM alert_recipients")(
-    lambda s, sf: __import__("skyrisk.operators.alerts", fromlist=["recipients"]).recipients(FX.alert_recipients(s, sf)))
+    lambda s, sf: AL.recipients(FX.alert_recipients(s, sf)))
 
 _TOP = f"""
 risky AS (SELECT a.id, a.name FROM approaches a WHERE a.id IN (SELECT id FROM risk_analysis
@@ -413,7 +414,7 @@ top10 AS (SELECT name, row_number() OVER (ORDER BY name, id) AS slot FROM risky
 slots AS (SELECT CAST(g.range AS INTEGER) AS slot, coalesce(t.name, '—') AS name FROM range(1, 11) g
           LEFT JOIN top10 t ON t.slot = g.range)"""
 register("alert_top10", f"{W(A, L, PR, RK, _TOP)}SELECT slot, name FROM slots")(
-    lambda s, sf: __import__("skyrisk.operators.alerts", fromlist=["alert_top10"]).alert_top10(appr(s, sf), risk(s, sf)))
+    lambda s, sf: AL.alert_top10(appr(s, sf), risk(s, sf)))
 
 register("job_weekly_alert",
          f"{W(A, L, PR, RK, RC, _TOP)}SELECT '2000-07-02' AS run_date, s.total_asteroids, s.hazardous, s.non_hazardous, "
@@ -422,5 +423,5 @@ register("job_weekly_alert",
          f"count(DISTINCT w.id) FILTER (WHERE t.is_potentially_hazardous = TRUE) AS hazardous, count(DISTINCT w.id) "
          f"FILTER (WHERE t.is_potentially_hazardous = FALSE) AS non_hazardous FROM {_WIDS} w LEFT JOIN approaches t "
          f"ON w.id = t.id) s")(
-    lambda s, sf: __import__("skyrisk.operators.alerts", fromlist=["weekly_alert"]).weekly_alert(
+    lambda s, sf: AL.weekly_alert(
         appr(s, sf), risk(s, sf), FX.alert_recipients(s, sf), "2000-07-02"))

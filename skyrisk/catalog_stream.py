@@ -8,6 +8,7 @@ Scratch output lives under the session's checkpoint folder.
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import functions as F
@@ -87,7 +88,7 @@ register("attach_constant",
          f"{W(O.APPROACHES)}SELECT *, '{FX.PREDICTION_MODEL_DATE}' AS trained_model_date_used, "
          f"'{FX.RISK_AS_OF}' AS risk_analysed_on_date, 'run-fixture' AS run_id FROM approaches")(
     lambda s, sf: IN.attach_constants(appr(s, sf), trained_model_date_used=FX.PREDICTION_MODEL_DATE,
-                                      risk_analysed_on_date=__import__("datetime").date(2000, 7, 1),
+                                      risk_analysed_on_date=datetime.date(2000, 7, 1),
                                       run_id="run-fixture"))
 
 

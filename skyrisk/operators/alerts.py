@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyrisk.functions.columns import pad_slot
@@ -16,7 +16,7 @@ def alert_top10(df: DataFrame, risk: DataFrame, slots: int = ALERT_SLOTS) -> Dat
     names = weekly_risky(df, risk)
     top = names.orderBy("name", "id").limit(slots)
     ranked = top.withColumn("slot", F.row_number().over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("name", "id")))
+        Window.orderBy("name", "id")))
     grid = df.sparkSession.range(1, slots + 1).select(F.col("id").cast("int").alias("slot"))
     return grid.join(ranked.select("slot", "name"), "slot", "left").select("slot", pad_slot("name").alias("name"))
 
