@@ -154,7 +154,9 @@ def knn(points: DataFrame, k: int, feature_cols: Sequence[str], id_col: str = KE
         for j in range(projections):
             offs = F.array([F.lit(o) for o in range(-w, w + 1) if o != 0])
             keys = active.select("pid", F.explode(offs).alias("_o"), F.col(f"_r{j}").alias("_r"))
-            cands.append(keys.select("pid", (F.col("_r") + F.col("_o")).alias("_rk"))
+            # candidate tables grow 2W-fold through explode, which the static size estimate does not
+            # see: force shuffle (sort-merge) joins so the planner never broadcasts them
+            cands.append(keys.select("pid", (F.col("_r") + F.col("_o")).alias("_rk")).hint("merge")
                          .join(by_rank[j].select("_rk", "c"), "_rk").select("pid", "c"))
         pairs = cands[0]
         for c in cands[1:]:
@@ -162,8 +164,8 @@ def knn(points: DataFrame, k: int, feature_cols: Sequence[str], id_col: str = KE
         pairs = pairs.distinct()
         q = ranked.alias("q")
         cc = ranked.alias("cc")
-        scored = (pairs.alias("p").join(q, F.col("p.pid") == F.col("q.pid"))
-                  .join(cc, F.col("p.c") == F.col("cc.pid"))
+        scored = (pairs.hint("merge").alias("p").join(q, F.col("p.pid") == F.col("q.pid"))
+                  .hint("merge").join(cc, F.col("p.c") == F.col("cc.pid"))
                   .select(F.col("p.pid").alias("q"), F.col("p.c").alias("c"), _sqdist("q", "cc", cols).alias("d2")))
         top = scored.withColumn("nn_rank", F.row_number().over(Window.partitionBy("q").orderBy("d2", "c"))) \
             .where(F.col("nn_rank") <= k)
@@ -255,7 +257,7 @@ def smote(df: DataFrame, feature_cols: Sequence[str], k: int = SMOTE_K, seed: in
     gen = gen.withColumn("_c", F.element_at("_nn", pick + 1)["c"]) \
         .withColumn("_u", uniform(seed, F.concat(F.col(id_col), F.lit(":"), F.col("_j").cast("string"))))
     nb = mins.select(F.col(id_col).alias("_c"), *[F.col(c).alias(f"_n_{c}") for c in cols])
-    syn = gen.join(nb, "_c").select(
+    syn = gen.hint("merge").join(nb, "_c").select(
         F.concat(F.col(id_col), F.lit(":s"), F.col("_j").cast("string")).alias(id_col),
         *[(F.col(c) + F.col("_u") * (F.col(f"_n_{c}") - F.col(c))).alias(c) for c in cols],
         F.lit(minority).cast("double").alias(label_col))
