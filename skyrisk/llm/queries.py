@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyrisk.llm import decontaminate, oracles, packing, sharding, topk
+from skyrisk.llm import decontaminate, langid, oracles, packing, repair, sharding, topk
 from skyrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,14 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(decontaminate.find_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op7_token_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.encoded(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,8 @@ def registry() -> dict[str, tuple[Query, str | None]]:
     return {
         "op4_sharding": (op4_sharding, sharding.oracle()),
         "op5_benchmark_decontamination": (op5_benchmark_decontamination, oracles.DECONTAMINATION),
+        "op7_token_repair": (op7_token_repair, None),
+        "op8_language_id": (op8_language_id, None),
         "op9_best_fit_packing": (op9_best_fit_packing, None),
         "op10_exact_topk": (op10_exact_topk, oracles.TOP_K),
     }

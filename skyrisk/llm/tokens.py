@@ -10,12 +10,13 @@ them against each other).  The cache has two generations of ``CACHE_WORDS`` piec
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _TAIL = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{2,})([.,!?;:])")
@@ -43,40 +44,42 @@ class TextEncoder:
         self.model = self.whole.model
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.marks = {c: self.plain(c) for c in ".,!?;:"}
+        self.marks = {c: self.plain(c) for c in ".,!?;:\n"}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         hidden = [b for b in range(256) if b not in shown]
+        self.space = chr(256 + hidden.index(32))
         self.as_letters = {b: 256 + k for k, b in enumerate(hidden)}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, text: str) -> bytes:
-        """Ids of one run of letters, with or without a space before it: one BPE word."""
-        word = text.encode().decode("latin-1").translate(self.as_letters)
-        return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+    def _word(self, word: str, space: str) -> bytes:
+        """Ids of one run of letters, with a space before it or not: one BPE word."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.as_letters)
+        return array("I", [t.id for t in self.model.tokenize(space + word)]).tobytes()
 
     def _piece(self, piece: str) -> bytes | None:
         """Ids of a piece with the space before it, or of a line break and what follows; None if the
         text can't be cut there."""
         found = self.old.get(piece)
         if found is None:
-            if not piece or piece[0] == "\n" and (len(piece) == 1 or piece[1].isspace()) or piece[0] != "\n" and piece[0].isspace() or piece[-1].isspace():
-                return None
             if _LETTERS.fullmatch(piece):
-                found = self._word(" " + piece)
+                found = self._word(piece, self.space)
+            elif not piece or piece[-1].isspace() or piece[0].isspace() and (piece[0] != "\n" or piece[1].isspace()):
+                return None
             elif tail := _TAIL.fullmatch(piece):
                 found = self.piece(tail[1]) + self.marks[tail[2]]
-            elif piece[0] == "\n":
-                found = self.plain(piece)
+            elif _LETTERS.fullmatch(piece, 1):
+                found = self.marks["\n"] + self._word(piece[1:], "") if piece[0] == "\n" else self.plain(" " + piece)
             else:
-                found = self.plain(" " + piece)
+                found = self.plain(piece if piece[0] == "\n" else " " + piece)
         if len(self.new) >= CACHE_WORDS:
             self.old, self.new = self.new, {}
         self.new[piece] = found
         return found
 
-    def piece(self, piece: str) -> bytes:
+    def piece(self, piece: str) -> bytes | None:
         found = self.new.get(piece)
         return self._piece(piece) if found is None else found
 
@@ -87,16 +90,14 @@ class TextEncoder:
         head = pieces[0]
         if not head or head[-1].isspace() or "<|" in text:
             return self.plain(text)
-        get = self.new.get
-        out = [get(p) for p in pieces]
+        out = list(map(self.new.get, pieces))
         out[0] = b""
         if None in out:
             for i, x in enumerate(out):
                 if x is None:
-                    x = self.piece(pieces[i])
+                    out[i] = x = self.piece(pieces[i])
                     if x is None:
                         return self.plain(text)
-                    out[i] = x
         return self.plain(head) + b"".join(out)
 
 
