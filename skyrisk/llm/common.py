@@ -6,6 +6,7 @@ so further columns of the input, whatever their names, never clash with working
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +31,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared folder (lineage cut, survives lost executors), and
-    its path for :func:`dropped`."""
+    its path for :func:`dropped`.  The shuffles behind it are garbage then, and are collected now, so
+    that their files don't add up over the steps of an operator."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 

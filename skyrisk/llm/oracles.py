@@ -42,3 +42,33 @@ hits AS (
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM hits)
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM ranked WHERE k <= 10"""
+
+LINE_DEDUP = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+cut AS (
+  SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k
+  FROM doc WHERE text IS NOT NULL),
+worded AS (
+  SELECT r, doc_id, k, line, list_filter(string_split_regex(
+           translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM cut),
+firsts AS (
+  SELECT words, min({'d': doc_id, 'k': k}) AS own FROM worded WHERE len(words) > 0 GROUP BY words),
+long AS (SELECT words, own, unnest(range(1, len(words) + 1)) AS i FROM firsts WHERE len(words) >= 10),
+variant AS (
+  SELECT words, own, i, len(words) AS n, md5(array_to_string(words[:i - 1], ' ') || ' ' || array_to_string(words[i + 1:], ' ')) AS placed,
+         md5(array_to_string(list_concat(words[:i - 1], words[i + 1:]), ' ')) AS gone FROM long),
+whole AS (SELECT words, own, md5(array_to_string(words, ' ')) AS gone FROM firsts WHERE len(words) >= 10),
+replaced AS (SELECT n, i, gone, min(own) AS near FROM variant GROUP BY ALL),
+nears AS (
+  SELECT v.words, near FROM variant v JOIN replaced USING (n, i, gone)
+  UNION ALL SELECT v.words, w.own FROM variant v JOIN whole w USING (gone)
+  UNION ALL SELECT w.words, v.own FROM variant v JOIN whole w USING (gone)),
+best AS (SELECT words, min(near) AS near FROM nears GROUP BY words),
+marked AS (
+  SELECT w.r, w.k, w.line, len(w.words) > 0 AND least(f.own, coalesce(b.near, f.own)) < {'d': w.doc_id, 'k': w.k} AS gone
+  FROM worded w LEFT JOIN firsts f ON f.words = w.words LEFT JOIN best b ON b.words = w.words),
+kept AS (
+  SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone) AS text FROM (SELECT r, k, line, coalesce(gone, false) AS gone FROM marked) GROUP BY r)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (r)"""

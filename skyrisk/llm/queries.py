@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyrisk.llm import decontaminate, langid, oracles, packing, repair, sharding, topk
+from skyrisk.llm import decontaminate, langid, linededup, oracles, packing, repair, sharding, topk
 from skyrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(linededup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, tuple[Query, str | None]]:
     return {
+        "op2_line_dedup": (op2_line_dedup, oracles.LINE_DEDUP),
         "op4_sharding": (op4_sharding, sharding.oracle()),
         "op5_benchmark_decontamination": (op5_benchmark_decontamination, oracles.DECONTAMINATION),
         "op7_token_repair": (op7_token_repair, None),
