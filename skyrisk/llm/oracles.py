@@ -72,3 +72,26 @@ kept AS (
   SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone) AS text FROM (SELECT r, k, line, coalesce(gone, false) AS gone FROM marked) GROUP BY r)
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM doc LEFT JOIN kept USING (r)"""
+
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+texts AS (SELECT words, min(r) AS node FROM doc WHERE len(words) > 0 GROUP BY words),
+spread AS (
+  SELECT node, unnest([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, greatest(len(words) - 4, 1) + 1)]) AS s FROM texts),
+weighted AS (SELECT node, md5(s) AS s, count(*) AS w FROM spread GROUP BY ALL),
+total AS (SELECT node, sum(w) AS w FROM weighted GROUP BY node),
+common AS (
+  SELECT x.node AS a, y.node AS b, sum(least(x.w, y.w)) AS w FROM weighted x JOIN weighted y ON x.s = y.s AND x.node < y.node GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common c JOIN total x ON x.node = c.a JOIN total y ON y.node = c.b WHERE c.w * 5 >= (x.w + y.w - c.w) * 4),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links UNION ALL SELECT node, node FROM texts),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+comps AS (SELECT a AS node, min(b) AS comp FROM reach GROUP BY a),
+named AS (
+  SELECT d.r, d.doc_id, c.comp FROM doc d LEFT JOIN texts t ON t.words = d.words LEFT JOIN comps c USING (node)),
+classes AS (SELECT comp, min(doc_id) AS class_id, count(*) AS class_docs FROM named WHERE comp IS NOT NULL GROUP BY comp)
+SELECT doc_id, CASE WHEN comp IS NULL THEN doc_id ELSE class_id END AS class_id, coalesce(class_docs, 1)::BIGINT AS class_docs
+FROM named LEFT JOIN classes USING (comp)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyrisk.llm import decontaminate, langid, linededup, oracles, packing, repair, sharding, topk
+from skyrisk.llm import decontaminate, langid, linededup, minhash, oracles, packing, repair, sharding, topk
 from skyrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(decontaminate.find_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_token_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.encoded(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "op2_line_dedup": (op2_line_dedup, oracles.LINE_DEDUP),
         "op4_sharding": (op4_sharding, sharding.oracle()),
         "op5_benchmark_decontamination": (op5_benchmark_decontamination, oracles.DECONTAMINATION),
+        "op6_minhash_near_dedup": (op6_minhash_near_dedup, oracles.NEAR_DUPLICATES),
         "op7_token_repair": (op7_token_repair, None),
         "op8_language_id": (op8_language_id, None),
         "op9_best_fit_packing": (op9_best_fit_packing, None),
