@@ -7,14 +7,20 @@ so further columns of the input, whatever their names, never clash with working
 from __future__ import annotations
 
 import gc
+import hashlib
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyrisk.session import checkpoint_dir
 
 
+CACHE_WORDS = 400_000
+BROADCAST_ROWS = 200_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,3 +54,34 @@ def dropped(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows (counted); else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64, on arrays of unsigned 64-bit integers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class WordHashes:
+    """64-bit hashes of words, with a cache of ``CACHE_WORDS``."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        ids = list(map(known.get, words))
+        if None in ids:
+            for i, x in enumerate(ids):
+                if x is None:
+                    w = words[i]
+                    ids[i] = known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+        return np.array(ids, np.uint64)

@@ -14,7 +14,7 @@ judged on the input, not on what is left; blank lines stay.
    key's group yields its earliest line, so a hot key costs one row for each member and no pairs.
 4. The earliest neighbour of each line is checked word by word.
 
-Broadcasts are made only up to ``BROADCAST_ROWS`` counted rows; beyond, the same joins shuffle.
+Broadcasts are made only up to ``common.BROADCAST_ROWS`` counted rows; beyond, the same joins shuffle.
 
 Defined cases: null text stays null, empty text has one blank line; lines of any length are linear in
 work (variant hashes come from prefix sums); rows that repeat a doc_id and text share their places and
@@ -31,10 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyrisk.llm.common import dropped, id_text, written
+from skyrisk.llm.common import dropped, id_text, small, written
 
 MIN_WORDS = 10
-BROADCAST_ROWS = 200_000
 
 _PRIME = (1 << 127) - 1
 _BASE = 0x5DEECE66D1234567890ABCDEF1357BD
@@ -128,15 +127,10 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["line", "near"]).filter(pa.array(fine, pa.bool_()))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _first_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``line, first, words`` of distinct lines, read at their first place."""
     places = wanted.groupBy(F.col("first.doc_id").alias("at")).agg(F.collect_list(F.struct("first.line_no", "line", "first")).alias("places"))
-    held = docs.join(_small(written(places, "places")[0]), F.col("doc_id").eqNullSafe(F.col("at")))
+    held = docs.join(small(written(places, "places")[0]), F.col("doc_id").eqNullSafe(F.col("at")))
     schema = T.StructType([T.StructField("line", T.BinaryType()), wanted.schema["first"], T.StructField("words", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +211,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, text`` (without its repeated lines)``, n_lines, n_removed``, and ``kept``: a struct of further columns."""
     gone = repeated_lines(docs, id_col, text_col)
     own = [F.col(id_col).alias("doc_id"), *([F.struct(*keep).alias("kept")] if keep else []), F.col(text_col).cast("string").alias("text")]
-    held = docs.select(*own).join(_small(gone.withColumnRenamed("doc_id", "at")), F.col("doc_id").eqNullSafe(F.col("at")), "left").drop("at")
+    held = docs.select(*own).join(small(gone.withColumnRenamed("doc_id", "at")), F.col("doc_id").eqNullSafe(F.col("at")), "left").drop("at")
     fields = [*[f for f in held.schema.fields if f.name in ("doc_id", "kept")], T.StructField("text", T.StringType()),
               T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
     return held.mapInArrow(_rebuilt([f.name for f in fields]), T.StructType(fields))

@@ -35,51 +35,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyrisk.llm.common import dropped, id_text, written
+from skyrisk.llm.common import WordHashes, dropped, id_text, mix, small, written
 from skyrisk.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = (4, 5)
 BANDS, ROWS = 26, 5
-BROADCAST_ROWS = 200_000
-CACHE_WORDS = 400_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64, on arrays."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)) * 2.0**-53
 
 
-class Shingler:
-    """Hashed shingles of texts, with a bounded cache of word hashes."""
-
-    def __init__(self) -> None:
-        self.words: dict[bytes, int] = {}
+class Shingler(WordHashes):
+    """Hashed shingles of texts."""
 
     def shingles(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The distinct shingles (64-bit) and their counts."""
-        known = self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        ids = list(map(known.get, words))
-        if None in ids:
-            for i, x in enumerate(ids):
-                if x is None:
-                    w = words[i]
-                    ids[i] = known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        w = np.array(ids, np.uint64)
+        w = self.of(words)
         n = min(SHINGLE, len(w))
         out = np.zeros(len(w) - n + 1, np.uint64)
         for k in range(n):
-            out = _mix(out + w[k:len(w) - n + 1 + k] + _STEP)
+            out = mix(out + w[k:len(w) - n + 1 + k] + _STEP)
         return np.unique(out, return_counts=True)
 
 
@@ -113,7 +92,7 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray, size: int) -> np.nda
     units = np.ceil(weights).astype(np.int64)
     owner = np.repeat(np.arange(len(elements)), units)
     unit = np.arange(len(owner)) - np.repeat(np.cumsum(units) - units, units)
-    seed = _mix(elements[owner] + _STEP * (unit + 1).astype(np.uint64))
+    seed = mix(elements[owner] + _STEP * (unit + 1).astype(np.uint64))
     room = weights[owner] - unit  # how much of this unit of weight the element has
     out, empty = np.zeros(size, np.uint64), np.ones(size, bool)
     upto, k = size * (math.log(size) + 1) / float(weights.sum()), 0
@@ -125,8 +104,8 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray, size: int) -> np.nda
         k += len(strips)
         upto = strips[-1][0] + strips[-1][1] + size / float(weights.sum())
         low, width, kind = (np.array(x) for x in zip(*strips, strict=True))
-        region = seed[:, None] ^ _mix((number + np.uint64(1)) * _STEP)[None, :]
-        region = _mix(region)
+        region = seed[:, None] ^ mix((number + np.uint64(1)) * _STEP)[None, :]
+        region = mix(region)
         row, strip = np.nonzero(region >= _NONE[kind][None, :])
         region = region[row, strip]
         darts, more = np.ones(len(row), np.int64), np.arange(len(row))
@@ -137,11 +116,11 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray, size: int) -> np.nda
             darts[more] += 1
         nth = np.arange(int(darts.sum())) - np.repeat(np.cumsum(darts) - darts, darts)
         row, strip, region = np.repeat(row, darts), np.repeat(strip, darts), np.repeat(region, darts)
-        dart = _mix(region + _STEP * (nth + 1).astype(np.uint64))
-        coordinate = (_mix(dart + np.uint64(3)) % np.uint64(size)).astype(np.int64)
-        fit = np.flatnonzero((_unit(_mix(dart + np.uint64(1))) < room[row]) & empty[coordinate])
+        dart = mix(region + _STEP * (nth + 1).astype(np.uint64))
+        coordinate = (mix(dart + np.uint64(3)) % np.uint64(size)).astype(np.int64)
+        fit = np.flatnonzero((_unit(mix(dart + np.uint64(1))) < room[row]) & empty[coordinate])
         dart, coordinate, strip = dart[fit], coordinate[fit], strip[fit]
-        order = np.argsort(-(low[strip] + width[strip] * _unit(_mix(dart + np.uint64(2)))), kind="stable")
+        order = np.argsort(-(low[strip] + width[strip] * _unit(mix(dart + np.uint64(2)))), kind="stable")
         out[coordinate[order]] = dart[order]  # the last one set is the one of least rank
         empty[coordinate] = False
     return out
@@ -151,7 +130,7 @@ def _bands(signature: np.ndarray) -> list[int]:
     rows = signature.reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP
     for k in range(ROWS):
-        key = _mix(key + rows[:, k])
+        key = mix(key + rows[:, k])
     return key.view(np.int64).tolist()
 
 
@@ -194,10 +173,6 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).append_column("linked", pa.array(fine, pa.bool_()))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Neighbours of one bucket in different components; rows are sorted by bucket."""
     before = None
@@ -220,7 +195,7 @@ def _check(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
     first = members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "tkey")).alias("at"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node").select("node", "at.*")
     wanted, p1 = written(wanted.select("node", F.col("doc_id").alias("i"), "tkey"), "wanted")
-    texts = docs.join(_small(wanted), F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("tkey"))).select("node", "text")
+    texts = docs.join(small(wanted), F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("tkey"))).select("node", "text")
     words = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("words", T.BinaryType())])
     texts, p2 = written(texts.mapInArrow(_words, words).dropDuplicates(["node"]), "texts")
     held = (pairs.join(texts.select(F.col("node").alias("b"), F.col("words").alias("text_b")), "b")
@@ -305,9 +280,9 @@ def first_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice, _ = written(held.where(same).groupBy("doc_id", "tkey").agg(F.count("*").alias("n")).where("n > 1")
                        .select(F.col("doc_id").alias("__i"), F.col("tkey").alias("__t")), "twice")
     on = docs[id_col].eqNullSafe(F.col("__i")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__t"))
-    kept = docs.join(_small(off), on, "left_anti")
+    kept = docs.join(small(off), on, "left_anti")
     if twice.isEmpty():
         return kept
-    once = kept.join(_small(twice), kept[id_col].eqNullSafe(F.col("__i")) & (F.xxhash64(kept[text_col].cast("string")) == F.col("__t")), "left_semi")
-    rest = kept.join(_small(twice), kept[id_col].eqNullSafe(F.col("__i")) & (F.xxhash64(kept[text_col].cast("string")) == F.col("__t")), "left_anti")
+    once = kept.join(small(twice), kept[id_col].eqNullSafe(F.col("__i")) & (F.xxhash64(kept[text_col].cast("string")) == F.col("__t")), "left_semi")
+    rest = kept.join(small(twice), kept[id_col].eqNullSafe(F.col("__i")) & (F.xxhash64(kept[text_col].cast("string")) == F.col("__t")), "left_anti")
     return rest.unionAll(once.dropDuplicates([id_col, text_col]))

@@ -95,3 +95,17 @@ named AS (
 classes AS (SELECT comp, min(doc_id) AS class_id, count(*) AS class_docs FROM named WHERE comp IS NOT NULL GROUP BY comp)
 SELECT doc_id, CASE WHEN comp IS NULL THEN doc_id ELSE class_id END AS class_id, coalesce(class_docs, 1)::BIGINT AS class_docs
 FROM named LEFT JOIN classes USING (comp)"""
+
+REPEATS = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+spots AS (SELECT r, unnest(range(1, len(words) - 48)) AS i FROM doc WHERE len(words) >= 50 AND doc_id IS NOT NULL),
+windows AS (SELECT d.r, d.doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS w FROM spots JOIN doc d USING (r)),
+least AS (SELECT w, min(doc_id) AS own FROM windows GROUP BY w),
+gone AS (
+  SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 50)) AS p FROM windows JOIN least USING (w) WHERE own < doc_id)),
+word AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM doc),
+kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (r)"""

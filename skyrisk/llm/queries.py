@@ -7,16 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyrisk.llm import decontaminate, langid, linededup, minhash, oracles, packing, repair, sharding, topk
+from skyrisk.llm import decontaminate, fmindex, langid, linededup, minhash, oracles, packing, repair, repeats, sharding, sparse_suffix, topk
 from skyrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(fmindex.substring_dedup(table(spark, sf_dir, "documents")))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.dedup_lines(table(spark, sf_dir, "documents")))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(sparse_suffix.suffix_array_dedup(table(spark, sf_dir, "documents")))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -48,7 +56,9 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, tuple[Query, str | None]]:
     return {
+        "op1_substring_dedup": (op1_substring_dedup, oracles.REPEATS),
         "op2_line_dedup": (op2_line_dedup, oracles.LINE_DEDUP),
+        "op3_suffix_array_dedup": (op3_suffix_array_dedup, oracles.REPEATS),
         "op4_sharding": (op4_sharding, sharding.oracle()),
         "op5_benchmark_decontamination": (op5_benchmark_decontamination, oracles.DECONTAMINATION),
         "op6_minhash_near_dedup": (op6_minhash_near_dedup, oracles.NEAR_DUPLICATES),
