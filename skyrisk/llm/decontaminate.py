@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyrisk.llm.common import id_text, written
+from skyrisk.llm.common import written
 
 WINDOW = 10
 BLOCK_WORDS = 500_000
@@ -174,11 +174,13 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple
 
 
 def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-                 item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                 item_id_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``doc_id, text, spans array<struct<from,to>>`` (hit words, by position), ``items array<string>``
-    (sorted), ``longest`` (longest match in words that any run long enough for a window has), ``n_words``."""
+    (sorted), ``longest`` (longest match in words that any run long enough for a window has), ``n_words``,
+    and ``kept``: a struct of further columns of ``docs``, if asked for."""
     spark = docs.sparkSession
-    frame = id_text(docs, id_col, text_col).withColumns({
+    own = [F.struct(*keep).alias("kept")] if keep else []
+    frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *own).withColumns({
         "spans": F.array().cast("array<struct<`from`:int,`to`:int>>"), "items": F.array().cast("array<string>"),
         "longest": F.lit(0), "n_words": F.lit(0)})
     blocks = _blocks(benchmark, item_id_col, item_text_col)
@@ -206,9 +208,8 @@ def _scanner(held, window: int):
                 items.append(sorted({block[k][0] for k in ks if block[k][0] is not None} | set(had)))
                 longest.append(max(best, most))
                 n_words.append(len(words))
-            done = [batch.column("doc_id"), batch.column("text"), spans, items, longest, n_words]
-            yield pa.RecordBatch.from_arrays(
-                [x if isinstance(x, pa.Array) else pa.array(x, batch.schema.field(i).type) for i, x in enumerate(done)], schema=batch.schema)
+            new = {"spans": spans, "items": items, "longest": longest, "n_words": n_words}
+            yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else batch.column(f.name) for f in batch.schema], schema=batch.schema)
     return run
 
 
@@ -243,10 +244,11 @@ def _cut(text, spans):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, **cols) -> DataFrame:
-    """``doc_id, text`` of the documents that stay: hit spans (matches of ``window`` words or more, or
-    whole short items) are cut out of the text; a document whose hit words are more than
+    """``doc_id, text, n_hit`` (and ``kept``) of the documents that stay: hit spans (matches of ``window``
+    words or more, or whole short items) are cut out of the text; a document whose hit words are more than
     ``max_coverage`` of its words goes.  A text without hits is returned unchanged."""
     found = find_overlap(docs, benchmark, window, **cols)
     hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["to"] - s["from"])
-    return (found.where(hit <= F.col("n_words") * max_coverage)
-            .select("doc_id", F.when(F.size("spans") > 0, _cut("text", "spans")).otherwise(F.col("text")).alias("text")))
+    return (found.withColumn("n_hit", hit).where(F.col("n_hit") <= F.col("n_words") * max_coverage)
+            .select("doc_id", F.when(F.col("n_hit") > 0, _cut("text", "spans")).otherwise(F.col("text")).alias("text"), "n_hit",
+                    *(["kept"] if "kept" in found.columns else [])))
