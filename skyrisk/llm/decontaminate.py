@@ -233,7 +233,9 @@ def digest(found: DataFrame) -> DataFrame:
 
 @F.udf(T.StringType(), useArrow=True)
 def _cut(text, spans):
-    """The text without its hit words and what stands between them."""
+    """The text without its hit words and what stands between them (Spark calls this for all rows)."""
+    if not spans:
+        return text
     data = text.encode()
     at = [(m.start(), m.end()) for m in _WORD.finditer(data.translate(_NORMAL))]
     kept, done = [], 0
@@ -250,5 +252,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     found = find_overlap(docs, benchmark, window, **cols)
     hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["to"] - s["from"])
     return (found.withColumn("n_hit", hit).where(F.col("n_hit") <= F.col("n_words") * max_coverage)
-            .select("doc_id", F.when(F.col("n_hit") > 0, _cut("text", "spans")).otherwise(F.col("text")).alias("text"), "n_hit",
+            .select("doc_id", _cut("text", "spans").alias("text"), "n_hit",
                     *(["kept"] if "kept" in found.columns else [])))

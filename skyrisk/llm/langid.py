@@ -6,9 +6,9 @@ marked, and the scores become log posteriors with a floor.  Viterbi over the wor
 with a constant penalty for each switch, labels spans; the language that most words are labelled with is
 the document's, and its share of the words is the score.
 
-A path without a switch is the best one if no interval of words gains more than one penalty in another
-language, which running sums show for a whole document at once; only other documents take the step by
-step form.
+A path without a switch is the best one if no interval of words gains more than half a penalty in another
+language (k other spans gain at most k halves and cost k - 1 switches), which running sums show for a whole
+document at once; only other documents take the step by step form.
 
 The model is fitted on a bounded sample: of each language the ``FIT_ROWS`` labelled documents of at most
 ``FIT_CHARS`` characters whose hashed id is smallest.  Trigram counts are made by Spark; the model keeps
@@ -134,7 +134,7 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     best = int(scores.sum(0).argmax())
     gain = np.cumsum(scores - scores[:, best:best + 1], axis=0, dtype=np.float64)
     low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-    if float((gain - low).max()) <= penalty:
+    if float((gain - low).max()) <= penalty / 2:
         return np.full(len(scores), best, np.int8)
     n = scores.shape[1]
     back = np.empty(scores.shape, np.int8)

@@ -273,9 +273,9 @@ def first_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The documents, with all their columns, that are the first of their class; of rows that repeat id and
     text one stays."""
     members = near_members(docs, id_col, text_col)
-    best = members.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(F.struct("doc_id", "tkey")).alias("best"), F.count("*").alias("n")).where("n > 1").select("comp", "best")
+    best = members.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")).alias("best"), F.count("*").alias("n")).where("n > 1").select("comp", "best")
     held = members.where(F.col("comp").isNotNull()).join(best, "comp")
-    same = F.struct("doc_id", "tkey").eqNullSafe(F.col("best"))
+    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("tkey") == F.col("best.tkey"))
     off, _ = written(held.where(~same).select(F.col("doc_id").alias("__i"), F.col("tkey").alias("__t")).distinct(), "later")
     twice, _ = written(held.where(same).groupBy("doc_id", "tkey").agg(F.count("*").alias("n")).where("n > 1")
                        .select(F.col("doc_id").alias("__i"), F.col("tkey").alias("__t")), "twice")

@@ -123,7 +123,7 @@ def _searcher(block, k: int, first_only: bool):
             bound = np.maximum(qf, 0) @ high.T + np.minimum(qf, 0) @ low.T
             bound += np.abs(bound) * 1e-12  # rounding never hides a leaf
             order = np.argsort(-bound, axis=1, kind="stable")
-            held = [np.asarray(x.vectors, np.int64).reshape(-1, dims) for x in leaves]
+            held = [np.asarray(x.vectors, np.int64).reshape(len(x.ids), dims) for x in leaves]
             names = [np.asarray(x.ids, np.int64) for x in leaves]
             best: list[list] = [[] for _ in ids]
             kth = floor.copy()
