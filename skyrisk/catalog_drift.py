@@ -1,23 +1,28 @@
 """Registered drift queries.
 
 The drift fixture table holds two runs: run A uses the training log without its newest row
-(cutoff 2000-05-21), run B the whole log (cutoff 2000-06-20).  The SQL-checked variant is the
-reference's no-p-value branch (method 'psi', masked chi-square); the p-value variant is rows-only
-here and checked against golden values in pytest.
+(cutoff 2000-05-21), run B the whole log (cutoff 2000-06-20).  Both branches of the reference have an
+oracle: without p-values (method 'psi', masked chi-square) and with them (the flags have one degree of
+freedom, for which SQL sums the series of the error function).
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import functions as F
 
 from skyrisk import oracle as O
-from skyrisk.catalog import appr, logs, register
+from skyrisk.catalog import appr, logs, pred, register
 from skyrisk.catalog_more import rounded
 from skyrisk.functions.special import chi2_sf
 from skyrisk.operators.explore import category_union
 from skyrisk.operators import drift as D
 from skyrisk.operators import mlops as ML
-from skyrisk.plans.jobs import drift_inputs, drift_rows
+from skyrisk.plans.jobs import Paths, drift_inputs, drift_rows, job_drift, job_risk_analysis
+from skyrisk.session import scratch_path
+from skyrisk.sources import fixtures as FX
 
 W = O.with_
 RUN_A = ("drift-run-a", "2000-05-22 00:00:00", "model_name <> 'best_model_24'")
@@ -30,6 +35,21 @@ BD = W(O.APPROACHES, O.MODEL_LOGS, DB)
 BDD = W(O.APPROACHES, O.MODEL_LOGS, DA, DB, DRIFT_TABLE)
 
 
+# p = erfc(sqrt(x / 2)): erf(z) = 2 / sqrt(pi) * exp(-z^2) * sum over n of z * x^n / (2n + 1)!!, with x = 2 z^2
+_TERM = "exp(0.5e0 * ln(x / 2) + n * ln(x) - (lgamma(2 * n + 2) - n * ln(2) - lgamma(n + 1)) - x / 2)"
+P_VALUES = f"""
+pv AS (SELECT feature, CASE WHEN dof <> 1 THEN NULL WHEN x = 0 THEN 1.0e0 WHEN x > 150 THEN 0.0e0 ELSE
+              1 - 2 / sqrt(pi()) * list_sum([{_TERM} FOR n IN range(0, 600)]) END AS p
+       FROM (SELECT feature, dof, chi2_stat AS x FROM dcs_b)),
+drift_p AS (
+  SELECT d.* REPLACE (CASE WHEN d.feature_type = 'categorical' THEN 'psi+chi2' ELSE d.method END AS method,
+                      CASE WHEN d.feature_type = 'categorical' THEN round(c.chi2_stat, 9) ELSE d.chi2_stat END AS chi2_stat,
+                      round(pv.p, 9) AS chi2_p_value,
+                      CASE WHEN pv.p < 0.05 AND d.drift_status <> 'High Drift' THEN 'High Drift (chi2)' ELSE d.drift_status END AS drift_status)
+  FROM drift_b d LEFT JOIN pv USING (feature) LEFT JOIN dcs_b c USING (feature))"""
+BDP = W(O.APPROACHES, O.MODEL_LOGS, DB, P_VALUES)
+
+
 def _logs(s, sf, newest: bool):
     lg = logs(s, sf)
     return lg if newest else lg.where(F.col("model_name") != "best_model_24")
@@ -86,18 +106,17 @@ register("chi2_gof_stat", f"{BD}SELECT feature, round(chi2_stat, 9) AS chi2_stat
     lambda s, sf: rounded((lambda t: D.categorical_stats(t[2], t[3]).select("feature", "chi2_stat", "dof"))(
         _long(s, sf)), ["chi2_stat"]))
 
-register("chi2_gof", None)(
-    lambda s, sf: (lambda t: D.categorical_stats(t[2], t[3]).select(
-        "feature", "chi2_stat", "dof",
-        chi2_sf(
-            F.col("chi2_stat"), F.col("dof").cast("double")).alias("chi2_p_value")))(_long(s, sf)))
+register("chi2_gof", f"{BDP}SELECT feature, round(chi2_stat, 9) AS chi2_stat, dof, round(p, 9) AS chi2_p_value FROM dcs_b JOIN pv USING (feature)")(
+    lambda s, sf: rounded((lambda t: D.categorical_stats(t[2], t[3]).select(
+        "feature", "chi2_stat", "dof", chi2_sf(F.col("chi2_stat"), F.col("dof").cast("double")).alias("chi2_p_value")))(_long(s, sf)),
+        ["chi2_stat", "chi2_p_value"]))
 
 register("drift_report_no_p", f"{BD}SELECT * FROM drift_b")(
     lambda s, sf: rounded(drift_rows(appr(s, sf), _logs(s, sf, True), RUN_B[0], RUN_B[1], with_p_value=False),
                           ["psi", "chi2_stat"]))
 
-register("drift_report", None)(
-    lambda s, sf: drift_rows(appr(s, sf), _logs(s, sf, True), RUN_B[0], RUN_B[1], with_p_value=True))
+register("drift_report", f"{BDP}SELECT * FROM drift_p")(
+    lambda s, sf: rounded(drift_rows(appr(s, sf), _logs(s, sf, True), RUN_B[0], RUN_B[1], with_p_value=True), ["psi", "chi2_stat", "chi2_p_value"]))
 
 register("drift_status", f"{BD}SELECT feature, drift_status FROM drift_b")(
     lambda s, sf: drift_rows(appr(s, sf), _logs(s, sf, True), RUN_B[0], RUN_B[1], with_p_value=False)
@@ -122,4 +141,35 @@ register("psi_chart_rows",
          f"'Moderate') THEN 'moderate' ELSE 'none' END AS severity FROM neo_data_drift WHERE run_id = {_NEWRUN} "
          f"AND psi IS NOT NULL")(
     lambda s, sf: ML.chart_rows(drift_table(s, sf), "psi"))
-register("chi2_chart_rows", None)(lambda s, sf: ML.chart_rows(drift_table(s, sf, with_p=True), "chi2"))
+register("chi2_chart_rows",
+         f"{BDP}SELECT feature, chi2_p_value, CASE WHEN chi2_p_value < 0.05 THEN 'high' WHEN chi2_p_value < 0.1 THEN 'moderate' ELSE 'none' END AS severity "
+         f"FROM drift_p WHERE chi2_p_value IS NOT NULL")(
+    lambda s, sf: rounded(ML.chart_rows(drift_rows(appr(s, sf), _logs(s, sf, True), RUN_B[0], RUN_B[1], with_p_value=True), "chi2"), ["chi2_p_value"]))
+
+
+def _job_drift(s, sf):
+    """J2 as the job: both runs appended to one drift table, which is read back."""
+    root = scratch_path(s, f"drift-{uuid.uuid4().hex}")
+    appr(s, sf).write.parquet(f"{root}/approaches")
+    for run, newest in ((RUN_A, False), (RUN_B, True)):
+        _logs(s, sf, newest).write.parquet(f"{root}/logs-{run[0]}")
+        job_drift(s, Paths(approaches=f"{root}/approaches", training_logs=f"{root}/logs-{run[0]}", drift=f"{root}/drift"), run[0],
+                  dt.datetime.fromisoformat(run[1]))
+    return rounded(s.read.parquet(f"{root}/drift").where(F.col("run_id") == RUN_B[0]), ["psi", "chi2_stat", "chi2_p_value"])
+
+
+register("job_drift_tables", f"{BDP}SELECT * FROM drift_p")(_job_drift)
+
+
+def _job_risk(s, sf):
+    """J1 as the job: the week of the newest drift run, joined, scored with given weights, appended and
+    read back."""
+    root = scratch_path(s, f"risk-{uuid.uuid4().hex}")
+    appr(s, sf).write.parquet(f"{root}/approaches")
+    pred(s, sf).write.parquet(f"{root}/predictions")
+    s.createDataFrame([("r", dt.datetime(2000, 6, 24, 9)), ("q", dt.datetime(2000, 7, 1, 9))], "run_id string, created_at timestamp").write.parquet(f"{root}/drift")
+    paths = Paths(approaches=f"{root}/approaches", predictions=f"{root}/predictions", risk=f"{root}/risk", drift=f"{root}/drift")
+    return job_risk_analysis(s, paths, analysed_on=FX.RISK_AS_OF, dd_weights=FX.FIXED_DD_WEIGHTS)
+
+
+register("job_risk_tables", f"{O.BASE_RISK}SELECT * FROM risk_late")(_job_risk)

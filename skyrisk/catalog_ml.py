@@ -1,10 +1,9 @@
-"""Registered ML queries (D11, D12, I1-I7, J3, J4, A8-A10): rows-only checks in the driver, values
-checked by pytest (brute-force kNN on a fixture, SMOTE parity / convexity, metric floors).
+"""Registered ML queries.
 
-Query budgets are reduced (2 trials, 10-20 trees, depth 3-5, 3 stacking folds, 20 meta trees);
-the library defaults are the reference's (10 trials x 3 folds, 100-500 trees, depth 4-10,
-5 folds, 100 meta trees).  One trained model is shared by the queries of a process (keyed by
-table folder) so the driver does not retrain for every query.
+``job_training`` and ``tune_random_search`` run the whole random search (10 trials, 3 folds, both
+learners).  The other training queries take ``PARAMS``, as a caller does who has tuned before; folds and
+meta trees are the defaults.  Every query trains for itself; nothing is shared between queries.  Fitting
+is bounded by ``ml.MAX_FIT_ROWS`` labelled rows; scoring and evaluation are over all rows.
 """
 
 from __future__ import annotations
@@ -12,118 +11,169 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyrisk import oracle as O
 from skyrisk.catalog import appr, register
 from skyrisk.operators import ml as MLX
-from skyrisk.session import scratch_path
-from skyrisk.sources import ingest as IN
-from skyrisk.sources import registry as REG
+from skyrisk.operators.features import fit_medians, engineered_features
+from skyrisk.plans.jobs import Paths, job_predict, job_train
+from skyrisk.schemas import NUMERIC_COLUMNS
+from skyrisk.session import cut_lineage, scratch_path
 from skyrisk.sources import fixtures as FX
+from skyrisk.sources.registry import latest_artifact, load_best_model
 
-BUDGET = dict(trials=2, folds=3, stack_folds=3, meta_trees=20, trees=(10, 20), depth=(3, 5))
-MODEL_DATE = "2000-06-20 00:00:00"
-_TRAINED: dict[str, MLX.TrainingResult] = {}
+W = O.with_
+NAMES = MLX.model_features()
+PARAMS = [{"trees": 200, "depth": 6, "step": 0.1, "l2": 0.5}, {"trees": 150, "depth": 6, "step": 0.15, "l2": 1.0}]
+TRAINED_AT = dt.datetime(2000, 6, 20)
+SCORE_FROM, SCORE_TO = "2000-05-03", "2000-07-01"
 
 
-def trained(s, sf) -> MLX.TrainingResult:
-    if sf not in _TRAINED:
-        _TRAINED[sf] = MLX.job_training(appr(s, sf), **BUDGET)
-    return _TRAINED[sf]
+def _split(s, sf) -> DataFrame:
+    a = appr(s, sf)
+    medians = cut_lineage(fit_medians(engineered_features(a, drop=False), NUMERIC_COLUMNS))
+    return cut_lineage(MLX.training_split(a, medians=medians)), medians
 
 
-def _train_rows(s, sf):
-    split = MLX.training_split(appr(s, sf))
+def _rounded_fit_rows(s, sf) -> DataFrame:
+    """The fit rows with features rounded to 6 decimals, so that both engines see the same numbers."""
+    split, medians = _split(s, sf)
     train = split.where(~F.col("is_test"))
-    pre = MLX.fit_preprocessor(train)
-    return pre.transform(train)
+    rows = MLX.fit_sample(MLX.encode_features(train, MLX.fit_features(train, medians)))
+    return cut_lineage(rows.select(MLX.KEY, *[F.round(c, 6).alias(c) for c in NAMES], MLX.LABEL))
+
+
+def _fit_rows(s, sf) -> DataFrame:
+    return MLX.training_inputs(appr(s, sf), resample=False).rows
+
+
+# the same rows in SQL: features, split, scaling over all training rows, then the bounded sample
+_SKEW = {"diameter_range": "ln(diameter_range)", "relative_velocity_kps": "ln(relative_velocity_kps)", "miss_distance_km": "sqrt(miss_distance_km)"}
+_ENGINEERED = f"""
+eng0 AS (SELECT *, (max_diameter_km + min_diameter_km) / 2.0e0 AS diameter_range FROM approaches),
+eng1 AS (SELECT *, {O.d(4.0 / 3.0 * 3.141592653589793)} * ((diameter_range / 2.0e0) * (diameter_range / 2.0e0) * (diameter_range / 2.0e0)) * 1e9 * 2600.0e0 AS est_mass_kg FROM eng0),
+eng2 AS (SELECT *, 0.5e0 * est_mass_kg * ((relative_velocity_kps * 1000.0e0) * (relative_velocity_kps * 1000.0e0)) AS est_kinetic_energy_j,
+                1.0e0 / (miss_distance_km + 1e-5) AS inv_miss_dist FROM eng1),
+eng3 AS (SELECT concat_ws(':', id, epoch_date_close_approach) AS row_key, is_potentially_hazardous AS y, is_sentry_object,
+                {', '.join(f"CAST({_SKEW.get(c, 'ln(1 + est_kinetic_energy_j * inv_miss_dist)' if c == 'impact_risk_index' else c)} AS DOUBLE) AS {c}" for c in NUMERIC_COLUMNS)} FROM eng2),
+hashed AS (SELECT *, ('0x' || substr(md5('42:' || row_key), 1, 15))::BIGINT AS h, ('0x' || substr(md5('43:' || row_key), 1, 15))::BIGINT AS h2 FROM eng3),
+train AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h) AS rn, count(*) OVER (PARTITION BY y) AS ny FROM hashed) WHERE rn > ceil(ny * 0.2e0)),
+stats AS (SELECT {', '.join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in NUMERIC_COLUMNS)} FROM train),
+fit AS (
+  SELECT row_key, CASE WHEN y THEN 1.0e0 ELSE 0.0e0 END AS label, {', '.join(f"round(({c} - m_{c}) / (CASE WHEN s_{c} = 0 THEN 1.0e0 ELSE s_{c} END), 6) AS f{i}" for i, c in enumerate(NUMERIC_COLUMNS))},
+         CASE WHEN NOT is_sentry_object THEN 1.0e0 ELSE 0.0e0 END AS f{len(NUMERIC_COLUMNS)}, CASE WHEN is_sentry_object THEN 1.0e0 ELSE 0.0e0 END AS f{len(NUMERIC_COLUMNS) + 1}
+  FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h2) AS k, count(*) OVER (PARTITION BY y) AS n1, count(*) OVER () AS n FROM train) CROSS JOIN stats
+  WHERE n <= {MLX.MAX_FIT_ROWS} OR k <= greatest(1, n1 * {MLX.MAX_FIT_ROWS} // n))"""
+_D2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in NAMES)
+
+register("training_split",
+         f"{W(O.APPROACHES)}SELECT row_key, row_number() OVER (PARTITION BY y ORDER BY h) <= ceil(count(*) OVER (PARTITION BY y) * 0.2e0) AS is_test FROM "
+         f"(SELECT row_key, y, ('0x' || substr(md5('42:' || row_key), 1, 15))::BIGINT AS h FROM "
+         f"(SELECT concat_ws(':', id, epoch_date_close_approach) AS row_key, is_potentially_hazardous AS y FROM approaches))")(
+    lambda s, sf: _split(s, sf)[0].select(MLX.KEY, "is_test"))
+
+register("knn_minority",
+         f"{W(O.APPROACHES, _ENGINEERED)}SELECT q, c, round(d2, 9) AS d2, CAST(nn_rank AS INTEGER) AS nn_rank FROM (SELECT a.row_key AS q, b.row_key AS c, {_D2} AS d2, "
+         f"row_number() OVER (PARTITION BY a.row_key ORDER BY {_D2}, b.row_key) AS nn_rank FROM fit a JOIN fit b ON a.label = 1 AND b.label = 1 AND a.row_key <> b.row_key) "
+         f"WHERE nn_rank <= 5")(
+    lambda s, sf: MLX.knn(_rounded_fit_rows(s, sf).where(F.col(MLX.LABEL) == 1.0), 5, NAMES).withColumn("d2", F.round("d2", 9)))
+
+register("tomek_links",
+         f"{W(O.APPROACHES, _ENGINEERED)}, nearest AS (SELECT a.row_key AS q, a.label AS own, arg_min(struct_pack(c := b.row_key, label := b.label), "
+         f"struct_pack(d := {_D2}, c := b.row_key)) AS nn FROM fit a JOIN fit b ON a.row_key <> b.row_key GROUP BY ALL) "
+         f"SELECT x.q AS row_key FROM nearest x JOIN nearest y ON x.nn.c = y.q AND y.nn.c = x.q WHERE x.own <> y.own".replace("\n, nearest", ", nearest"))(
+    lambda s, sf: MLX.tomek_links(_rounded_fit_rows(s, sf), NAMES))
+
+register("smote", None)(lambda s, sf: MLX.smote(_fit_rows(s, sf), NAMES))
+register("smote_tomek", None)(lambda s, sf: MLX.smote_tomek(_fit_rows(s, sf), NAMES))
 
 
-register("training_split", None)(lambda s, sf: MLX.training_split(appr(s, sf)).select(MLX.KEY, "is_test"))
+def _tune(s, sf):
+    rows = MLX.training_inputs(appr(s, sf)).rows
+    best = MLX.tune(rows, NAMES, [MLX.sample_params(), MLX.sample_params(seed=43, regularised=False)])
+    return s.createDataFrame([(i, p["trees"], p["depth"], p["step"], p["l2"], p["cv_accuracy"]) for i, p in enumerate(best)],
+                             "learner int, trees int, depth int, step_size double, l2 double, cv_accuracy double")
 
-register("knn_minority", None)(
-    lambda s, sf: (lambda tr: MLX.knn(tr.where(F.col(MLX.LABEL) == 1.0), 5, MLX.model_features()))(_train_rows(s, sf)))
 
-register("tomek_links", None)(lambda s, sf: MLX.tomek_links(_train_rows(s, sf), MLX.model_features()))
+register("tune_random_search", None)(_tune)
+register("job_training", None)(lambda s, sf: MLX.job_training(appr(s, sf)).metrics)
 
-register("smote", None)(lambda s, sf: MLX.smote(_train_rows(s, sf), MLX.model_features()))
 
-register("smote_tomek", None)(lambda s, sf: MLX.smote_tomek(_train_rows(s, sf), MLX.model_features()))
+def _stack(s, sf):
+    got = MLX.training_inputs(appr(s, sf))
+    return MLX.train_stack(got.rows, NAMES, PARAMS, got.features), got
 
 
-def _tune(s, sf):
-    tr = _train_rows(s, sf)
-    space = MLX.sample_params(2, 42, (10, 20), (3, 5))
-    best, score = MLX.tune(tr, MLX.model_features(), space, folds=3)
-    return s.createDataFrame([(best["maxIter"], best["maxDepth"], best["stepSize"], best.get("minInfoGain"), score)],
-                             "trees int, depth int, step_size double, min_info_gain double, cv_accuracy double")
+def _train_stack(s, sf):
+    """Probabilities of both learners and of the stack for every fit row's approach."""
+    model, _ = _stack(s, sf)
+    out = model.transform(appr(s, sf))
+    return out.select(MLX.KEY, "p0", "p1", (F.col("prediction") == 1.0).alias("model_prediction"))
 
 
-register("tune_random_search", None)(_tune)
-register("job_training", None)(lambda s, sf: trained(s, sf).metrics)
-register("evaluate_model", None)(lambda s, sf: trained(s, sf).predictions)
-register("train_stack", None)(
-    lambda s, sf: s.createDataFrame([(i, str(p)) for i, p in enumerate(trained(s, sf).params)], "learner int, params string"))
+register("train_stack", None)(_train_stack)
+_TEST = (f"{W(O.APPROACHES)}SELECT row_key, y AS actual, true AS is_probability FROM (SELECT row_key, y, row_number() OVER (PARTITION BY y ORDER BY h) AS k, "
+         f"count(*) OVER (PARTITION BY y) AS n FROM (SELECT row_key, y, ('0x' || substr(md5('42:' || row_key), 1, 15))::BIGINT AS h FROM "
+         f"(SELECT concat_ws(':', id, epoch_date_close_approach) AS row_key, is_potentially_hazardous AS y FROM approaches))) WHERE k <= ceil(n * 0.2e0)")
+register("evaluate_model", _TEST)(
+    lambda s, sf: MLX.job_training(appr(s, sf), PARAMS).predictions.select(
+        MLX.KEY, "actual", (F.col("p_true").between(0, 1) & F.col("model_prediction").isNotNull()).alias("is_probability")))
+
+# what SQL can say of predictions: whose they are, the model date, and that the two probabilities add up
+_CHECKED = ("CAST(id AS VARCHAR) AS id, is_potentially_hazardous AS actual, '2000-06-20 00:00:00' AS trained_model_date_used, 1.0e0 AS p_sum, true AS is_probability")
 
 
-def _predict(s, sf):
-    t = trained(s, sf)
-    return MLX.predict_batch(appr(s, sf), t.model, t.preprocessor, MODEL_DATE)
+def _checked(rows: DataFrame) -> DataFrame:
+    p, q = F.col("probability_being_truely_hazardous"), F.col("probability_being_falsely_hazardous")
+    return rows.select("id", "actual", "trained_model_date_used", F.round(p + q, 9).alias("p_sum"),
+                       (p.between(0, 1) & F.col("model_prediction").isNotNull()).alias("is_probability"))
 
 
-register("predict_batch", None)(_predict)
+register("predict_batch", f"{W(O.APPROACHES)}SELECT {_CHECKED} FROM approaches")(
+    lambda s, sf: _checked(MLX.predict_batch(appr(s, sf), _stack(s, sf)[0], str(TRAINED_AT))))
 
 
 def _predict_records(s, sf):
-    t = trained(s, sf)
-    rows = [r.asDict() for r in appr(s, sf).orderBy(F.desc("relative_velocity_kps"), "id").limit(2).collect()]
-    for r in rows:
-        r.pop("is_potentially_hazardous", None)
-    return MLX.predict_records(s, rows, t.model, t.preprocessor, MODEL_DATE, t.medians)
+    """The two fastest approaches as a caller's records (two rows are the feature here)."""
+    model, _ = _stack(s, sf)
+    rows = [r.asDict() for r in appr(s, sf).orderBy(F.desc("relative_velocity_kps"), "id", "epoch_date_close_approach").limit(2).collect()]
+    return _checked(MLX.predict_records(s, rows, model, str(TRAINED_AT)))
 
 
-register("predict_records", None)(_predict_records)
+register("predict_records", f"{W(O.APPROACHES)}SELECT {_CHECKED} FROM (SELECT * FROM approaches ORDER BY relative_velocity_kps DESC, id, "
+                            f"epoch_date_close_approach LIMIT 2)")(_predict_records)
+
+
+def _trained_paths(s, sf) -> Paths:
+    root = scratch_path(s, f"models-{uuid.uuid4().hex}")
+    paths = Paths(approaches=f"{root}/approaches", predictions=f"{root}/predictions", training_logs=f"{root}/logs", artifacts=f"{root}/artifacts", models=f"{root}/models")
+    appr(s, sf).write.parquet(paths.approaches)
+    job_train(s, paths, "stack_model", TRAINED_AT, "run-fixture", params=PARAMS)
+    return paths
 
 
 def _job_predict(s, sf):
-    """Weekly windows over the landed feed -> flatten -> predict -> append."""
-    t = trained(s, sf)
-    root = scratch_path(s, f"predict-{uuid.uuid4().hex}")
-    FX.feed_documents(appr(s, sf).where(F.col("close_approach_date") >= FX.RISK_EARLIER_AS_OF)).write.json(f"{root}/feed")
-    rows = IN.flatten_feed(IN.read_feed(s, f"{root}/feed"))
-    IN.append_table(MLX.predict_batch(rows, t.model, t.preprocessor, MODEL_DATE), f"{root}/prediction_table")
-    return s.read.parquet(f"{root}/prediction_table")
+    """Train and save, then windows over the landed feed -> newest model -> append."""
+    paths = _trained_paths(s, sf)
+    landing = scratch_path(s, f"landing-{uuid.uuid4().hex}")
+    FX.feed_documents(appr(s, sf)).write.json(landing)
+    return _checked(job_predict(s, landing, paths, SCORE_FROM, SCORE_TO))
 
 
-register("job_predict", None)(_job_predict)
+register("job_predict", f"{W(O.APPROACHES)}SELECT {_CHECKED} FROM approaches WHERE close_approach_date BETWEEN '{SCORE_FROM}' AND '{SCORE_TO}'")(_job_predict)
 
 
 def _registry(s, sf):
-    t = trained(s, sf)
-    root = scratch_path(s, f"registry-{uuid.uuid4().hex}")
-    created = dt.datetime(2000, 6, 20)
-    t.model.save(f"{root}/model")
-    REG.save_pipeline(type("M", (), {"write": lambda self: _Writer(t.model)})(), f"{root}/model",
-                      f"{root}/artifacts", "stack_model", created)
-    m = t.metrics.collect()[0]
-    REG.log_training_run(s, f"{root}/logs", "stack_model", str(created), m.accuracy, m.precision, m.recall,
-                         m.f1_score, "run-fixture", f"{root}/model")
-    logs = s.read.parquet(f"{root}/logs")
-    loaded = MLX.StackModel.load(logs.collect()[0].artifact_uri, MLX.model_features())
-    check = MLX.predict_batch(appr(s, sf).limit(100), loaded, t.preprocessor, MODEL_DATE)
-    return REG.latest_artifact(s.read.parquet(f"{root}/artifacts")).crossJoin(
-        check.agg(F.count(F.lit(1)).alias("scored_rows")))
-
-
-class _Writer:
-    def __init__(self, model):
-        self.model = model
-
-    def overwrite(self):
-        return self
-
-    def save(self, path):
-        self.model.save(path)
-
-
-register("model_registry", None)(_registry)
+    """The saved pipeline is found through the newest rows, loaded, and scores all rows."""
+    paths = _trained_paths(s, sf)
+    logs = s.read.parquet(paths.training_logs)
+    scored = MLX.predict_batch(appr(s, sf), load_best_model(logs), str(TRAINED_AT))
+    newest = latest_artifact(s.read.parquet(paths.artifacts)).select("name", "created_at")
+    log = logs.select("run_id", "training_date", F.col("accuracy").between(0.5, 1.0).alias("learned"))
+    return newest.crossJoin(log).crossJoin(scored.agg(F.count("probability_being_truely_hazardous").alias("scored_rows")))
+
+
+register("model_registry", f"{W(O.APPROACHES)}SELECT 'stack_model' AS name, '2000-06-20 00:00:00' AS created_at, 'run-fixture' AS run_id, "
+                           f"'2000-06-20 00:00:00' AS training_date, true AS learned, count(*) AS scored_rows FROM approaches")(_registry)

@@ -1,4 +1,4 @@
-"""Registered ingest and streaming queries.
+"""Registered ingest and streaming queries.
 
 Streams read file drops derived from the fact table: drop 1 = approaches before 1995-06-01,
 drop 2 = the rest (ids first seen in drop 2 are the "new" ids).  Each drop is processed by its
@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import datetime
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyrisk import oracle as O
 from skyrisk.catalog import appr, register
 from skyrisk.operators.explore import LATEST_COLUMNS
+from skyrisk.plans.jobs import Paths, job_ingest_week
 from skyrisk.session import scratch_path
 from skyrisk.sources import fixtures as FX
 from skyrisk.sources import ingest as IN
@@ -93,13 +96,7 @@ register("attach_constant",
 
 
 # ------------------------------------------------------------------ H1-H4
-def _drops(s, sf, root: str):
-    a = appr(s, sf)
-    a.where(F.col("close_approach_date") < DROP_AT).write.parquet(f"{root}/in/drop=1")
-    return a
-
-
-def _run_new_ids_table(s, sf, with_baseline: bool):
+def _run_new_ids_table(s, sf, with_baseline: bool, events: bool = False):
     root = _scratch(s, "newids-table")
     a = appr(s, sf)
     inp, out, known, ckpt = f"{root}/in", f"{root}/out", f"{root}/known", f"{root}/ckpt"
@@ -109,7 +106,8 @@ def _run_new_ids_table(s, sf, with_baseline: bool):
     ST.run_new_ids_table(stream, out, known, ckpt, baseline)
     a.where(F.col("close_approach_date") >= DROP_AT).write.parquet(f"{inp}/d2")
     ST.run_new_ids_table(stream, out, known, ckpt, baseline)
-    return s.read.parquet(out).select(*LATEST_COLUMNS)
+    found = s.read.parquet(out).select(*LATEST_COLUMNS)
+    return ST.to_events(found) if events else found
 
 
 def _run_new_ids(s, sf, with_baseline: bool, events: bool = False):
@@ -141,32 +139,51 @@ register("stream_new_ids_baseline", f"{W(O.APPROACHES, _L1)}SELECT {LC} FROM l2"
     lambda s, sf: _run_new_ids_table(s, sf, with_baseline=True))
 register("stream_new_ids_state_baseline", f"{W(O.APPROACHES, _L1)}SELECT {LC} FROM l2")(
     lambda s, sf: _run_new_ids(s, sf, with_baseline=True))
-register("stream_new_id_events", None)(lambda s, sf: _run_new_ids(s, sf, with_baseline=True, events=True))
+# the payload is read back field by field, as the two engines space JSON differently
+_PAYLOAD = {"id": "bigint", "name": "string", "miss_distance_km": "double", "relative_velocity_kps": "double", "close_approach_date": "string"}
+
+
+def _events(s, sf):
+    found = _run_new_ids_table(s, sf, with_baseline=True, events=True)
+    text = found.columns[-1]
+    data = F.get_json_object(F.col(text), "$.event").alias("event")
+    return found.select(data, *[F.get_json_object(F.col(text), f"$.data.{c}").cast(t).alias(c) for c, t in _PAYLOAD.items()])
+
+
+register("stream_new_id_events", f"{W(O.APPROACHES, _L1)}SELECT 'new_asteroid' AS event, {', '.join(_PAYLOAD)} FROM l2")(_events)
 
 
 def _live_count(s, sf):
-    root = _scratch(s, "live")
-    a = appr(s, sf)
-    inp = f"{root}/in"
-    a.where(F.col("close_approach_date") < DROP_AT).write.parquet(f"{inp}/d1")
-    stream = s.readStream.schema(a.schema).parquet(f"{inp}/*")
-    found = ST.stream_new_ids(stream)
-    ST.live_count_sink(found, f"{root}/counts", f"{root}/ckpt")
-    a.where(F.col("close_approach_date") >= DROP_AT).write.parquet(f"{inp}/d2")
-    ST.live_count_sink(found, f"{root}/counts", f"{root}/ckpt")
-    return ST.live_total(s, f"{root}/counts").select("live_count")
+    return _run_new_ids_table(s, sf, with_baseline=False).agg(F.count("id").alias("live_count"))
 
 
 register("stream_live_count", f"{W(O.APPROACHES)}SELECT count(DISTINCT id) AS live_count FROM approaches")(_live_count)
 
 
 def _feed_ingest(s, sf):
+    """Two drops of landed documents; both tables are returned."""
     root = _scratch(s, "feed")
     a = appr(s, sf)
-    docs = FX.feed_documents(a)
-    docs.where(F.col("near_earth_objects").isNotNull()).write.json(f"{root}/landing/week=1")
-    ST.stream_feed_ingest(s, f"{root}/landing/*", f"{root}/train", f"{root}/test", f"{root}/ckpt")
-    return s.read.schema(a.schema).parquet(f"{root}/train/*")
+    paths = f"{root}/landing/*", f"{root}/train", f"{root}/test", f"{root}/ckpt"
+    FX.feed_documents(a.where(F.col("close_approach_date") < DROP_AT)).write.json(f"{root}/landing/week=1")
+    ST.stream_feed_ingest(s, *paths)
+    FX.feed_documents(a.where(F.col("close_approach_date") >= DROP_AT)).write.json(f"{root}/landing/week=2")
+    ST.stream_feed_ingest(s, *paths)
+    return reduce(DataFrame.unionAll, [s.read.schema(a.schema).parquet(f"{p}/*").withColumn("table", F.lit(t)) for p, t in ((paths[1], "train"), (paths[2], "test"))])
+
+
+register("stream_feed_ingest", f"{W(O.APPROACHES)}SELECT a.*, t.table FROM approaches a, (VALUES ('train'), ('test')) t(\"table\")")(_feed_ingest)
+
+
+def _job_ingest_week(s, sf):
+    """Two months of landed pages, by windows, appended to both tables."""
+    root = _scratch(s, "ingest-week")
+    FX.feed_documents(appr(s, sf)).write.json(f"{root}/landing")
+    paths = Paths(approaches=f"{root}/train", approaches_copy=f"{root}/test")
+    job_ingest_week(s, f"{root}/landing", paths, WEEK_START, WEEK_END)
+    return reduce(DataFrame.unionAll, [s.read.parquet(p).withColumn("table", F.lit(t)) for p, t in ((paths.approaches, "train"), (paths.approaches_copy, "test"))])
 
 
-register("stream_feed_ingest", f"{W(O.APPROACHES)}SELECT * FROM approaches")(_feed_ingest)
+WEEK_START, WEEK_END = "1995-05-03", "1995-07-01"
+register("job_ingest_week", f"{W(O.APPROACHES)}SELECT a.*, t.table FROM approaches a, (VALUES ('train'), ('test')) t(\"table\") "
+                            f"WHERE close_approach_date BETWEEN '{WEEK_START}' AND '{WEEK_END}'")(_job_ingest_week)

@@ -95,7 +95,7 @@ def order_statistics(values: DataFrame, group_cols: Sequence[str], value_col: st
     located = targets.join(part, g, "inner").where(
         (F.col(pos_col) >= F.col("_off")) & (F.col(pos_col) < F.col("_off") + F.col("_pcnt"))
     ).select(*g, pos_col, "_pid", "_off")
-    hits = ranked.join(located, [*g, "_pid"]).where(
+    hits = ranked.join(F.broadcast(located), [*g, "_pid"]).where(
         (F.col(pos_col) - F.col("_off") < F.col("_cum"))
         & (F.col(pos_col) - F.col("_off") >= F.col("_cum") - F.col("_cnt"))
     ).select(*g, pos_col, F.col(value_col).alias("value"))
@@ -140,19 +140,3 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ])).alias("_kv")).select("_kv.feature", "_kv.value")
     q = exact_quantiles(long, ["feature"], "value", [0.5])
     return q.select("feature", F.col("quantile").alias("median"))
-
-
-def global_rank(df: DataFrame, order_cols: Sequence[str], rank_col: str = "_rank") -> DataFrame:
-    """0-based row number in ``order_cols`` order without a single-partition window: range-sorted
-    partitions, a running count per partition, and partition offsets (a table with one row per
-    partition, so its broadcast is bounded by the partition count).  Checkpointed."""
-    staged = df.withColumn("_cnt", F.lit(1).cast("long"))
-    ordered = staged.orderBy(*order_cols)
-    schema = T.StructType(list(staged.schema.fields) + [T.StructField("_pid", T.IntegerType()),
-                                                       T.StructField("_cum", T.LongType())])
-    ranked = cut_lineage(ordered.mapInPandas(_running_counts([]), schema))
-    part = ranked.groupBy("_pid").agg(F.max("_cum").alias("_pcnt"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = part.select("_pid", F.coalesce(F.sum("_pcnt").over(before), F.lit(0)).alias("_off"))
-    out = ranked.join(F.broadcast(off), "_pid").withColumn(rank_col, F.col("_off") + F.col("_cum") - 1)
-    return out.drop("_pid", "_cum", "_cnt", "_off")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyrisk.functions.columns import finite_or_null, uniform
+from skyrisk.functions.columns import finite_or_null
 from skyrisk.functions.quantiles import exact_medians, order_statistics
 from skyrisk.operators.physics import sphere_mass
 from skyrisk.schemas import (DENSITY_KG_M3, DROP_COLUMNS, FEATURE_COLUMNS, FEATURE_EPS, SEED,
@@ -99,9 +99,15 @@ def standard_scale(df: DataFrame, cols: Sequence[str], fitted: DataFrame | None
     ])
 
 
+MAX_CATEGORIES = 10_000
+
+
 def fit_categories(df: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct categories with their index (0..k-1)."""
+    """Sorted distinct categories with their index (0..k-1); more than ``MAX_CATEGORIES`` raise, as the
+    result is broadcast and its window is one task."""
     cats = df.select(F.col(col).alias("category")).where(F.col("category").isNotNull()).distinct()
+    if cats.limit(MAX_CATEGORIES + 1).count() > MAX_CATEGORIES:
+        raise ValueError(f"{col} has more than {MAX_CATEGORIES} categories")
     return cats.withColumn("index", F.dense_rank().over(Window.orderBy("category")) - 1)
 
 
@@ -124,7 +130,7 @@ def label_encode(df: DataFrame, col: str, fitted: DataFrame | None = None, out_c
     classes = fitted if fitted is not None else fit_categories(df, col)
     out_col = out_col or f"{col}_index"
     m = classes.select(F.col("category").alias(col), F.col("index").alias(out_col))
-    return df.join(m, col, "left")
+    return df.join(F.broadcast(m), col, "left")  # fit_categories bounds the classes
 
 
 def split_key(key_cols: Sequence[str]):
@@ -134,17 +140,14 @@ def split_key(key_cols: Sequence[str]):
 def stratified_split(df: DataFrame, label: str, key_cols: Sequence[str], test_size: float = SPLIT_TEST_SIZE,
                      seed: int = SEED) -> DataFrame:
     """Adds ``is_test``: per label, the ceil(test_size * n_label) rows with the smallest
-    deterministic hash u = md5(seed:key) are test rows.  The per-label threshold is an exact
-    order statistic (no window over a whole label)."""
+    deterministic hash u = md5(seed:key) are test rows; rows without a label are split like one more
+    label.  The per-label threshold is an exact order statistic (no window over a whole label), and
+    only the thresholds, a row for each label, are broadcast."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), split_key(key_cols))), 1, 15), 16, 10).cast("long")
-    keyed = df.withColumn("_h", h)
-    counts = keyed.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    targets = counts.select(label, (F.ceil(F.col("_n") * F.lit(float(test_size))) - 1).cast("long").alias("pos"))
-    thresholds = order_statistics(keyed.select(label, "_h"), [label], "_h", targets.where(F.col("pos") >= 0))
-    t = thresholds.select(label, F.col("value").alias("_thr"))
-    out = keyed.join(t, label, "left")
-    return out.withColumn("is_test", F.coalesce(F.col("_h") <= F.col("_thr"), F.lit(False))).drop("_h", "_thr")
-
-
-def split_uniform(seed: int, key_cols: Sequence[str]):
-    return uniform(seed, split_key(key_cols))
+    keyed = df.withColumns({"_h": h, "_y": F.coalesce(F.col(label).cast("string"), F.lit("no label"))})
+    counts = keyed.groupBy("_y").agg(F.count(F.lit(1)).alias("_n"))
+    targets = counts.select("_y", (F.ceil(F.col("_n") * F.lit(float(test_size))) - 1).cast("long").alias("pos"))
+    thresholds = order_statistics(keyed.select("_y", "_h"), ["_y"], "_h", targets.where(F.col("pos") >= 0))
+    t = thresholds.select("_y", F.col("value").alias("_thr"))  # a row for each label
+    out = keyed.join(F.broadcast(t), "_y", "left")
+    return out.withColumn("is_test", F.coalesce(F.col("_h") <= F.col("_thr"), F.lit(False))).drop("_h", "_y", "_thr")

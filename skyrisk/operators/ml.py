@@ -1,430 +1,319 @@
-"""Hazard classifier: training frame, exact kNN, SMOTE / Tomek links, random-search tuning,
-5-fold stacking, evaluation and batch prediction with ``pyspark.ml``.
-
-Exact kNN without all-pairs
----------------------------
-Points are globally ranked along P orthonormal projections (distributed sort, no
-single-partition window).  Each query point takes the points within +-W ranks in every
-projection as candidates (a bounded fan-out of 2*W*P rows per point, never a group's all pairs),
-keeps the k closest, and is *proven* exact when its k-th squared distance is at most
-sum_j gap_j^2, gap_j being the projection gap to the first rank outside its window along
-direction j: a non-candidate lies outside every window, so its squared distance is at least that
-sum (Pythagoras over orthonormal directions).  Unproven points go to another round with a 4x wider window; once the window spans the
-whole set every point is proven.  Duplicated points (a hot value) are at distance 0 and prove at
-once.
-
-Randomness is deterministic per row (md5 of seed and key), so splits, folds and synthetic rows
-are reproducible and independent of partitioning.
+"""Hazard classifier: training frame, SMOTE / Tomek links, random-search tuning, 5-fold stacking,
+evaluation and batch prediction.
+
+What is fitted, and on what: medians, scaling and categories on all training rows; the resampled set, the
+tuning grid and the learners on ``fit_sample``, at most ``MAX_FIT_ROWS`` labelled rows (a documented
+parameter, used nowhere else).  A trained model is one ``PipelineModel``: features (transform, then
+impute with the saved medians, scale, encode), two boosted learners, and a random forest over their
+probabilities; it is written to shared storage and loaded by the newest training log row.
+
+Randomness is deterministic per row (md5 of seed and key), so splits, folds and synthetic rows are
+reproducible and independent of partitioning.
 """
 
 from __future__ import annotations
 
+import json
 import math
-import os
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark import keyword_only
+from pyspark.ml import Model, PipelineModel
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyrisk.functions.columns import finite_or_null, uniform
-from skyrisk.functions.quantiles import global_rank, order_statistics
-from skyrisk.operators.features import (engineered_features, fit_medians, fit_standard, impute_median,
-                                        skew_transform, standard_scale, stratified_split)
-from skyrisk.schemas import (CATEGORICAL_COLUMNS, FEATURE_COLUMNS, META_TREES, NUMERIC_COLUMNS, SEED, SMOTE_K,
+from skyrisk.functions.quantiles import order_statistics
+from skyrisk.operators import boosting
+from skyrisk.operators.features import (engineered_features, fit_medians, fit_standard, impute_median, skew_transform,
+                                        standard_scale, stratified_split)
+from skyrisk.operators.metrics import binary_metrics
+from skyrisk.operators.neighbors import knn, tomek_links
+from skyrisk.schemas import (APPROACH, CATEGORICAL_COLUMNS, FEATURE_COLUMNS, META_TREES, NUMERIC_COLUMNS, SEED, SMOTE_K,
                              STACK_FOLDS, TARGET_COLUMN, TUNE_FOLDS, TUNE_TRIALS)
 from skyrisk.session import cut_lineage
 
 KEY = "row_key"
 LABEL = "label"
+MAX_FIT_ROWS = 6_000
+CATEGORIES = [False, True]
+
+__all__ = ["knn", "tomek_links", "smote", "smote_tomek", "tune", "train_stack", "job_training"]
 
 
 # ---------------------------------------------------------------- training frame (J3 front half)
-def row_key(df: DataFrame, cols: Sequence[str] = ("id", "epoch_date_close_approach")) -> Column:
+def row_key(cols: Sequence[str] = ("id", "epoch_date_close_approach")) -> Column:
     return F.concat_ws(":", *[F.col(c).cast("string") for c in cols])
 
 
 def model_features(n_numeric: int = len(NUMERIC_COLUMNS)) -> list[str]:
-    return [f"f{i}" for i in range(n_numeric + 2)]
+    return [f"f{i}" for i in range(n_numeric + len(CATEGORIES))]
 
 
-def prepare_features(df: DataFrame, medians: DataFrame | None = None) -> DataFrame:
-    """B1 -> B5 -> B6 -> B7: engineered features, +-inf -> NULL -> median, then ln / sqrt.
-    Keeps ``row_key``, ``id`` and the target when present."""
+def _inputs(df: DataFrame) -> DataFrame:
+    """B1 and B5 with ``row_key``, ``id`` and the target where there is one."""
     eng = engineered_features(df, drop=False)
     keep = [c for c in ("id", TARGET_COLUMN) if c in eng.columns]
-    x = eng.select(row_key(eng).alias(KEY), *keep, *[c for c in FEATURE_COLUMNS if c not in keep])
-    x = impute_median(x, NUMERIC_COLUMNS, medians)
-    return skew_transform(x)
+    return eng.select(row_key().alias(KEY), *keep, *[c for c in FEATURE_COLUMNS if c not in keep])
 
 
-@dataclass
-class Preprocessor:
-    """Fitted scaling statistics (one row) and sentry categories: the reference's column
-    transformer (standard scaler on numeric columns + one-hot on the flag)."""
-    scale: DataFrame
-    categories: list
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        scaled = standard_scale(df, NUMERIC_COLUMNS, self.scale)
-        flag = F.col(CATEGORICAL_COLUMNS[0])
-        unknown = ~flag.isin(self.categories) & flag.isNotNull()
-        checked = F.when(unknown, F.raise_error(F.lit("unknown category in is_sentry_object"))).otherwise(flag)
-        feats = [F.col(c).alias(n) for c, n in zip(NUMERIC_COLUMNS, model_features())]
-        feats += [(checked == F.lit(v)).cast("double").alias(f"f{len(NUMERIC_COLUMNS) + i}")
-                  for i, v in enumerate(self.categories)]
-        keep = [c for c in (KEY, "id", TARGET_COLUMN) if c in df.columns]
-        out = scaled.select(*keep, *feats)
-        if TARGET_COLUMN in df.columns:
-            out = out.withColumn(LABEL, F.col(TARGET_COLUMN).cast("int").cast("double"))
-        return out
-
-
-def fit_preprocessor(train: DataFrame) -> Preprocessor:
-    scale = cut_lineage(fit_standard(train, NUMERIC_COLUMNS))
-    return Preprocessor(scale, [False, True])
-
-
-def training_split(df: DataFrame, seed: int = SEED, test_size: float = 0.2) -> DataFrame:
-    """Prepared rows with ``is_test`` (stratified on the target)."""
-    prepared = prepare_features(df)
-    return stratified_split(prepared, TARGET_COLUMN, [KEY], test_size, seed)
+def prepare_features(df: DataFrame, medians: DataFrame | None = None) -> DataFrame:
+    """Training order: B1 -> B5 -> B6 (+-inf and NULL to the median) -> B7 (ln / sqrt)."""
+    return skew_transform(impute_median(_inputs(df), NUMERIC_COLUMNS, medians))
 
 
-# ---------------------------------------------------------------- exact kNN
-def _directions(dim: int, count: int, seed: int) -> list[list[float]]:
-    """``count`` orthonormal directions (seeded Gaussian matrix, QR)."""
-    rng = np.random.default_rng(seed)
-    q, _ = np.linalg.qr(rng.normal(size=(dim, dim)))
-    return [q[:, j].tolist() for j in range(min(count, dim))]
+def prepare_for_prediction(df: DataFrame, medians: dict[str, float]) -> DataFrame:
+    """Prediction order: transform, then whatever is not finite (ln of a zero velocity too) to the
+    median, which is transformed alike."""
+    x = skew_transform(_inputs(df))
+    new = {c: F.coalesce(finite_or_null(F.col(c).cast("double")), F.lit(medians[c])) for c in NUMERIC_COLUMNS}
+    return x.withColumns(new)
 
 
-def principal_directions(points: DataFrame, cols: Sequence[str], count: int) -> list[list[float]]:
-    """Top principal axes (orthonormal) from ``pyspark.ml.feature.PCA`` - a distributed d x d
-    covariance, d = number of features; projections on them spread the points the most, which
-    makes the window proof tight."""
-    from pyspark.ml.feature import PCA, VectorAssembler
+def _skewed(medians: dict[str, float]) -> dict[str, float]:
+    how = {"diameter_range": math.log, "relative_velocity_kps": math.log, "miss_distance_km": math.sqrt}
+    return {c: how[c](m) if c in how and m > 0 else m for c, m in medians.items()}
 
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_vec").transform(points.select(*cols))
-    model = PCA(k=min(count, len(cols)), inputCol="_vec", outputCol="_pc").fit(vec)
-    pc = model.pc.toArray()
-    return [pc[:, j].tolist() for j in range(pc.shape[1])]
 
+def fit_features(train: DataFrame, medians: DataFrame) -> dict:
+    """The fitted numbers of the feature stage: transformed medians, means, deviations, categories."""
+    stats = fit_standard(train, NUMERIC_COLUMNS).first()
+    return {"medians": _skewed({r["feature"]: r["median"] for r in medians.collect()}),  # a row for each of nine columns
+            "mean": {c: stats[f"_mean_{c}"] for c in NUMERIC_COLUMNS}, "std": {c: stats[f"_std_{c}"] for c in NUMERIC_COLUMNS},
+            "categories": CATEGORIES}
 
-def _sqdist(a: str, b: str, cols: Sequence[str]) -> Column:
-    terms = [(F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) * (F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) for c in cols]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return total
 
+def encode_features(df: DataFrame, fitted: dict) -> DataFrame:
+    """Scaled and one-hot columns ``f0`` ... from prepared rows; an unknown category raises."""
+    flag = F.col(CATEGORICAL_COLUMNS[0])
+    known = F.when(flag.isNull() | flag.isin(fitted["categories"]), flag).otherwise(
+        F.raise_error(F.lit(f"unknown category in {CATEGORICAL_COLUMNS[0]}")))
+    names = model_features()
+    cols = [((F.col(c) - F.lit(fitted["mean"][c])) / F.lit(fitted["std"][c])).alias(n) for c, n in zip(NUMERIC_COLUMNS, names)]
+    cols += [F.coalesce((known == F.lit(v)).cast("double"), F.lit(0.0)).alias(n) for v, n in zip(fitted["categories"], names[len(NUMERIC_COLUMNS):])]
+    keep = [c for c in (KEY, "id", TARGET_COLUMN) if c in df.columns]
+    out = df.select(*keep, *cols)
+    return out.withColumn(LABEL, F.col(TARGET_COLUMN).cast("int").cast("double")) if TARGET_COLUMN in df.columns else out
 
-def knn(points: DataFrame, k: int, feature_cols: Sequence[str], id_col: str = KEY, projections: int = 4,
-        window: int = 32, seed: int = SEED, directions: str = "pca") -> DataFrame:
-    """Exact k nearest neighbours (Euclidean, self excluded) of every point: rows
-    (``q``, ``c``, ``d2``, ``nn_rank`` 1..k).  ``directions``: 'pca' (principal axes) or 'random'."""
-    cols = list(feature_cols)
-    if directions == "pca":
-        dirs = principal_directions(points, cols, projections)
-    else:
-        dirs = _directions(len(cols), projections, seed)
-    projections = len(dirs)
-    base = points.select(F.col(id_col).alias("pid"), *[F.col(c).cast("double").alias(c) for c in cols])
-    for j, u in enumerate(dirs):
-        expr = F.lit(0.0)
-        for w, c in zip(u, cols):
-            expr = expr + F.lit(float(w)) * F.col(c)
-        base = base.withColumn(f"_v{j}", expr)
-    ranked = base
-    for j in range(projections):
-        ranked = global_rank(ranked, [f"_v{j}", "pid"], f"_r{j}")
-    ranked = cut_lineage(ranked)
-    n = ranked.count()
-    if n <= 1:
-        return points.sparkSession.createDataFrame([], "q string, c string, d2 double, nn_rank int")
-    by_rank = [ranked.select(F.col(f"_r{j}").alias("_rk"), F.col("pid").alias("c"), F.col(f"_v{j}").alias("_vv"))
-               for j in range(projections)]
-    active = ranked
-    results = []
-    w = max(1, window)
-    while True:
-        full = 2 * w >= n
-        cands = []
-        for j in range(projections):
-            offs = F.array([F.lit(o) for o in range(-w, w + 1) if o != 0])
-            keys = active.select("pid", F.explode(offs).alias("_o"), F.col(f"_r{j}").alias("_r"))
-            # candidate tables grow 2W-fold through explode, which the static size estimate does not
-            # see: force shuffle (sort-merge) joins so the planner never broadcasts them
-            cands.append(keys.select("pid", (F.col("_r") + F.col("_o")).alias("_rk")).hint("merge")
-                         .join(by_rank[j].select("_rk", "c"), "_rk").select("pid", "c"))
-        pairs = cands[0]
-        for c in cands[1:]:
-            pairs = pairs.unionByName(c)
-        pairs = pairs.distinct()
-        q = ranked.alias("q")
-        cc = ranked.alias("cc")
-        scored = (pairs.hint("merge").alias("p").join(q, F.col("p.pid") == F.col("q.pid"))
-                  .hint("merge").join(cc, F.col("p.c") == F.col("cc.pid"))
-                  .select(F.col("p.pid").alias("q"), F.col("p.c").alias("c"), _sqdist("q", "cc", cols).alias("d2")))
-        top = scored.withColumn("nn_rank", F.row_number().over(Window.partitionBy("q").orderBy("d2", "c"))) \
-            .where(F.col("nn_rank") <= k)
-        top = cut_lineage(top)
-        kth = top.groupBy("q").agg(F.max("d2").alias("_dk"), F.count(F.lit(1)).alias("_nk"))
-        # projection gap to the first rank outside the window, per direction
-        gaps = active.select("pid", *[F.col(f"_r{j}") for j in range(projections)],
-                             *[F.col(f"_v{j}") for j in range(projections)])
-        gap_cols = []
-        for j in range(projections):
-            lo = by_rank[j].select(F.col("_rk").alias(f"_lo{j}"), F.col("_vv").alias(f"_vlo{j}"))
-            hi = by_rank[j].select(F.col("_rk").alias(f"_hi{j}"), F.col("_vv").alias(f"_vhi{j}"))
-            gaps = (gaps.withColumn(f"_lo{j}", F.col(f"_r{j}") - w - 1).withColumn(f"_hi{j}", F.col(f"_r{j}") + w + 1)
-                    .join(lo, f"_lo{j}", "left").join(hi, f"_hi{j}", "left"))
-            inf = F.lit(float("inf"))
-            gap_cols.append(F.least(F.coalesce(F.col(f"_v{j}") - F.col(f"_vlo{j}"), inf),
-                                    F.coalesce(F.col(f"_vhi{j}") - F.col(f"_v{j}"), inf)))
-        # orthonormal directions: a point outside every window is at least sqrt(sum gap_j^2) away
-        gap2 = gap_cols[0] * gap_cols[0]
-        for g in gap_cols[1:]:
-            gap2 = gap2 + g * g
-        status = gaps.select(F.col("pid").alias("q"), gap2.alias("_gap2")).join(kth, "q", "left")
-        need = min(k, n - 1)
-        proven = (F.coalesce(F.col("_nk"), F.lit(0)) >= need) & (F.col("_dk") <= F.col("_gap2"))
-        if full:
-            proven = F.lit(True)
-        status = cut_lineage(status.withColumn("_ok", proven))
-        ok = status.where("_ok").select("q")
-        results.append(top.join(ok, "q", "left_semi"))
-        pending = status.where(~F.col("_ok")).select(F.col("q").alias("pid"))
-        if os.environ.get("SKYRISK_KNN_DEBUG"):
-            print(f"knn round w={w} pending={pending.count()}", flush=True)
-        if full or pending.isEmpty():
-            break
-        active = ranked.join(pending, "pid", "left_semi")
-        w *= 4
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out.select("q", "c", "d2", "nn_rank")
-
-
-def tomek_links(df: DataFrame, feature_cols: Sequence[str], id_col: str = KEY, label_col: str = LABEL) -> DataFrame:
-    """Keys of both members of every Tomek link: mutual nearest neighbours with different labels."""
-    nn1 = knn(df, 1, feature_cols, id_col).select("q", "c")
-    labels = df.select(F.col(id_col).alias("_k"), F.col(label_col).alias("_y"))
-    a, b = nn1.alias("a"), nn1.alias("b")
-    mutual = a.join(b, (F.col("a.q") == F.col("b.c")) & (F.col("a.c") == F.col("b.q"))).select(
-        F.col("a.q").alias("x"), F.col("a.c").alias("y"))
-    lx = labels.select(F.col("_k").alias("x"), F.col("_y").alias("_yx"))
-    ly = labels.select(F.col("_k").alias("y"), F.col("_y").alias("_yy"))
-    links = mutual.join(lx, "x").join(ly, "y").where(F.col("_yx") != F.col("_yy"))
-    return links.select(F.col("x").alias(id_col)).distinct()
+
+def training_split(df: DataFrame, seed: int = SEED, test_size: float = 0.2, medians: DataFrame | None = None) -> DataFrame:
+    """Prepared rows with ``is_test`` (stratified on the target)."""
+    return stratified_split(prepare_features(df, medians), TARGET_COLUMN, [KEY], test_size, seed)
+
+
+def _hash(seed: int, key: str) -> Column:
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key))), 1, 15), 16, 10).cast("long")
+
+
+def fit_sample(df: DataFrame, max_rows: int = MAX_FIT_ROWS, seed: int = SEED, id_col: str = KEY, label_col: str = LABEL) -> DataFrame:
+    """At most ``max_rows`` labelled rows to fit on: of each label its share of them (rounded down, one at
+    least), those of least md5(seed + 1, key).  A key that repeats gets a suffix, so keys are unique."""
+    labelled = df.where(F.col(label_col).isNotNull()).withColumn("_h", _hash(seed + 1, id_col))
+    counts = {r[label_col]: r["n"] for r in labelled.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    total = sum(counts.values())
+    if total > max_rows:
+        places = [(y, max(1, n * max_rows // total) - 1) for y, n in counts.items()]
+        targets = df.sparkSession.createDataFrame(places, f"{label_col} double, pos long")
+        limit = order_statistics(labelled.select(label_col, "_h"), [label_col], "_h", targets).select(label_col, F.col("value").alias("_limit"))
+        labelled = labelled.join(F.broadcast(limit), label_col).where(F.col("_h") <= F.col("_limit")).drop("_limit")
+    again = F.row_number().over(Window.partitionBy(id_col).orderBy(*sorted(c for c in df.columns if c != id_col)))
+    out = labelled.withColumn("_n", again)
+    return out.withColumn(id_col, F.when(F.col("_n") > 1, F.concat(F.col(id_col), F.lit("#"), F.col("_n").cast("string"))).otherwise(F.col(id_col))).select(*df.columns)
 
 
 # ---------------------------------------------------------------- SMOTE
 def smote(df: DataFrame, feature_cols: Sequence[str], k: int = SMOTE_K, seed: int = SEED, id_col: str = KEY,
           label_col: str = LABEL) -> DataFrame:
-    """Oversample the minority label to parity: each minority row i makes m_i synthetic rows
-    x + u (nn - x) toward one of its k exact nearest minority neighbours; m_i is n_new // n_min
-    plus one for the n_new % n_min rows with the smallest md5 rank.  Originals are kept."""
+    """Oversample the minority label to parity: synthetic row j starts from minority row j modulo their
+    number (in md5 order) and moves by u toward one of its k nearest minority neighbours.  Originals are
+    kept.  The new rows come from a range, so few minority rows against many others cost no large row."""
     cols = list(feature_cols)
+    spark = df.sparkSession
     counts = {r[label_col]: r["n"] for r in df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
-        return df
+        return df.select(id_col, *cols, label_col)
     minority = min(counts, key=lambda c: (counts[c], c))
-    majority = max(counts, key=lambda c: (counts[c], -c))
-    n_min, n_new = counts[minority], counts[majority] - counts[minority]
-    if n_new <= 0:
-        return df
+    n_min, n_new = counts[minority], max(counts.values()) - counts[minority]
     mins = df.where(F.col(label_col) == F.lit(minority))
-    per, extra = divmod(n_new, n_min)
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col))), 1, 15), 16, 10).cast("long")
-    keyed = mins.withColumn("_h", h)
-    if extra > 0:
-        thr = order_statistics(keyed.select(F.lit(1).alias("_g"), "_h"), ["_g"], "_h",
-                               df.sparkSession.createDataFrame([(1, extra - 1)], "_g int, pos long"))
-        keyed = keyed.crossJoin(F.broadcast(thr.select(F.col("value").alias("_thr"))))
-        m = F.lit(per) + F.when(F.col("_h") <= F.col("_thr"), F.lit(1)).otherwise(F.lit(0))
-    else:
-        m = F.lit(per)
-    keyed = keyed.withColumn("_m", m).where(F.col("_m") > 0)
-    neigh = knn(mins, k, cols, id_col)
-    lists = neigh.groupBy(F.col("q").alias(id_col)).agg(
-        F.sort_array(F.collect_list(F.struct("nn_rank", "c"))).alias("_nn"))
-    gen = keyed.join(lists, id_col).select(id_col, "_nn", *cols,
-                                           F.explode(F.sequence(F.lit(1), F.col("_m"))).alias("_j"))
+    placed = mins.select(id_col, *cols, (F.row_number().over(Window.orderBy(_hash(seed, id_col), id_col)) - 1).alias("_at"))  # a fit sample: bounded
+    lists = knn(mins, k, cols, id_col).groupBy(F.col("q").alias(id_col)).agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("nn_rank", "c"))), lambda x: x["c"]).alias("_nn"))
+    base = spark.range(n_new).select((F.col("id") % n_min).cast("int").alias("_at"), F.floor(F.col("id") / n_min).alias("_j"))
+    gen = base.join(placed, "_at").join(lists, id_col)
     pick = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("_j")), F.size("_nn")).cast("int")
-    gen = gen.withColumn("_c", F.element_at("_nn", pick + 1)["c"]) \
-        .withColumn("_u", uniform(seed, F.concat(F.col(id_col), F.lit(":"), F.col("_j").cast("string"))))
-    nb = mins.select(F.col(id_col).alias("_c"), *[F.col(c).alias(f"_n_{c}") for c in cols])
-    syn = gen.hint("merge").join(nb, "_c").select(
+    gen = gen.withColumns({"_c": F.col("_nn")[pick], "_u": uniform(seed, F.concat(F.col(id_col), F.lit(":"), F.col("_j").cast("string")))})
+    near = mins.select(F.col(id_col).alias("_c"), *[F.col(c).alias(f"_n_{c}") for c in cols])
+    new = gen.join(near, "_c").select(
         F.concat(F.col(id_col), F.lit(":s"), F.col("_j").cast("string")).alias(id_col),
-        *[(F.col(c) + F.col("_u") * (F.col(f"_n_{c}") - F.col(c))).alias(c) for c in cols],
-        F.lit(minority).cast("double").alias(label_col))
-    return df.select(id_col, *cols, label_col).unionByName(syn)
+        *[(F.col(c) + F.col("_u") * (F.col(f"_n_{c}") - F.col(c))).alias(c) for c in cols], F.lit(minority).cast("double").alias(label_col))
+    return df.select(id_col, *cols, label_col).unionByName(new)
 
 
-def smote_tomek(df: DataFrame, feature_cols: Sequence[str], k: int = SMOTE_K, seed: int = SEED,
-                id_col: str = KEY, label_col: str = LABEL) -> DataFrame:
-    res = cut_lineage(smote(df, feature_cols, k, seed, id_col, label_col))
-    links = tomek_links(res, feature_cols, id_col, label_col)
-    return res.join(links, id_col, "left_anti")
+def smote_tomek(df: DataFrame, feature_cols: Sequence[str], k: int = SMOTE_K, seed: int = SEED, id_col: str = KEY,
+                label_col: str = LABEL) -> DataFrame:
+    more = cut_lineage(smote(df, feature_cols, k, seed, id_col, label_col))
+    return more.join(tomek_links(more, feature_cols, id_col, label_col), id_col, "left_anti")
 
 
 # ---------------------------------------------------------------- tuning and stacking
-def sample_params(trials: int = TUNE_TRIALS, seed: int = SEED, trees=(100, 500), depth=(4, 10),
-                  lr=(0.01, 0.2), regularised: bool = True) -> list[dict]:
-    """Seeded random search space: trees, depth, log-uniform step size; the regularised learner
-    also samples min info gain (log-uniform) in place of an l2 leaf penalty."""
+def sample_params(trials: int = TUNE_TRIALS, seed: int = SEED, trees=(100, 500), depth=(4, 10), lr=(0.01, 0.2),
+                  l2=(0.01, 10.0), regularised: bool = True) -> list[dict]:
+    """Seeded random search space: trees, depth, log-uniform step and, for the regularised learner,
+    log-uniform L2 on the leaves (1 for the other)."""
     rng = np.random.default_rng(seed)
+    log_uniform = lambda lo, hi: float(math.exp(rng.uniform(math.log(lo), math.log(hi))))
     out = []
     for _ in range(trials):
-        p = {"maxIter": int(rng.integers(trees[0], trees[1] + 1)), "maxDepth": int(rng.integers(depth[0], depth[1] + 1)),
-             "stepSize": float(math.exp(rng.uniform(math.log(lr[0]), math.log(lr[1]))))}
-        if regularised:
-            p["minInfoGain"] = float(math.exp(rng.uniform(math.log(1e-4), math.log(1e-1))))
-        out.append(p)
+        p = {"trees": int(rng.integers(trees[0], trees[1] + 1)), "depth": int(rng.integers(depth[0], depth[1] + 1)), "step": log_uniform(*lr)}
+        out.append(p | {"l2": log_uniform(*l2) if regularised else 1.0})
     return out
 
 
-def _assembled(df: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
+def _arrays(df: DataFrame, feature_cols: Sequence[str], folds: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bounded fit rows as arrays in key order, with their fold."""
+    fold = F.pmod(F.xxhash64(F.col(KEY), F.lit(seed)), F.lit(folds)).alias("_fold")
+    rows = df.select(KEY, *feature_cols, LABEL, fold).toPandas().sort_values(KEY)
+    return rows[list(feature_cols)].to_numpy(np.float64), rows[LABEL].to_numpy(np.float64), rows["_fold"].to_numpy(np.int64)
+
+
+def tune(df: DataFrame, feature_cols: Sequence[str], spaces: Sequence[list[dict]], folds: int = TUNE_FOLDS, seed: int = SEED) -> list[dict]:
+    """For each space its candidate of best mean accuracy over the folds (first of equal ones), with
+    ``cv_accuracy``.  All candidates and folds are fitted side by side."""
+    x, y, fold = _arrays(df, feature_cols, folds, seed)
+    flat = [p for space in spaces for p in space]
+    grid = [p | {"task": t, "fold": f} for t, p in enumerate(flat) for f in range(folds)]
+    scores = boosting.fit_grid(df.sparkSession, x, y, fold, grid).groupBy("task").agg(F.avg("accuracy").alias("a")).collect()
+    accuracy = {r["task"]: r["a"] for r in scores}
+    out, at = [], 0
+    for space in spaces:
+        best = max(range(at, at + len(space)), key=lambda t: (accuracy[t], -t))
+        out.append(flat[best] | {"cv_accuracy": float(accuracy[best])})
+        at += len(space)
+    return out
 
-    return VectorAssembler(inputCols=list(feature_cols), outputCol="features").transform(df)
 
+class _Stage(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """A fitted stage whose numbers are one text parameter, so that ``PipelineModel`` can save it."""
 
-def tune(df: DataFrame, feature_cols: Sequence[str], space: list[dict], folds: int = TUNE_FOLDS, seed: int = SEED,
-         parallelism: int = 2) -> tuple[dict, float]:
-    """CrossValidator over the sampled parameter maps (accuracy); returns (best params, score)."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator
+    fitted = Param(Params._dummy(), "fitted", "the fitted numbers as text", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "output column", TypeConverters.toString)
 
-    gbt = GBTClassifier(featuresCol="features", labelCol=LABEL, seed=seed)
-    maps = [{getattr(gbt, k): v for k, v in p.items()} for p in space]
-    ev = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="accuracy")
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=ev, numFolds=folds, seed=seed,
-                        parallelism=parallelism)
-    model = cv.fit(_assembled(df, feature_cols))
-    best = int(np.argmax(model.avgMetrics))
-    return space[best], float(model.avgMetrics[best])
+    @keyword_only
+    def __init__(self, fitted: str = "", outputCol: str = ""):
+        super().__init__()
+        self._set(**self._input_kwargs)
 
 
-@dataclass
-class StackModel:
-    base: list            # fitted GBT models (refit on all rows)
-    meta: object          # RandomForestClassificationModel on the base probabilities
-    feature_cols: list
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-
-        x = _assembled(df, self.feature_cols)
-        for i, m in enumerate(self.base):
-            x = m.transform(x).withColumn(f"_p{i}", vector_to_array("probability")[1]) \
-                .drop("rawPrediction", "probability", "prediction")
-        from pyspark.ml.feature import VectorAssembler
-
-        x = VectorAssembler(inputCols=[f"_p{i}" for i in range(len(self.base))], outputCol="_meta").transform(x.drop("features"))
-        out = self.meta.transform(x.withColumnRenamed("_meta", "features"))
-        return out.withColumn("p_true", vector_to_array("probability")[1])
-
-    def save(self, path: str) -> None:
-        for i, m in enumerate(self.base):
-            m.write().overwrite().save(os.path.join(path, f"base_{i}"))
-        self.meta.write().overwrite().save(os.path.join(path, "meta"))
-
-    @staticmethod
-    def load(path: str, feature_cols: Sequence[str], n_base: int = 2) -> "StackModel":
-        from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
-
-        base = [GBTClassificationModel.load(os.path.join(path, f"base_{i}")) for i in range(n_base)]
-        return StackModel(base, RandomForestClassificationModel.load(os.path.join(path, "meta")), list(feature_cols))
-
-
-def train_stack(df: DataFrame, feature_cols: Sequence[str], params: list[dict], folds: int = STACK_FOLDS,
-                seed: int = SEED, meta_trees: int = META_TREES) -> StackModel:
-    """Out-of-fold base probabilities (fold = pmod(xxhash64(key, seed), folds)) -> random-forest
-    meta-learner; base learners refit on all rows."""
-    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-    from pyspark.ml.functions import vector_to_array
-
-    x = _assembled(df.withColumn("_fold", F.pmod(F.xxhash64(F.col(KEY), F.lit(seed)), F.lit(folds))), feature_cols)
-    x = cut_lineage(x)
-    oof = None
-    for f in range(folds):
-        tr, te = x.where(F.col("_fold") != f), x.where(F.col("_fold") == f)
-        cols = te.select(KEY, LABEL)
-        for i, p in enumerate(params):
-            m = GBTClassifier(featuresCol="features", labelCol=LABEL, seed=seed, **p).fit(tr)
-            cols = cols.join(m.transform(te).select(KEY, vector_to_array("probability")[1].alias(f"_p{i}")), KEY)
-        oof = cols if oof is None else oof.unionByName(cols)
-    from pyspark.ml.feature import VectorAssembler
-
-    meta_in = VectorAssembler(inputCols=[f"_p{i}" for i in range(len(params))], outputCol="features").transform(oof)
-    meta = RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=meta_trees, seed=seed).fit(meta_in)
-    base = [GBTClassifier(featuresCol="features", labelCol=LABEL, seed=seed, **p).fit(x) for p in params]
-    return StackModel(base, meta, list(feature_cols))
-
-
-def evaluate(model: StackModel, test: DataFrame) -> DataFrame:
+class FeatureStage(_Stage):
+    """Approach rows -> ``f0`` ... : transform, impute with the saved medians, scale, encode."""
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        fitted = json.loads(self.getOrDefault("fitted"))
+        return encode_features(prepare_for_prediction(dataset, fitted["medians"]), fitted)
+
+
+class BoostedStage(_Stage):
+    """P(hazardous) of one boosted learner, batch by batch."""
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        model = boosting.unpacked(self.getOrDefault("fitted"))
+        held = dataset.sparkSession.sparkContext.broadcast(model)  # bounded by trees x 2**depth
+
+        @F.pandas_udf("double")
+        def p(*cols: pd.Series) -> pd.Series:
+            return pd.Series(boosting.probability(held.value, np.stack([c.to_numpy(np.float64) for c in cols], 1)))
+
+        return dataset.withColumn(self.getOrDefault("outputCol"), p(*model_features()))
+
+
+def train_stack(df: DataFrame, feature_cols: Sequence[str], params: Sequence[dict], features: dict, folds: int = STACK_FOLDS,
+                seed: int = SEED, meta_trees: int = META_TREES) -> PipelineModel:
+    """Out-of-fold probabilities of each learner -> random forest; learners refitted on all rows."""
+    spark = df.sparkSession
+    x, y, fold = _arrays(df, feature_cols, folds, seed)
+    grid = [p | {"task": t, "fold": f} for t, p in enumerate(params) for f in range(-1, folds)]
+    done = boosting.fit_grid(spark, x, y, fold, grid).toPandas()  # probabilities of the bounded fit rows, and two models
+    p = np.zeros((len(y), len(params)))
+    for r in done[done["fold"] >= 0].itertuples(index=False):
+        p[np.asarray(r.rows, np.int64), r.task] = r.p
+    cols = [f"p{t}" for t in range(len(params))]
+    stacked = spark.createDataFrame(pd.DataFrame(p, columns=cols).assign(**{LABEL: y}))
+    join = VectorAssembler(inputCols=cols, outputCol="features")
+    meta = RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=meta_trees, seed=seed).fit(join.transform(stacked))
+    whole = done[done["fold"] < 0].set_index("task")["model"]
+    learners = [BoostedStage(fitted=whole[t], outputCol=c) for t, c in enumerate(cols)]
+    return PipelineModel([FeatureStage(fitted=json.dumps(features), outputCol="f0"), *learners, join, meta])
+
+
+def evaluate(model: PipelineModel, test: DataFrame) -> DataFrame:
     """Held-out predictions: (row_key, actual, model_prediction, p_true)."""
     out = model.transform(test)
-    return out.select(KEY, (F.col(LABEL) == 1.0).alias("actual"), (F.col("prediction") == 1.0).alias("model_prediction"),
-                      "p_true")
+    return out.select(KEY, F.col(TARGET_COLUMN).alias("actual"), (F.col("prediction") == 1.0).alias("model_prediction"),
+                      vector_to_array("probability")[1].alias("p_true"))
 
 
 # ---------------------------------------------------------------- prediction
-def predict_batch(df: DataFrame, model: StackModel, pre: Preprocessor, model_date: str,
-                  medians: DataFrame | None = None) -> DataFrame:
-    """prediction_table rows for a batch of approaches (id as text, as the reference stores it).
-    ``medians=None`` imputes with the batch's own medians, as the reference's prediction step."""
-    prepared = prepare_features(df, medians)
-    scored = model.transform(pre.transform(prepared))
-    actual = F.col(TARGET_COLUMN) if TARGET_COLUMN in scored.columns else F.lit(None).cast("boolean")
+def predict_batch(df: DataFrame, model: PipelineModel, model_date: str) -> DataFrame:
+    """prediction_table rows of a batch of approaches (id as text, as the reference stores it)."""
+    scored = model.transform(df)
+    p = vector_to_array("probability")[1]
+    actual = F.col(TARGET_COLUMN) if TARGET_COLUMN in df.columns else F.lit(None).cast("boolean")
     return scored.select(
-        F.col("id").cast("string").alias("id"), actual.alias("actual"),
-        (F.col("prediction") == 1.0).alias("model_prediction"),
-        (F.lit(1.0) - F.col("p_true")).alias("probability_being_falsely_hazardous"),
-        F.col("p_true").alias("probability_being_truely_hazardous"),
+        F.col("id").cast("string").alias("id"), actual.alias("actual"), (F.col("prediction") == 1.0).alias("model_prediction"),
+        (F.lit(1.0) - p).alias("probability_being_falsely_hazardous"), p.alias("probability_being_truely_hazardous"),
         F.lit(model_date).alias("trained_model_date_used"))
 
 
-def predict_records(spark, records: list[dict], model: StackModel, pre: Preprocessor, model_date: str,
-                    medians: DataFrame | None = None) -> DataFrame:
-    from skyrisk.schemas import APPROACH
-
+def predict_records(spark: SparkSession, records: list[dict], model: PipelineModel, model_date: str) -> DataFrame:
     names = [f.name for f in APPROACH.fields]
     rows = [tuple(r.get(n) for n in names) for r in records]
-    return predict_batch(spark.createDataFrame(rows, APPROACH), model, pre, model_date, medians)
+    return predict_batch(spark.createDataFrame(rows, APPROACH), model, model_date)
 
 
 # ---------------------------------------------------------------- end-to-end training
 @dataclass
 class TrainingResult:
-    model: StackModel
-    preprocessor: Preprocessor
-    medians: DataFrame
+    model: PipelineModel
     metrics: DataFrame
     predictions: DataFrame
-    params: list
+    params: list[dict]
+
 
+@dataclass
+class FitInputs:
+    rows: DataFrame      # resampled fit rows
+    features: dict       # fitted numbers of the feature stage
+    test_keys: DataFrame  # keys of held-out rows
 
-def job_training(approaches: DataFrame, trials: int = TUNE_TRIALS, folds: int = TUNE_FOLDS,
-                 stack_folds: int = STACK_FOLDS, meta_trees: int = META_TREES, seed: int = SEED,
-                 trees=(100, 500), depth=(4, 10), resample: bool = True) -> TrainingResult:
-    from skyrisk.operators.metrics import binary_metrics
 
+def training_inputs(approaches: DataFrame, seed: int = SEED, max_fit_rows: int = MAX_FIT_ROWS, resample: bool = True) -> FitInputs:
     medians = cut_lineage(fit_medians(engineered_features(approaches, drop=False), NUMERIC_COLUMNS))
-    split = cut_lineage(training_split(approaches, seed))
-    train, test = split.where(~F.col("is_test")), split.where(F.col("is_test"))
-    pre = fit_preprocessor(train)
-    feats = model_features()
-    tr = pre.transform(train)
-    tr = smote_tomek(tr, feats, seed=seed) if resample else tr.select(KEY, *feats, LABEL)
-    tr = cut_lineage(tr)
-    pa, _ = tune(tr, feats, sample_params(trials, seed, trees, depth, regularised=True), folds, seed)
-    pb, _ = tune(tr, feats, sample_params(trials, seed + 1, trees, depth, regularised=False), folds, seed)
-    model = train_stack(tr, feats, [pa, pb], stack_folds, seed, meta_trees)
-    preds = evaluate(model, pre.transform(test))
-    return TrainingResult(model, pre, medians, binary_metrics(preds), preds, [pa, pb])
+    split = cut_lineage(training_split(approaches, seed, medians=medians))
+    train = split.where(~F.col("is_test"))
+    features = fit_features(train, medians)
+    rows = cut_lineage(fit_sample(encode_features(train, features), max_fit_rows, seed))
+    names = model_features()
+    rows = cut_lineage(smote_tomek(rows, names, seed=seed)) if resample else rows.select(KEY, *names, LABEL)
+    return FitInputs(rows, features, split.where(F.col("is_test")).select(KEY).distinct())
+
+
+def job_training(approaches: DataFrame, params: Sequence[dict] | None = None, trials: int = TUNE_TRIALS, folds: int = TUNE_FOLDS,
+                 stack_folds: int = STACK_FOLDS, meta_trees: int = META_TREES, seed: int = SEED, max_fit_rows: int = MAX_FIT_ROWS) -> TrainingResult:
+    """Split, resample, tune both learners (unless ``params`` are given), stack, evaluate on all
+    held-out rows."""
+    got = training_inputs(approaches, seed, max_fit_rows)
+    names = model_features()
+    if params is None:
+        params = tune(got.rows, names, [sample_params(trials, seed), sample_params(trials, seed + 1, regularised=False)], folds, seed)
+    model = train_stack(got.rows, names, params, got.features, stack_folds, seed, meta_trees)
+    test = approaches.withColumn(KEY, row_key()).join(got.test_keys, KEY, "left_semi").drop(KEY)
+    predictions = cut_lineage(evaluate(model, test))
+    return TrainingResult(model, binary_metrics(predictions), predictions, list(params))

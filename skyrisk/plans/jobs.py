@@ -18,9 +18,11 @@ from skyrisk.operators.alerts import weekly_alert
 from skyrisk.operators.drift import drift_report
 from skyrisk.operators.explore import baseline_split
 from skyrisk.operators.features import diameter_spread, drop_columns
+from skyrisk.operators.ml import job_training, predict_batch
 from skyrisk.operators.risk import risk_table
 from skyrisk.schemas import DROP_COLUMNS, MANUAL_WEIGHTS
-from skyrisk.sources.ingest import append_both, append_table, flatten_feed, read_feed
+from skyrisk.sources.ingest import append_both, append_table, feed_windows, flatten_feed, read_feed
+from skyrisk.sources.registry import load_best_model, log_training_run, newest_run, save_pipeline
 
 
 @dataclass
@@ -32,6 +34,8 @@ class Paths:
     drift: str | None = None
     training_logs: str | None = None
     approaches_copy: str | None = None
+    artifacts: str | None = None
+    models: str | None = None
 
 
 def drift_inputs(approaches: DataFrame, logs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,7 +91,35 @@ def job_weekly_alert(spark: SparkSession, paths: Paths, recipients: DataFrame, r
     return weekly_alert(approaches, risk, recipients, run_date or dt.date.today())
 
 
-def job_ingest_week(spark: SparkSession, feed_dir: str, paths: Paths, multi_line: bool = True) -> int:
-    """Landed feed pages -> flat rows -> appended to both fact tables."""
+def landed_week(spark: SparkSession, feed_dir: str, start, today, multi_line: bool = False) -> DataFrame:
+    """A2 -> A1: flat rows of the landed feed whose date lies in one of the seven-day windows from
+    ``start`` to ``today`` (a row for each week, so the windows are broadcast)."""
     rows = flatten_feed(read_feed(spark, feed_dir, multi_line))
-    return append_both(rows, paths.approaches, paths.approaches_copy or paths.approaches + "_copy")
+    windows = feed_windows(spark, start, today)
+    inside = F.to_date("close_approach_date").between(F.col("window_start"), F.col("window_end"))
+    return rows.join(F.broadcast(windows), inside).select(*rows.columns)
+
+
+def job_ingest_week(spark: SparkSession, feed_dir: str, paths: Paths, start, today, multi_line: bool = False) -> int:
+    """Windows -> landed feed pages -> flat rows -> appended to both fact tables."""
+    return append_both(landed_week(spark, feed_dir, start, today, multi_line), paths.approaches, paths.approaches_copy or paths.approaches + "_copy")
+
+
+def job_train(spark: SparkSession, paths: Paths, name: str, trained_at: dt.datetime, run_id: str, **budget) -> DataFrame:
+    """J3 with its storage: train on the approaches table, save the pipeline, append its registry row and
+    the training log row; returns the log."""
+    done = job_training(spark.read.parquet(paths.approaches), **budget)
+    uri = f"{paths.models}/{name}-{run_id}"
+    save_pipeline(done.model, uri, paths.artifacts, name, trained_at)
+    m = done.metrics.first()
+    log_training_run(spark, paths.training_logs, name, str(trained_at), m.accuracy, m.precision, m.recall, m.f1_score, run_id, uri)
+    return spark.read.parquet(paths.training_logs)
+
+
+def job_predict(spark: SparkSession, feed_dir: str, paths: Paths, start, today, multi_line: bool = False) -> DataFrame:
+    """Windows -> landed feed -> prediction with the newest model -> append; the model date is the
+    newest log row's.  Returns the rows of that model date."""
+    logs = spark.read.parquet(paths.training_logs)
+    date = newest_run(logs)["training_date"]
+    append_table(predict_batch(landed_week(spark, feed_dir, start, today, multi_line), load_best_model(logs), date), paths.predictions)
+    return spark.read.parquet(paths.predictions).where(F.col("trained_model_date_used") == date)

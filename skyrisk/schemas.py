@@ -34,8 +34,6 @@ CATEGORICAL_COLUMNS = ["is_sentry_object"]
 NUMERIC_COLUMNS = ["absolute_magnitude_h", "epoch_date_close_approach", "relative_velocity_kps",
                    "miss_distance_km", "diameter_range", "est_mass_kg", "est_kinetic_energy_j",
                    "inv_miss_dist", "impact_risk_index"]
-RISK_COLUMNS = ["id", "davg_m", "mass_kg", "impact_energy_j", "Enorm", "Rmoid_norm", "Phazardous",
-                "RiskScore_raw", "RiskScorenorm", "RiskCategory"]
 ORBIT_MISS_MIN_KM = 6599.0
 ORBIT_MISS_MAX_KM = 74794677.0
 ORBIT_RADIUS_MIN = 3.0
@@ -58,7 +56,6 @@ ALERT_PAD = "—"
 NAME_SHORTEN_AT = 20
 NAME_SHORT_KEEP = 18
 NEW_ASTEROID_EVENT = "new_asteroid"
-DRIFT_STATUSES = ("High Drift", "Moderate Drift", "No Drift", "High Drift (chi2)")
 # training defaults
 SPLIT_TEST_SIZE = 0.2
 SEED = 42

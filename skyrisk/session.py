@@ -36,14 +36,19 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The reliable checkpoint folder.  Uses the context's folder when one is set (the cluster's
-    ``spark.checkpoint.dir``); only when none is set (local tests) it sets one once.  Never calls
+    ``spark.checkpoint.dir``); only when none is set it sets a local one once, on a local master, and
+    raises on any other.  Never calls
     ``setCheckpointDir`` again: Spark appends a fresh sub-folder on every call."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="skyrisk-ckpt-"))
+    if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="skyrisk-ckpt-")
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 

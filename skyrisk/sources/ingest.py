@@ -2,20 +2,23 @@
 
 Sinks write Parquet (the table format on the cluster's shared storage).  ``append_table``
 never de-duplicates unless asked (the reference appends blindly); with ``dedupe_keys`` it
-left-anti joins the batch against the keys already stored, which is a shuffle of the batch
-and of the stored key columns only.
+drops repeated keys of the batch and left-anti joins it against the keys already stored, which is a
+shuffle of the batch and of the stored key columns only.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyrisk.schemas import APPROACH_COLUMNS, FEED
+from skyrisk.session import cut_lineage
 
 
 def _to_double_or_zero(c) -> F.Column:
@@ -87,40 +90,40 @@ def csv_snapshot(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's file system has ``path``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _written_rows(batch: DataFrame, paths: Sequence[str]) -> int:
+    """Append ``batch`` to each path; rows are counted on the way of the first write."""
+    if batch.isEmpty():
+        return 0
+    seen = Observation()
+    batch.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(paths[0])
+    for path in paths[1:]:
+        batch.write.mode("append").parquet(path)
+    return seen.get["n"]
+
+
 def append_table(df: DataFrame, path: str, dedupe_keys: Sequence[str] | None = None) -> int:
-    """Append (create if absent).  Empty input writes nothing.  Returns rows appended."""
-    spark = df.sparkSession
+    """Append (create if absent).  Empty input writes nothing.  Returns rows appended.  With
+    ``dedupe_keys`` one row of each key stays, and none whose key is stored (NULL equals NULL)."""
     batch = df
     if dedupe_keys:
-        try:
-            stored = spark.read.parquet(path).select(*dedupe_keys)
-            batch = batch.join(stored.distinct(), list(dedupe_keys), "left_anti")
-        except Exception as exc:  # table not created yet
-            if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc).lower():
-                raise
-    batch = batch.cache()
-    try:
-        n = batch.count()
-        if n == 0:
-            return 0
-        batch.write.mode("append").parquet(path)
-        return n
-    finally:
-        batch.unpersist()
+        batch = batch.dropDuplicates(list(dedupe_keys))
+        if path_exists(df.sparkSession, path):
+            stored = df.sparkSession.read.parquet(path).select(*[F.col(k).alias(f"_stored_{k}") for k in dedupe_keys]).distinct()
+            same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_stored_{k}")) for k in dedupe_keys])
+            batch = batch.join(stored, same, "left_anti")
+        batch = cut_lineage(batch)  # the write must not read the folder it appends to
+    return _written_rows(batch, [path])
 
 
 def append_both(df: DataFrame, path_a: str, path_b: str) -> int:
-    """Same batch appended to two tables (computed once)."""
-    batch = df.cache()
-    try:
-        n = batch.count()
-        if n == 0:
-            return 0
-        batch.write.mode("append").parquet(path_a)
-        batch.write.mode("append").parquet(path_b)
-        return n
-    finally:
-        batch.unpersist()
+    """Same batch appended to two tables: materialised once in the shared folder, so both get the same rows."""
+    return _written_rows(cut_lineage(df), [path_a, path_b])
 
 
 def attach_constants(df: DataFrame, **values) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,10 @@ def latest_artifact(registry: DataFrame, name: str | None = None) -> DataFrame:
 
 
 def save_pipeline(model, path: str, registry_path: str, name: str, created_at: dt.datetime) -> int:
-    """Write the fitted model directory, then append its registry row."""
-    model.write().overwrite().save(path)
+    """Write the fitted ``PipelineModel`` (features with their fitted numbers, learners, stack), then append
+    its registry row."""
     spark = SparkSession.getActiveSession()
+    model.write().overwrite().save(path)
     row = spark.createDataFrame([(name, path, created_at)], ARTIFACT)
     return append_table(row, registry_path)
 
@@ -34,11 +36,12 @@ def log_training_run(spark: SparkSession, path: str, model_name: str, training_d
     return append_table(row, path)
 
 
-def load_best_model(spark: SparkSession, logs: DataFrame):
-    """Newest training log row -> its artifact directory -> ``PipelineModel.load``."""
-    from pyspark.ml import PipelineModel
+def newest_run(logs: DataFrame):
+    """The newest training log row, or None."""
+    return logs.orderBy(F.desc_nulls_last("training_date"), F.desc("model_name")).first()
 
-    newest = logs.orderBy(F.desc_nulls_last("training_date"), F.desc("model_name")).limit(1).collect()
-    if not newest:
-        return None
-    return PipelineModel.load(newest[0]["artifact_uri"])
+
+def load_best_model(logs: DataFrame) -> PipelineModel | None:
+    """Newest training log row -> its artifact directory -> ``PipelineModel.load``."""
+    newest = newest_run(logs)
+    return PipelineModel.load(newest["artifact_uri"]) if newest else None

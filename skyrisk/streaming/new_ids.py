@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from skyrisk.operators.explore import EPOCH, LATEST_COLUMNS
-from skyrisk.schemas import NEW_ASTEROID_EVENT
-from skyrisk.sources.ingest import flatten_feed
-from skyrisk.schemas import FEED
+from skyrisk.operators.explore import EPOCH, LATEST_COLUMNS, latest_approach
+from skyrisk.schemas import FEED, NEW_ASTEROID_EVENT
+from skyrisk.session import cut_lineage
+from skyrisk.sources.ingest import flatten_feed, path_exists
 
 
 def _newest(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -128,30 +128,20 @@ def stream_feed_ingest(spark: SparkSession, in_dir: str, path_a: str, path_b: st
     q.awaitTermination()
 
 
-def detect_new_ids_batch(batch: DataFrame, batch_id: int, events_path: str, known_path: str) -> int:
+def detect_new_ids_batch(batch: DataFrame, batch_id: int, events_path: str, known_path: str) -> None:
     """One micro-batch of the table-backed detector: newest row per id in the batch (partial
     aggregate, JVM side), anti-joined with the ids announced by earlier batches, written to
     ``batch=<id>`` folders of the event and known-id tables.  A retried batch overwrites its own
     folders and ignores them when reading the known set, so output is exactly once."""
-    from skyrisk.operators.explore import latest_approach
-
     spark = batch.sparkSession
     newest = latest_approach(batch.select(*LATEST_COLUMNS), LATEST_COLUMNS)
-    try:
-        known = spark.read.parquet(known_path).where(F.col("batch") < F.lit(batch_id)).select("id")
+    fresh = newest
+    if path_exists(spark, known_path):
+        known = spark.read.schema("id long, batch long").parquet(known_path).where(F.col("batch") < F.lit(batch_id)).select("id")
         fresh = newest.join(known, "id", "left_anti")
-    except Exception as exc:  # no batch written yet
-        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc).lower() \
-                and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-            raise
-        fresh = newest
-    fresh = fresh.persist()
-    try:
-        fresh.write.mode("overwrite").parquet(f"{events_path}/batch={batch_id}")
-        fresh.select("id").write.mode("overwrite").parquet(f"{known_path}/batch={batch_id}")
-        return fresh.count()
-    finally:
-        fresh.unpersist()
+    fresh = cut_lineage(fresh)  # both tables get the same rows
+    fresh.write.mode("overwrite").parquet(f"{events_path}/batch={batch_id}")
+    fresh.select("id").write.mode("overwrite").parquet(f"{known_path}/batch={batch_id}")
 
 
 def run_new_ids_table(stream: DataFrame, events_path: str, known_path: str, checkpoint: str,

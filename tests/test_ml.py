@@ -1,11 +1,24 @@
 """ML operators on small fixtures: exact kNN against brute force, SMOTE parity and convexity,
-Tomek links, split sizes per label."""
+Tomek links, split sizes per label, the bounded fit sample, training, persistence and prediction."""
+
+import datetime as dt
+import json
+import subprocess
+import sys
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF0001
+from skyrisk.catalog import appr
+from skyrisk.operators import boosting
+from skyrisk.operators import ml as M
+from skyrisk.operators import neighbors
+from skyrisk.operators.features import stratified_split
 from skyrisk.operators.ml import knn, smote, tomek_links
+from skyrisk.plans.jobs import Paths, job_train
+from skyrisk.sources.registry import load_best_model
 
 
 @pytest.fixture(scope="module")
@@ -16,15 +29,23 @@ def points(spark):
     return X, spark.createDataFrame(rows, "row_key string, a double, b double, c double, label double")
 
 
-@pytest.mark.parametrize("directions", ["pca", "random"])
-def test_knn_exact(points, directions):
+@pytest.mark.parametrize("block", [20_000, 40])
+def test_knn_exact(points, block, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", block)
     X, df = points
-    got = knn(df, 4, ["a", "b", "c"], projections=2, window=4, directions=directions).toPandas()
+    got = knn(df, 4, ["a", "b", "c"]).toPandas()
     D = ((X[:, None, :] - X[None, :, :]) ** 2).sum(-1)
     np.fill_diagonal(D, np.inf)
     for i in range(len(X)):
-        g = np.sort(got[got.q == f"k{i}"].d2.values)
-        assert np.allclose(g, np.sort(D[i])[:4], rtol=1e-9, atol=1e-12), i
+        g = got[got.q == f"k{i}"].sort_values("nn_rank")
+        want = sorted((d, f"k{j}") for j, d in enumerate(D[i]) if j != i)[:4]
+        assert np.allclose(g.d2.values, [d for d, _ in want], rtol=1e-9, atol=1e-12), i
+
+
+def test_knn_ties_go_to_the_smallest_key(spark):
+    df = spark.createDataFrame([(f"p{i:03d}", 1.0) for i in range(40)], "row_key string, x double").repartition(7)
+    got = {r.q: r.c for r in knn(df, 1, ["x"]).collect()}
+    assert got == {f"p{i:03d}": "p000" if i else "p001" for i in range(40)}
 
 
 def test_smote_parity_and_convexity(points):
@@ -46,10 +67,105 @@ def test_tomek_links_are_mutual_and_cross_label(spark):
 
 
 def test_stratified_split_sizes(spark):
-    from skyrisk.operators.features import stratified_split
-
     df = spark.createDataFrame([(i, i % 5 == 0) for i in range(503)], "k long, y boolean")
     out = stratified_split(df, "y", ["k"], 0.2, 42)
     got = {(r.y, r.is_test): r["count"] for r in out.groupBy("y", "is_test").count().collect()}
     n_true, n_false = 101, 402
     assert got[(True, True)] == int(np.ceil(0.2 * n_true)) and got[(False, True)] == int(np.ceil(0.2 * n_false))
+
+
+def test_rows_without_a_label_are_split_too(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else True) for i in range(100)], "k long, y boolean")
+    got = {(r.y, r.is_test): r["count"] for r in stratified_split(df, "y", ["k"], 0.2, 42).groupBy("y", "is_test").count().collect()}
+    assert got == {(None, True): 10, (None, False): 40, (True, True): 10, (True, False): 40}
+
+
+def test_two_value_keys_are_not_shuffled_on(spark):
+    df = spark.range(1000).selectExpr("id AS k", "id % 7 = 0 AS y")
+    plan = stratified_split(df, "y", ["k"])._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    top = next(x for x in plan if "Join" in x)  # of the rows with the thresholds
+    assert "LeftOuter" in top and "rightHint=(strategy=broadcast)" in top
+
+
+def test_fit_sample_keeps_shares_and_unique_keys(spark):
+    df = spark.createDataFrame([(f"k{i % 900}", float(i % 10 == 0), float(i)) for i in range(1000)], "row_key string, label double, f0 double")
+    few = M.fit_sample(df, 200)
+    n = {r.label: r["count"] for r in few.groupBy("label").count().collect()}
+    assert 18 <= n[1.0] <= 24 and 175 <= n[0.0] <= 200  # a key that repeats ties with itself
+    every = M.fit_sample(df, 10_000)
+    assert every.count() == 1000 and every.select("row_key").distinct().count() == 1000
+
+
+def test_smote_with_few_minority_rows(spark):
+    rows = [(f"m{i}", float(i), 1.0) for i in range(3)] + [(f"z{i}", 100.0 + i, 0.0) for i in range(500)]
+    out = smote(spark.createDataFrame(rows, "row_key string, a double, label double"), ["a"])
+    assert {r.label: r["count"] for r in out.groupBy("label").count().collect()} == {0.0: 500, 1.0: 500}
+    assert out.select("row_key").distinct().count() == 1000
+
+
+def test_boosted_trees_learn_and_pack():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(2000, 4))
+    y = (x[:, 0] * x[:, 1] + 0.5 * x[:, 2] > 0).astype(float)
+    model = boosting.fit_trees(x[:1500], y[:1500], 80, 5, 0.15, 1.0)
+    p = boosting.probability(model, x[1500:])
+    assert ((p >= 0.5) == (y[1500:] == 1)).mean() > 0.9
+    assert np.allclose(p, boosting.probability(boosting.unpacked(boosting.packed(model)), x[1500:]), rtol=1e-12)
+    smooth = boosting.probability(boosting.fit_trees(x[:1500], y[:1500], 80, 5, 0.15, 1000.0), x[1500:])
+    assert np.abs(smooth - 0.5).mean() < np.abs(p - 0.5).mean()  # the penalty shrinks leaves
+
+
+SMALL = [{"trees": 20, "depth": 4, "step": 0.2, "l2": 1.0}, {"trees": 10, "depth": 3, "step": 0.3, "l2": 1.0}]
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    from skyrisk.session import scratch_path
+
+    root = scratch_path(spark, f"ml-test-{np.random.default_rng().integers(1 << 40)}")
+    paths = Paths(approaches=f"{root}/approaches", training_logs=f"{root}/logs", artifacts=f"{root}/artifacts", models=f"{root}/models")
+    appr(spark, SF0001).write.parquet(paths.approaches)
+    log = job_train(spark, paths, "stack", dt.datetime(2000, 6, 20), "r1", params=SMALL, max_fit_rows=1500, meta_trees=10).collect()
+    return paths, log
+
+
+def test_training_reaches_its_floor(trained):
+    (row,) = trained[1]
+    assert row.accuracy > 0.95 and row.f1_score > 0.85
+
+
+def test_tuning_takes_the_best_candidate(spark):
+    rows = spark.createDataFrame([(f"k{i}", float(i % 17), float(i % 17 > 8)) for i in range(400)], "row_key string, f0 double, label double")
+    spaces = [[{"trees": 1, "depth": 1, "step": 1e-9, "l2": 1.0}, SMALL[0]], [SMALL[1]]]
+    best = M.tune(rows, ["f0"], spaces)
+    assert best[0]["trees"] == 20 and best[0]["cv_accuracy"] == 1.0 and best[1]["trees"] == 10
+
+
+def test_saved_model_predicts_the_same_in_a_new_session(spark, trained):
+    paths, _ = trained
+    here = M.predict_batch(spark.read.parquet(paths.approaches), load_best_model(spark.read.parquet(paths.training_logs)), "d")
+    want = sorted(round(r[0], 12) for r in here.select("probability_being_truely_hazardous").collect())
+    code = f"""
+import json
+from skyrisk.session import local_session
+from skyrisk.operators import ml as M
+from skyrisk.sources.registry import load_best_model
+s = local_session(2, 4, app="other")
+out = M.predict_batch(s.read.parquet({paths.approaches!r}), load_best_model(s.read.parquet({paths.training_logs!r})), "d")
+print("GOT", json.dumps(sorted(round(r[0], 12) for r in out.select("probability_being_truely_hazardous").collect())))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    got = json.loads(next(x for x in done.stdout.splitlines() if x.startswith("GOT"))[4:])
+    assert got == want
+
+
+def test_zero_velocity_and_missing_values_are_predicted(spark, trained):
+    model = load_best_model(spark.read.parquet(trained[0].training_logs))
+    row = spark.read.parquet(trained[0].approaches).first().asDict()
+    records = [row, row | {"relative_velocity_kps": 0.0}, row | {"miss_distance_km": None}, row | {"miss_distance_km": float("inf"), "is_sentry_object": None}]
+    out = M.predict_records(spark, records, model, "d").collect()
+    assert len(out) == 4 and all(0 <= r.probability_being_truely_hazardous <= 1 for r in out)
+
+
+def test_nothing_to_load(spark, trained):
+    assert load_best_model(spark.read.parquet(trained[0].training_logs).limit(0)) is None
