@@ -68,12 +68,15 @@ def _running_counts(group_cols: Sequence[str]):
     return run
 
 
-def ranked_values(values: DataFrame, group_cols: Sequence[str], value_col: str) -> DataFrame:
+def ranked_values(values: DataFrame, group_cols: Sequence[str], value_col: str, count_col: str | None = None) -> DataFrame:
     """(group..., value, _cnt, _pid, _cum) with _cum the running count inside the partition;
-    checkpointed."""
+    checkpointed.  With ``count_col`` the rows are value counts already."""
     g = list(group_cols)
-    vc = (values.where(F.col(value_col).isNotNull())
-          .groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("_cnt")))
+    known = values.where(F.col(value_col).isNotNull())
+    if count_col:
+        vc = known.where(F.col(count_col) > 0).select(*g, value_col, F.col(count_col).alias("_cnt"))
+    else:
+        vc = known.groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("_cnt"))
     ordered = vc.orderBy(*[F.asc(c) for c in g], F.asc(value_col))
     schema = T.StructType(list(vc.schema.fields) + [T.StructField("_pid", T.IntegerType()),
                                                    T.StructField("_cum", T.LongType())])
@@ -81,13 +84,13 @@ def ranked_values(values: DataFrame, group_cols: Sequence[str], value_col: str)
 
 
 def order_statistics(values: DataFrame, group_cols: Sequence[str], value_col: str, targets: DataFrame,
-                     pos_col: str = "pos") -> DataFrame:
+                     pos_col: str = "pos", count_col: str | None = None) -> DataFrame:
     """Value at each requested 0-based position.
 
     ``targets`` has the group columns and ``pos_col`` (long); returns targets + ``value``.
     Positions outside [0, n) give NULL."""
     g = list(group_cols)
-    ranked = ranked_values(values, g, value_col)
+    ranked = ranked_values(values, g, value_col, count_col)
     part = ranked.groupBy("_pid", *g).agg(F.max("_cum").alias("_pcnt"))
     before = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("_off", F.coalesce(F.sum("_pcnt").over(before), F.lit(0)))
@@ -102,13 +105,13 @@ def order_statistics(values: DataFrame, group_cols: Sequence[str], value_col: st
     return targets.join(hits, [*g, pos_col], "left")
 
 
-def group_counts(values: DataFrame, group_cols: Sequence[str], value_col: str) -> DataFrame:
-    return (values.where(F.col(value_col).isNotNull()).groupBy(*group_cols)
-            .agg(F.count(F.lit(1)).alias("n"), F.min(value_col).alias("min"), F.max(value_col).alias("max")))
+def group_counts(values: DataFrame, group_cols: Sequence[str], value_col: str, count_col: str | None = None) -> DataFrame:
+    n = F.sum(count_col) if count_col else F.count(F.lit(1))
+    return values.where(F.col(value_col).isNotNull()).groupBy(*group_cols).agg(n.alias("n")).where("n > 0")
 
 
 def exact_quantiles(values: DataFrame, group_cols: Sequence[str], value_col: str,
-                    probabilities: Sequence[float]) -> DataFrame:
+                    probabilities: Sequence[float], count_col: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles (NumPy's default rule) per group.
 
     Returns (group..., q_index, q, quantile).  h = (n-1)*q; result = x[floor h] +
@@ -116,14 +119,14 @@ def exact_quantiles(values: DataFrame, group_cols: Sequence[str], value_col: str
     g = list(group_cols)
     spark = values.sparkSession
     qs = spark.createDataFrame([(i, float(q)) for i, q in enumerate(probabilities)], "q_index int, q double")
-    counts = group_counts(values, g, value_col)
+    counts = group_counts(values, g, value_col, count_col)
     h = (F.col("n") - 1) * F.col("q")
     grid = (counts.crossJoin(F.broadcast(qs))
             .select(*g, "q_index", "q", "n", h.alias("_h"), F.floor(h).cast("long").alias("_lo")))
     lo_hi = (grid.select(*g, F.col("_lo").alias("pos"))
              .union(grid.select(*g, F.least(F.col("_lo") + 1, F.col("n") - 1).alias("pos")))
              .distinct())
-    stats = order_statistics(values, g, value_col, lo_hi)
+    stats = order_statistics(values, g, value_col, lo_hi, count_col=count_col)
     lo = stats.select(*g, F.col("pos").alias("_lo"), F.col("value").alias("_xlo"))
     hi = stats.select(*g, (F.col("pos") - 1).alias("_lo"), F.col("value").alias("_xhi"))
     out = grid.join(lo, [*g, "_lo"], "left").join(hi, [*g, "_lo"], "left")

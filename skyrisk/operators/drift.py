@@ -1,8 +1,7 @@
 """Data-drift report: PSI (numeric and categorical) and chi-square goodness of fit.
 
-All features are handled at once in long form (feature, value): one exact-quantile pass for the
-baseline edges, one grouped count per side for the histograms, one grouped count for the
-categories.  The per-feature edge arrays (<= buckets + 1 values per feature) are the only
+All features are handled at once in long form (feature, value): each side is read once into value
+counts, from which edges, histograms and row counts come; one grouped count serves the categories.  The per-feature edge arrays (<= buckets + 1 values per feature) are the only
 broadcast; nothing is collected to the driver.
 """
 
@@ -54,11 +53,20 @@ def categorical_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(kv).select("_kv.feature", "_kv.category").where(F.col("category").isNotNull())
 
 
-def baseline_edges(base_long: DataFrame, buckets: int = NUMERIC_BUCKETS) -> DataFrame:
+def value_counts(base_long: DataFrame, new_long: DataFrame) -> DataFrame:
+    """(feature, value, b, n): how often each value occurs on either side.  One pass over each side,
+    materialised once; edges, histograms and row counts all come from it."""
+    tagged = base_long.select("feature", "value", F.lit(1).alias("b"), F.lit(0).alias("n")).unionByName(
+        new_long.select("feature", "value", F.lit(0).alias("b"), F.lit(1).alias("n")))
+    return cut_lineage(tagged.groupBy("feature", "value").agg(F.sum("b").alias("b"), F.sum("n").alias("n")))
+
+
+def baseline_edges(base_long: DataFrame, buckets: int = NUMERIC_BUCKETS, count_col: str | None = None) -> DataFrame:
     """(feature, edges): exact linear-interpolation quantiles at 0, 1/b, ..., 1 of the baseline,
-    de-duplicated and sorted; fewer than 3 edges -> [min, median, max]."""
+    de-duplicated and sorted; fewer than 3 edges -> [min, median, max].  ``count_col``: the rows are
+    value counts."""
     probs = sorted({i / buckets for i in range(buckets + 1)} | {0.5})
-    q = exact_quantiles(base_long, ["feature"], "value", probs)
+    q = exact_quantiles(base_long, ["feature"], "value", probs, count_col)
     grid = [i / buckets for i in range(buckets + 1)]
     per = q.groupBy("feature").agg(
         F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("q").isin(grid), F.col("quantile"))))).alias("_e"),
@@ -70,16 +78,19 @@ def baseline_edges(base_long: DataFrame, buckets: int = NUMERIC_BUCKETS) -> Data
     return cut_lineage(per.select("feature", edges.alias("edges")))
 
 
-def histogram_on_edges(long: DataFrame, edges: DataFrame) -> DataFrame:
-    """(feature, bin, count): half-open bins, the last one closed; values outside the edges are
+def _bins(long: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows with their ``bin``: half-open bins, the last one closed; values outside the edges are
     dropped (searchsorted counting, so repeated edges behave like NumPy's histogram)."""
     j = long.join(F.broadcast(edges), "feature")
     n_bins = F.size("edges") - 1
     in_range = (F.col("value") >= F.element_at("edges", 1)) & (F.col("value") <= F.element_at("edges", -1))
     le = F.size(F.filter("edges", lambda e: e <= F.col("value")))
-    b = F.least(le - 1, n_bins - 1)
-    return (j.where(in_range).select("feature", b.cast("long").alias("bin"))
-            .groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("count")))
+    return j.where(in_range).withColumn("bin", F.least(le - 1, n_bins - 1).cast("long")).drop("edges")
+
+
+def histogram_on_edges(long: DataFrame, edges: DataFrame) -> DataFrame:
+    """(feature, bin, count) of the values on the edges."""
+    return _bins(long, edges).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("count"))
 
 
 def _psi_terms(b: str, n: str, btot: str, ntot: str):
@@ -88,21 +99,19 @@ def _psi_terms(b: str, n: str, btot: str, ntot: str):
     return (bp - np_) * F.ln(bp / np_)
 
 
-def psi_numeric_bins(base_long: DataFrame, new_long: DataFrame, buckets: int = NUMERIC_BUCKETS) -> DataFrame:
-    """Per (feature, bin): baseline and new counts (zero-filled) and totals."""
-    edges = baseline_edges(base_long, buckets)
+def psi_numeric_bins(counts: DataFrame, buckets: int = NUMERIC_BUCKETS) -> DataFrame:
+    """Per (feature, bin) of ``value_counts``: baseline and new counts (zero-filled) and totals."""
+    edges = baseline_edges(counts, buckets, "b")
     bins = edges.select("feature", F.explode(F.sequence(F.lit(0).cast("long"), (F.size("edges") - 2).cast("long"))).alias("bin"))
-    bc = histogram_on_edges(base_long, edges).withColumnRenamed("count", "b")
-    nc = histogram_on_edges(new_long, edges).withColumnRenamed("count", "n")
-    g = (bins.join(bc, ["feature", "bin"], "left").join(nc, ["feature", "bin"], "left")
-         .select("feature", "bin", F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("n", F.lit(0)).alias("n")))
+    held = _bins(counts, edges).groupBy("feature", "bin").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+    g = bins.join(held, ["feature", "bin"], "left").select("feature", "bin", F.coalesce("b", F.lit(0)).alias("b"), F.coalesce("n", F.lit(0)).alias("n"))
     tot = g.groupBy("feature").agg(F.sum("b").alias("btot"), F.sum("n").alias("ntot"))
     return g.join(tot, "feature")
 
 
-def psi_numeric(base_long: DataFrame, new_long: DataFrame, buckets: int = NUMERIC_BUCKETS) -> DataFrame:
+def psi_numeric(base_long: DataFrame, new_long: DataFrame, buckets: int = NUMERIC_BUCKETS, counts: DataFrame | None = None) -> DataFrame:
     """(feature, psi) with bins on baseline quantiles."""
-    g = psi_numeric_bins(base_long, new_long, buckets)
+    g = psi_numeric_bins(counts if counts is not None else value_counts(base_long, new_long), buckets)
     return g.groupBy("feature").agg(F.sum(_psi_terms("b", "n", "btot", "ntot")).alias("psi"))
 
 
@@ -118,7 +127,7 @@ def category_counts(base_long: DataFrame, new_long: DataFrame) -> DataFrame:
 
 
 def categorical_stats(base_long: DataFrame, new_long: DataFrame) -> DataFrame:
-    """(feature, psi, chi2_masked, chi2_stat, dof): PSI on proportions; chi-square with expected =
+    """(feature, psi, chi2_masked, chi2_stat, dof, baseline_count, new_count): PSI on proportions; chi-square with expected =
     baseline share x new total, masked (expected 0 skipped) and floored at 1e-12 (for the test)."""
     c = category_counts(base_long, new_long)
     expected = F.col("b") / F.greatest(F.col("btot"), F.lit(1)).cast("double") * F.col("ntot")
@@ -128,7 +137,7 @@ def categorical_stats(base_long: DataFrame, new_long: DataFrame) -> DataFrame:
         F.sum(_psi_terms("b", "n", "btot", "ntot")).alias("psi"),
         F.sum(masked).alias("chi2_masked"),
         F.sum((F.col("n") - floored) * (F.col("n") - floored) / floored).alias("chi2_stat"),
-        (F.max("k") - 1).alias("dof"))
+        (F.max("k") - 1).alias("dof"), F.max("btot").alias("baseline_count"), F.max("ntot").alias("new_count"))
 
 
 def drift_report(base: DataFrame, new: DataFrame, run_id: str, created_at: dt.datetime | str,
@@ -141,9 +150,9 @@ def drift_report(base: DataFrame, new: DataFrame, run_id: str, created_at: dt.da
     parts = []
     if num:
         bl, nl = numeric_long(b, num), numeric_long(n, num)
-        counts = (bl.groupBy("feature").agg(F.count(F.lit(1)).alias("baseline_count"))
-                  .join(nl.groupBy("feature").agg(F.count(F.lit(1)).alias("new_count")), "feature"))
-        psi = psi_numeric(bl, nl, numeric_buckets).join(counts, "feature")
+        values = value_counts(bl, nl)
+        counts = values.groupBy("feature").agg(F.sum("b").alias("baseline_count"), F.sum("n").alias("new_count"))
+        psi = psi_numeric(bl, nl, numeric_buckets, values).join(counts.where("baseline_count > 0 AND new_count > 0"), "feature")
         parts.append(psi.select(
             "feature", F.lit("numeric").alias("feature_type"), F.lit("psi").alias("method"), "psi",
             F.lit(None).cast("double").alias("chi2_stat"), F.lit(None).cast("double").alias("chi2_p_value"),
@@ -151,9 +160,7 @@ def drift_report(base: DataFrame, new: DataFrame, run_id: str, created_at: dt.da
             "baseline_count", "new_count"))
     if cat:
         bl, nl = categorical_long(b, cat), categorical_long(n, cat)
-        counts = (bl.groupBy("feature").agg(F.count(F.lit(1)).alias("baseline_count"))
-                  .join(nl.groupBy("feature").agg(F.count(F.lit(1)).alias("new_count")), "feature"))
-        st = categorical_stats(bl, nl).join(counts, "feature")
+        st = categorical_stats(bl, nl).where("baseline_count > 0 AND new_count > 0")
         if with_p_value:
             p = F.when(F.col("dof") > 0, chi2_sf(F.col("chi2_stat"), F.col("dof").cast("double")))
             method, stat = F.lit("psi+chi2"), F.col("chi2_stat")
