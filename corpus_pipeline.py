@@ -20,21 +20,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyrisk.llm import decontaminate, langid, linededup, minhash, packing
-from skyrisk.llm.common import table, written
+from skyrisk.llm.common import table, working, written
 
 
 def _with_text(done: DataFrame, docs: DataFrame, changed: F.Column) -> DataFrame:
-    """The columns of ``docs`` (in ``kept``) with the text of ``done``."""
+    """The columns of ``docs`` (the others are in ``kept``) with the text of ``done``."""
     new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("kept.n_chars"))}
     return done.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("kept")[c].alias(c) for c in docs.columns))
 
 
+def _others(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c != "text"]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.known_language(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = linededup.dedup_lines(docs, keep=docs.columns)
+    done = linededup.dedup_lines(docs, keep=_others(docs))
     return _with_text(done.where((F.col("n_removed") == 0) | (F.trim("text") != "")), docs, F.col("n_removed") > 0)
 
 
@@ -43,7 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
+    done = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=_others(docs))
     return _with_text(done, docs, F.col("n_hit") > 0)
 
 
@@ -67,6 +71,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), name)
-    return written(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])[0]
+    for name, stage in STAGES:
+        with working(spark):  # a stage's working tables go when its result is written
+            docs, _ = written(stage(spark, docs, sf_dir), name, result=True)
+    return docs

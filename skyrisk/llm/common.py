@@ -7,10 +7,12 @@ so further columns of the input, whatever their names, never clash with working
 from __future__ import annotations
 
 import gc
-import hashlib
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,13 +37,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+_WORKING: list[list[str]] = []
+
+
+@contextmanager
+def working(spark: SparkSession) -> Iterator[None]:
+    """Tables written in this block, but for those written with ``result=True``, are deleted at its end."""
+    _WORKING.append([])
+    try:
+        yield
+    finally:
+        dropped(spark, *_WORKING.pop())
+
+
+def written(df: DataFrame, name: str, result: bool = False) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared folder (lineage cut, survives lost executors), and
     its path for :func:`dropped`.  The shuffles behind it are garbage then, and are collected now, so
     that their files don't add up over the steps of an operator."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    if len(_WORKING) > result:
+        _WORKING[-1 - result].append(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
@@ -61,6 +78,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held_in_worker(kind: str, key: object, build):
+    """``build()``, kept for the tasks that a reused worker gets next.  A worker keeps one such object at
+    a time, so the caches of the operators that ran before don't add up."""
+    if (kind, key) not in _HELD:
+        _HELD.clear()
+        _HELD[kind, key] = build()
+    return _HELD[kind, key]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on arrays of unsigned 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -83,5 +112,5 @@ class WordHashes:
             for i, x in enumerate(ids):
                 if x is None:
                     w = words[i]
-                    ids[i] = known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+                    ids[i] = known[w] = xxhash.xxh3_64_intdigest(w)
         return np.array(ids, np.uint64)

@@ -18,8 +18,8 @@ once; repeated documents each give a row; empty tables give empty results or cle
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyrisk.llm.common import written
+from skyrisk.llm.common import held_in_worker, written
 
 WINDOW = 10
 BLOCK_WORDS = 500_000
@@ -148,14 +148,8 @@ class ItemAutomaton:
         return spans, items, longest
 
 
-_BUILT: dict[tuple, ItemAutomaton] = {}
-
-
 def _automaton(key: tuple, items: list[tuple[str | None, bytes]], window: int) -> ItemAutomaton:
-    if key not in _BUILT:  # one block at a time in a worker
-        _BUILT.clear()
-        _BUILT[key] = ItemAutomaton([words_of(text) for _, text in items], window)
-    return _BUILT[key]
+    return held_in_worker("items", key, lambda: ItemAutomaton([words_of(text) for _, text in items], window))  # one block at a time
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str | None, bytes]]]:
@@ -174,10 +168,11 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple
 
 
 def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-                 item_id_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+                 item_id_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, cut: bool = False) -> DataFrame:
     """``doc_id, text, spans array<struct<from,to>>`` (hit words, by position), ``items array<string>``
     (sorted), ``longest`` (longest match in words that any run long enough for a window has), ``n_words``,
-    and ``kept``: a struct of further columns of ``docs``, if asked for."""
+    and ``kept``: a struct of further columns of ``docs``, if asked for.  With ``cut`` the text comes without
+    its hit spans."""
     spark = docs.sparkSession
     own = [F.struct(*keep).alias("kept")] if keep else []
     frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *own).withColumns({
@@ -188,14 +183,17 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id
         if at:  # more than one pass: cut here, so that one block's automaton is in memory at a time
             frame, _ = written(frame, "overlap")
         held = spark.sparkContext.broadcast(block)  # at most BLOCK_WORDS words, or one item
-        frame = frame.mapInArrow(_scanner(held, window), T.StructType(frame.schema.fields))
+        last = at == len(blocks) - 1
+        frame = frame.mapInArrow(_scanner(held, window, cut and last), T.StructType(frame.schema.fields))
     return frame
 
 
-def _scanner(held, window: int):
+def _scanner(held, window: int, cut: bool):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = held.value
-        auto = _automaton((id(block), window), block, window)
+        auto = _automaton((name, window), block, window)
         for batch in batches:
             spans, items, longest, n_words = [], [], [], []
             before = batch.column("spans").to_pylist(), batch.column("items").to_pylist(), batch.column("longest").to_pylist()
@@ -209,6 +207,8 @@ def _scanner(held, window: int):
                 longest.append(max(best, most))
                 n_words.append(len(words))
             new = {"spans": spans, "items": items, "longest": longest, "n_words": n_words}
+            if cut:
+                new["text"] = [_cut(x, s) for x, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else batch.column(f.name) for f in batch.schema], schema=batch.schema)
     return run
 
@@ -231,17 +231,16 @@ def digest(found: DataFrame) -> DataFrame:
                         (hit > 0).alias("contaminated"))
 
 
-@F.udf(T.StringType(), useArrow=True)
-def _cut(text, spans):
-    """The text without its hit words and what stands between them (Spark calls this for all rows)."""
+def _cut(text: str | None, spans: list[dict]) -> str | None:
+    """The text without its hit words and what stands between them."""
     if not spans:
         return text
     data = text.encode()
     at = [(m.start(), m.end()) for m in _WORD.finditer(data.translate(_NORMAL))]
     kept, done = [], 0
-    for a, b in spans:
-        kept.append(data[done:at[a][0]])
-        done = at[b - 1][1]
+    for s in spans:
+        kept.append(data[done:at[s["from"]][0]])
+        done = at[s["to"] - 1][1]
     return b"".join([*kept, data[done:]]).decode()
 
 
@@ -249,8 +248,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """``doc_id, text, n_hit`` (and ``kept``) of the documents that stay: hit spans (matches of ``window``
     words or more, or whole short items) are cut out of the text; a document whose hit words are more than
     ``max_coverage`` of its words goes.  A text without hits is returned unchanged."""
-    found = find_overlap(docs, benchmark, window, **cols)
+    found = find_overlap(docs, benchmark, window, cut=True, **cols)
     hit = F.aggregate("spans", F.lit(0), lambda n, s: n + s["to"] - s["from"])
     return (found.withColumn("n_hit", hit).where(F.col("n_hit") <= F.col("n_words") * max_coverage)
-            .select("doc_id", _cut("text", "spans").alias("text"), "n_hit",
+            .select("doc_id", "text", "n_hit",
                     *(["kept"] if "kept" in found.columns else [])))

@@ -16,7 +16,9 @@ import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-CACHE_WORDS = 400_000
+from skyrisk.llm.common import held_in_worker
+
+CACHE_WORDS = 300_000
 
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _TAIL = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{2,})([.,!?;:])")
@@ -101,13 +103,6 @@ class TextEncoder:
         return self.plain(head) + b"".join(out)
 
 
-_ENCODER: dict[int, TextEncoder] = {}
-
-
 def encoder(spec: Broadcast) -> TextEncoder:
     """The worker's encoder; a reused worker keeps its cache."""
-    key = hash(spec.value)
-    if key not in _ENCODER:
-        _ENCODER.clear()
-        _ENCODER[key] = TextEncoder(spec.value)
-    return _ENCODER[key]
+    return held_in_worker("tokens", hash(spec.value), lambda: TextEncoder(spec.value))
