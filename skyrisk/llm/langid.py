@@ -23,9 +23,10 @@ give a row each; further columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyrisk.llm.common import id_text
+from skyrisk.llm.common import held_in_worker, id_text
 
 FIT_ROWS = 1500
 FIT_CHARS = 20_000
@@ -79,6 +80,7 @@ class Model:
     grams: dict[str, int]  # trigram -> row of logs; the last row is for any other
     logs: np.ndarray
     scripts: dict[str, list[bool]]  # script -> the languages that use it
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -90,7 +92,10 @@ def fit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     own = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("i").isNotNull() & ~held_out("i") & (F.length("text") <= FIT_CHARS))
     own = own.withColumn("h", F.xxhash64(F.col("i").cast("string")))
-    first = own.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= FIT_ROWS)
+    # of a frequent language only a hash range that holds about four times the sample is ranked
+    share = own.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), 4.0 * FIT_ROWS / F.col("n")).alias("share"))
+    few = own.select("lang", "h").join(F.broadcast(share), "lang").where(F.col("h") <= F.lit(-2.0**63) + F.col("share") * 2.0**64)
+    first = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= FIT_ROWS)
     upto = first.groupBy("lang").agg(F.max("h").alias("upto"))  # a row for each language
     return own.join(F.broadcast(upto), "lang").where(F.col("h") <= F.col("upto")).select("lang", "text")
 
@@ -153,7 +158,7 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
 
 
 class Scorer:
-    """Log posteriors of words, cached in each task up to ``CACHE_WORDS``."""
+    """Log posteriors of words, cached in each worker up to ``CACHE_WORDS``."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -196,12 +201,12 @@ class Scorer:
 def label(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool = False, id_col: str = "doc_id", text_col: str = "text",
           keep: list[str] | None = None) -> DataFrame:
     """``doc_id, lang_pred, score`` and, if asked for, ``spans array<struct<from,to,lang>>`` (in words).
-    ``keep``: further columns of ``docs`` to pass on, as ``kept`` (a struct)."""
+    ``keep``: further columns of ``docs`` to pass on, as ``kept`` (a struct), and the text with them."""
     frame = id_text(docs, id_col, text_col)
     if keep:
         frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*keep).alias("kept"))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    extra = [f for f in frame.schema.fields if f.name == "kept"]
+    extra = [f for f in frame.schema.fields if keep and f.name in ("text", "kept")]
     span = T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType()), T.StructField("lang", T.StringType())]))
     schema = T.StructType([frame.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                            *([T.StructField("spans", span)] if spans else []), *extra])
@@ -209,7 +214,7 @@ def label(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        scorer = Scorer(m)
+        scorer = held_in_worker("langid", m.name, lambda: Scorer(m))
         for batch in batches:
             lang, score, found = [], [], []
             for text in batch.column("text").to_pylist():
@@ -228,7 +233,7 @@ def label(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool =
                     found.append([{"from": a, "to": b, "lang": m.langs[path[a]]} for a, b in zip(cut, cut[1:])])
             columns = [batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
             columns += [pa.array(found, arrow_span)] if spans else []
-            columns += [batch.column("kept")] if extra else []
+            columns += [batch.column(f.name) for f in extra]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
     return frame.mapInArrow(run, schema)
@@ -243,5 +248,6 @@ def predict(docs: DataFrame, **cols) -> DataFrame:
 def known_language(docs: DataFrame, min_score: float = 0.5, **cols) -> DataFrame:
     """The documents, with all their columns, whose text has a language for at least ``min_score`` of its words."""
     id_col, text_col = cols.get("id_col", "doc_id"), cols.get("text_col", "text")
-    out = label(docs, fit(docs, **cols), id_col=id_col, text_col=text_col, keep=docs.columns)
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("kept.*")
+    out = label(docs, fit(docs, **cols), id_col=id_col, text_col=text_col, keep=[c for c in docs.columns if c != text_col])
+    known = out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    return known.select(*(F.col("text").cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in docs.columns))
