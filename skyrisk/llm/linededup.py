@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyrisk.llm.common import dropped, id_text, small, written
+from skyrisk.llm.common import id_text, small, working, written
 
 MIN_WORDS = 10
 
@@ -154,15 +154,15 @@ def _first_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return held.select("text", "places").mapInArrow(run, schema).dropDuplicates(["line"])
 
 
-def _near(docs: DataFrame, distinct: DataFrame) -> tuple[DataFrame, list[str]]:
+def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """``line, near``: the earliest place of a line within one edit, where that is earlier than the line's own."""
     keys = distinct.where(F.col("halves").isNotNull()).select("line", F.explode("halves").alias("half"))
     shared = keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     likely = keys.join(shared, "half", "left_semi").select("line").distinct()
-    wanted, p1 = written(distinct.join(likely, "line", "left_semi").select("line", "first"), "likely-lines")
-    lines, p2 = written(_first_lines(docs, wanted), "lines")
+    wanted, _ = written(distinct.join(likely, "line", "left_semi").select("line", "first"), "likely-lines")
+    lines, _ = written(_first_lines(docs, wanted), "lines")
     schema = T.StructType([*lines.schema.fields[:2], T.StructField("key", T.BinaryType()), T.StructField("role", T.StringType())])
-    variants, p3 = written(lines.mapInArrow(_variants, schema), "variants")
+    variants, _ = written(lines.mapInArrow(_variants, schema), "variants")
     of = lambda role: F.min(F.when(F.col("role") == role, F.col("first"))).alias(f"{role}_first")
     groups = variants.groupBy("key").agg(F.count("*").alias("n"), of("whole"), of("gone"), of("placed")).where("n > 1")
     other = (F.when(F.col("role") == "whole", F.col("gone_first")).when(F.col("role") == "gone", F.col("whole_first")).otherwise(F.col("placed_first")))
@@ -170,8 +170,7 @@ def _near(docs: DataFrame, distinct: DataFrame) -> tuple[DataFrame, list[str]]:
             .groupBy("line").agg(F.min("near").alias("near")))
     pairs = (best.join(lines.select("line", "words"), "line")
              .join(lines.select(F.col("first").alias("near"), F.col("words").alias("near_words")), "near").select("line", "near", "words", "near_words"))
-    out, _ = written(pairs.mapInArrow(_checked, T.StructType([pairs.schema["line"], pairs.schema["near"]])), "near-lines")
-    return out, [p1, p2, p3]
+    return written(pairs.mapInArrow(_checked, T.StructType([pairs.schema["line"], pairs.schema["near"]])), "near-lines")[0]
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,16 +178,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     frame = id_text(docs, id_col, text_col)
     schema = T.StructType([frame.schema["doc_id"], T.StructField("line_no", T.IntegerType()), T.StructField("line", T.BinaryType()),
                            T.StructField("halves", T.ArrayType(T.LongType()))])
-    lines, p1 = written(frame.mapInArrow(_lines, schema), "all-lines")
-    distinct, p2 = written(lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")), "distinct-lines")
-    near, paths = _near(frame, distinct)
-    kept = (distinct.where("n > 1").select("line", F.col("first").alias("from")).unionAll(near.select("line", F.col("near").alias("from")))
-            .groupBy("line").agg(F.min("from").alias("from")))
-    gone = (lines.select("doc_id", "line_no", "line").join(kept, "line").where(F.col("from") < F.struct("doc_id", "line_no"))
-            .groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "line")).alias("gone")))
-    out, _ = written(gone, "repeated-lines")
-    dropped(docs.sparkSession, p1, p2, *paths)
-    return out
+    with working(docs.sparkSession):
+        lines, _ = written(frame.mapInArrow(_lines, schema), "all-lines")
+        distinct = lines.groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves"))
+        distinct, _ = written(distinct, "distinct-lines")
+        kept = distinct.where("n > 1").select("line", F.col("first").alias("from")).unionAll(_near(frame, distinct).select("line", F.col("near").alias("from")))
+        # written, so that the join has an exchange of its own on both sides and a hot line can be split
+        kept, _ = written(kept.groupBy("line").agg(F.min("from").alias("from")), "kept-from")
+        gone = (lines.select("doc_id", "line_no", "line").join(small(kept), "line").where(F.col("from") < F.struct("doc_id", "line_no"))
+                .groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "line")).alias("gone")))
+        return written(gone, "repeated-lines", result=True)[0]
 
 
 def _rebuilt(schema: pa.Schema):
