@@ -1,8 +1,8 @@
 """Substring dedup with a compressed FM-index per shard.
 
 The words of a shard's segments form one text, each segment ended by a separator.  Suffixes are sorted by
-their first 64 words (prefix doubling), which is all that backward steps over patterns of up to 51 words
-need.  The words before them, in that order, are kept in a wavelet matrix: one bit vector for each
+their first 54 words (ranks of 3, 9, 27 and 54 words, each from the one before), which is all that
+backward steps over patterns of up to 51 words need.  The words before them, in that order, are kept in a wavelet matrix: one bit vector for each
 bit of a word's number, packed, with counts per 64 bits.
 
 Every segment is streamed from its last word to its first, all segments of a shard side by side.  A step
@@ -35,20 +35,38 @@ class WaveletMatrix:
             self.counts.append(np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1])))
             self.zeros.append(len(values) - int(bit.sum()))
             values = np.concatenate((values[~bit], values[bit]))
+        symbols = np.arange(1 << bits)
+        self.start = self._down(symbols, np.zeros(1 << bits, np.int64))
 
-    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        low = np.zeros_like(at)
+    def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where positions lead to, level by level, along the bits of a symbol."""
         for level, b in enumerate(range(self.bits - 1, -1, -1)):
-            words, counts, zeros = self.words[level], self.counts[level], self.zeros[level]
-            one = (symbol >> b & 1).astype(bool)
-            ends = []
-            for p in (low, at):
-                block = p >> 6
-                below = words[block] & ((np.uint64(1) << (p & 63).astype(np.uint64)) - np.uint64(1))
-                ones = counts[block] + np.bitwise_count(below)
-                ends.append(np.where(one, zeros + ones, p - ones))
-            low, at = ends
-        return at - low
+            block = at >> 6
+            below = self.words[level][block] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+            ones = self.counts[level][block] + np.bitwise_count(below)
+            at = np.where(symbol >> b & 1, self.zeros[level] + ones, at - ones)
+        return at
+
+    def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return self._down(symbol, at) - self.start[symbol]
+
+
+RUN = 27
+
+
+def _shifted(rank: np.ndarray, k: int) -> np.ndarray:
+    return np.concatenate((rank[k:], np.full(min(k, len(rank)), -1)))
+
+
+def _ranks(rank: np.ndarray, k: int, times: int) -> np.ndarray:
+    """Ranks of ``times * k`` words from those of k words."""
+    size = np.int64(rank.max(initial=0) + 2)
+    key = rank.astype(np.int64)
+    for i in range(1, times):
+        if float(key.max(initial=0) + 1) * float(size) >= 2**63:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * size + _shifted(rank, k * i) + 1
+    return np.unique(key, return_inverse=True)[1]
 
 
 class FMIndex:
@@ -56,21 +74,19 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, owner: np.ndarray):
         n = len(text)
-        rank = np.unique(text, return_inverse=True)[1]
-        half = rank
-        for k in (1, 2, 4, 8, 16, 32):
-            if k == 32:
-                half = rank  # equal ranks: the first 32 words are equal
-            after = np.concatenate((rank[k:], np.full(min(k, n), -1))) + 1
-            rank = np.unique(rank * np.int64(n + 1) + after, return_inverse=True)[1]
+        rank = text  # of the first word; then of 3, 9, 27 and 54 words
+        for k in (1, 3, 9):
+            rank = _ranks(rank, k, 3)
+        run = rank
+        rank = _ranks(run, RUN, 2)
         order = np.argsort(rank, kind="stable")
         symbols = int(text.max()) + 1
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols))))
         self.before = WaveletMatrix(text[order - 1], max(1, symbols.bit_length()))
-        # rows that share their first WINDOW words: two overlapping runs of 32
-        far = np.concatenate((half[WINDOW - 32:], np.full(min(WINDOW - 32, n), -1)))
+        # rows that share their first WINDOW words: two overlapping runs
+        far = _shifted(run, WINDOW - RUN)
         new = np.ones(n, bool)
-        new[1:] = (half[order[1:]] != half[order[:-1]]) | (far[order[1:]] != far[order[:-1]])
+        new[1:] = (run[order[1:]] != run[order[:-1]]) | (far[order[1:]] != far[order[:-1]])
         self.begin = np.flatnonzero(new)
         self.end = np.append(self.begin[1:], n)
         self.group = np.cumsum(new) - 1

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyrisk.llm.common import WordHashes, dropped, id_text, mix, small, written
+from skyrisk.llm.common import WordHashes, dropped, held_in_worker, id_text, mix, small, working, written
 
 WINDOW = 50
 GRAM = 25
@@ -85,7 +85,7 @@ def _segment_rows(batch: pa.RecordBatch, row: list[int], found: list[tuple]) ->
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+    hashes = held_in_worker("words", 0, WordHashes)
     for batch in batches:
         row, found, size = [], [], 0
         for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
@@ -102,7 +102,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of the listed segments as a segment of its own, anchored at its own hash."""
-    hashes = WordHashes()
+    hashes = held_in_worker("words", 0, WordHashes)
     for batch in batches:
         for i, (text, places) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places").to_pylist(), strict=True)):
             h = hashes.of(text.split())
@@ -152,45 +152,46 @@ def _solver(kernel: Kernel):
 
 def repeated_spans(docs: DataFrame, kernel: Kernel) -> DataFrame:
     """``doc_id, tkey, spans array<struct<from,to>>`` (in words, merged): what goes, of documents that lose words."""
-    spark = docs.sparkSession
+    with working(docs.sparkSession):
+        return written(_spans(docs, kernel), "spans", result=True)[0]
+
+
+def _spans(docs: DataFrame, kernel: Kernel) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType
     row = T.StructType([*(T.StructField(n, T.LongType()) for n in ("mini", "h1", "h2")), T.StructField("doc_id", id_type), T.StructField("tkey", T.IntegerType()),
                         *(T.StructField(n, T.IntegerType()) for n in ("start", "windows", "anchor"))])
     cut, p1 = written(docs.mapInArrow(_cut, row), "segments")
     shared = cut.groupBy("mini").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("mini")
-    some, p2 = written(cut.join(shared, "mini", "left_semi"), "shared")
-    dropped(spark, p1)
+    shared, _ = written(shared, "shared")  # so that the join has an exchange of its own on both sides and a hot anchor can be split
+    some, _ = written(cut.join(small(shared), "mini", "left_semi"), "shared")
+    dropped(docs.sparkSession, p1)  # the largest working table
 
     group = lambda rows: rows.groupBy("mini", "h1", "h2").agg(
         F.min(F.struct("doc_id", "tkey", "start")).alias("at"), F.first("windows").alias("windows"), F.first("anchor").alias("anchor"))
-    distinct, p3 = written(group(some), "distinct")
-    hot, p4 = written(distinct.groupBy("mini").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("mini"), "hot")
-    paths = [p2, p3, p4]
+    distinct, _ = written(group(some), "distinct")
+    hot, _ = written(distinct.groupBy("mini").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("mini"), "hot")
     if not hot.isEmpty():
         many = some.join(small(hot), "mini", "left_semi")
         lists = many.groupBy(F.col("doc_id").alias("at_id"), F.col("tkey").alias("at_key")).agg(F.collect_list(F.struct("start", "windows")).alias("places"))
-        single, p5 = written(_at_places(docs, lists).mapInArrow(_single_windows, row), "single")
+        single, _ = written(_at_places(docs, lists).mapInArrow(_single_windows, row), "single")
         some = some.join(small(hot), "mini", "left_anti").unionAll(single)
         distinct = distinct.join(small(hot), "mini", "left_anti").unionAll(group(single))
-        distinct, p6 = written(distinct, "distinct")
-        paths += [p5, p6]
+        distinct, _ = written(distinct, "distinct")
 
     lists = distinct.groupBy(F.col("at.doc_id").alias("at_id"), F.col("at.tkey").alias("at_key")).agg(
         F.collect_list(F.struct("mini", "h1", "h2", "anchor", "windows", "at.start")).alias("places"))
     text = T.StructType([*row.fields[:3], T.StructField("anchor", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("doc_id", id_type)])
-    worded, p7 = written(_at_places(docs, lists).mapInArrow(_words, text), "words")
+    worded, _ = written(_at_places(docs, lists).mapInArrow(_words, text), "words")
     shards = max(1, -(-worded.count() // SHARD_SEGMENTS))
     answer = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("runs", T.ArrayType(T.StructType(
         [T.StructField("from", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("least", id_type)])))])
-    solved, p8 = written(worded.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards))).groupBy("shard").applyInPandas(_solver(kernel), answer), "answers")
+    solved, _ = written(worded.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards))).groupBy("shard").applyInPandas(_solver(kernel), answer), "answers")
 
     runs = (some.select("h1", "h2", "doc_id", "tkey", "start").join(solved.dropDuplicates(["h1", "h2"]), ["h1", "h2"])
             .select("doc_id", "tkey", "start", F.filter("runs", lambda r: r["least"] < F.col("doc_id")).alias("runs")).where(F.size("runs") > 0))
     spans = runs.select("doc_id", "tkey", F.explode(F.transform("runs", lambda r: F.struct(
         (F.col("start") + r["from"]).alias("from"), (F.col("start") + r["from"] + r["n"] + (WINDOW - 1)).alias("to")))).alias("span"))
-    out, _ = written(spans.groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set("span")).alias("spans")), "spans")
-    dropped(spark, *paths, p7, p8)
-    return out
+    return spans.groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_set("span")).alias("spans"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
