@@ -7,6 +7,7 @@ so further columns of the input, whatever their names, never clash with working
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -37,6 +38,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+GARBAGE_SECONDS = 10.0
+_collected = [0.0]
+
+
+def _collect_garbage(spark: SparkSession) -> None:
+    """Collect the driver's garbage, on which Spark's cleaner removes shuffle files; not for each of many
+    small steps."""
+    if time.monotonic() - _collected[0] > GARBAGE_SECONDS:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
+
+
 _WORKING: list[list[str]] = []
 
 
@@ -52,15 +66,14 @@ def working(spark: SparkSession) -> Iterator[None]:
 
 def written(df: DataFrame, name: str, result: bool = False) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared folder (lineage cut, survives lost executors), and
-    its path for :func:`dropped`.  The shuffles behind it are garbage then, and are collected now, so
-    that their files don't add up over the steps of an operator."""
+    its path for :func:`dropped`.  The shuffles behind it are garbage then, and are collected now and
+    then, so that their files don't add up over the steps of an operator."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
     if len(_WORKING) > result:
         _WORKING[-1 - result].append(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    _collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -11,10 +11,11 @@ one run), each weighted by its count.  Two documents are linked if their weighte
    dart of least rank.  Strips are thrown from rank 0 on until no coordinate is empty, which takes about
    ``t ln t`` darts however many elements there are.
 3. ``BANDS`` bands of ``ROWS`` coordinates each are hashed to buckets.  No bucket emits all its pairs.
-   First each node is paired with the smallest bucket fellow it has.  Then, round by round, neighbours
-   in a bucket's order that are in different components are paired (the first order is by the following
-   bands, so the most alike stand together; later ones are hashed anew), until a whole round has no pair
-   that was not yet tried, or adds no link.
+   First each node is paired with the smallest bucket fellow it has and with its neighbours in the
+   bucket, ordered by the following bands, so that the most alike stand together.  Then, round by round,
+   nodes up to ``REACH`` apart in a newly hashed order that are in different components are paired (in a
+   bucket of up to ``REACH`` + 1 nodes these are all that are left), until a whole round has no pair that
+   was not yet tried, or adds no link.
 4. Each pair is checked by the exact similarity of the whole texts.
 
 Defined cases: null texts and texts without words are linked to nothing, each its own class; rows that
@@ -35,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyrisk.llm.common import WordHashes, dropped, id_text, mix, small, written
+from skyrisk.llm.common import BROADCAST_ROWS, WordHashes, dropped, held_in_worker, id_text, mix, small, working, written
 from skyrisk.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = (4, 5)
 BANDS, ROWS = 26, 5
+REACH = 16
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -139,7 +141,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler, seen = Shingler(), {}
+    shingler, seen = held_in_worker("shingles", 0, Shingler), {}
     for batch in batches:
         nodes, bands = [], []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
@@ -163,7 +165,7 @@ def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = Shingler()
+    shingler = held_in_worker("shingles", 0, Shingler)
     for batch in batches:
         fine, last, own = [], None, None
         for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
@@ -173,36 +175,37 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).append_column("linked", pa.array(fine, pa.bool_()))
 
 
-def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours of one bucket in different components; rows are sorted by bucket."""
-    before = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, node, comp = (batch.column(c).to_pylist() for c in ("key", "node", "comp"))
-        if before:
-            key, node, comp = [before[0], *key], [before[1], *node], [before[2], *comp]
-        pairs = [(min(x, y), max(x, y)) for k, x, c, l, y, d in zip(key, node, comp, key[1:], node[1:], comp[1:]) if k == l and c != d]
-        before = key[-1], node[-1], comp[-1]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+def _adjacent(reach: int):
+    """Pairs of nodes up to ``reach`` apart in a bucket, in different components; rows are sorted by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[tuple] = []
+        for batch in batches:
+            rows = [*last, *zip(*(batch.column(c).to_pylist() for c in ("key", "node", "comp")), strict=True)]
+            a, b = [], []
+            for i in range(len(last), len(rows)):
+                key, node, comp = rows[i]
+                for j in range(i - 1, max(i - reach, 0) - 1, -1):
+                    if rows[j][0] != key:
+                        break
+                    if rows[j][2] != comp:
+                        a.append(min(node, rows[j][1]))
+                        b.append(max(node, rows[j][1]))
+            last = rows[-reach:]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return run
 
 
 _PAIR = "a binary, b binary"
 
 
-def _check(pairs: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+def _check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b, linked`` by the exact similarity of the whole texts."""
-    first = members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "tkey")).alias("at"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node").select("node", "at.*")
-    wanted, p1 = written(wanted.select("node", F.col("doc_id").alias("i"), "tkey"), "wanted")
-    texts = docs.join(small(wanted), F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("tkey"))).select("node", "text")
-    words = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("words", T.BinaryType())])
-    texts, p2 = written(texts.mapInArrow(_words, words).dropDuplicates(["node"]), "texts")
-    held = (pairs.join(texts.select(F.col("node").alias("b"), F.col("words").alias("text_b")), "b")
-            .join(texts.select(F.col("node").alias("a"), F.col("words").alias("text_a")), "a").select("a", "b", "text_a", "text_b"))
-    out, _ = written(held.mapInArrow(_verified, f"{_PAIR}, linked boolean"), "checked")
-    dropped(docs.sparkSession, p1, p2)
-    return out
+    few = small(pairs)
+    left = texts.join(few, F.col("node") == F.col("a")).select("a", "b", F.col("words").alias("text_a"))
+    right = texts.join(few, F.col("node") == F.col("b")).select("a", "b", F.col("words").alias("text_b"))
+    return written(left.join(right, ["a", "b"]).mapInArrow(_verified, f"{_PAIR}, linked boolean"), "checked")[0]
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,51 +216,70 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (node, comp) after new links between nodes."""
-    ends = (links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
-            .join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    moved = components(ends).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    return written(labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")[0]
+    ends = (labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")).join(small(links), "a").select("ca", "b"))
+    ends = labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")).join(small(written(ends, "ends")[0]), "b")
+    moved = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return written(labels.join(small(moved), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")[0]
+
+
+def _neighbours(mixed: DataFrame, order: list, reach: int) -> DataFrame:
+    """Pairs of nodes up to ``reach`` apart, in different components, of each bucket in the given order.  Rows are sorted by
+    bucket over all partitions, so a hot bucket is cut into ranges; up to ``BROADCAST_ROWS`` rows go to one
+    task."""
+    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = mixed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    held = mixed.coalesce(1) if few else mixed.repartitionByRange(n, "key", *order)
+    return held.sortWithinPartitions("key", *order).select("key", "node", "comp").mapInArrow(_adjacent(reach), _PAIR).distinct()
 
 
 def near_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, tkey, node, comp``: the node of each row's words and its component (null without words)."""
-    frame = id_text(docs, id_col, text_col)
+    with working(docs.sparkSession):
+        return written(_members(docs, id_col, text_col), "members", result=True)[0]
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    spark = docs.sparkSession
+    frame = id_text(docs, id_col, text_col).withColumn("tkey", F.xxhash64("text"))
     schema = T.StructType([frame.schema["doc_id"], T.StructField("tkey", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    signed, p1 = written(frame.withColumn("tkey", F.xxhash64("text")).mapInArrow(_nodes, schema), "signed")
-    members = signed.select("doc_id", "tkey", "node")
-    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("bands").alias("bands"))
+    signed, _ = written(frame.mapInArrow(_nodes, schema), "signed")
+    worded = signed.where(F.col("node").isNotNull())
+    nodes = worded.groupBy("node").agg(F.first("bands").alias("bands"))
     keys = nodes.select("node", F.posexplode("bands").alias("i", "key"), "bands").select(
         "key", "node", *(F.col("bands")[(F.col("i") + k) % BANDS].alias(f"o{k}") for k in (1, 2)))
     keys, p2 = written(keys, "keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").select("key", "least")
-    buckets, p3 = written(keys.join(shared, "key"), "buckets")
-    dropped(docs.sparkSession, p2)
-    labels, _ = written(buckets.select("node", F.col("node").alias("comp")).distinct(), "labels")
-    pairs = buckets.where("least <> node").groupBy("node").agg(F.min("least").alias("a")).select("a", F.col("node").alias("b"))
+    buckets, _ = written(keys.join(shared, "key"), "buckets")
+    dropped(spark, p2)
+
+    # the texts of the nodes that share a bucket, read once
+    some = buckets.select("node").distinct()
+    first = worded.join(small(written(some, "bucket-nodes")[0]), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "tkey")).alias("at"))
+    wanted, _ = written(first.select("node", F.col("at.doc_id").alias("i"), F.col("at.tkey").alias("t")), "wanted")
+    at = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tkey") == F.col("t"))
+    texts, _ = written(frame.join(small(wanted), at).select("node", "text").mapInArrow(_words, "node binary, words binary"), "texts")
+
+    labels = wanted.select("node", F.col("node").alias("comp"))
+    mixed = buckets.withColumn("comp", F.col("node"))
+    star = buckets.where("least <> node").groupBy("node").agg(F.min("least").alias("a")).select("a", F.col("node").alias("b"))
+    pairs = written(star.unionAll(_neighbours(mixed, ["o1", "o2", "node"], 1)).distinct(), "pairs")[0]
     tried, turn = None, 0
-    while True:
-        done = _check(pairs, members, frame)
+    while not pairs.isEmpty():
+        done = _check(pairs, texts)
         tried = done if tried is None else tried.unionAll(done)
         links = done.where("linked").select("a", "b")
-        found = not links.isEmpty()
-        if found:
+        if not links.isEmpty():
             labels = _merged(labels, links)
         elif turn > 1:
             break
         turn += 1
-        order = ["o1", "o2", "node"] if turn == 1 else [F.xxhash64("node", F.lit(turn))]
-        mixed = buckets.join(labels, "node")
+        # components only grow together, so a bucket of one component is done with
+        mixed = mixed.select("key", "node").join(small(labels), "node")
         more = mixed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-        mixed = mixed.join(more, "key", "left_semi").select("key", "node", "comp", *([] if turn > 1 else ["o1", "o2"]))
-        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        pairs = mixed.repartitionByRange(n, "key", *order).sortWithinPartitions("key", *order).select("key", "node", "comp").mapInArrow(_adjacent, _PAIR)
-        pairs, _ = written(pairs.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-    out = members.join(labels, "node", "left").select("doc_id", "tkey", "node", F.coalesce("comp", "node").alias("comp"))
-    out, _ = written(out, "members")
-    dropped(docs.sparkSession, p1, p3)
-    return out
+        mixed = written(mixed.join(more, "key", "left_semi"), "mixed")[0]
+        new = _neighbours(mixed, [F.xxhash64("node", F.lit(turn))], REACH)
+        pairs = written(new.join(small(tried.select("a", "b")), ["a", "b"], "left_anti"), "pairs")[0]
+    return signed.select("doc_id", "tkey", "node").join(labels, "node", "left").select("doc_id", "tkey", "node", F.coalesce("comp", "node").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
