@@ -13,10 +13,14 @@ one run), each weighted by its count.  Two documents are linked if their weighte
 3. ``BANDS`` bands of ``ROWS`` coordinates each are hashed to buckets.  No bucket emits all its pairs.
    First each node is paired with the smallest bucket fellow it has and with its neighbours in the
    bucket, ordered by the following bands, so that the most alike stand together.  Then, round by round,
-   nodes up to ``REACH`` apart in a newly hashed order that are in different components are paired (in a
-   bucket of up to ``REACH`` + 1 nodes these are all that are left), until a whole round has no pair that
-   was not yet tried, or adds no link.
-4. Each pair is checked by the exact similarity of the whole texts.
+   nodes up to ``REACH`` apart in a newly hashed order that are in different components are paired, while
+   at least one pair in ``YIELD`` is a link.  These rounds only make large groups of near copies few nodes.
+4. What is left is finished exactly: in buckets of up to ``REACH`` + 1 nodes all pairs of different
+   components, held in one task; the nodes of larger buckets are joined on the rarest shingles of each
+   (prefix filter: two texts of similarity 0.8 share one of the rarest fifth of either) if their sizes and
+   the places of the shared shingle leave room for 0.8.  The order by rarity is by counts in ``CELLS``
+   hashed cells; any order is exact.
+5. Each pair is checked by the exact similarity of the whole texts.
 
 Defined cases: null texts and texts without words are linked to nothing, each its own class; rows that
 repeat id and text are copies; null ids take part and name a class only if it has no other id; an empty
@@ -43,6 +47,9 @@ SHINGLE = 5
 SIMILARITY = (4, 5)
 BANDS, ROWS = 26, 5
 REACH = 16
+YIELD = 100
+CELLS = 1 << 20
+SLICE_PAIRS = 200_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -232,6 +239,106 @@ def _neighbours(mixed: DataFrame, order: list, reach: int) -> DataFrame:
     return held.sortWithinPartitions("key", *order).select("key", "node", "comp").mapInArrow(_adjacent(reach), _PAIR).distinct()
 
 
+def _elements(shingler: Shingler, text: bytes) -> np.ndarray:
+    """The shingles of a text as a set: the k-th of equal ones has a hash of its own."""
+    shingle, count = shingler.shingles(text.split())
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return mix(np.repeat(shingle, count) + _STEP * (nth + 1).astype(np.uint64))
+
+
+def _cell(elements: np.ndarray) -> np.ndarray:
+    return (elements & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shingler, seen, held, size = held_in_worker("shingles", 0, Shingler), np.zeros(CELLS, np.int64), [], 0
+    for batch in batches:
+        for text in batch.column("words").to_pylist():
+            held.append(_cell(_elements(shingler, text)))
+            size += len(held[-1])
+            if size > CELLS:
+                seen += np.bincount(np.concatenate(held), minlength=CELLS)
+                held, size = [], 0
+    if held:
+        seen += np.bincount(np.concatenate(held), minlength=CELLS)
+    cells = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(seen[cells], pa.int64())], names=["cell", "n"])
+
+
+def _prefixes(held):
+    """The rarest elements of each text, of which two texts of similarity ``SIMILARITY`` share one, with their
+    places in the order by rarity and the number of all elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, often = held_in_worker("shingles", 0, Shingler), held.value
+
+        def out(batch, of, parts, sizes):
+            long = np.array([len(x) for x in parts])
+            row = np.repeat(np.array(of), long)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(long) - long, long)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(parts).view(np.int64)), pa.array(at, pa.int32()), pa.array(np.repeat(np.array(sizes), long), pa.int32()),
+                 *(batch.column(c).take(pa.array(row)) for c in ("node", "comp"))], names=["element", "at", "size", "node", "comp"])
+
+        for batch in batches:
+            of, parts, sizes, rows = [], [], [], 0
+            for i, text in enumerate(batch.column("words").to_pylist()):
+                e = _elements(shingler, text)
+                e = e[np.lexsort((e, often[_cell(e)]))]
+                of.append(i)
+                sizes.append(len(e))
+                parts.append(e[:len(e) + 1 + (-len(e) * SIMILARITY[0] // SIMILARITY[1])])
+                rows += len(parts[-1])
+                if rows > 100_000:
+                    yield out(batch, of, parts, sizes)
+                    of, parts, sizes, rows = [], [], [], 0
+            if of:
+                yield out(batch, of, parts, sizes)
+
+    return run
+
+
+def _alike(texts: DataFrame) -> DataFrame:
+    """All pairs of ``texts`` (node, words, comp) of different components that can reach ``SIMILARITY``."""
+    counts = texts.select("words").mapInArrow(_cell_counts, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # up to CELLS rows
+    often = np.zeros(CELLS, np.int64)
+    often[counts.column("cell").to_numpy()] = counts.column("n").to_numpy()
+    held = texts.sparkSession.sparkContext.broadcast(often)
+    rows, path = written(texts.select("node", "words", "comp").mapInArrow(_prefixes(held), "element long, at int, size int, node binary, comp binary"), "prefixes")
+    held.destroy()
+    a, b = (rows.select("element", *(F.col(c).alias(f"{c}_{x}") for c in ("at", "size", "node", "comp"))) for x in "ab")
+    p, q = SIMILARITY
+    # the shared elements are at or behind the first one that both have
+    room = F.least(F.expr("size_a - at_a"), F.expr("size_b - at_b")) * (p + q) >= (F.col("size_a") + F.col("size_b")) * p
+    fit = (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & room
+    fit &= (F.col("size_a") * p <= F.col("size_b") * q) & (F.col("size_b") * p <= F.col("size_a") * q)
+    pairs = written(a.join(b, (a["element"] == b["element"]) & fit).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "alike")[0]
+    dropped(texts.sparkSession, path)
+    return pairs
+
+
+def _finished(mixed: DataFrame, labels: DataFrame, texts: DataFrame, tried: DataFrame) -> DataFrame:
+    """``labels`` after all pairs of different components in ``mixed`` that were not tried."""
+    sizes = mixed.groupBy("key").agg(F.count("*").alias("n"))
+    few = mixed.join(sizes.where(f"n <= {REACH + 1}"), "key").repartition("key").sortWithinPartitions("key", "node")
+    pairs = few.select("key", "node", "comp").mapInArrow(_adjacent(REACH), _PAIR).distinct()
+    many, _ = written(mixed.join(sizes.where(f"n > {REACH + 1}").select("key"), "key", "left_semi").select("node", "comp").distinct(), "many")
+    if not many.isEmpty():
+        pairs = pairs.unionAll(_alike(texts.join(small(many), "node"))).distinct()
+    pairs = written(pairs.join(small(tried), ["a", "b"], "left_anti"), "pairs")[0]
+    slices = -(-pairs.count() // max(SLICE_PAIRS, texts.count()))  # so that the texts of the pairs need bounded room at a time
+    for s in range(slices):
+        part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == s)
+        if s:
+            for x in "ab":
+                part = part.join(small(labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))), x)
+            part = written(part.where("ca <> cb").select("a", "b"), "slice")[0]
+        links = _check(part, texts).where("linked").select("a", "b")
+        if not links.isEmpty():
+            labels = _merged(labels, links)
+    return labels
+
+
 def near_members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, tkey, node, comp``: the node of each row's words and its component (null without words)."""
     with working(docs.sparkSession):
@@ -268,17 +375,20 @@ def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         done = _check(pairs, texts)
         tried = done if tried is None else tried.unionAll(done)
         links = done.where("linked").select("a", "b")
-        if not links.isEmpty():
+        linked = links.count()
+        if linked:
             labels = _merged(labels, links)
-        elif turn > 1:
-            break
-        turn += 1
         # components only grow together, so a bucket of one component is done with
         mixed = mixed.select("key", "node").join(small(labels), "node")
         more = mixed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
         mixed = written(mixed.join(more, "key", "left_semi"), "mixed")[0]
+        if turn and linked * YIELD < done.count():
+            break
+        turn += 1
         new = _neighbours(mixed, [F.xxhash64("node", F.lit(turn))], REACH)
         pairs = written(new.join(small(tried.select("a", "b")), ["a", "b"], "left_anti"), "pairs")[0]
+    if tried is not None and not mixed.isEmpty():
+        labels = _finished(mixed, labels, texts, tried.select("a", "b"))
     return signed.select("doc_id", "tkey", "node").join(labels, "node", "left").select("doc_id", "tkey", "node", F.coalesce("comp", "node").alias("comp"))
 
 

@@ -56,6 +56,27 @@ def test_chain_of_near_copies_is_one_class(spark):
     assert got == brute(rows)
 
 
+def test_links_in_a_large_bucket_of_texts_below_the_bound(spark):
+    """1,200 form letters alike at 83/105 = 0.79 fill the buckets; 25 pairs share one word more, 84/104 = 0.81."""
+    form = " ".join(f"t{i}" for i in range(87))
+    rows = [(d, f"{form} " + " ".join(f"o{d}x{i}" for i in range(11))) for d in range(1200)]
+    rows += [(5000 + d, f"{form} o{d}x0 " + " ".join(f"p{d}x{i}" for i in range(10))) for d in range(25)]
+    got = rows_of(M.near_duplicates(frame(spark, rows)), "doc_id", "class_id", "class_docs")
+    assert got == ordered([(d, d % 5000, 2 if d % 5000 < 25 else 1) for d, _ in rows])
+
+
+def test_prefixes_leave_out_no_pair(spark):
+    """Texts that share only a part of a form, with repeated words: brute force against the join alone."""
+    rng = np.random.default_rng(3)
+    form = [f"t{i % 70}" for i in range(90)]
+    rows = [(d, " ".join(w for w in form if rng.random() > 0.01 * (d % 9)) + " " + " ".join(f"o{d}x{i}" for i in range(rng.integers(0, 14)))) for d in range(60)]
+    texts = spark.createDataFrame([(str(d).encode(), t.encode(), str(d).encode()) for d, t in rows], "node binary, words binary, comp binary")
+    found = {frozenset((int(r.a), int(r.b))) for r in M._alike(texts).collect()}
+    bags = {d: M.Shingler().shingles(t.encode().split()) for d, t in rows}
+    want = {frozenset((a, b)) for a in bags for b in range(a) if M.similar(bags[a], bags[b])}
+    assert want and want <= found and len(found) < 60 * 59 / 2
+
+
 def test_first_of_class_keeps_columns_and_clean_rows(spark):
     rows = corpus(n=12)
     docs = frame(spark, rows)
