@@ -45,8 +45,12 @@ def _rounded_fit_rows(s, sf) -> DataFrame:
     return cut_lineage(rows.select(MLX.KEY, *[F.round(c, 6).alias(c) for c in NAMES], MLX.LABEL))
 
 
-def _fit_rows(s, sf) -> DataFrame:
-    return MLX.training_inputs(appr(s, sf), resample=False).rows
+def _training_rows(s, sf) -> DataFrame:
+    """All labelled training rows, encoded."""
+    split, medians = _split(s, sf)
+    train = split.where(~F.col("is_test"))
+    rows = MLX.unique_rows(MLX.encode_features(train, MLX.fit_features(train, medians)))
+    return cut_lineage(rows.select(MLX.KEY, *NAMES, MLX.LABEL))
 
 
 # the same rows in SQL: features, split, scaling over all training rows, then the bounded sample
@@ -86,8 +90,8 @@ register("tomek_links",
          f"SELECT x.q AS row_key FROM nearest x JOIN nearest y ON x.nn.c = y.q AND y.nn.c = x.q WHERE x.own <> y.own".replace("\n, nearest", ", nearest"))(
     lambda s, sf: MLX.tomek_links(_rounded_fit_rows(s, sf), NAMES))
 
-register("smote", None)(lambda s, sf: MLX.smote(_fit_rows(s, sf), NAMES))
-register("smote_tomek", None)(lambda s, sf: MLX.smote_tomek(_fit_rows(s, sf), NAMES))
+register("smote", None)(lambda s, sf: MLX.smote(_training_rows(s, sf), NAMES))
+register("smote_tomek", None)(lambda s, sf: MLX.smote_tomek(_training_rows(s, sf), NAMES))
 
 
 def _tune(s, sf):

@@ -115,7 +115,7 @@ def _hash(seed: int, key: str) -> Column:
 
 def fit_sample(df: DataFrame, max_rows: int = MAX_FIT_ROWS, seed: int = SEED, id_col: str = KEY, label_col: str = LABEL) -> DataFrame:
     """At most ``max_rows`` labelled rows to fit on: of each label its share of them (rounded down, one at
-    least), those of least md5(seed + 1, key).  A key that repeats gets a suffix, so keys are unique."""
+    least), those of least md5(seed + 1, key); keys made unique."""
     labelled = df.where(F.col(label_col).isNotNull()).withColumn("_h", _hash(seed + 1, id_col))
     counts = {r[label_col]: r["n"] for r in labelled.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     total = sum(counts.values())
@@ -124,11 +124,26 @@ def fit_sample(df: DataFrame, max_rows: int = MAX_FIT_ROWS, seed: int = SEED, id
         targets = df.sparkSession.createDataFrame(places, f"{label_col} double, pos long")
         limit = order_statistics(labelled.select(label_col, "_h"), [label_col], "_h", targets).select(label_col, F.col("value").alias("_limit"))
         labelled = labelled.join(F.broadcast(limit), label_col).where(F.col("_h") <= F.col("_limit")).drop("_limit")
+    return unique_rows(labelled.select(*df.columns), id_col, label_col)
+
+
+def unique_rows(df: DataFrame, id_col: str = KEY, label_col: str = LABEL) -> DataFrame:
+    """The labelled rows; a key that repeats gets a suffix, so keys are unique."""
     again = F.row_number().over(Window.partitionBy(id_col).orderBy(*sorted(c for c in df.columns if c != id_col)))
-    out = labelled.withColumn("_n", again)
+    out = df.where(F.col(label_col).isNotNull()).withColumn("_n", again)
     return out.withColumn(id_col, F.when(F.col("_n") > 1, F.concat(F.col(id_col), F.lit("#"), F.col("_n").cast("string"))).otherwise(F.col(id_col))).select(*df.columns)
 
 
+def _placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` with ``_at``, each row's place in the order from 0: sorted by ranges, places within a range by
+    the row's number there, and the ranges' sizes added up (a row for each range)."""
+    held = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    before = held.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return held.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn("_at", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).select(*df.columns, "_at")
+
+
 # ---------------------------------------------------------------- SMOTE
 def smote(df: DataFrame, feature_cols: Sequence[str], k: int = SMOTE_K, seed: int = SEED, id_col: str = KEY,
           label_col: str = LABEL) -> DataFrame:
@@ -143,10 +158,10 @@ def smote(df: DataFrame, feature_cols: Sequence[str], k: int = SMOTE_K, seed: in
     minority = min(counts, key=lambda c: (counts[c], c))
     n_min, n_new = counts[minority], max(counts.values()) - counts[minority]
     mins = df.where(F.col(label_col) == F.lit(minority))
-    placed = mins.select(id_col, *cols, (F.row_number().over(Window.orderBy(_hash(seed, id_col), id_col)) - 1).alias("_at"))  # a fit sample: bounded
+    placed = _placed(mins.select(id_col, *cols), [_hash(seed, id_col), F.col(id_col)])
     lists = knn(mins, k, cols, id_col).groupBy(F.col("q").alias(id_col)).agg(F.transform(
         F.sort_array(F.collect_list(F.struct("nn_rank", "c"))), lambda x: x["c"]).alias("_nn"))
-    base = spark.range(n_new).select((F.col("id") % n_min).cast("int").alias("_at"), F.floor(F.col("id") / n_min).alias("_j"))
+    base = spark.range(n_new).select((F.col("id") % n_min).alias("_at"), F.floor(F.col("id") / n_min).alias("_j"))
     gen = base.join(placed, "_at").join(lists, id_col)
     pick = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("_j")), F.size("_nn")).cast("int")
     gen = gen.withColumns({"_c": F.col("_nn")[pick], "_u": uniform(seed, F.concat(F.col(id_col), F.lit(":"), F.col("_j").cast("string")))})

@@ -1,66 +1,66 @@
-"""Exact nearest neighbours over the bounded fit sample, block by block.
+"""Exact nearest neighbours, block by block.
 
-The points are the rows that a model is fitted on, which ``fit_sample`` bounds.  Reference points are
-taken in blocks of at most ``BLOCK_ROWS`` rows (checked, then broadcast); every task holds a slice of
-``SLICE_ROWS`` query points against one block at a time and returns its k best, so no frame of all pairs
-is ever written.  Equal distances are ordered by key, so the result does not depend on partitioning.
+The points are dealt by key into groups of about ``BLOCK_ROWS`` rows.  A task gets one group as queries and
+one as references from the shuffle, and returns the k best of each query, ``CELLS`` distances at a time, so
+no frame of all pairs is ever written and nothing is collected.  The distances computed grow with the
+square of the points.  Equal distances are ordered by key, so the result does not depend on partitioning.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyrisk.session import cut_lineage
+
 BLOCK_ROWS = 20_000
-SLICE_ROWS = 256
+CELLS = 1 << 22
 
 
-def _block_search(held, cols: list[str], k: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, ref = held.value  # sorted by key
-        for frame in frames:
-            for at in range(0, len(frame), SLICE_ROWS):
-                part = frame.iloc[at:at + SLICE_ROWS]
-                own = part[cols].to_numpy(np.float64)
-                dist = np.zeros((len(own), len(ref)))
-                for j in range(len(cols)):
-                    gap = own[:, j, None] - ref[None, :, j]
-                    dist += gap * gap
-                dist[part["pid"].to_numpy()[:, None] == names[None, :]] = np.inf
-                n = min(k, len(ref))
-                near = dist <= np.partition(dist, n - 1, axis=1)[:, n - 1:n]
-                near &= np.isfinite(dist)
-                row, col = np.nonzero(near)
-                order = np.lexsort((col, dist[row, col], row))
-                row, col = row[order], col[order]
-                rank = np.arange(len(row)) - np.searchsorted(row, row)
-                row, col = row[rank < k], col[rank < k]
-                yield pd.DataFrame({"q": part["pid"].to_numpy()[row], "c": names[col], "d2": dist[row, col]})
+def _block_search(cols: list[str], k: int):
+    def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("pid")
+        names, ref = block["pid"].to_numpy(), block[cols].to_numpy(np.float64)
+        out, step = [pd.DataFrame({"q": [], "c": [], "d2": []})], max(1, CELLS // max(1, len(ref)))
+        for at in range(0, len(queries) if len(ref) else 0, step):
+            part = queries.iloc[at:at + step]
+            own = part[cols].to_numpy(np.float64)
+            dist = np.zeros((len(own), len(ref)))
+            for j in range(len(cols)):
+                gap = own[:, j, None] - ref[None, :, j]
+                dist += gap * gap
+            here = np.minimum(np.searchsorted(names, part["pid"].to_numpy()), len(names) - 1)
+            same = np.flatnonzero(names[here] == part["pid"].to_numpy())
+            dist[same, here[same]] = np.inf
+            n = min(k, len(ref))
+            near = dist <= np.partition(dist, n - 1, axis=1)[:, n - 1:n]
+            near &= np.isfinite(dist)
+            row, col = np.nonzero(near)
+            order = np.lexsort((col, dist[row, col], row))
+            row, col = row[order], col[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[rank < k], col[rank < k]
+            out.append(pd.DataFrame({"q": part["pid"].to_numpy()[row], "c": names[col], "d2": dist[row, col]}))
+        return pd.concat(out[1:] or out)
 
     return run
 
 
 def knn(points: DataFrame, k: int, feature_cols: Sequence[str], id_col: str = "row_key") -> DataFrame:
     """The k nearest other points (squared Euclidean distance, ties by key) of every point: rows
-    (``q``, ``c``, ``d2``, ``nn_rank`` from 1).  Keys are unique; see ``fit_sample``."""
+    (``q``, ``c``, ``d2``, ``nn_rank`` from 1).  Keys are unique; see ``ml.unique_rows``."""
     cols = list(feature_cols)
-    spark = points.sparkSession
-    base = points.select(F.col(id_col).alias("pid"), *[F.col(c).cast("double").alias(c) for c in cols])
+    base = cut_lineage(points.select(F.col(id_col).alias("pid"), *[F.col(c).cast("double").alias(c) for c in cols]))
     blocks = max(1, -(-base.count() // BLOCK_ROWS))
-    found = None
-    for b in range(blocks):
-        block = base.where(F.pmod(F.xxhash64("pid"), F.lit(blocks)) == b).toPandas().sort_values("pid")
-        if not len(block):
-            continue
-        held = spark.sparkContext.broadcast((block["pid"].to_numpy(), block[cols].to_numpy(np.float64)))
-        part = base.mapInPandas(_block_search(held, cols, k), "q string, c string, d2 double")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        return spark.createDataFrame([], "q string, c string, d2 double, nn_rank int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    own = F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int")
+    queries = base.select(own.alias("_q"), every.alias("_r"), "pid", *cols)
+    refs = base.select(every.alias("_q"), own.alias("_r"), "pid", *cols)
+    found = queries.groupBy("_q", "_r").cogroup(refs.groupBy("_q", "_r")).applyInPandas(_block_search(cols, k), "q string, c string, d2 double")
     order = Window.partitionBy("q").orderBy("d2", "c")  # at most k rows a block
     return found.withColumn("nn_rank", F.row_number().over(order)).where(F.col("nn_rank") <= k)
 

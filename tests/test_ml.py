@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from conftest import SF001, SF0001
 from skyrisk.catalog import appr
 from skyrisk.operators import boosting
 from skyrisk.operators import ml as M
@@ -103,6 +103,22 @@ def test_smote_with_few_minority_rows(spark):
     assert out.select("row_key").distinct().count() == 1000
 
 
+def test_smote_query_takes_all_training_rows(spark):
+    from skyrisk.catalog_ml import _split
+    from __spark_entry__ import queries
+
+    train = {r.y: r["count"] for r in _split(spark, SF001)[0].where("not is_test").groupBy(F.col(M.TARGET_COLUMN).alias("y")).count().collect()}
+    most = max(train.values())
+    assert sum(train.values()) > M.MAX_FIT_ROWS
+    assert {r.label: r["count"] for r in queries()["smote"](spark, SF001).groupBy("label").count().collect()} == {0.0: most, 1.0: most}
+
+
+def test_places_are_the_rank_in_the_order(spark):
+    df = spark.createDataFrame([(f"k{i}", (i * 7919) % 1000) for i in range(1000)], "row_key string, h int").repartition(5)
+    got = M._placed(df, [F.col("h"), F.col("row_key")]).collect()
+    assert sorted(r._at for r in got) == list(range(1000)) and all(r._at == r.h for r in got)
+
+
 def test_boosted_trees_learn_and_pack():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
