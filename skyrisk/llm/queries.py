@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyrisk.llm import decontaminate, fmindex, langid, linededup, minhash, oracles, packing, repair, repeats, sharding, sparse_suffix, topk
+from skyrisk.llm import collocations, decontaminate, fmindex, langid, linededup, minhash, oracles, packing, repair, repeats, sharding, sparse_suffix, topk
 from skyrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def registry() -> dict[str, tuple[Query, str | None]]:
     return {
         "op1_substring_dedup": (op1_substring_dedup, oracles.REPEATS),
@@ -66,4 +70,5 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "op8_language_id": (op8_language_id, None),
         "op9_best_fit_packing": (op9_best_fit_packing, None),
         "op10_exact_topk": (op10_exact_topk, oracles.TOP_K),
+        "op11_phrase_collocations": (op11_phrase_collocations, oracles.COLLOCATIONS),
     }
