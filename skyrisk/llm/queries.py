@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyrisk.llm import collocations, decontaminate, fmindex, langid, linededup, minhash, oracles, packing, repair, repeats, sharding, sparse_suffix, topk
+from skyrisk.llm import collocations, decontaminate, fmindex, langid, linededup, minhash, oracles, packing, repair, repeats, sharding, sparse_suffix, topk, whitening
 from skyrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def registry() -> dict[str, tuple[Query, str | None]]:
     return {
         "op1_substring_dedup": (op1_substring_dedup, oracles.REPEATS),
@@ -71,4 +75,5 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "op9_best_fit_packing": (op9_best_fit_packing, None),
         "op10_exact_topk": (op10_exact_topk, oracles.TOP_K),
         "op11_phrase_collocations": (op11_phrase_collocations, oracles.COLLOCATIONS),
+        "op12_embedding_whitening": (op12_embedding_whitening, None),
     }
