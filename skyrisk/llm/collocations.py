@@ -43,6 +43,7 @@ TOP = 2000
 BUDGET = 2_000_000
 TASK_TOKENS = 2_000_000
 TASK_WORDS = 600_000
+RANK_PARTS = 16
 UNKNOWN = "und"
 
 # The contract's characters: letters that are lowered, ends of pieces, spaces within a piece.
@@ -239,23 +240,25 @@ def _subtrees(depth: int, min_count: int, plan) -> Callable:
                         out["words"].append(d)
                         out["phrase"].append(b" ".join(words).decode())
                         out["n"].append(k)
+        if not out["n"]:
+            return pd.DataFrame({"lang": [""], "words": [0], "phrase": [""], "n": [0]}).iloc[:0]
         return pd.DataFrame(out)
 
     return run
 
 
 def _prefix_counts(depth: int, hot) -> Callable:
-    """Counts of the prefixes of ``depth`` words that extend those in ``hot``."""
+    """Counts of the prefixes of ``depth`` words that may have to be extended: a phrase is no more frequent than its
+    parts, so without the last word and without the first they are in ``hot``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = hot.value
         for lang, names, numbers, starts in _buffered(batches, depth):
-            first = {x[1] for x in hot.value if x[0] == lang}
-            at = np.flatnonzero(np.array([x in first for x in names])[numbers[:starts]])
-            padded = np.concatenate([numbers, np.zeros(depth, np.int64)])
-            cols = np.stack([padded[at + d] for d in range(depth)])
-            cols = cols[:, (cols > 0).all(0)]
-            cols, n = _distinct(cols, np.ones(cols.shape[1], np.int64), len(names))
-            found = [([names[i] for i in c], k) for c, k in zip(cols.T.tolist(), n.tolist(), strict=True)]
-            rows = [(b" ".join(words).decode(), k) for words, k in found if (lang, *words[:-1]) in hot.value]
+            seen = {w for x in known if x[0] == lang for w in x[1:]}
+            often = np.array([x in seen for x in names])[np.concatenate([numbers, np.zeros(depth, np.int64)])]
+            at = np.flatnonzero(np.logical_and.reduce([often[d:d + starts] for d in range(depth)]))
+            cols, n = _distinct(np.stack([numbers[at + d] for d in range(depth)]), np.ones(len(at), np.int64), len(names))
+            found = [(tuple(names[i] for i in c), k) for c, k in zip(cols.T.tolist(), n.tolist(), strict=True)]
+            rows = [(b" ".join(words).decode(), k) for words, k in found if (lang, *words[:-1]) in known and (lang, *words[1:]) in known]
             for part in (rows[i:i + 50_000] for i in range(0, len(rows), 50_000)):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([r[0] for r in part]), pa.array([r[1] for r in part], pa.int64())],
                                                  ["lang", "phrase", "n"])
@@ -323,7 +326,9 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
         score = F.expr(f"(cast(1000000 as decimal(7, 0)) * {wide('a')} * {wide('a')}) div ({wide('l')} * {wide('r')})")
         best = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
         best = best.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-        first = best.withColumn("rank", rank).where(F.col("rank") <= top)  # each task keeps its own first ones before the shuffle
+        order = [F.desc("score"), F.desc("a"), "phrase"]
+        part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))  # a frequent language is ranked in parts first
+        first = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("rank") <= top)
+        first = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
         out = first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
         return written(out, "collocations", result=True)[0]
