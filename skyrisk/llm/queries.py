@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyrisk.llm import collocations, decontaminate, fmindex, langid, linededup, minhash, oracles, packing, repair, repeats, sharding, sparse_suffix, topk, whitening
+from skyrisk.llm import collocations, decontaminate, fmindex, langid, linededup, minhash, oracles, packing, repair, repeats, sharding, sparse_suffix, topk, toxicity, whitening
 from skyrisk.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def registry() -> dict[str, tuple[Query, str | None]]:
     return {
         "op1_substring_dedup": (op1_substring_dedup, oracles.REPEATS),
@@ -76,4 +80,5 @@ def registry() -> dict[str, tuple[Query, str | None]]:
         "op10_exact_topk": (op10_exact_topk, oracles.TOP_K),
         "op11_phrase_collocations": (op11_phrase_collocations, oracles.COLLOCATIONS),
         "op12_embedding_whitening": (op12_embedding_whitening, None),
+        "op13_toxicity": (op13_toxicity, None),
     }
