@@ -149,7 +149,8 @@ def smote(df: DataFrame, feature_cols: Sequence[str], k: int = SMOTE_K, seed: in
           label_col: str = LABEL) -> DataFrame:
     """Oversample the minority label to parity: synthetic row j starts from minority row j modulo their
     number (in md5 order) and moves by u toward one of its k nearest minority neighbours.  Originals are
-    kept.  The new rows come from a range, so few minority rows against many others cost no large row."""
+    kept.  A minority row without a neighbour (the only one) is repeated as it is.  The new rows come from a range, so few
+    minority rows against many others cost no large row."""
     cols = list(feature_cols)
     spark = df.sparkSession
     counts = {r[label_col]: r["n"] for r in df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -162,9 +163,10 @@ def smote(df: DataFrame, feature_cols: Sequence[str], k: int = SMOTE_K, seed: in
     lists = knn(mins, k, cols, id_col).groupBy(F.col("q").alias(id_col)).agg(F.transform(
         F.sort_array(F.collect_list(F.struct("nn_rank", "c"))), lambda x: x["c"]).alias("_nn"))
     base = spark.range(n_new).select((F.col("id") % n_min).alias("_at"), F.floor(F.col("id") / n_min).alias("_j"))
-    gen = base.join(placed, "_at").join(lists, id_col)
-    pick = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("_j")), F.size("_nn")).cast("int")
-    gen = gen.withColumns({"_c": F.col("_nn")[pick], "_u": uniform(seed, F.concat(F.col(id_col), F.lit(":"), F.col("_j").cast("string")))})
+    gen = base.join(placed, "_at").join(lists, id_col, "left")
+    new_key = F.concat(F.col(id_col), F.lit(":"), F.col("_j").cast("string"))
+    pick = F.floor(uniform(seed + 2, new_key) * F.size("_nn")).cast("int")
+    gen = gen.withColumns({"_c": F.coalesce(F.col("_nn")[pick], F.col(id_col)), "_u": uniform(seed, new_key)})
     near = mins.select(F.col(id_col).alias("_c"), *[F.col(c).alias(f"_n_{c}") for c in cols])
     new = gen.join(near, "_c").select(
         F.concat(F.col(id_col), F.lit(":s"), F.col("_j").cast("string")).alias(id_col),

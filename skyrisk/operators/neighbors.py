@@ -1,73 +1,326 @@
-"""Exact nearest neighbours, block by block.
+"""Exact nearest neighbours by cells with bounding boxes.
 
-The points are dealt by key into groups of about ``BLOCK_ROWS`` rows.  A task gets one group as queries and
-one as references from the shuffle, and returns the k best of each query, ``CELLS`` distances at a time, so
-no frame of all pairs is ever written and nothing is collected.  The distances computed grow with the
-square of the points.  Equal distances are ordered by key, so the result does not depend on partitioning.
+1. Equal points become one, with its ``k`` + 1 smallest keys, so no number of copies makes a cell large.
+2. A tree of median splits, from a bounded sample (it decides balance only, never results), deals the points into
+   cells of up to ``CELL_ROWS``; each cell's tight bounding box is measured over all its points.
+3. A task gets one cell, cuts it further into leaves with boxes of their own, and answers the cell's points there.
+4. A point then visits only the cells whose box is not farther than its k-th distance so far (the boxes are
+   searched down the tree).  Cells with many visitors are dealt out over several tasks.
+5. The answers of a point are merged.
+
+Distances are added up in the order of the columns, as the distances to boxes are, so rounding never makes a box
+look farther than a point in it.  Equal distances are ordered by key.  Points with a null or non-finite coordinate
+have no neighbours and are nobody's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyrisk.session import cut_lineage
 
-BLOCK_ROWS = 20_000
-CELLS = 1 << 22
-
-
-def _block_search(cols: list[str], k: int):
-    def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("pid")
-        names, ref = block["pid"].to_numpy(), block[cols].to_numpy(np.float64)
-        out, step = [pd.DataFrame({"q": [], "c": [], "d2": []})], max(1, CELLS // max(1, len(ref)))
-        for at in range(0, len(queries) if len(ref) else 0, step):
-            part = queries.iloc[at:at + step]
-            own = part[cols].to_numpy(np.float64)
-            dist = np.zeros((len(own), len(ref)))
-            for j in range(len(cols)):
-                gap = own[:, j, None] - ref[None, :, j]
-                dist += gap * gap
-            here = np.minimum(np.searchsorted(names, part["pid"].to_numpy()), len(names) - 1)
-            same = np.flatnonzero(names[here] == part["pid"].to_numpy())
-            dist[same, here[same]] = np.inf
-            n = min(k, len(ref))
-            near = dist <= np.partition(dist, n - 1, axis=1)[:, n - 1:n]
-            near &= np.isfinite(dist)
-            row, col = np.nonzero(near)
-            order = np.lexsort((col, dist[row, col], row))
-            row, col = row[order], col[order]
-            rank = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col = row[rank < k], col[rank < k]
-            out.append(pd.DataFrame({"q": part["pid"].to_numpy()[row], "c": names[col], "d2": dist[row, col]}))
-        return pd.concat(out[1:] or out)
+CELL_ROWS = 50_000
+LEAST_CELL_ROWS = 2_000
+SAMPLE_ROWS = 40_000
+VISIT_ROWS = 100_000
+LEAF_ROWS = 96
+QUERY_ROWS = 192
+
+
+# ---------------------------------------------------------------- the tree over cells
+@dataclass
+class CellTree:
+    """Median splits; node i splits ``dim[i]`` at ``cut[i]`` (left takes equal values), negative children are cells."""
+    dim: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    cells: int
+    low: np.ndarray | None = None  # boxes of the cells
+    high: np.ndarray | None = None
+
+    def cell_of(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), np.int64) if len(self.dim) else np.full(len(x), -1)
+        while (at >= 0).any():
+            here = np.flatnonzero(at >= 0)
+            node = at[here]
+            goes_left = x[here, self.dim[node]] <= self.cut[node]
+            at[here] = np.where(goes_left, self.left[node], self.right[node])
+        return -1 - at
+
+    def with_boxes(self, low: np.ndarray, high: np.ndarray) -> CellTree:
+        """Boxes of all nodes, from those of the cells (an empty cell has an empty box)."""
+        node_low, node_high = np.full((len(self.dim), low.shape[1]), np.inf), np.full((len(self.dim), low.shape[1]), -np.inf)
+        for i in range(len(self.dim) - 1, -1, -1):
+            for child in (self.left[i], self.right[i]):
+                lo, hi = (node_low[child], node_high[child]) if child >= 0 else (low[-1 - child], high[-1 - child])
+                node_low[i], node_high[i] = np.minimum(node_low[i], lo), np.maximum(node_high[i], hi)
+        return CellTree(self.dim, self.cut, self.left, self.right, self.cells, np.vstack([node_low, low]), np.vstack([node_high, high]))
+
+    def visits(self, x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) for every cell whose box is not farther from the row than ``bound``."""
+        rows, cells = [], []
+        todo = [(0 if len(self.dim) else -1, np.arange(len(x)))]
+        while todo:
+            node, here = todo.pop()
+            box = node if node >= 0 else len(self.dim) - 1 - node
+            here = here[box_distance(x[here], self.low[box], self.high[box]) <= bound[here]]
+            if not len(here):
+                continue
+            if node >= 0:
+                todo += [(self.left[node], here), (self.right[node], here)]
+            else:
+                rows.append(here)
+                cells.append(np.full(len(here), -1 - node))
+        empty = np.zeros(0, np.int64)
+        return np.concatenate([empty, *rows]), np.concatenate([empty, *cells])
+
+
+def box_distance(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distance of each row to a box (or, with boxes as rows and one more axis, to each of them)."""
+    total = np.zeros(np.broadcast_shapes(x.shape[:-1], low.shape[:-1]))
+    for j in range(x.shape[-1]):
+        gap = np.maximum(np.maximum(low[..., j] - x[..., j], x[..., j] - high[..., j]), 0.0)
+        total += gap * gap
+    return total
+
+
+def split_cells(sample: np.ndarray, cells: int) -> CellTree:
+    """A tree of about ``cells`` cells with equal shares of the sample."""
+    dim: list[int] = []
+    cut: list[float] = []
+    left: list[int] = []
+    right: list[int] = []
+    found = 0
+    todo = [(np.arange(len(sample)), cells, -1, False)]
+    while todo:
+        here, want, parent, is_left = todo.pop()
+        x = sample[here]
+        spread = x.max(0) - x.min(0) if len(x) else np.zeros(sample.shape[1])
+        split = None
+        if want > 1 and len(x) > 1 and spread.max() > 0:
+            j = int(spread.argmax())
+            at = np.sort(x[:, j])[(len(x) - 1) // 2]
+            if at == x[:, j].max():  # the upper half is one value
+                at = x[x[:, j] < at, j].max()
+            split = (j, at)
+        if split is None:
+            found, me = found + 1, -1 - found
+        else:
+            me = len(dim)
+            dim.append(split[0])
+            cut.append(split[1])
+            left.append(0)
+            right.append(0)
+            goes_left = x[:, split[0]] <= split[1]
+            todo += [(here[~goes_left], want - want // 2, me, False), (here[goes_left], want // 2, me, True)]
+        if parent >= 0:
+            (left if is_left else right)[parent] = me
+    return CellTree(np.array(dim, np.int64), np.array(cut, np.float64), np.array(left, np.int64), np.array(right, np.int64), found)
+
+
+# ---------------------------------------------------------------- the search in one cell
+class Leaves:
+    """Points of a cell, which are sorted by key, in leaves of ``LEAF_ROWS`` with their boxes."""
+
+    def __init__(self, x: np.ndarray):
+        parts, todo = [], [np.arange(len(x))]
+        while todo:
+            here = todo.pop()
+            p = x[here]
+            if len(here) <= LEAF_ROWS:
+                parts.append(np.sort(here))
+                continue
+            j = int((p.max(0) - p.min(0)).argmax())
+            order = np.argpartition(p[:, j], len(here) // 2)
+            todo += [here[order[:len(here) // 2]], here[order[len(here) // 2:]]]
+        self.x, self.parts = x, parts
+        self.low, self.high = np.stack([x[p].min(0) for p in parts]), np.stack([x[p].max(0) for p in parts])
+
+    def nearest(self, q: np.ndarray, k: int, bound: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, point, squared distance) of the k nearest points of each query within ``bound``, by distance and
+        point number; ``own`` are points to leave out."""
+        out = []
+        if own is not None:  # queries that lie together are searched together
+            order = np.concatenate(self.parts)
+        else:
+            first = np.concatenate([box_distance(q[s:s + 512, None], self.low, self.high).argmin(1) for s in range(0, len(q), 512)] or [np.zeros(0, np.int64)])
+            order = np.argsort(first, kind="stable")
+        for at in range(0, len(order), QUERY_ROWS):
+            rows = order[at:at + QUERY_ROWS]
+            found = self._search(q[rows], k, bound[rows], None if own is None else own[rows])
+            out.append((rows[found[0]], found[1], found[2]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def _search(self, q: np.ndarray, k: int, bound: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        far = box_distance(q[:, None], self.low, self.high)
+        worst = bound.astype(np.float64).copy()
+        best_d, best_p = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
+        closest = far.min(0)
+        for leaf in np.argsort(closest, kind="stable").tolist():
+            if closest[leaf] > worst.max():
+                break
+            on = np.flatnonzero(far[:, leaf] <= worst)
+            if not len(on):
+                continue
+            points = self.parts[leaf]
+            x, y = q[on], self.x[points]
+            d = np.zeros((len(on), len(points)))
+            for j in range(q.shape[1]):
+                gap = x[:, j, None] - y[None, :, j]
+                d += gap * gap
+            if own is not None:
+                d[points[None, :] == own[on][:, None]] = np.inf
+            row, col = np.nonzero(d <= worst[on][:, None])
+            if not len(row):
+                continue
+            # the new ones and those held, by row, distance and point; the first k of a row stay
+            changed = np.unique(row)
+            held = best_p[on[changed]] >= 0
+            r = np.concatenate([row, np.repeat(changed, held.sum(1))])
+            p = np.concatenate([points[col], best_p[on[changed]][held]])
+            dist = np.concatenate([d[row, col], best_d[on[changed]][held]])
+            keep = np.isfinite(dist)
+            r, p, dist = r[keep], p[keep], dist[keep]
+            order = np.lexsort((p, dist, r))
+            r, p, dist = r[order], p[order], dist[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            first = place < k
+            r, p, dist, place = on[r[first]], p[first], dist[first], place[first]
+            best_d[r, place], best_p[r, place] = dist, p
+            full = best_p[on, k - 1] >= 0
+            worst[on[full]] = best_d[on[full], k - 1]
+        row, place = np.nonzero(best_p >= 0)
+        return row, best_p[row, place], best_d[row, place]
+
+
+def _lists(row: np.ndarray, point: np.ndarray, d2: np.ndarray, keys: Sequence[Sequence[str]], k: int, n: int) -> tuple[list, list]:
+    """For each query the first k (distance, key) pairs of its nearest points, a point standing for all its keys."""
+    names, dists = [[] for _ in range(n)], [[] for _ in range(n)]
+    pairs: list[list[tuple[float, str]]] = [[] for _ in range(n)]
+    for r, p, d in zip(row.tolist(), point.tolist(), d2.tolist(), strict=True):
+        pairs[r] += [(d, key) for key in keys[p][:k]]
+    for r, x in enumerate(pairs):
+        x.sort()
+        names[r], dists[r] = [c for _, c in x[:k]], [d for d, _ in x[:k]]
+    return names, dists
+
+
+# ---------------------------------------------------------------- the jobs
+def _distinct_points(base: DataFrame, cols: list[str], k: int) -> DataFrame:
+    """``vid`` (the smallest key), coordinates and the ``k`` + 1 smallest ``keys`` of each distinct point."""
+    rank = F.row_number().over(Window.partitionBy(*cols).orderBy("pid"))  # each task keeps its first keys before the shuffle
+    few = base.withColumn("_rank", rank).where(F.col("_rank") <= k + 1)
+    return few.groupBy(*cols).agg(F.array_sort(F.collect_list("pid")).alias("keys")).select(F.col("keys")[0].alias("vid"), "keys", *cols)
+
+
+def _cells(points: DataFrame, cols: list[str], tree: CellTree) -> DataFrame:
+    held = points.sparkSession.sparkContext.broadcast(tree)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(cell=held.value.cell_of(f[cols].to_numpy(np.float64)))
+
+    return points.mapInPandas(run, T.StructType([*points.schema.fields, T.StructField("cell", T.LongType())]))
+
+
+def _own_cell(cols: list[str], k: int) -> Callable:
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("vid", ignore_index=True)
+        x, n = f[cols].to_numpy(np.float64), len(f)
+        found = Leaves(x).nearest(x, k, np.full(n, np.inf), np.arange(n))
+        names, dists = _lists(*found, f["keys"].tolist(), k, n)
+        bound = [d[k - 1] if len(d) == k else np.inf for d in dists]
+        return pd.DataFrame({"vid": f["vid"], "cell": f["cell"], "c": names, "d2": dists, "bound": bound} | {c: f[c] for c in cols})
 
     return run
 
 
+def _other_cell(cols: list[str], k: int) -> Callable:
+    def run(visits: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        n = len(visits)
+        if not n or not len(f):
+            return pd.DataFrame({"vid": [""], "c": [[""]], "d2": [[0.0]]}).iloc[:0]
+        f = f.sort_values("vid", ignore_index=True)
+        found = Leaves(f[cols].to_numpy(np.float64)).nearest(visits[cols].to_numpy(np.float64), k, visits["bound"].to_numpy(np.float64))
+        names, dists = _lists(*found, f["keys"].tolist(), k, n)
+        out = pd.DataFrame({"vid": visits["vid"], "c": names, "d2": dists})
+        return out[out["c"].map(len) > 0]
+
+    return run
+
+
+def cell_rows(n: int, spark) -> int:
+    """Rows of a cell: some cells for each core, within the bounds of a task's memory."""
+    return int(min(CELL_ROWS, max(LEAST_CELL_ROWS, n // (4 * spark.sparkContext.defaultParallelism))))
+
+
+def cell_visits(points: DataFrame, k: int, cols: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points with their cell, their answers in it, the visits to other cells) for distinct points."""
+    spark = points.sparkSession
+    n = points.count()
+    sample = points.select(*cols).sample(min(1.0, SAMPLE_ROWS / 2 / max(1, n)), seed=7).toPandas().to_numpy(np.float64)  # about half of SAMPLE_ROWS at most
+    tree = split_cells(sample.reshape(-1, len(cols)), max(1, -(-n // cell_rows(n, spark))))
+    placed = cut_lineage(_cells(points, cols, tree))
+    sides = [F.min(c).alias(f"lo{j}") for j, c in enumerate(cols)] + [F.max(c).alias(f"hi{j}") for j, c in enumerate(cols)]
+    low, high = np.full((tree.cells, len(cols)), np.inf), np.full((tree.cells, len(cols)), -np.inf)
+    for r in placed.groupBy("cell").agg(*sides).collect():  # a row for each cell
+        low[r["cell"]] = [r[f"lo{j}"] for j in range(len(cols))]
+        high[r["cell"]] = [r[f"hi{j}"] for j in range(len(cols))]
+    held = spark.sparkContext.broadcast(tree.with_boxes(low, high))
+    kinds = ", ".join(f"`{c}` double" for c in cols)
+    own = placed.repartition(max(tree.cells, 1), "cell").groupBy("cell").applyInPandas(
+        _own_cell(cols, k), f"vid string, cell long, c array<string>, d2 array<double>, bound double, {kinds}")
+    own = cut_lineage(own)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            x = f[cols].to_numpy(np.float64)
+            row, cell = held.value.visits(x, f["bound"].to_numpy(np.float64))
+            away = cell != f["cell"].to_numpy()[row]
+            row, cell = row[away], cell[away]
+            yield f.iloc[row][["vid", "bound", *cols]].assign(cell=cell)
+
+    visits = own.select("vid", "cell", "bound", *cols).mapInPandas(run, f"vid string, bound double, {kinds}, cell long")
+    return placed, own, visits
+
+
 def knn(points: DataFrame, k: int, feature_cols: Sequence[str], id_col: str = "row_key") -> DataFrame:
     """The k nearest other points (squared Euclidean distance, ties by key) of every point: rows
     (``q``, ``c``, ``d2``, ``nn_rank`` from 1).  Keys are unique; see ``ml.unique_rows``."""
-    cols = list(feature_cols)
-    base = cut_lineage(points.select(F.col(id_col).alias("pid"), *[F.col(c).cast("double").alias(c) for c in cols]))
-    blocks = max(1, -(-base.count() // BLOCK_ROWS))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    own = F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int")
-    queries = base.select(own.alias("_q"), every.alias("_r"), "pid", *cols)
-    refs = base.select(every.alias("_q"), own.alias("_r"), "pid", *cols)
-    found = queries.groupBy("_q", "_r").cogroup(refs.groupBy("_q", "_r")).applyInPandas(_block_search(cols, k), "q string, c string, d2 double")
-    order = Window.partitionBy("q").orderBy("d2", "c")  # at most k rows a block
-    return found.withColumn("nn_rank", F.row_number().over(order)).where(F.col("nn_rank") <= k)
+    cols = [f"_x{j}" for j in range(len(feature_cols))]
+    base = points.select(F.col(id_col).alias("pid"), *[(F.col(c).cast("double") + 0.0).alias(x) for c, x in zip(feature_cols, cols, strict=True)])
+    for c in cols:
+        base = base.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    base = cut_lineage(base)
+    distinct = cut_lineage(_distinct_points(base, cols, k))
+    placed, own, visits = cell_visits(distinct, k, cols)
+    visits = cut_lineage(visits)
+    # a cell with many visitors is answered by several tasks
+    tasks = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VISIT_ROWS).cast("long").alias("tasks"))  # a row for each cell
+    some = visits.join(F.broadcast(tasks), "cell").select(visits["*"], F.pmod(F.xxhash64("vid"), F.col("tasks")).alias("task"))
+    again = placed.join(F.broadcast(tasks), "cell").select(placed["*"], F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"))
+    other = some.groupBy("cell", "task").cogroup(again.groupBy("cell", "task")).applyInPandas(_other_cell(cols, k), "vid string, c array<string>, d2 array<double>")
+    pairs = F.arrays_zip("d2", "c").alias("pairs")
+    found = own.select("vid", pairs).unionByName(other.select("vid", pairs)).groupBy("vid").agg(
+        F.slice(F.array_sort(F.flatten(F.collect_list("pairs"))), 1, k).alias("pairs"))
+    itself = F.transform("keys", lambda key: F.struct(F.lit(0.0).alias("d2"), key.alias("c")))
+    near = distinct.join(found, "vid").select(*cols, F.slice(F.array_sort(F.concat(itself, "pairs")), 1, k + 1).alias("pairs"))
+    of_point = base.join(near, cols).select(F.col("pid").alias("q"), F.slice(F.filter("pairs", lambda x: x["c"] != F.col("pid")), 1, k).alias("pairs"))
+    return of_point.select("q", F.posexplode("pairs").alias("at", "x")).select(
+        "q", F.col("x.c").alias("c"), F.col("x.d2").alias("d2"), (F.col("at") + 1).alias("nn_rank"))
 
 
 def tomek_links(df: DataFrame, feature_cols: Sequence[str], id_col: str = "row_key", label_col: str = "label") -> DataFrame:
     """Keys of both members of every Tomek link: mutual nearest neighbours with different labels."""
-    nearest = knn(df, 1, feature_cols, id_col).select("q", "c")
+    nearest = cut_lineage(knn(df, 1, feature_cols, id_col).select("q", "c"))
     labels = df.select(F.col(id_col).alias("q"), F.col(label_col).alias("own"))
     named = nearest.join(labels, "q")
     back = named.select(F.col("c").alias("q"), F.col("q").alias("c"), F.col("own").alias("other"))

@@ -29,9 +29,9 @@ def points(spark):
     return X, spark.createDataFrame(rows, "row_key string, a double, b double, c double, label double")
 
 
-@pytest.mark.parametrize("block", [20_000, 40])
-def test_knn_exact(points, block, monkeypatch):
-    monkeypatch.setattr(neighbors, "BLOCK_ROWS", block)
+@pytest.mark.parametrize("rows", [2_000, 10])
+def test_knn_exact(points, rows, monkeypatch):
+    monkeypatch.setattr(neighbors, "LEAST_CELL_ROWS", rows)
     X, df = points
     got = knn(df, 4, ["a", "b", "c"]).toPandas()
     D = ((X[:, None, :] - X[None, :, :]) ** 2).sum(-1)
@@ -42,6 +42,48 @@ def test_knn_exact(points, block, monkeypatch):
         assert np.allclose(g.d2.values, [d for d, _ in want], rtol=1e-9, atol=1e-12), i
 
 
+@pytest.mark.parametrize(("k", "visit"), [(1, 100_000), (3, 7), (7, 50)])
+def test_knn_with_ties_copies_and_bad_coordinates(spark, monkeypatch, k, visit):
+    """Points on a small grid, so that most distances are equal, a third of all rows in one point."""
+    monkeypatch.setattr(neighbors, "LEAST_CELL_ROWS", 15)
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 20)
+    monkeypatch.setattr(neighbors, "VISIT_ROWS", visit)
+    rng = np.random.default_rng(k)
+    xy = np.vstack([rng.integers(0, 9, size=(160, 2)), np.full((80, 2), 4), [[100, 100]], [[-0.0, 0.0]]]).astype(float)
+    rows = [(f"k{i:04d}", float(a), float(b)) for i, (a, b) in enumerate(xy)]
+    bad = [("n1", None, 1.0), ("n2", float("nan"), 1.0), ("n3", 1.0, float("inf"))]
+    df = spark.createDataFrame(rows + bad, "row_key string, x double, y double").repartition(5)
+    got = {}
+    for r in knn(df, k, ["x", "y"]).collect():
+        got.setdefault(r.q, {})[r.nn_rank] = (r.d2, r.c)
+    assert set(got) == {r[0] for r in rows}
+    for i, (q, *_) in enumerate(rows):
+        d = ((xy[i] - xy) ** 2).sum(1)
+        want = sorted((d[j], rows[j][0]) for j in range(len(rows)) if j != i)[:k]
+        assert [got[q][r] for r in range(1, k + 1)] == want, q
+
+
+def test_knn_of_few_points(spark):
+    df = spark.createDataFrame([("a", 0.0), ("b", 2.0)], "row_key string, x double")
+    assert sorted((r.q, r.c, r.d2, r.nn_rank) for r in knn(df, 5, ["x"]).collect()) == [("a", "b", 4.0, 1), ("b", "a", 4.0, 1)]
+    assert knn(df.limit(1), 5, ["x"]).collect() == [] and knn(df.limit(0), 5, ["x"]).collect() == []
+
+
+def test_visits_grow_in_proportion(spark, monkeypatch):
+    """Four times the points of one density: visits for each point stay the same, within a fifth."""
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 250)
+    each = []
+    for n in (2_000, 8_000):
+        rng = np.random.default_rng(1)
+        side = (n / 2_000) ** 0.5
+        rows = [(f"k{i}", [f"k{i}"], *map(float, p)) for i, p in enumerate(rng.uniform(0, side, size=(n, 2)))]
+        points = spark.createDataFrame(rows, "vid string, keys array<string>, x double, y double")
+        placed, own, visits = neighbors.cell_visits(points, 5, ["x", "y"])
+        assert placed.groupBy("cell").count().where("count > 1000").count() == 0
+        each.append(visits.count() / n)
+    assert each[1] < 1.2 * each[0] + 0.1
+
+
 def test_knn_ties_go_to_the_smallest_key(spark):
     df = spark.createDataFrame([(f"p{i:03d}", 1.0) for i in range(40)], "row_key string, x double").repartition(7)
     got = {r.q: r.c for r in knn(df, 1, ["x"]).collect()}
@@ -103,6 +145,12 @@ def test_smote_with_few_minority_rows(spark):
     assert out.select("row_key").distinct().count() == 1000
 
 
+def test_a_lone_minority_row_is_repeated(spark):
+    rows = [("m", 7.0, 1.0)] + [(f"z{i}", float(i), 0.0) for i in range(5)]
+    out = smote(spark.createDataFrame(rows, "row_key string, a double, label double"), ["a"]).collect()
+    assert sorted((r.row_key, r.a) for r in out if r.label == 1.0) == [("m", 7.0), *((f"m:s{j}", 7.0) for j in range(4))]
+
+
 def test_smote_query_takes_all_training_rows(spark):
     from skyrisk.catalog_ml import _split
     from __spark_entry__ import queries
