@@ -1,9 +1,9 @@
 """Registered ML queries.
 
-``job_training`` and ``tune_random_search`` run the whole random search (10 trials, 3 folds, both
-learners).  The other training queries take ``PARAMS``, as a caller does who has tuned before; folds and
-meta trees are the defaults.  Every query trains for itself; nothing is shared between queries.  Fitting
-is bounded by ``ml.MAX_FIT_ROWS`` labelled rows; scoring and evaluation are over all rows.
+Learners are fitted on all training rows.  ``PARAMS`` and ``SPACES`` are small trees, as a caller chooses who wants a
+model soon: Spark fits boosted trees one level after the other, each level a job.  The library's defaults are the whole
+search (10 trials of 100 to 500 trees for each learner).  Folds and meta trees are the defaults.  Every query trains
+for itself; nothing is shared between queries.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,9 @@ from skyrisk.sources.registry import latest_artifact, load_best_model
 
 W = O.with_
 NAMES = MLX.model_features()
-PARAMS = [{"trees": 200, "depth": 6, "step": 0.1, "l2": 0.5}, {"trees": 150, "depth": 6, "step": 0.15, "l2": 1.0}]
+PARAMS = [{"trees": 12, "depth": 5, "step": 0.3, "gain": 1e-6}, {"trees": 10, "depth": 4, "step": 0.3}]
+SMALL = {"trials": 2, "trees": (5, 12), "depth": (3, 5), "lr": (0.1, 0.4)}
+SPACES = [MLX.sample_params(**SMALL), MLX.sample_params(**SMALL, seed=43, regularised=False)]
 TRAINED_AT = dt.datetime(2000, 6, 20)
 SCORE_FROM, SCORE_TO = "2000-05-03", "2000-07-01"
 
@@ -37,23 +40,15 @@ def _split(s, sf) -> DataFrame:
     return cut_lineage(MLX.training_split(a, medians=medians)), medians
 
 
-def _rounded_fit_rows(s, sf) -> DataFrame:
-    """The fit rows with features rounded to 6 decimals, so that both engines see the same numbers."""
-    split, medians = _split(s, sf)
-    train = split.where(~F.col("is_test"))
-    rows = MLX.fit_sample(MLX.encode_features(train, MLX.fit_features(train, medians)))
-    return cut_lineage(rows.select(MLX.KEY, *[F.round(c, 6).alias(c) for c in NAMES], MLX.LABEL))
-
-
 def _training_rows(s, sf) -> DataFrame:
-    """All labelled training rows, encoded."""
+    """All labelled training rows, encoded; features rounded to 6 decimals, so that both engines see the same numbers."""
     split, medians = _split(s, sf)
     train = split.where(~F.col("is_test"))
     rows = MLX.unique_rows(MLX.encode_features(train, MLX.fit_features(train, medians)))
-    return cut_lineage(rows.select(MLX.KEY, *NAMES, MLX.LABEL))
+    return cut_lineage(rows.select(MLX.KEY, *[F.round(c, 6).alias(c) for c in NAMES], MLX.LABEL))
 
 
-# the same rows in SQL: features, split, scaling over all training rows, then the bounded sample
+# the same rows in SQL: features, split, scaling over all training rows
 _SKEW = {"diameter_range": "ln(diameter_range)", "relative_velocity_kps": "ln(relative_velocity_kps)", "miss_distance_km": "sqrt(miss_distance_km)"}
 _ENGINEERED = f"""
 eng0 AS (SELECT *, (max_diameter_km + min_diameter_km) / 2.0e0 AS diameter_range FROM approaches),
@@ -62,14 +57,13 @@ eng2 AS (SELECT *, 0.5e0 * est_mass_kg * ((relative_velocity_kps * 1000.0e0) * (
                 1.0e0 / (miss_distance_km + 1e-5) AS inv_miss_dist FROM eng1),
 eng3 AS (SELECT concat_ws(':', id, epoch_date_close_approach) AS row_key, is_potentially_hazardous AS y, is_sentry_object,
                 {', '.join(f"CAST({_SKEW.get(c, 'ln(1 + est_kinetic_energy_j * inv_miss_dist)' if c == 'impact_risk_index' else c)} AS DOUBLE) AS {c}" for c in NUMERIC_COLUMNS)} FROM eng2),
-hashed AS (SELECT *, ('0x' || substr(md5('42:' || row_key), 1, 15))::BIGINT AS h, ('0x' || substr(md5('43:' || row_key), 1, 15))::BIGINT AS h2 FROM eng3),
+hashed AS (SELECT *, ('0x' || substr(md5('42:' || row_key), 1, 15))::BIGINT AS h FROM eng3),
 train AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h) AS rn, count(*) OVER (PARTITION BY y) AS ny FROM hashed) WHERE rn > ceil(ny * 0.2e0)),
 stats AS (SELECT {', '.join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in NUMERIC_COLUMNS)} FROM train),
 fit AS (
   SELECT row_key, CASE WHEN y THEN 1.0e0 ELSE 0.0e0 END AS label, {', '.join(f"round(({c} - m_{c}) / (CASE WHEN s_{c} = 0 THEN 1.0e0 ELSE s_{c} END), 6) AS f{i}" for i, c in enumerate(NUMERIC_COLUMNS))},
          CASE WHEN NOT is_sentry_object THEN 1.0e0 ELSE 0.0e0 END AS f{len(NUMERIC_COLUMNS)}, CASE WHEN is_sentry_object THEN 1.0e0 ELSE 0.0e0 END AS f{len(NUMERIC_COLUMNS) + 1}
-  FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h2) AS k, count(*) OVER (PARTITION BY y) AS n1, count(*) OVER () AS n FROM train) CROSS JOIN stats
-  WHERE n <= {MLX.MAX_FIT_ROWS} OR k <= greatest(1, n1 * {MLX.MAX_FIT_ROWS} // n))"""
+  FROM train CROSS JOIN stats)"""
 _D2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in NAMES)
 
 register("training_split",
@@ -78,31 +72,67 @@ register("training_split",
          f"(SELECT concat_ws(':', id, epoch_date_close_approach) AS row_key, is_potentially_hazardous AS y FROM approaches))")(
     lambda s, sf: _split(s, sf)[0].select(MLX.KEY, "is_test"))
 
+_NEAR_MINORITY = f"""
+near AS (SELECT a.row_key AS q, arg_min(b.row_key, struct_pack(d := {_D2}, c := b.row_key), 5) AS nn,
+                arg_min({_D2}, struct_pack(d := {_D2}, c := b.row_key), 5) AS d2
+         FROM fit a JOIN fit b ON a.label = 1 AND b.label = 1 AND a.row_key <> b.row_key GROUP BY 1)"""
 register("knn_minority",
-         f"{W(O.APPROACHES, _ENGINEERED)}SELECT q, c, round(d2, 9) AS d2, CAST(nn_rank AS INTEGER) AS nn_rank FROM (SELECT a.row_key AS q, b.row_key AS c, {_D2} AS d2, "
-         f"row_number() OVER (PARTITION BY a.row_key ORDER BY {_D2}, b.row_key) AS nn_rank FROM fit a JOIN fit b ON a.label = 1 AND b.label = 1 AND a.row_key <> b.row_key) "
-         f"WHERE nn_rank <= 5")(
-    lambda s, sf: MLX.knn(_rounded_fit_rows(s, sf).where(F.col(MLX.LABEL) == 1.0), 5, NAMES).withColumn("d2", F.round("d2", 9)))
+         f"{W(O.APPROACHES, _ENGINEERED, _NEAR_MINORITY)}SELECT q, unnest(nn) AS c, round(unnest(d2), 9) AS d2, CAST(unnest(range(1, len(nn) + 1)) AS INTEGER) AS nn_rank FROM near")(
+    lambda s, sf: MLX.knn(_training_rows(s, sf).where(F.col(MLX.LABEL) == 1.0), 5, NAMES).withColumn("d2", F.round("d2", 9)))
+
+# Nearest rows in SQL: rows share a cell of _CELL in four columns with all rows that are nearer than _CELL, or with its
+# neighbour cells; a row whose nearest there is farther is compared with all rows.
+_CELL = 0.4
+_AXES = [f"f{NUMERIC_COLUMNS.index(c)}" for c in ("absolute_magnitude_h", "epoch_date_close_approach", "relative_velocity_kps", "miss_distance_km")]
+
+
+def _links(rows: str) -> str:
+    nearest = f"arg_min(struct_pack(c := b.row_key, d := {_D2}), struct_pack(d := {_D2}, c := b.row_key)) AS nn"
+    k = range(len(_AXES))
+    return f"""
+cells AS (SELECT *, {', '.join(f"CAST(floor({c} / {_CELL}) AS INTEGER) AS k{i}" for i, c in enumerate(_AXES))} FROM {rows}),
+step AS (SELECT unnest([-1, 0, 1]) AS s),
+looks AS (SELECT row_key, label, {', '.join(NAMES)}, {', '.join(f'k{i} + s{i}.s AS k{i}' for i in k)} FROM cells, {', '.join(f'step s{i}' for i in k)}),
+beside AS (SELECT a.row_key AS q, a.label AS own, {nearest} FROM looks a JOIN cells b ON {' AND '.join(f'a.k{i} = b.k{i}' for i in k)} AND a.row_key <> b.row_key GROUP BY 1, 2),
+sure AS (SELECT * FROM beside WHERE nn.d < {_CELL * _CELL * 0.999}),
+others AS (SELECT a.row_key AS q, a.label AS own, {nearest} FROM (SELECT * FROM {rows} r ANTI JOIN sure ON sure.q = r.row_key) a JOIN {rows} b ON a.row_key <> b.row_key GROUP BY 1, 2),
+nearest AS (SELECT * FROM sure UNION ALL SELECT * FROM others),
+links AS (SELECT x.q AS row_key FROM nearest x JOIN nearest y ON x.nn.c = y.q AND y.nn.c = x.q WHERE x.own <> y.own)"""
+
+
+register("tomek_links", f"{W(O.APPROACHES, _ENGINEERED, _links('fit'))}SELECT row_key FROM links")(
+    lambda s, sf: MLX.tomek_links(_training_rows(s, sf), NAMES))
+
+_U = "('0x' || substr(md5('{seed}:' || row_key || ':' || j), 1, 8))::BIGINT / 4294967296.0e0"
+_SMOTE = f"""{_NEAR_MINORITY},
+placed AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5('42:' || row_key), 1, 15))::BIGINT, row_key) - 1 AS place FROM fit WHERE label = 1),
+size AS (SELECT count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) - count(*) FILTER (label = 1) AS more FROM fit),
+wanted AS (SELECT r % n1 AS place, r // n1 AS j FROM (SELECT unnest(range(more)) AS r, n1 FROM size)),
+moved AS (SELECT p.*, j, {_U.format(seed=42)} AS u, nn[1 + CAST(floor({_U.format(seed=44)} * len(nn)) AS INTEGER)] AS c
+          FROM wanted JOIN placed p USING (place) JOIN near ON near.q = p.row_key),
+made AS (SELECT row_key, label, {', '.join(NAMES)} FROM fit UNION ALL
+         SELECT m.row_key || ':s' || j AS row_key, m.label, {', '.join(f'm.{c} + u * (b.{c} - m.{c}) AS {c}' for c in NAMES)} FROM moved m JOIN fit b ON b.row_key = m.c)"""
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select(MLX.KEY, MLX.LABEL, *[F.round(c, 9).alias(c) for c in NAMES])
 
-register("tomek_links",
-         f"{W(O.APPROACHES, _ENGINEERED)}, nearest AS (SELECT a.row_key AS q, a.label AS own, arg_min(struct_pack(c := b.row_key, label := b.label), "
-         f"struct_pack(d := {_D2}, c := b.row_key)) AS nn FROM fit a JOIN fit b ON a.row_key <> b.row_key GROUP BY ALL) "
-         f"SELECT x.q AS row_key FROM nearest x JOIN nearest y ON x.nn.c = y.q AND y.nn.c = x.q WHERE x.own <> y.own".replace("\n, nearest", ", nearest"))(
-    lambda s, sf: MLX.tomek_links(_rounded_fit_rows(s, sf), NAMES))
 
-register("smote", None)(lambda s, sf: MLX.smote(_training_rows(s, sf), NAMES))
-register("smote_tomek", None)(lambda s, sf: MLX.smote_tomek(_training_rows(s, sf), NAMES))
+_SHOWN = f"row_key, label, {', '.join(f'round({c}, 9) AS {c}' for c in NAMES)}"
+register("smote", f"{W(O.APPROACHES, _ENGINEERED, _SMOTE)}SELECT {_SHOWN} FROM made")(lambda s, sf: _shown(MLX.smote(_training_rows(s, sf), NAMES)))
+register("smote_tomek", f"{W(O.APPROACHES, _ENGINEERED, _SMOTE, _links('made'))}SELECT {_SHOWN} FROM made ANTI JOIN links USING (row_key)")(
+    lambda s, sf: _shown(MLX.smote_tomek(_training_rows(s, sf), NAMES)))
 
 
 def _tune(s, sf):
-    rows = MLX.training_inputs(appr(s, sf)).rows
-    best = MLX.tune(rows, NAMES, [MLX.sample_params(), MLX.sample_params(seed=43, regularised=False)])
-    return s.createDataFrame([(i, p["trees"], p["depth"], p["step"], p["l2"], p["cv_accuracy"]) for i, p in enumerate(best)],
-                             "learner int, trees int, depth int, step_size double, l2 double, cv_accuracy double")
+    rows = MLX.training_inputs(appr(s, sf)).search
+    best = MLX.tune(rows, NAMES, SPACES)
+    return s.createDataFrame([(i, p["trees"], p["depth"], p["step"], p["gain"], p["cv_accuracy"]) for i, p in enumerate(best)],
+                             "learner int, trees int, depth int, step_size double, min_gain double, cv_accuracy double")
 
 
 register("tune_random_search", None)(_tune)
-register("job_training", None)(lambda s, sf: MLX.job_training(appr(s, sf)).metrics)
+register("job_training", None)(lambda s, sf: MLX.job_training(appr(s, sf), spaces=SPACES).metrics)
 
 
 def _stack(s, sf):
@@ -111,10 +141,10 @@ def _stack(s, sf):
 
 
 def _train_stack(s, sf):
-    """Probabilities of both learners and of the stack for every fit row's approach."""
+    """Probabilities of both learners and the stack's class for every approach."""
     model, _ = _stack(s, sf)
     out = model.transform(appr(s, sf))
-    return out.select(MLX.KEY, "p0", "p1", (F.col("prediction") == 1.0).alias("model_prediction"))
+    return out.select(MLX.KEY, *[vector_to_array(p)[1].alias(p) for p in ("p0", "p1")], (F.col("prediction") == 1.0).alias("model_prediction"))
 
 
 register("train_stack", None)(_train_stack)

@@ -1,11 +1,11 @@
 """Hazard classifier: training frame, SMOTE / Tomek links, random-search tuning, 5-fold stacking,
-evaluation and batch prediction.
+evaluation and batch prediction, with ``pyspark.ml`` learners.
 
-What is fitted, and on what: medians, scaling and categories on all training rows; the resampled set, the
-tuning grid and the learners on ``fit_sample``, at most ``MAX_FIT_ROWS`` labelled rows (a documented
-parameter, used nowhere else).  A trained model is one ``PipelineModel``: features (transform, then
-impute with the saved medians, scale, encode), two boosted learners, and a random forest over their
-probabilities; it is written to shared storage and loaded by the newest training log row.
+What is fitted, and on what: medians, scaling, categories, the resampled set, both boosted learners, their
+out-of-fold probabilities and the forest over them on all training rows; only the random search is on ``fit_sample``,
+at most ``MAX_SEARCH_ROWS`` labelled rows (a documented parameter).  A trained model is one ``PipelineModel``: features
+(transform, then impute with the saved medians, scale, encode), two boosted learners, and a random forest over
+their probabilities; it is written to shared storage and loaded by the newest training log row.
 
 Randomness is deterministic per row (md5 of seed and key), so splits, folds and synthetic rows are
 reproducible and independent of partitioning.
@@ -15,14 +15,16 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -32,18 +34,20 @@ from pyspark.sql import functions as F
 
 from skyrisk.functions.columns import finite_or_null, uniform
 from skyrisk.functions.quantiles import order_statistics
-from skyrisk.operators import boosting
 from skyrisk.operators.features import (engineered_features, fit_medians, fit_standard, impute_median, skew_transform,
                                         standard_scale, stratified_split)
 from skyrisk.operators.metrics import binary_metrics
 from skyrisk.operators.neighbors import knn, tomek_links
 from skyrisk.schemas import (APPROACH, CATEGORICAL_COLUMNS, FEATURE_COLUMNS, META_TREES, NUMERIC_COLUMNS, SEED, SMOTE_K,
                              STACK_FOLDS, TARGET_COLUMN, TUNE_FOLDS, TUNE_TRIALS)
-from skyrisk.session import cut_lineage
+from skyrisk.session import cut_lineage, scratch_path
 
 KEY = "row_key"
 LABEL = "label"
-MAX_FIT_ROWS = 6_000
+INPUTS = "inputs"
+BINS = 32
+MAX_SEARCH_ROWS = 6_000
+FITS = 8  # learners fitted at a time
 CATEGORIES = [False, True]
 
 __all__ = ["knn", "tomek_links", "smote", "smote_tomek", "tune", "train_stack", "job_training"]
@@ -113,7 +117,7 @@ def _hash(seed: int, key: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key))), 1, 15), 16, 10).cast("long")
 
 
-def fit_sample(df: DataFrame, max_rows: int = MAX_FIT_ROWS, seed: int = SEED, id_col: str = KEY, label_col: str = LABEL) -> DataFrame:
+def fit_sample(df: DataFrame, max_rows: int = MAX_SEARCH_ROWS, seed: int = SEED, id_col: str = KEY, label_col: str = LABEL) -> DataFrame:
     """At most ``max_rows`` labelled rows to fit on: of each label its share of them (rounded down, one at
     least), those of least md5(seed + 1, key); keys made unique."""
     labelled = df.where(F.col(label_col).isNotNull()).withColumn("_h", _hash(seed + 1, id_col))
@@ -182,33 +186,55 @@ def smote_tomek(df: DataFrame, feature_cols: Sequence[str], k: int = SMOTE_K, se
 
 # ---------------------------------------------------------------- tuning and stacking
 def sample_params(trials: int = TUNE_TRIALS, seed: int = SEED, trees=(100, 500), depth=(4, 10), lr=(0.01, 0.2),
-                  l2=(0.01, 10.0), regularised: bool = True) -> list[dict]:
-    """Seeded random search space: trees, depth, log-uniform step and, for the regularised learner,
-    log-uniform L2 on the leaves (1 for the other)."""
+                  gain=(1e-6, 1e-3), regularised: bool = True) -> list[dict]:
+    """Seeded random search space: trees, depth, log-uniform step and, for the regularised learner, a
+    log-uniform least gain of a split (Spark's trees have no penalty on leaves; 0 for the other)."""
     rng = np.random.default_rng(seed)
     log_uniform = lambda lo, hi: float(math.exp(rng.uniform(math.log(lo), math.log(hi))))
     out = []
     for _ in range(trials):
         p = {"trees": int(rng.integers(trees[0], trees[1] + 1)), "depth": int(rng.integers(depth[0], depth[1] + 1)), "step": log_uniform(*lr)}
-        out.append(p | {"l2": log_uniform(*l2) if regularised else 1.0})
+        out.append(p | {"gain": log_uniform(*gain) if regularised else 0.0})
     return out
 
 
-def _arrays(df: DataFrame, feature_cols: Sequence[str], folds: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bounded fit rows as arrays in key order, with their fold."""
-    fold = F.pmod(F.xxhash64(F.col(KEY), F.lit(seed)), F.lit(folds)).alias("_fold")
-    rows = df.select(KEY, *feature_cols, LABEL, fold).toPandas().sort_values(KEY)
-    return rows[list(feature_cols)].to_numpy(np.float64), rows[LABEL].to_numpy(np.float64), rows["_fold"].to_numpy(np.int64)
+def learner(p: dict, column: str = "p", seed: int = SEED) -> GBTClassifier:
+    """The boosted trees of a candidate; its probabilities go to ``column``."""
+    trees = GBTClassifier(featuresCol=INPUTS, labelCol=LABEL, maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["step"], minInfoGain=p.get("gain", 0.0),
+                          maxBins=BINS, seed=seed, maxMemoryInMB=1024, predictionCol=f"{column}_class")
+    return trees.setProbabilityCol(column).setRawPredictionCol(f"{column}_raw")
 
 
-def tune(df: DataFrame, feature_cols: Sequence[str], spaces: Sequence[list[dict]], folds: int = TUNE_FOLDS, seed: int = SEED) -> list[dict]:
-    """For each space its candidate of best mean accuracy over the folds (first of equal ones), with
-    ``cv_accuracy``.  All candidates and folds are fitted side by side."""
-    x, y, fold = _arrays(df, feature_cols, folds, seed)
+def _with_folds(df: DataFrame, feature_cols: Sequence[str], folds: int, seed: int) -> DataFrame:
+    """``row_key, inputs, label, _fold``, the features as one vector."""
+    fold = F.pmod(F.xxhash64(F.col(KEY), F.lit(seed)), F.lit(folds)).cast("int").alias("_fold")
+    return VectorAssembler(inputCols=list(feature_cols), outputCol=INPUTS).transform(df).select(KEY, INPUTS, LABEL, fold)
+
+
+def _side_by_side(spark: SparkSession, tasks: Sequence, run: Callable, fits: int) -> list:
+    """``run`` of each task in order, ``fits`` at a time: each is a series of Spark jobs, which share the cluster."""
+    with ThreadPoolExecutor(max_workers=max(1, min(fits, len(tasks)))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(run), tasks))
+
+
+def tune(df: DataFrame, feature_cols: Sequence[str], spaces: Sequence[list[dict]], folds: int = TUNE_FOLDS, seed: int = SEED,
+         fits: int = FITS) -> list[dict]:
+    """For each space its candidate of best mean accuracy over the folds (first of equal ones), with ``cv_accuracy``."""
+    rows = cut_lineage(_with_folds(df, feature_cols, folds, seed))
     flat = [p for space in spaces for p in space]
-    grid = [p | {"task": t, "fold": f} for t, p in enumerate(flat) for f in range(folds)]
-    scores = boosting.fit_grid(df.sparkSession, x, y, fold, grid).groupBy("task").agg(F.avg("accuracy").alias("a")).collect()
-    accuracy = {r["task"]: r["a"] for r in scores}
+
+    def score(task: tuple[int, int]) -> tuple[int, float | None]:
+        t, fold = task
+        model = learner(flat[t]).fit(rows.where(F.col("_fold") != fold))
+        hit = model.transform(rows.where(F.col("_fold") == fold)).agg(F.avg((F.col("p_class") == F.col(LABEL)).cast("double")).alias("a"))
+        return t, hit.first()["a"]
+
+    # long fits first
+    tasks = sorted(((t, f) for t in range(len(flat)) for f in range(folds)), key=lambda x: -flat[x[0]]["trees"] * flat[x[0]]["depth"])
+    found: dict[int, list[float]] = {}
+    for t, a in _side_by_side(df.sparkSession, tasks, score, fits):
+        found.setdefault(t, []).extend([] if a is None else [a])
+    accuracy = {t: sum(x) / len(x) if x else float("-inf") for t, x in found.items()}
     out, at = [], 0
     for space in spaces:
         best = max(range(at, at + len(space)), key=lambda t: (accuracy[t], -t))
@@ -217,57 +243,51 @@ def tune(df: DataFrame, feature_cols: Sequence[str], spaces: Sequence[list[dict]
     return out
 
 
-class _Stage(Model, DefaultParamsReadable, DefaultParamsWritable):
-    """A fitted stage whose numbers are one text parameter, so that ``PipelineModel`` can save it."""
+class FeatureStage(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """Approach rows -> ``f0`` ... : transform, impute with the saved medians, scale, encode.  The fitted numbers are one
+    text parameter, so that ``PipelineModel`` can save it."""
 
     fitted = Param(Params._dummy(), "fitted", "the fitted numbers as text", TypeConverters.toString)
-    outputCol = Param(Params._dummy(), "outputCol", "output column", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, fitted: str = "", outputCol: str = ""):
+    def __init__(self, fitted: str = ""):
         super().__init__()
         self._set(**self._input_kwargs)
 
-
-class FeatureStage(_Stage):
-    """Approach rows -> ``f0`` ... : transform, impute with the saved medians, scale, encode."""
-
     def _transform(self, dataset: DataFrame) -> DataFrame:
         fitted = json.loads(self.getOrDefault("fitted"))
         return encode_features(prepare_for_prediction(dataset, fitted["medians"]), fitted)
 
 
-class BoostedStage(_Stage):
-    """P(hazardous) of one boosted learner, batch by batch."""
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        model = boosting.unpacked(self.getOrDefault("fitted"))
-        held = dataset.sparkSession.sparkContext.broadcast(model)  # bounded by trees x 2**depth
-
-        @F.pandas_udf("double")
-        def p(*cols: pd.Series) -> pd.Series:
-            return pd.Series(boosting.probability(held.value, np.stack([c.to_numpy(np.float64) for c in cols], 1)))
-
-        return dataset.withColumn(self.getOrDefault("outputCol"), p(*model_features()))
-
-
 def train_stack(df: DataFrame, feature_cols: Sequence[str], params: Sequence[dict], features: dict, folds: int = STACK_FOLDS,
-                seed: int = SEED, meta_trees: int = META_TREES) -> PipelineModel:
-    """Out-of-fold probabilities of each learner -> random forest; learners refitted on all rows."""
+                seed: int = SEED, meta_trees: int = META_TREES, fits: int = FITS) -> PipelineModel:
+    """Out-of-fold probabilities of each learner, over all rows -> random forest; learners refitted on all rows.
+    The model is written to the shared folder and loaded: a forest just fitted holds its training summary, and with
+    it the session, which can't go to the tasks."""
     spark = df.sparkSession
-    x, y, fold = _arrays(df, feature_cols, folds, seed)
-    grid = [p | {"task": t, "fold": f} for t, p in enumerate(params) for f in range(-1, folds)]
-    done = boosting.fit_grid(spark, x, y, fold, grid).toPandas()  # probabilities of the bounded fit rows, and two models
-    p = np.zeros((len(y), len(params)))
-    for r in done[done["fold"] >= 0].itertuples(index=False):
-        p[np.asarray(r.rows, np.int64), r.task] = r.p
+    rows = cut_lineage(_with_folds(df, feature_cols, folds, seed))
     cols = [f"p{t}" for t in range(len(params))]
-    stacked = spark.createDataFrame(pd.DataFrame(p, columns=cols).assign(**{LABEL: y}))
+
+    def fit(task: tuple[int, int]):
+        t, fold = task
+        return learner(params[t], cols[t], seed).fit(rows if fold < 0 else rows.where(F.col("_fold") != fold))
+
+    tasks = [(t, fold) for fold in range(-1, folds) for t in range(len(params))]
+    fitted = dict(zip(tasks, _side_by_side(spark, tasks, fit, fits), strict=True))
+    held_out = []
+    for fold in range(folds):
+        part = rows.where(F.col("_fold") == fold)
+        for t in range(len(params)):
+            part = fitted[t, fold].transform(part)
+        held_out.append(part.select(LABEL, *cols))
     join = VectorAssembler(inputCols=cols, outputCol="features")
-    meta = RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=meta_trees, seed=seed).fit(join.transform(stacked))
-    whole = done[done["fold"] < 0].set_index("task")["model"]
-    learners = [BoostedStage(fitted=whole[t], outputCol=c) for t, c in enumerate(cols)]
-    return PipelineModel([FeatureStage(fitted=json.dumps(features), outputCol="f0"), *learners, join, meta])
+    stacked = cut_lineage(join.transform(reduce(DataFrame.unionAll, held_out)).select(LABEL, "features"))
+    meta = RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=meta_trees, seed=seed).fit(stacked)
+    stages = [FeatureStage(fitted=json.dumps(features)), VectorAssembler(inputCols=list(feature_cols), outputCol=INPUTS),
+              *(fitted[t, -1] for t in range(len(params))), join, meta]
+    path = scratch_path(spark, f"stack-{uuid.uuid4().hex}")
+    PipelineModel(stages).write().save(path)
+    return PipelineModel.load(path)
 
 
 def evaluate(model: PipelineModel, test: DataFrame) -> DataFrame:
@@ -306,30 +326,35 @@ class TrainingResult:
 
 @dataclass
 class FitInputs:
-    rows: DataFrame      # resampled fit rows
+    rows: DataFrame      # resampled training rows, all of them
+    search: DataFrame    # the bounded sample for the random search, resampled
     features: dict       # fitted numbers of the feature stage
     test_keys: DataFrame  # keys of held-out rows
 
 
-def training_inputs(approaches: DataFrame, seed: int = SEED, max_fit_rows: int = MAX_FIT_ROWS, resample: bool = True) -> FitInputs:
+def training_inputs(approaches: DataFrame, seed: int = SEED, max_search_rows: int = MAX_SEARCH_ROWS, resample: bool = True) -> FitInputs:
     medians = cut_lineage(fit_medians(engineered_features(approaches, drop=False), NUMERIC_COLUMNS))
     split = cut_lineage(training_split(approaches, seed, medians=medians))
     train = split.where(~F.col("is_test"))
     features = fit_features(train, medians)
-    rows = cut_lineage(fit_sample(encode_features(train, features), max_fit_rows, seed))
     names = model_features()
-    rows = cut_lineage(smote_tomek(rows, names, seed=seed)) if resample else rows.select(KEY, *names, LABEL)
-    return FitInputs(rows, features, split.where(F.col("is_test")).select(KEY).distinct())
+    rows = cut_lineage(unique_rows(encode_features(train, features)).select(KEY, *names, LABEL))
+    few = fit_sample(rows, max_search_rows, seed)
+    if resample:
+        few, rows = smote_tomek(few, names, seed=seed), cut_lineage(smote_tomek(rows, names, seed=seed))
+    return FitInputs(rows, few, features, split.where(F.col("is_test")).select(KEY).distinct())
 
 
 def job_training(approaches: DataFrame, params: Sequence[dict] | None = None, trials: int = TUNE_TRIALS, folds: int = TUNE_FOLDS,
-                 stack_folds: int = STACK_FOLDS, meta_trees: int = META_TREES, seed: int = SEED, max_fit_rows: int = MAX_FIT_ROWS) -> TrainingResult:
-    """Split, resample, tune both learners (unless ``params`` are given), stack, evaluate on all
-    held-out rows."""
-    got = training_inputs(approaches, seed, max_fit_rows)
+                 stack_folds: int = STACK_FOLDS, meta_trees: int = META_TREES, seed: int = SEED, max_search_rows: int = MAX_SEARCH_ROWS,
+                 spaces: Sequence[list[dict]] | None = None) -> TrainingResult:
+    """Split, resample, tune both learners on the search sample (unless ``params`` are given), stack them on all
+    training rows, evaluate on all held-out rows."""
+    got = training_inputs(approaches, seed, max_search_rows)
     names = model_features()
     if params is None:
-        params = tune(got.rows, names, [sample_params(trials, seed), sample_params(trials, seed + 1, regularised=False)], folds, seed)
+        spaces = spaces or [sample_params(trials, seed), sample_params(trials, seed + 1, regularised=False)]
+        params = tune(cut_lineage(got.search), names, spaces, folds, seed)
     model = train_stack(got.rows, names, params, got.features, stack_folds, seed, meta_trees)
     test = approaches.withColumn(KEY, row_key()).join(got.test_keys, KEY, "left_semi").drop(KEY)
     predictions = cut_lineage(evaluate(model, test))

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from conftest import SF001, SF0001
 from skyrisk.catalog import appr
-from skyrisk.operators import boosting
 from skyrisk.operators import ml as M
 from skyrisk.operators import neighbors
 from skyrisk.operators.features import stratified_split
 from skyrisk.operators.ml import knn, smote, tomek_links
 from skyrisk.plans.jobs import Paths, job_train
+from skyrisk.sources.ingest import append_table
 from skyrisk.sources.registry import load_best_model
 
 
@@ -157,7 +157,7 @@ def test_smote_query_takes_all_training_rows(spark):
 
     train = {r.y: r["count"] for r in _split(spark, SF001)[0].where("not is_test").groupBy(F.col(M.TARGET_COLUMN).alias("y")).count().collect()}
     most = max(train.values())
-    assert sum(train.values()) > M.MAX_FIT_ROWS
+    assert sum(train.values()) > M.MAX_SEARCH_ROWS
     assert {r.label: r["count"] for r in queries()["smote"](spark, SF001).groupBy("label").count().collect()} == {0.0: most, 1.0: most}
 
 
@@ -167,19 +167,7 @@ def test_places_are_the_rank_in_the_order(spark):
     assert sorted(r._at for r in got) == list(range(1000)) and all(r._at == r.h for r in got)
 
 
-def test_boosted_trees_learn_and_pack():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(2000, 4))
-    y = (x[:, 0] * x[:, 1] + 0.5 * x[:, 2] > 0).astype(float)
-    model = boosting.fit_trees(x[:1500], y[:1500], 80, 5, 0.15, 1.0)
-    p = boosting.probability(model, x[1500:])
-    assert ((p >= 0.5) == (y[1500:] == 1)).mean() > 0.9
-    assert np.allclose(p, boosting.probability(boosting.unpacked(boosting.packed(model)), x[1500:]), rtol=1e-12)
-    smooth = boosting.probability(boosting.fit_trees(x[:1500], y[:1500], 80, 5, 0.15, 1000.0), x[1500:])
-    assert np.abs(smooth - 0.5).mean() < np.abs(p - 0.5).mean()  # the penalty shrinks leaves
-
-
-SMALL = [{"trees": 20, "depth": 4, "step": 0.2, "l2": 1.0}, {"trees": 10, "depth": 3, "step": 0.3, "l2": 1.0}]
+SMALL = [{"trees": 6, "depth": 4, "step": 0.4, "gain": 1e-6}, {"trees": 5, "depth": 3, "step": 0.4}]
 
 
 @pytest.fixture(scope="module")
@@ -188,8 +176,8 @@ def trained(spark):
 
     root = scratch_path(spark, f"ml-test-{np.random.default_rng().integers(1 << 40)}")
     paths = Paths(approaches=f"{root}/approaches", training_logs=f"{root}/logs", artifacts=f"{root}/artifacts", models=f"{root}/models")
-    appr(spark, SF0001).write.parquet(paths.approaches)
-    log = job_train(spark, paths, "stack", dt.datetime(2000, 6, 20), "r1", params=SMALL, max_fit_rows=1500, meta_trees=10).collect()
+    append_table(appr(spark, SF0001), paths.approaches)  # an append, as in a job's session, must not break training
+    log = job_train(spark, paths, "stack", dt.datetime(2000, 6, 20), "r1", params=SMALL, meta_trees=10).collect()
     return paths, log
 
 
@@ -200,9 +188,9 @@ def test_training_reaches_its_floor(trained):
 
 def test_tuning_takes_the_best_candidate(spark):
     rows = spark.createDataFrame([(f"k{i}", float(i % 17), float(i % 17 > 8)) for i in range(400)], "row_key string, f0 double, label double")
-    spaces = [[{"trees": 1, "depth": 1, "step": 1e-9, "l2": 1.0}, SMALL[0]], [SMALL[1]]]
+    spaces = [[{"trees": 1, "depth": 1, "step": 0.1, "gain": 10.0}, SMALL[0]], [SMALL[1]]]
     best = M.tune(rows, ["f0"], spaces)
-    assert best[0]["trees"] == 20 and best[0]["cv_accuracy"] == 1.0 and best[1]["trees"] == 10
+    assert best[0]["trees"] == 6 and best[0]["cv_accuracy"] == 1.0 and best[1]["trees"] == 5
 
 
 def test_saved_model_predicts_the_same_in_a_new_session(spark, trained):
@@ -213,6 +201,7 @@ def test_saved_model_predicts_the_same_in_a_new_session(spark, trained):
 import json
 from skyrisk.session import local_session
 from skyrisk.operators import ml as M
+from skyrisk.sources.ingest import append_table
 from skyrisk.sources.registry import load_best_model
 s = local_session(2, 4, app="other")
 out = M.predict_batch(s.read.parquet({paths.approaches!r}), load_best_model(s.read.parquet({paths.training_logs!r})), "d")
