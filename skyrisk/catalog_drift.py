@@ -162,14 +162,15 @@ register("job_drift_tables", f"{BDP}SELECT * FROM drift_p")(_job_drift)
 
 
 def _job_risk(s, sf):
-    """J1 as the job: the week of the newest drift run, joined, scored with given weights, appended and
+    """J1 as the job: the week of the newest drift run, joined, scored with manual and with fitted weights, appended and
     read back."""
     root = scratch_path(s, f"risk-{uuid.uuid4().hex}")
     appr(s, sf).write.parquet(f"{root}/approaches")
     pred(s, sf).write.parquet(f"{root}/predictions")
     s.createDataFrame([("r", dt.datetime(2000, 6, 24, 9)), ("q", dt.datetime(2000, 7, 1, 9))], "run_id string, created_at timestamp").write.parquet(f"{root}/drift")
     paths = Paths(approaches=f"{root}/approaches", predictions=f"{root}/predictions", risk=f"{root}/risk", drift=f"{root}/drift")
-    return job_risk_analysis(s, paths, analysed_on=FX.RISK_AS_OF, dd_weights=FX.FIXED_DD_WEIGHTS)
+    return rounded(job_risk_analysis(s, paths, analysed_on=FX.RISK_AS_OF), ["RiskScorenormDDriven"], 6)
 
 
-register("job_risk_tables", f"{O.BASE_RISK}SELECT * FROM risk_late")(_job_risk)
+register("job_risk_tables", f"{O.BASE_RISK.replace('WITH', 'WITH RECURSIVE', 1).rstrip()},{O.fitted_weights('late')},{O.fitted_risk('late')} "
+                            f"SELECT * FROM risk_fitted_late")(_job_risk)

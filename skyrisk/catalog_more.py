@@ -19,7 +19,7 @@ from skyrisk.operators import metrics as M
 from skyrisk.operators import mlops as ML
 from skyrisk.operators import physics as P
 from skyrisk.operators import risk as R
-from skyrisk.schemas import DROP_COLUMNS, NUMERIC_COLUMNS
+from skyrisk.schemas import BOARDS, DROP_COLUMNS, NUMERIC_COLUMNS
 from skyrisk.sources import fixtures as FX
 from skyrisk.sources import registry as REG
 
@@ -92,9 +92,11 @@ register("risk_total", f"{BR}SELECT count(*) AS total FROM risk_analysis WHERE R
     lambda s, sf: X.risk_total(risk(s, sf), "Low Risk"))
 register("filter_category", f"{BR}SELECT * FROM risk_analysis WHERE RiskCategoryManual = 'Very Low Risk'")(
     lambda s, sf: X.filter_category(risk(s, sf), "Very Low Risk"))
+# what is known of an id, looked up for each scored row
+_SEEN = ("(SELECT *, (SELECT struct_pack(name := l.name, pho := l.is_potentially_hazardous, sentry := l.is_sentry_object) FROM latest l "
+         "WHERE l.id = risk_analysis.id) AS seen FROM risk_analysis)")
 register("risk_with_names",
-         f"{BR}SELECT scored.*, seen.name, seen.is_potentially_hazardous, seen.is_sentry_object "
-         f"FROM latest seen RIGHT JOIN risk_analysis scored USING (id)")(
+         f"{BR}SELECT * EXCLUDE (seen), seen.name AS name, seen.pho AS is_potentially_hazardous, seen.sentry AS is_sentry_object FROM {_SEEN}")(
     lambda s, sf: X.risk_with_names(risk(s, sf), appr(s, sf)))
 
 _NEWEST = "(SELECT max(risk_analysed_on_date) FROM risk_analysis)"
@@ -121,8 +123,7 @@ board AS (SELECT {BC}, risk_score_manual, risk_category_manual FROM latest LEFT
 register("leaderboard_join", f"{W(A, L, PR, RK, BOARD)}SELECT * FROM board")(
     lambda s, sf: X.leaderboard_join(appr(s, sf), risk(s, sf)))
 
-_BOARD_ORDER = {"risk": "risk_score_manual DESC NULLS LAST", "velocity": "relative_velocity_kps DESC NULLS LAST",
-                "closest": "miss_distance_km ASC NULLS LAST", "size": "max_diameter_km DESC NULLS LAST"}
+_BOARD_ORDER = {board: f"{column} {way} NULLS LAST" for board, (column, way) in BOARDS.items()}
 for _by, _top, _flt in (("risk", 100, None), ("velocity", 50, None), ("closest", 10, None), ("size", 1000, None),
                         ("risk_pho", 100, "hazardous")):
     key = _by.split("_")[0]
@@ -141,13 +142,10 @@ register("leaderboard_search",
          f"ORDER BY rank LIMIT 1000")(
     lambda s, sf: X.leaderboard(appr(s, sf), risk(s, sf), by="velocity", top=1000, sentry=False, name="ring"))
 
-_PAGE_COLUMNS = ["id", "name", "davg_m", "mass_kg", "impact_energy_j", "Enorm", "Rmoid_norm", "Phazardous", "RiskScore_raw",
-                 "RiskScorenormManual", "RiskCategoryManual", "RiskScorenormDDriven", "RiskCategoryDDriven", "risk_analysed_on_date",
-                 "is_potentially_hazardous", "is_sentry_object"]
 register("risk_page",
-         f"{BR}, placed AS (SELECT *, row_number() OVER (ORDER BY RiskScorenormManual DESC NULLS FIRST, id, risk_analysed_on_date DESC, "
-         f"RiskScore_raw DESC NULLS FIRST) AS place FROM risk_analysis) "
-         f"SELECT {', '.join(_PAGE_COLUMNS)} FROM latest RIGHT JOIN placed USING (id) WHERE place BETWEEN 51 AND 100".replace("\n, placed", ", placed"))(
+         f"{BR}SELECT * EXCLUDE (seen, place), seen.name AS name, seen.pho AS is_potentially_hazardous, seen.sentry AS is_sentry_object FROM "
+         f"(SELECT *, row_number() OVER (ORDER BY RiskScorenormManual DESC NULLS FIRST, id, risk_analysed_on_date DESC, "
+         f"RiskScore_raw DESC NULLS FIRST) AS place FROM {_SEEN}) WHERE place BETWEEN 51 AND 100")(
     lambda s, sf: X.risk_page(risk(s, sf), appr(s, sf), page=2, limit=50))
 
 NEWEST_PRED = """
@@ -437,7 +435,9 @@ def _weights_data_driven(s, sf):
     return s.createDataFrame([tuple(round(x, 6) for x in w)], "w_energy double, w_miss double, w_probability double")
 
 
-register("weights_data_driven", None)(_weights_data_driven)
+register("weights_data_driven",
+         f"{W(A, L, PR, _RL, O.fitted_weights('late')).replace('WITH', 'WITH RECURSIVE', 1)}SELECT round(w1, 6) AS w_energy, round(w2, 6) AS w_miss, "
+         f"round(w3, 6) AS w_probability FROM weights_late")(_weights_data_driven)
 # the week's job with fitted weights: what does not depend on them has an oracle
 _FITTED = ["id", "davg_m", "mass_kg", "impact_energy_j", "Enorm", "Rmoid_norm", "Phazardous", "RiskScore_raw", "RiskScorenormManual",
            "RiskCategoryManual", "risk_analysed_on_date"]

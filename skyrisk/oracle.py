@@ -172,6 +172,45 @@ risk_{t} AS (
 )"""
 
 
+def fitted_weights(t: str, steps: int = 25) -> str:
+    """CTEs (of a WITH RECURSIVE) with the data-driven weights of the run ``t``: Newton steps from zero, each the solution of
+    the four normal equations by elimination; final CTE weights_{t} (w1, w2, w3)."""
+    axes = ["1.0e0", "x1", "x2", "x3"]
+    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
+    sums = [f"sum((p - y) * {a}) + {'b' + str(i) if i else '0.0e0'} AS g{i}" for i, a in enumerate(axes)]
+    sums += [f"sum(p * (1.0e0 - p) * {axes[i]} * {axes[j]}) + {1.0 if i == j and i else 0.0}e0 AS h{i}{j}" for i, j in pairs]
+    names = "k, b0, b1, b2, b3"
+    p = "1.0e0 / (1.0e0 + exp(-(b0 + b1 * x1 + b2 * x2 + b3 * x3)))"
+    layer = f"SELECT {names}, {', '.join(sums)} FROM (SELECT {names}, x1, x2, x3, y, {p} AS p FROM newton_{t} CROSS JOIN obs_{t} WHERE k < {steps}) GROUP BY {names}"
+    for pivot in range(3):  # rows below the pivot lose its column
+        rest = range(pivot + 1, 4)
+        changed = {f"g{i}": f"g{i} - h{pivot}{i} / h{pivot}{pivot} * g{pivot}" for i in rest}
+        changed |= {f"h{i}{j}": f"h{i}{j} - h{pivot}{i} / h{pivot}{pivot} * h{pivot}{j}" for i in rest for j in rest if j >= i}
+        kept = [f"g{i}" for i in range(4)] + [f"h{i}{j}" for i, j in pairs]
+        layer = f"SELECT {names}, {', '.join(f'{changed.get(c, c)} AS {c}' for c in kept)} FROM ({layer})"
+    for i in (3, 2, 1, 0):
+        later = "".join(f" - h{i}{j} * d{j}" for j in range(i + 1, 4))
+        layer = f"SELECT *, (g{i}{later}) / h{i}{i} AS d{i} FROM ({layer})"
+    return f"""
+obs_{t} AS (SELECT coalesce(Enorm, 0.0e0) AS x1, coalesce(Rmoid_norm, 0.0e0) AS x2, coalesce(Phazardous, 0.0e0) AS x3,
+                   CASE WHEN is_potentially_hazardous THEN 1.0e0 ELSE 0.0e0 END AS y FROM rnorm_{t} WHERE is_potentially_hazardous IS NOT NULL),
+newton_{t}(k, b0, b1, b2, b3) AS (
+  SELECT 0, 0.0e0, 0.0e0, 0.0e0, 0.0e0 UNION ALL
+  SELECT k + 1, b0 - d0, b1 - d1, b2 - d2, b3 - d3 FROM ({layer})),
+weights_{t} AS (
+  SELECT abs(b1) / s AS w1, abs(b2) / s AS w2, abs(b3) / s AS w3 FROM (SELECT *, abs(b1) + abs(b2) + abs(b3) AS s FROM newton_{t} WHERE k = {steps}))"""
+
+
+def fitted_risk(t: str) -> str:
+    """CTE risk_fitted_{t}: the run's rows with its own data-driven weights; normalised score to six decimals."""
+    norm = normalised("raw", "min(raw) OVER ()", "max(raw) OVER ()")
+    cols = "id, davg_m, mass_kg, impact_energy_j, Enorm, Rmoid_norm, Phazardous, RiskScore_raw, RiskScorenormManual, RiskCategoryManual"
+    return f"""
+scored_{t} AS (SELECT *, (w1 * Enorm + w2 * Rmoid_norm) + w3 * Phazardous AS raw FROM risk_{t} CROSS JOIN weights_{t}),
+risk_fitted_{t} AS (SELECT {cols}, round(dd, 6) AS RiskScorenormDDriven, {risk_category('dd')} AS RiskCategoryDDriven, risk_analysed_on_date
+                    FROM (SELECT *, {norm} AS dd FROM scored_{t}))"""
+
+
 RISK = (risk_run("early", RISK_EARLIER_AS_OF) + "," + risk_run("late", RISK_AS_OF) + """,
 risk_analysis AS (SELECT * FROM risk_early UNION ALL SELECT * FROM risk_late)""")
 

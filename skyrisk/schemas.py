@@ -51,6 +51,13 @@ BADGE_THRESHOLD = 0.5
 PAGE_LIMIT_RANGE = (1, 1000)
 TOP_RANGE = (10, 1000)
 COMPARE_CAP = 6
+# leaderboards: ranked column and direction, nulls last
+BOARDS = {
+    "risk": ("risk_score_manual", "DESC"),
+    "velocity": ("relative_velocity_kps", "DESC"),
+    "closest": ("miss_distance_km", "ASC"),
+    "size": ("max_diameter_km", "DESC"),
+}
 ALERT_SLOTS = 10
 ALERT_PAD = "—"
 NAME_SHORTEN_AT = 20
