@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 
 from skyrisk import oracle as O
 from skyrisk.catalog import appr, register
+from skyrisk.operators import explore as X
 from skyrisk.operators.explore import LATEST_COLUMNS
 from skyrisk.plans.jobs import Paths, job_ingest_week
 from skyrisk.session import scratch_path
 from skyrisk.sources import fixtures as FX
 from skyrisk.sources import ingest as IN
+from skyrisk.sources.ledger import Ledger
+from skyrisk.sources.weeks import write_weeks
 from skyrisk.streaming import new_ids as ST
 
 W = O.with_
@@ -81,8 +84,10 @@ register("append_dedupe", f"{W(O.APPROACHES)}SELECT * FROM approaches")(_append_
 
 def _dual(s, sf):
     pa, pb = _scratch(s, "dual-a"), _scratch(s, "dual-b")
-    IN.append_both(appr(s, sf), pa, pb)
-    return s.read.parquet(pa).unionByName(s.read.parquet(pb))
+    a, ledger = appr(s, sf), _scratch(s, "dual-ledger")
+    for _ in range(2):  # the second time nothing is added
+        IN.append_both(a, pa, pb, ledger, "run-1")
+    return Ledger(s, ledger).read(pa, a.schema).unionByName(Ledger(s, ledger).read(pb, a.schema))
 
 
 register("dual_sink", f"{W(O.APPROACHES)}SELECT * FROM approaches UNION ALL SELECT * FROM approaches")(_dual)
@@ -153,11 +158,51 @@ def _events(s, sf):
 register("stream_new_id_events", f"{W(O.APPROACHES, _L1)}SELECT 'new_asteroid' AS event, {', '.join(_PAYLOAD)} FROM l2")(_events)
 
 
+LIVE_DROPS = ["1993-01-01", "1995-06-01", "9999-12-31"]  # three drops: rows before each date that came in no earlier one
+
+
 def _live_count(s, sf):
-    return _run_new_ids_table(s, sf, with_baseline=False).agg(F.count("id").alias("live_count"))
+    """Three drops, each counted by its own run over the same state: the ids seen so far after each."""
+    root = _scratch(s, "live")
+    a = appr(s, sf)
+    counts = ST.live_count(s.readStream.schema(a.schema).parquet(f"{root}/in/*"))
+    for n, (first, after) in enumerate(zip([""] + LIVE_DROPS, LIVE_DROPS, strict=False)):
+        a.where((F.col("close_approach_date") >= first) & (F.col("close_approach_date") < after)).write.parquet(f"{root}/in/d{n}")
+        ST.run_live_count(counts, f"{root}/counts", f"{root}/ckpt")
+    return ST.live_counts(s, f"{root}/counts")
+
+
+register("stream_live_count",
+         f"{W(O.APPROACHES)}SELECT CAST(n AS BIGINT) AS batch_id, (SELECT count(DISTINCT id) FROM approaches WHERE close_approach_date < after) AS live_count "
+         f"FROM (VALUES {', '.join(f"({n}, '{d}')" for n, d in enumerate(LIVE_DROPS))}) t(n, after)")(_live_count)
+
+
+def _by_week(s, sf):
+    path = _scratch(s, "weeks")
+    write_weeks(appr(s, sf), path)
+    return s.read.parquet(path)
+
+
+register("week_partitions", f"{W(O.APPROACHES)}SELECT *, CAST(date_trunc('week', CAST(close_approach_date AS DATE)) AS VARCHAR)[:10] AS approach_week FROM approaches")(_by_week)
+register("week_window_pruned", f"{W(O.APPROACHES)}SELECT id, close_approach_date, epoch_date_close_approach FROM approaches WHERE {O.week_filter(FX.RISK_AS_OF)}")(
+    lambda s, sf: X.week_window(_by_week(s, sf), FX.RISK_AS_OF).select("id", "close_approach_date", "epoch_date_close_approach"))
+
+
+def _committed_runs(s, sf):
+    """Two runs, the second started twice, one that stopped before its commit, and the first two compacted: one copy."""
+    root = _scratch(s, "ledger")
+    a = appr(s, sf)
+    ledger, table = Ledger(s, f"{root}/ledger"), f"{root}/table"
+    ledger.append("before", {table: a.where(F.col("close_approach_date") < DROP_AT)})
+    after = a.where(F.col("close_approach_date") >= DROP_AT)
+    after.write.parquet(f"{table}/run=after/attempt=stopped")
+    ledger.append("after", {table: after})
+    ledger.append("after", {table: after})
+    ledger.compact(table, a.schema, "both")
+    return ledger.read(table, a.schema)
 
 
-register("stream_live_count", f"{W(O.APPROACHES)}SELECT count(DISTINCT id) AS live_count FROM approaches")(_live_count)
+register("ledger_append", f"{W(O.APPROACHES)}SELECT * FROM approaches")(_committed_runs)
 
 
 def _feed_ingest(s, sf):

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from skyrisk.schemas import APPROACH_COLUMNS, FEED
 from skyrisk.session import cut_lineage
+from skyrisk.sources.ledger import Ledger
 
 
 def _to_double_or_zero(c) -> F.Column:
@@ -121,8 +122,11 @@ def append_table(df: DataFrame, path: str, dedupe_keys: Sequence[str] | None = N
     return _written_rows(batch, [path])
 
 
-def append_both(df: DataFrame, path_a: str, path_b: str) -> int:
-    """Same batch appended to two tables: materialised once in the shared folder, so both get the same rows."""
+def append_both(df: DataFrame, path_a: str, path_b: str, ledger: str | None = None, run_id: str | None = None) -> int:
+    """Same batch appended to two tables: materialised once in the shared folder, so both get the same rows.  With a
+    ``ledger`` both are committed together under ``run_id``, once (see :mod:`skyrisk.sources.ledger`)."""
+    if ledger is not None:
+        return Ledger(df.sparkSession, ledger).append(run_id, {path_a: df, path_b: df})[path_a]
     return _written_rows(cut_lineage(df), [path_a, path_b])
 
 

@@ -90,22 +90,30 @@ def run_available(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet
     q.awaitTermination()
 
 
-def live_count_sink(events: DataFrame, path: str, checkpoint: str) -> None:
-    """H4: per micro-batch count of announced ids, appended as (batch_id, new_ids); the live
-    counter is the running sum.  Idempotent per batch id (overwrite of the batch's folder)."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.agg(F.count(F.lit(1)).alias("new_ids")).select(F.lit(batch_id).cast("long").alias("batch_id"), "new_ids") \
-            .write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def live_count(stream: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """H4: the running number of ids a stream has shown, a streaming aggregate for complete mode.  The first sighting of
+    an id is kept in state, once for each id; with ``baseline`` its ids are not counted."""
+    src = stream.select("id").where(F.col("id").isNotNull())
+    if baseline is not None:
+        src = src.join(baseline.select("id").distinct(), "id", "left_anti")
+    return src.dropDuplicates(["id"]).agg(F.count(F.lit(1)).alias("live_count"))
 
-    q = (events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+
+def run_live_count(counts: DataFrame, path: str, checkpoint: str) -> None:
+    """Every micro-batch writes the count so far to ``batch=<id>``, a row for each batch.  State and batch ids come
+    from the checkpoint, so a batch that is run again writes the same row to the same place."""
+    q = (counts.writeStream.outputMode("complete").foreachBatch(lambda batch, i: put_live_count(batch, i, path))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def live_total(spark: SparkSession, path: str) -> DataFrame:
-    counts = spark.read.parquet(path)
-    return counts.agg(F.coalesce(F.sum("new_ids"), F.lit(0)).alias("live_count"),
-                      F.count(F.lit(1)).alias("batches"))
+def put_live_count(batch: DataFrame, batch_id: int, path: str) -> None:
+    batch.select(F.lit(batch_id).cast("long").alias("batch_id"), "live_count").coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def live_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``batch_id, live_count`` of every batch so far."""
+    return spark.read.schema("batch_id long, live_count long").parquet(f"{path}/batch=*")
 
 
 def stream_feed_ingest(spark: SparkSession, in_dir: str, path_a: str, path_b: str, checkpoint: str) -> None:
