@@ -128,10 +128,11 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, batch.column("doc_id").take(pa.array(row, pa.int64()))], names=[*out, "doc_id"])
 
 
-def _at_places(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """Documents with the ``places`` listed for them (``at_id, at_key, places``)."""
-    own = small(written(places, "places")[0])
-    return docs.join(own, (F.col("doc_id") == F.col("at_id")) & (F.col("tkey") == F.col("at_key"))).select("doc_id", "tkey", "text", "places")
+def _at_places(docs: DataFrame, places: DataFrame) -> tuple[DataFrame, str]:
+    """Documents with the ``places`` listed for them (``at_id, at_key, places``), and the path of the list."""
+    own, path = written(places, "places")
+    held = docs.join(small(own), (F.col("doc_id") == F.col("at_id")) & (F.col("tkey") == F.col("at_key")))
+    return held.select("doc_id", "tkey", "text", "places"), path
 
 
 def _solver(kernel: Kernel):
@@ -157,37 +158,44 @@ def repeated_spans(docs: DataFrame, kernel: Kernel) -> DataFrame:
 
 
 def _spans(docs: DataFrame, kernel: Kernel) -> DataFrame:
-    id_type = docs.schema["doc_id"].dataType
+    """Working tables are dropped after their last reader, so that they don't add up."""
+    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType
     row = T.StructType([*(T.StructField(n, T.LongType()) for n in ("mini", "h1", "h2")), T.StructField("doc_id", id_type), T.StructField("tkey", T.IntegerType()),
                         *(T.StructField(n, T.IntegerType()) for n in ("start", "windows", "anchor"))])
     cut, p1 = written(docs.mapInArrow(_cut, row), "segments")
     shared = cut.groupBy("mini").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("mini")
-    shared, _ = written(shared, "shared")  # so that the join has an exchange of its own on both sides and a hot anchor can be split
-    some, _ = written(cut.join(small(shared), "mini", "left_semi"), "shared")
-    dropped(docs.sparkSession, p1)  # the largest working table
+    shared, p2 = written(shared, "shared")  # so that the join has an exchange of its own on both sides and a hot anchor can be split
+    some, _ = written(cut.join(shared, "mini", "left_semi"), "shared")
+    dropped(spark, p1, p2)  # the largest working tables
 
     group = lambda rows: rows.groupBy("mini", "h1", "h2").agg(
         F.min(F.struct("doc_id", "tkey", "start")).alias("at"), F.first("windows").alias("windows"), F.first("anchor").alias("anchor"))
-    distinct, _ = written(group(some), "distinct")
+    distinct, p3 = written(group(some), "distinct")
     hot, _ = written(distinct.groupBy("mini").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("mini"), "hot")
     if not hot.isEmpty():
         many = some.join(small(hot), "mini", "left_semi")
         lists = many.groupBy(F.col("doc_id").alias("at_id"), F.col("tkey").alias("at_key")).agg(F.collect_list(F.struct("start", "windows")).alias("places"))
-        single, _ = written(_at_places(docs, lists).mapInArrow(_single_windows, row), "single")
+        held, p4 = _at_places(docs, lists)
+        single, _ = written(held.mapInArrow(_single_windows, row), "single")
         some = some.join(small(hot), "mini", "left_anti").unionAll(single)
-        distinct = distinct.join(small(hot), "mini", "left_anti").unionAll(group(single))
-        distinct, _ = written(distinct, "distinct")
+        cold, p5 = distinct.join(small(hot), "mini", "left_anti").unionAll(group(single)), p3
+        distinct, p3 = written(cold, "distinct")
+        dropped(spark, p4, p5)
 
     lists = distinct.groupBy(F.col("at.doc_id").alias("at_id"), F.col("at.tkey").alias("at_key")).agg(
         F.collect_list(F.struct("mini", "h1", "h2", "anchor", "windows", "at.start")).alias("places"))
     text = T.StructType([*row.fields[:3], T.StructField("anchor", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("doc_id", id_type)])
-    worded, _ = written(_at_places(docs, lists).mapInArrow(_words, text), "words")
+    held, p4 = _at_places(docs, lists)
+    worded, p5 = written(held.mapInArrow(_words, text), "words")
+    dropped(spark, p3, p4)
     shards = max(1, -(-worded.count() // SHARD_SEGMENTS))
     answer = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("runs", T.ArrayType(T.StructType(
         [T.StructField("from", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("least", id_type)])))])
     solved, _ = written(worded.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards))).groupBy("shard").applyInPandas(_solver(kernel), answer), "answers")
+    dropped(spark, p5)
 
-    runs = (some.select("h1", "h2", "doc_id", "tkey", "start").join(solved.dropDuplicates(["h1", "h2"]), ["h1", "h2"])
+    # one answer for each segment's words; both sides have exchanges of their own, so a hot segment can be split
+    runs = (some.select("h1", "h2", "doc_id", "tkey", "start").join(solved, ["h1", "h2"])
             .select("doc_id", "tkey", "start", F.filter("runs", lambda r: r["least"] < F.col("doc_id")).alias("runs")).where(F.size("runs") > 0))
     spans = runs.select("doc_id", "tkey", F.explode(F.transform("runs", lambda r: F.struct(
         (F.col("start") + r["from"]).alias("from"), (F.col("start") + r["from"] + r["n"] + (WINDOW - 1)).alias("to")))).alias("span"))
