@@ -39,7 +39,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = linededup.dedup_lines(docs, keep=_others(docs))
-    return _with_text(done.where((F.col("n_removed") == 0) | (F.trim("text") != "")), docs, F.col("n_removed") > 0)
+    left = F.col("text").rlike("[^ \\t-\\r]")  # something but white space
+    return _with_text(done.where((F.col("n_removed") == 0) | left), docs, F.col("n_removed") > 0)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
