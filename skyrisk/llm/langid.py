@@ -40,6 +40,9 @@ from skyrisk.llm.common import held_in_worker, id_text
 FIT_ROWS = 1500
 FIT_CHARS = 20_000
 MAX_GRAMS = 200_000
+LEAST_GRAMS = 1000
+TOGETHER = 6
+SIDE_BY_SIDE = 256
 PENALTY = 9.0
 FLOOR = -5.0
 SCRIPT_SHARE = 0.001
@@ -69,6 +72,11 @@ def words_of(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
+def _scored_words(text: str | None) -> list[str]:
+    words = words_of(text)
+    return words if all(map(str.isalpha, words)) else [w for w in words if any(map(str.isalpha, w))]
+
+
 def grams_of(word: str) -> list[str]:
     marked = f"^{word}$"
     return [marked[i:i + 3] for i in range(len(word))]
@@ -90,14 +98,14 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def fit_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``lang, text`` of the bounded sample."""
     own = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    own = own.where(F.col("lang").isNotNull() & F.col("i").isNotNull() & ~held_out("i") & (F.length("text") <= FIT_CHARS))
-    own = own.withColumn("h", F.xxhash64(F.col("i").cast("string")))
+    own = own.where(F.col("lang").isNotNull() & F.col("i").isNotNull() & F.col("text").isNotNull() & ~held_out("i"))
+    own = own.withColumn("h", F.xxhash64(F.col("i").cast("string"))).withColumn("at", F.struct(F.length("text") > FIT_CHARS, "h"))
     # of a frequent language only a hash range that holds about four times the sample is ranked
     share = own.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), 4.0 * FIT_ROWS / F.col("n")).alias("share"))
-    few = own.select("lang", "h").join(F.broadcast(share), "lang").where(F.col("h") <= F.lit(-2.0**63) + F.col("share") * 2.0**64)
-    first = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= FIT_ROWS)
-    upto = first.groupBy("lang").agg(F.max("h").alias("upto"))  # a row for each language
-    return own.join(F.broadcast(upto), "lang").where(F.col("h") <= F.col("upto")).select("lang", "text")
+    few = own.select("lang", "h", "at").join(F.broadcast(share), "lang").where(F.col("h") <= F.lit(-2.0**63) + F.col("share") * 2.0**64)
+    first = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("at"))).where(F.col("k") <= FIT_ROWS)
+    upto = first.groupBy("lang").agg(F.max("at").alias("upto"), F.max("h").alias("range"))  # a row for each language
+    return own.join(F.broadcast(upto), "lang").where((F.col("at") <= F.col("upto")) & (F.col("h") <= F.col("range"))).select("lang", "text")
 
 
 def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,7 +121,9 @@ def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(docs: DataFrame, **cols) -> Model:
     counts = fit_rows(docs, **cols).mapInPandas(_counts, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("kind"), F.desc("n"), "lang", "key").limit(MAX_GRAMS).collect()
+    counts = counts.withColumn("k", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")))
+    names = F.broadcast(counts.agg(F.greatest(F.lit(LEAST_GRAMS), F.floor(MAX_GRAMS / F.greatest(F.lit(1), F.countDistinct("lang")))).alias("most")))
+    rows = counts.join(names, (F.col("kind") == "s") | (F.col("k") <= F.col("most"))).orderBy("lang", "kind", "key").collect()
     langs = sorted({r.lang for r in rows})
     at = {x: i for i, x in enumerate(langs)}
     grams: dict[str, int] = {}
@@ -132,17 +142,23 @@ def fit(docs: DataFrame, **cols) -> Model:
     return Model(langs, grams, logs.astype(np.float32), {s: (x >= SCRIPT_SHARE * np.maximum(total, 1)).tolist() for s, x in scripts.items()})
 
 
-def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """The best language of each word (row of log posteriors); one constant path where that is best."""
-    if not len(scores):
-        return np.zeros(0, np.int8)
+def _constant(scores: np.ndarray, penalty: float) -> int | None:
+    """The language of the whole text, if no path with a switch can be better."""
     best = int(scores.sum(0).argmax())
     gain = np.cumsum(scores - scores[:, best:best + 1], axis=0, dtype=np.float64)
     low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-    if float((gain - low).max()) <= penalty / 2:
-        return np.full(len(scores), best, np.int8)
+    return best if float((gain - low).max()) <= penalty / 2 else None
+
+
+def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+    """The best language of each word (row of log posteriors); one constant path where that is best."""
+    if not len(scores):
+        return np.zeros(0, np.int16)
+    best = _constant(scores, penalty)
+    if best is not None:
+        return np.full(len(scores), best, np.int16)
     n = scores.shape[1]
-    back = np.empty(scores.shape, np.int8)
+    back = np.empty(scores.shape, np.int16)
     now = scores[0].tolist()
     for i, row in enumerate(scores.tolist()):
         if i:
@@ -150,13 +166,59 @@ def viterbi(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
             other = now[top] - penalty
             back[i] = [l if now[l] >= other else top for l in range(n)]
             now = [max(now[l], other) + row[l] for l in range(n)]
-    path = np.empty(len(scores), np.int8)
+    path = np.empty(len(scores), np.int16)
     path[-1] = max(range(n), key=now.__getitem__)
     for i in range(len(scores) - 1, 0, -1):
         path[i - 1] = back[i, path[i]]
     return path
 
 
+def viterbi_of_all(lists: list[np.ndarray], penalty: float = PENALTY) -> list[np.ndarray]:
+    """:func:`viterbi` of several texts: those that need steps make each step together, longest first; of the
+    longest, which have nobody to step with, each goes alone."""
+    out: list[np.ndarray | None] = [None] * len(lists)
+    slow = []
+    for i, scores in enumerate(lists):
+        best = _constant(scores, penalty) if len(scores) else 0
+        if best is None:
+            slow.append(i)
+        else:
+            out[i] = np.full(len(scores), best, np.int16)
+    slow.sort(key=lambda i: -len(lists[i]))
+    alone = slow[:TOGETHER] if len(slow) > TOGETHER else slow
+    for i in alone:
+        out[i] = viterbi(lists[i], penalty)
+    slow = slow[len(alone):]
+    if not slow:
+        return out
+    size = np.array([len(lists[i]) for i in slow])
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    flat = np.concatenate([lists[i] for i in slow]).astype(np.float64)
+    n = flat.shape[1]
+    back, own = np.empty(flat.shape, np.int16), np.arange(n, dtype=np.int16)
+    now = flat[begin]
+    active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # how many texts are longer than each place
+    for t in range(1, size[0]):
+        a = active[t]
+        top = now[:a].argmax(1)
+        other = (now[np.arange(a), top] - penalty)[:, None]
+        stays = now[:a] >= other
+        at = begin[:a] + t
+        back[at] = np.where(stays, own, top[:, None])
+        now[:a] = np.where(stays, now[:a], other) + flat[at]
+    path = np.empty(len(flat), np.int16)
+    last = now.argmax(1)
+    path[begin + size - 1] = last
+    for t in range(size[0] - 1, 0, -1):
+        a = active[t]
+        at = begin[:a] + t
+        last[:a] = back[at, last[:a]]
+        path[at - 1] = last[:a]
+    for i, a, k in zip(slow, begin.tolist(), size.tolist(), strict=True):
+        out[i] = path[a:a + k]
+    return out
+
+
 class Scorer:
     """Log posteriors of words, cached in each worker up to ``CACHE_WORDS``."""
 
@@ -214,23 +276,24 @@ def label(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        scorer = held_in_worker("langid", m.name, lambda: Scorer(m))
+        scorer, none = held_in_worker("langid", m.name, lambda: Scorer(m)), np.zeros((0, max(1, len(m.langs))), np.float32)
         for batch in batches:
             lang, score, found = [], [], []
-            for text in batch.column("text").to_pylist():
-                words = [w for w in words_of(text) if w[0].isalpha() or any(map(str.isalpha, w))]
-                if not words or not m.langs:
-                    lang.append(UNKNOWN)
-                    score.append(0.0)
-                    found.append([])
-                    continue
-                path = viterbi(scorer.scores(words), penalty)
-                n = np.bincount(path, minlength=len(m.langs))
-                lang.append(m.langs[int(n.argmax())])
-                score.append(float(n.max() / len(words)))
-                if spans:
-                    cut = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
-                    found.append([{"from": a, "to": b, "lang": m.langs[path[a]]} for a, b in zip(cut, cut[1:])])
+            texts = batch.column("text")
+            for at in range(0, len(texts), SIDE_BY_SIDE):
+                lists = [_scored_words(t) for t in texts[at:at + SIDE_BY_SIDE].to_pylist()] if m.langs else [[]] * len(texts[at:at + SIDE_BY_SIDE])
+                for words, path in zip(lists, viterbi_of_all([scorer.scores(w) if w else none for w in lists], penalty), strict=True):
+                    if not words:
+                        lang.append(UNKNOWN)
+                        score.append(0.0)
+                        found.append([])
+                        continue
+                    n = np.bincount(path, minlength=len(m.langs))
+                    lang.append(m.langs[int(n.argmax())])
+                    score.append(float(n.max() / len(words)))
+                    if spans:
+                        cut = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
+                        found.append([{"from": a, "to": b, "lang": m.langs[path[a]]} for a, b in zip(cut, cut[1:])])
             columns = [batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
             columns += [pa.array(found, arrow_span)] if spans else []
             columns += [batch.column(f.name) for f in extra]

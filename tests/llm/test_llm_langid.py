@@ -84,3 +84,47 @@ def test_viterbi_is_optimal():
         scores, penalty = rng.normal(size=(n, k)) * 3, float(rng.random() * 6)
         best = max(value(scores, np.array(p), penalty) for p in np.ndindex(*(k,) * n))
         assert abs(value(scores, L.viterbi(scores, penalty).astype(int), penalty) - best) < 1e-9
+
+
+def test_texts_side_by_side_give_the_same_paths():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5, 200):
+        lists = [np.maximum(rng.normal(size=(int(k), n)).astype(np.float32) * 3, -5) for k in rng.integers(0, 60, size=40)] + [np.zeros((300, n), np.float32)]
+        for penalty in (0.5, 3.0, 9.0):
+            for a, b in zip(L.viterbi_of_all(lists, penalty), (L.viterbi(x, penalty) for x in lists), strict=True):
+                assert a.dtype == b.dtype and (a == b).all()
+
+
+def test_many_languages_and_long_texts_only(spark, monkeypatch):
+    """150 languages with words of their own, one of them with long texts only, one far more frequent than all others."""
+    monkeypatch.setattr(L, "FIT_CHARS", 400)
+    monkeypatch.setattr(L, "MAX_GRAMS", 3000)
+    monkeypatch.setattr(L, "LEAST_GRAMS", 20)
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:03d}": ["".join(rng.choices(letters, k=6)) for _ in range(4)] for k in range(150)}
+    data = []
+    for k, lang in enumerate(words):
+        for _ in range(60 if k == 0 else 8):
+            n = 200 if k == 149 else rng.randrange(8, 20)
+            data.append((len(data), " ".join(rng.choices(words[lang], k=n)), lang))
+    held = [(d, lang) for d, _, lang in data if zlib.crc32(str(d).encode()) % 4 == 2]
+    got = {r.doc_id: r.lang_pred for r in L.predict(table(spark, data)).collect()}
+    assert np.mean([got[d] == lang for d, lang in held]) > 0.95
+    assert all(got[d] == "l149" for d, lang in held if lang == "l149")
+
+
+def test_share_of_words_decides_what_the_pipeline_keeps(spark):
+    """Against counting by hand: the label of most words and its share, from each word's own path."""
+    data = rows()
+    docs = table(spark, data)
+    model = L.fit(docs)
+    scorer = L.Scorer(model)
+    want = set()
+    for d, text, _ in data:
+        words = L.words_of(text)
+        if words:
+            path = L.viterbi(scorer.scores(words)).tolist()
+            if max(path.count(k) for k in set(path)) >= 0.5 * len(path):
+                want.add(d)
+    assert {r.doc_id for r in L.known_language(docs).collect()} == want
