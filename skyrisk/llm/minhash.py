@@ -13,7 +13,7 @@ one run), each weighted by its count.  Two documents are linked if their weighte
 3. ``BANDS`` bands of ``ROWS`` coordinates each are hashed to buckets.  No bucket emits all its pairs.
    First each node is paired with the smallest bucket fellow it has and with its neighbours in the
    bucket, ordered by the following bands, so that the most alike stand together.  Then, round by round,
-   nodes up to ``REACH`` apart in a newly hashed order that are in different components are paired, while
+   nodes up to ``ROUND_REACH`` apart in a newly hashed order that are in different components are paired, while
    at least one pair in ``YIELD`` is a link.  These rounds only make large groups of near copies few nodes.
 4. What is left is finished exactly: in buckets of up to ``REACH`` + 1 nodes all pairs of different
    components, held in one task; the nodes of larger buckets are joined on the rarest shingles of each
@@ -47,6 +47,7 @@ SHINGLE = 5
 SIMILARITY = (4, 5)
 BANDS, ROWS = 26, 5
 REACH = 16
+ROUND_REACH = 4
 YIELD = 100
 CELLS = 1 << 20
 SLICE_PAIRS = 200_000
@@ -385,7 +386,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if turn and linked * YIELD < done.count():
             break
         turn += 1
-        new = _neighbours(mixed, [F.xxhash64("node", F.lit(turn))], REACH)
+        new = _neighbours(mixed, [F.xxhash64("node", F.lit(turn))], ROUND_REACH)
         pairs = written(new.join(small(tried.select("a", "b")), ["a", "b"], "left_anti"), "pairs")[0]
     if tried is not None and not mixed.isEmpty():
         labels = _finished(mixed, labels, texts, tried.select("a", "b"))
