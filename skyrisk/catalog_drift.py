@@ -17,12 +17,14 @@ from skyrisk import oracle as O
 from skyrisk.catalog import appr, logs, pred, register
 from skyrisk.catalog_more import rounded
 from skyrisk.functions.special import chi2_sf
-from skyrisk.operators.explore import category_union
+from skyrisk.operators.explore import category_union, training_cutoff
 from skyrisk.operators import drift as D
 from skyrisk.operators import mlops as ML
+from skyrisk.operators.profile import drift_from_profile, update_profile
 from skyrisk.plans.jobs import Paths, drift_inputs, drift_rows, job_drift, job_risk_analysis
 from skyrisk.session import scratch_path
 from skyrisk.sources import fixtures as FX
+from skyrisk.sources.weeks import write_weeks
 
 W = O.with_
 RUN_A = ("drift-run-a", "2000-05-22 00:00:00", "model_name <> 'best_model_24'")
@@ -161,6 +163,22 @@ def _job_drift(s, sf):
 register("job_drift_tables", f"{BDP}SELECT * FROM drift_p")(_job_drift)
 
 
+def _profiled(s, sf):
+    """Two landings of the fact table by week, the profile updated after each, and the report from it."""
+    root = scratch_path(s, f"profile-{uuid.uuid4().hex}")
+    fact, profile, ledger, a = f"{root}/fact", f"{root}/profile", f"{root}/ledger", appr(s, sf)
+    first = F.col("close_approach_date") < PROFILE_FROM
+    for rows in (a.where(first), a.where(~first)):
+        write_weeks(rows, fact)
+        update_profile(s, fact, profile, ledger)
+    cutoff = training_cutoff(_logs(s, sf, True)).first()["model_last_trained"]
+    return rounded(drift_from_profile(s, profile, ledger, cutoff, RUN_B[0], RUN_B[1]), ["psi", "chi2_stat", "chi2_p_value"])
+
+
+PROFILE_FROM = "2000-07-03"  # a Monday
+register("drift_profile", f"{BDP}SELECT * FROM drift_p")(_profiled)
+
+
 def _job_risk(s, sf):
     """J1 as the job: the week of the newest drift run, joined, scored with manual and with fitted weights, appended and
     read back."""

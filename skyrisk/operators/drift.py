@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,7 +109,7 @@ def psi_numeric_bins(counts: DataFrame, buckets: int = NUMERIC_BUCKETS) -> DataF
     return g.join(tot, "feature")
 
 
-def psi_numeric(base_long: DataFrame, new_long: DataFrame, buckets: int = NUMERIC_BUCKETS, counts: DataFrame | None = None) -> DataFrame:
+def psi_numeric(base_long: DataFrame | None, new_long: DataFrame | None, buckets: int = NUMERIC_BUCKETS, counts: DataFrame | None = None) -> DataFrame:
     """(feature, psi) with bins on baseline quantiles."""
     g = psi_numeric_bins(counts if counts is not None else value_counts(base_long, new_long), buckets)
     return g.groupBy("feature").agg(F.sum(_psi_terms("b", "n", "btot", "ntot")).alias("psi"))
@@ -117,19 +117,25 @@ def psi_numeric(base_long: DataFrame, new_long: DataFrame, buckets: int = NUMERI
 
 def category_counts(base_long: DataFrame, new_long: DataFrame) -> DataFrame:
     """(feature, category, b, n) over the union of categories, zero-filled, plus side totals."""
+    return with_totals(category_sides(base_long, new_long))
+
+
+def category_sides(base_long: DataFrame, new_long: DataFrame) -> DataFrame:
     tagged = (base_long.select("feature", "category", F.lit(True).alias("_base"))
               .unionByName(new_long.select("feature", "category", F.lit(False).alias("_base"))))
-    c = tagged.groupBy("feature", "category").agg(F.count_if(F.col("_base")).alias("b"),
-                                                  F.count_if(~F.col("_base")).alias("n"))
+    return tagged.groupBy("feature", "category").agg(F.count_if(F.col("_base")).alias("b"), F.count_if(~F.col("_base")).alias("n"))
+
+
+def with_totals(c: DataFrame) -> DataFrame:
     tot = c.groupBy("feature").agg(F.sum("b").alias("btot"), F.sum("n").alias("ntot"),
                                    F.count(F.lit(1)).alias("k"))
     return c.join(tot, "feature")
 
 
-def categorical_stats(base_long: DataFrame, new_long: DataFrame) -> DataFrame:
+def categorical_stats(base_long: DataFrame | None, new_long: DataFrame | None, counts: DataFrame | None = None) -> DataFrame:
     """(feature, psi, chi2_masked, chi2_stat, dof, baseline_count, new_count): PSI on proportions; chi-square with expected =
     baseline share x new total, masked (expected 0 skipped) and floored at 1e-12 (for the test)."""
-    c = category_counts(base_long, new_long)
+    c = with_totals(counts) if counts is not None else category_counts(base_long, new_long)
     expected = F.col("b") / F.greatest(F.col("btot"), F.lit(1)).cast("double") * F.col("ntot")
     floored = F.greatest(expected, F.lit(PSI_EPS))
     masked = F.when(expected > 0, (F.col("n") - expected) * (F.col("n") - expected) / expected).otherwise(F.lit(0.0))
@@ -146,21 +152,27 @@ def drift_report(base: DataFrame, new: DataFrame, run_id: str, created_at: dt.da
                  exclude: Sequence[str] | None = None, with_p_value: bool = True) -> DataFrame:
     """One row per feature (numeric first, then categorical); features with an empty side skipped."""
     b, n, num, cat = align_columns(base, new, include, exclude)
+    values = value_counts(numeric_long(b, num), numeric_long(n, num)) if num else None
+    categories = category_sides(categorical_long(b, cat), categorical_long(n, cat)) if cat else None
+    return report_from_counts(base.sparkSession, values, categories, run_id, created_at, numeric_buckets, psi_warn, psi_alert, chi2_alpha, with_p_value)
+
+
+def report_from_counts(spark: SparkSession, values: DataFrame | None, categories: DataFrame | None, run_id: str, created_at: dt.datetime | str,
+                       numeric_buckets: int = NUMERIC_BUCKETS, psi_warn: float = PSI_WARN, psi_alert: float = PSI_ALERT,
+                       chi2_alpha: float = CHI2_ALPHA, with_p_value: bool = True) -> DataFrame:
+    """The report from counts of both sides: (feature, value, b, n), materialised, and (feature, category, b, n)."""
     ts = F.lit(str(created_at)).cast("timestamp")
     parts = []
-    if num:
-        bl, nl = numeric_long(b, num), numeric_long(n, num)
-        values = value_counts(bl, nl)
+    if values is not None:
         counts = values.groupBy("feature").agg(F.sum("b").alias("baseline_count"), F.sum("n").alias("new_count"))
-        psi = psi_numeric(bl, nl, numeric_buckets, values).join(counts.where("baseline_count > 0 AND new_count > 0"), "feature")
+        psi = psi_numeric(None, None, numeric_buckets, values).join(counts.where("baseline_count > 0 AND new_count > 0"), "feature")
         parts.append(psi.select(
             "feature", F.lit("numeric").alias("feature_type"), F.lit("psi").alias("method"), "psi",
             F.lit(None).cast("double").alias("chi2_stat"), F.lit(None).cast("double").alias("chi2_p_value"),
             drift_status(F.col("psi"), None, psi_warn, psi_alert).alias("drift_status"),
             "baseline_count", "new_count"))
-    if cat:
-        bl, nl = categorical_long(b, cat), categorical_long(n, cat)
-        st = categorical_stats(bl, nl).where("baseline_count > 0 AND new_count > 0")
+    if categories is not None:
+        st = categorical_stats(None, None, categories).where("baseline_count > 0 AND new_count > 0")
         if with_p_value:
             p = F.when(F.col("dof") > 0, chi2_sf(F.col("chi2_stat"), F.col("dof").cast("double")))
             method, stat = F.lit("psi+chi2"), F.col("chi2_stat")
@@ -176,7 +188,7 @@ def drift_report(base: DataFrame, new: DataFrame, run_id: str, created_at: dt.da
         schema = "run_id string, feature string, feature_type string, method string, psi double, chi2_stat double, " \
                  "chi2_p_value double, chi2_alpha double, drift_status string, baseline_count long, " \
                  "new_count long, created_at timestamp"
-        return base.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.select(F.lit(run_id).alias("run_id"), "feature", "feature_type", "method", "psi", "chi2_stat",
                       "chi2_p_value", F.lit(float(chi2_alpha)).alias("chi2_alpha"), "drift_status",

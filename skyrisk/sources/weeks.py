@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WEEK = "approach_week"
@@ -26,6 +26,16 @@ def write_weeks(df: DataFrame, path: str, mode: str = "append") -> None:
     with_week(df).hint("rebalance", WEEK).write.mode(mode).partitionBy(WEEK).parquet(path)
 
 
+def folder_weeks(spark: SparkSession, path: str) -> list[dt.date]:
+    """The weeks a table has folders for, from their names; no file is opened."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [x.getPath().getName().partition("=") for x in fs.listStatus(folder)]
+    return sorted(dt.date.fromisoformat(value) for column, _, value in names if column == WEEK and not value.startswith("__"))
+
+
 def monday(day: dt.date) -> dt.date:
     return day - dt.timedelta(days=day.weekday())
 

@@ -105,3 +105,52 @@ def test_psi_sf001_cutoff_golden(spark):
            "spread": 0.0005177849651967901}
     for k, v in exp.items():
         assert got[k] == pytest.approx(v, rel=1e-9), k
+
+
+def test_profile_gives_the_report_and_reads_new_weeks_only(spark, tmp_dir):
+    import datetime as dt
+
+    from conftest import SF0001
+    from pyspark.sql import functions as F
+
+    from skyrisk.catalog import appr, logs
+    from skyrisk.operators import profile as P
+    from skyrisk.operators.explore import training_cutoff
+    from skyrisk.plans.jobs import drift_rows
+    from skyrisk.sources.ledger import Ledger
+    from skyrisk.sources.weeks import folder_weeks, write_weeks
+
+    a, log = appr(spark, SF0001), logs(spark, SF0001)
+    fact, profile, ledger = f"{tmp_dir}/fact", f"{tmp_dir}/profile", f"{tmp_dir}/ledger"
+    split = F.col("close_approach_date") < "1999-01-04"  # a Monday
+    write_weeks(a.where(split), fact)
+    first = P.update_profile(spark, fact, profile, ledger)
+    assert first == folder_weeks(spark, fact) and P.update_profile(spark, fact, profile, ledger) == []
+    write_weeks(a.where(~split), fact)
+    # what the second update must not read is taken away
+    late = a.where(~split)
+    rows = []
+    real = P.profile_rows
+    P.profile_rows = lambda df: rows.append(df) or real(df)
+    try:
+        second = P.update_profile(spark, fact, profile, ledger)
+    finally:
+        P.profile_rows = real
+    assert set(second) == set(folder_weeks(spark, fact)) - set(first) and min(second) > max(first)
+    read = {r.f for r in rows[0].select(F.input_file_name().alias("f")).distinct().collect()}
+    assert rows[0].count() == late.count() and all(dt.date.fromisoformat(f.split("approach_week=")[1][:10]) in set(second) for f in read)
+    cutoff = training_cutoff(log).first()["model_last_trained"]
+    shown = lambda df: sorted((r.feature, r.feature_type, r.method, round(r.psi, 12), r.drift_status, r.baseline_count, r.new_count,
+                               None if r.chi2_p_value is None else round(r.chi2_p_value, 12)) for r in df.collect())
+    at = "2000-06-21 00:00:00"
+    want = shown(drift_rows(a, log, "r", at))
+    assert shown(P.drift_from_profile(spark, profile, ledger, cutoff, "r", at)) == want and len(want) == 7
+    # rows that arrive late for a known week: its run is made anew
+    week = second[-1]
+    extra = a.where(F.col("close_approach_date") == late.agg(F.max("close_approach_date")).first()[0]).limit(1)
+    write_weeks(extra, fact)
+    assert week in P.update_profile(spark, fact, profile, ledger, again=[week])
+    assert week in P.update_profile(spark, fact, profile, ledger, again=[week])
+    want = shown(drift_rows(a.unionByName(extra), log, "r", at))
+    assert shown(P.drift_from_profile(spark, profile, ledger, cutoff, "r", at)) == want
+    assert Ledger(spark, ledger).runs().count() == 2
