@@ -75,11 +75,19 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT_BYTES, id_col: str = "doc_
             .select("doc_id", "shard", "depth", "n_bytes", "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit).alias("oversized")))
 
 
+def folder_column(docs: DataFrame) -> str:
+    """``shard``, or the first of ``shard_1``, ``shard_2`` ... that ``docs`` has no column of (names compare without case)."""
+    taken = {c.lower() for c in docs.columns}
+    return next(c for c in ("shard", *(f"shard_{k}" for k in range(1, len(taken) + 2))) if c not in taken)
+
+
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """All columns of ``docs`` as Parquet with a folder per shard; shards are small by the limit, so one task writes one shard."""
-    own = assign_shards(docs, limit, id_col, text_col).select(F.col("doc_id").alias("__id"), F.concat(F.lit("b"), "shard").alias("shard")).distinct()
-    named = docs.drop("shard").join(own, docs[id_col].eqNullSafe(own["__id"])).drop("__id")
-    named.repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
+    """All columns of ``docs`` as Parquet with a folder per shard, named by :func:`folder_column`; shards are small by the
+    limit, so one task writes one shard."""
+    name = folder_column(docs)
+    own = assign_shards(docs, limit, id_col, text_col).select(F.col("doc_id").alias("__id"), F.concat(F.lit("b"), "shard").alias(name)).distinct()
+    named = docs.join(own, docs[id_col].eqNullSafe(own["__id"])).drop("__id")
+    named.repartition(name).sortWithinPartitions(name).write.partitionBy(name).parquet(path)
 
 
 def oracle(limit: int = LIMIT_BYTES) -> str:

@@ -62,3 +62,12 @@ def test_each_stage_on_its_input(spark, tmp_dir):
     assert rows_of(run, "doc_id", "piece", "length", "ids_crc32") == rows_of(packed, "doc_id", "piece", "length", "ids_crc32")
     fill = np.array([r.s for r in run.groupBy("sequence_id").sum("length").toDF("q", "s").collect()])
     assert fill.max() <= 2048 and len(fill) <= -(-fill.sum() // 2048) + 1
+
+
+def test_white_space_that_is_left_goes(spark):
+    """Documents whose lines all repeat, but for empty ones and white space; a document of white space as it came stays."""
+    line = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, line), (2, line + "\n"), (3, "\n" + line + "\n \t\r\n"), (4, line + "\nsome words of its own"), (5, " \n")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], COLUMNS)
+    got = {r.doc_id: (r.text, r.n_chars) for r in P.line_dedup(spark, docs, "").collect()}
+    assert got == {1: (line, len(line)), 4: ("some words of its own", 21), 5: (" \n", 2)}
