@@ -21,6 +21,7 @@ from skyrisk.operators.explore import category_union, training_cutoff
 from skyrisk.operators import drift as D
 from skyrisk.operators import mlops as ML
 from skyrisk.operators.profile import drift_from_profile, update_profile
+from skyrisk.operators.sketches import hero_counters, update_sketches
 from skyrisk.plans.jobs import Paths, drift_inputs, drift_rows, job_drift, job_risk_analysis
 from skyrisk.session import scratch_path
 from skyrisk.sources import fixtures as FX
@@ -179,6 +180,28 @@ PROFILE_FROM = "2000-07-03"  # a Monday
 register("drift_profile", f"{BDP}SELECT * FROM drift_p")(_profiled)
 
 
+def _heroes(s, sf):
+    """Hero counters from weekly sketches, updated twice; the error of each distinct count measured against the exact one."""
+    root = scratch_path(s, f"sketches-{uuid.uuid4().hex}")
+    a = appr(s, sf)
+    first = F.col("close_approach_date") < PROFILE_FROM
+    for rows in (a.where(first), a.where(~first)):
+        write_weeks(rows, f"{root}/fact")
+        update_sketches(s, f"{root}/fact", f"{root}/sketches", f"{root}/ledger")
+    got = hero_counters(s, f"{root}/sketches", f"{root}/ledger")
+    exact = a.groupBy("id").agg(F.bool_or("is_potentially_hazardous").alias("h"), F.bool_or("is_sentry_object").alias("s")).agg(
+        F.count("id").alias("ids"), F.count_if("h").alias("hazardous"), F.count_if("s").alias("sentry"))
+    error = [(F.abs(F.col(f"{c}_estimate") - F.col(c)) <= 0.03 * F.col(c)).alias(f"{c}_within_3_percent") for c in ("ids", "hazardous", "sentry")]
+    return got.crossJoin(F.broadcast(exact)).select("ids", "hazardous", "sentry", *error, "total_approaches", "closest_km", "fastest_kps", "latest_date")
+
+
+register("hero_sketches",
+         f"{O.BASE}SELECT count(DISTINCT id) AS ids, count(DISTINCT CASE WHEN is_potentially_hazardous THEN id END) AS hazardous, "
+         f"count(DISTINCT CASE WHEN is_sentry_object THEN id END) AS sentry, true AS ids_within_3_percent, true AS hazardous_within_3_percent, "
+         f"true AS sentry_within_3_percent, count(*) AS total_approaches, min(miss_distance_km) AS closest_km, max(relative_velocity_kps) AS fastest_kps, "
+         f"max(close_approach_date) AS latest_date FROM approaches")(_heroes)
+
+
 def _job_risk(s, sf):
     """J1 as the job: the week of the newest drift run, joined, scored with manual and with fitted weights, appended and
     read back."""

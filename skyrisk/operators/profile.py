@@ -49,20 +49,29 @@ def profile_rows(approaches: DataFrame, date_col: str = "close_approach_date") -
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def unseen_weeks(spark: SparkSession, fact_path: str, table: str, ledger: Ledger, again: Iterable[dt.date] = ()) -> tuple[list[dt.date], set[str]]:
+    """The fact table's weeks that no committed run of ``table`` covers, with those of runs that cover a week of ``again``;
+    and these runs' ids.  Read from folder names."""
+    known: dict[dt.date, str] = {}
+    for run in ledger.runs().where(F.col("table") == table.rstrip("/")).collect():  # a row for each run
+        known |= {week: run.run_id for week in folder_weeks(spark, run.folder)}
+    stale = {known[w] for w in again if w in known}
+    return sorted(w for w in folder_weeks(spark, fact_path) if w not in known or known[w] in stale), stale
+
+
+def of_weeks(spark: SparkSession, fact_path: str, weeks: list[dt.date]) -> DataFrame:
+    """Rows of the weeks: a range for the scan to prune by, and the list for weeks within it that are known."""
+    return spark.read.parquet(fact_path).where(F.col(WEEK).between(F.lit(weeks[0]), F.lit(weeks[-1])) & F.col(WEEK).isin(weeks))
+
+
 def update_profile(spark: SparkSession, fact_path: str, profile_path: str, ledger_path: str, again: Iterable[dt.date] = ()) -> list[dt.date]:
     """Profile the weeks of the fact table that have no profile, all in one committed run; their Mondays.  ``again`` are
     weeks whose rows have changed: their runs are replaced as a whole.  One update at a time."""
     ledger = Ledger(spark, ledger_path)
-    again = set(again)
-    known: dict[dt.date, str] = {}
-    for run in ledger.runs().where(F.col("table") == profile_path.rstrip("/")).collect():  # a row for each run
-        known |= {week: run.run_id for week in folder_weeks(spark, run.folder)}
-    stale = {known[w] for w in again if w in known}
-    weeks = sorted(w for w in folder_weeks(spark, fact_path) if w not in known or known[w] in stale)
+    weeks, stale = unseen_weeks(spark, fact_path, profile_path, ledger, again)
     if weeks:
-        # a range for the scan to prune by, and the list for weeks within it that are known
-        rows = spark.read.parquet(fact_path).where(F.col(WEEK).between(F.lit(weeks[0]), F.lit(weeks[-1])) & F.col(WEEK).isin(weeks))
-        ledger.append(f"profile-{weeks[0]}-{weeks[-1]}-{uuid.uuid4().hex[:8]}", {profile_path: profile_rows(rows)}, [WEEK], replaces=stale)
+        rows = profile_rows(of_weeks(spark, fact_path, weeks))
+        ledger.append(f"profile-{weeks[0]}-{weeks[-1]}-{uuid.uuid4().hex[:8]}", {profile_path: rows}, [WEEK], replaces=stale)
     return weeks
 
 

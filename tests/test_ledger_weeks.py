@@ -135,3 +135,23 @@ def test_live_count_by_batch_and_a_batch_run_again(spark, tmp_dir):
         os.remove(f"{tmp_dir}/ckpt/commits/.2.crc")
     ST.run_live_count(counts, f"{tmp_dir}/counts", f"{tmp_dir}/ckpt")
     assert got() == want
+
+
+def test_sketches_unite_over_weeks_and_read_new_weeks_only(spark, tmp_dir):
+    from skyrisk.operators import sketches as S
+
+    a = appr(spark, SF0001)
+    fact, path, ledger = f"{tmp_dir}/fact", f"{tmp_dir}/sketches", f"{tmp_dir}/ledger"
+    assert S.hero_counters(spark, path, ledger).first().asDict() == {
+        "ids_estimate": 0, "hazardous_estimate": 0, "sentry_estimate": 0, "total_approaches": 0, "closest_km": None, "fastest_kps": None, "latest_date": None}
+    early = F.col("close_approach_date") < "1999-01-04"
+    write_weeks(a.where(early), fact)
+    first = S.update_sketches(spark, fact, path, ledger)
+    write_weeks(a.where(~early), fact)
+    second = S.update_sketches(spark, fact, path, ledger)
+    assert min(second) > max(first) and S.update_sketches(spark, fact, path, ledger) == []
+    exact = lambda df: (df.select("id").distinct().count(), df.where("is_potentially_hazardous").select("id").distinct().count())
+    for got, rows in ((S.hero_counters(spark, path, ledger).first(), a), (S.hero_counters(spark, path, ledger, first=min(second)).first(), a.where(~early))):
+        ids_, hazardous = exact(rows)
+        assert abs(got.ids_estimate - ids_) <= 0.03 * ids_ and abs(got.hazardous_estimate - hazardous) <= 0.03 * hazardous + 1
+        assert got.total_approaches == rows.count() and got.latest_date == rows.agg(F.max("close_approach_date")).first()[0]
