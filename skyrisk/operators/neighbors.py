@@ -31,7 +31,7 @@ LEAST_CELL_ROWS = 2_000
 SAMPLE_ROWS = 40_000
 VISIT_ROWS = 100_000
 LEAF_ROWS = 96
-QUERY_ROWS = 192
+QUERY_ROWS = 128
 
 
 # ---------------------------------------------------------------- the tree over cells
@@ -161,44 +161,44 @@ class Leaves:
 
     def _search(self, q: np.ndarray, k: int, bound: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         far = box_distance(q[:, None], self.low, self.high)
+        home = far.argmin(1)
         worst = bound.astype(np.float64).copy()
-        best_d, best_p = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
-        closest = far.min(0)
-        for leaf in np.argsort(closest, kind="stable").tolist():
-            if closest[leaf] > worst.max():
-                break
-            on = np.flatnonzero(far[:, leaf] <= worst)
-            if not len(on):
-                continue
-            points = self.parts[leaf]
-            x, y = q[on], self.x[points]
-            d = np.zeros((len(on), len(points)))
-            for j in range(q.shape[1]):
-                gap = x[:, j, None] - y[None, :, j]
-                d += gap * gap
-            if own is not None:
-                d[points[None, :] == own[on][:, None]] = np.inf
-            row, col = np.nonzero(d <= worst[on][:, None])
-            if not len(row):
-                continue
-            # the new ones and those held, by row, distance and point; the first k of a row stay
-            changed = np.unique(row)
-            held = best_p[on[changed]] >= 0
-            r = np.concatenate([row, np.repeat(changed, held.sum(1))])
-            p = np.concatenate([points[col], best_p[on[changed]][held]])
-            dist = np.concatenate([d[row, col], best_d[on[changed]][held]])
-            keep = np.isfinite(dist)
-            r, p, dist = r[keep], p[keep], dist[keep]
-            order = np.lexsort((p, dist, r))
-            r, p, dist = r[order], p[order], dist[order]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            first = place < k
-            r, p, dist, place = on[r[first]], p[first], dist[first], place[first]
-            best_d[r, place], best_p[r, place] = dist, p
-            full = best_p[on, k - 1] >= 0
-            worst[on[full]] = best_d[on[full], k - 1]
-        row, place = np.nonzero(best_p >= 0)
-        return row, best_p[row, place], best_d[row, place]
+        for leaf in np.unique(home).tolist():  # a first bound from the nearest leaf
+            on = np.flatnonzero(home == leaf)
+            row, _, d = self._within(q[on], self.parts[leaf], np.full(len(on), np.inf), None if own is None else own[on])
+            order = np.lexsort((d, row))
+            row, d = row[order], d[order]
+            kth = np.arange(len(row)) - np.searchsorted(row, row) == k - 1
+            worst[on[row[kth]]] = np.minimum(worst[on[row[kth]]], d[kth])
+        near = np.flatnonzero((far <= worst[:, None]).any(0))
+        if not len(near):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        r, p, d = self._within(q, np.concatenate([self.parts[leaf] for leaf in near.tolist()]), worst, own)
+        order = np.lexsort((p, d, r))
+        r, p, d = r[order], p[order], d[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        return r[first], p[first], d[first]
+
+    def _within(self, q: np.ndarray, points: np.ndarray, worst: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, point, squared distance) of all pairs within ``worst``: a matrix product finds what may be, with room
+        for its rounding, and the distances of these are added up column by column."""
+        y = self.x[points]
+        x_norm, y_norm = (q * q).sum(1), (y * y).sum(1)
+        about = q @ y.T
+        about *= -2
+        about += x_norm[:, None]
+        about += y_norm
+        room = 1e-12 * (x_norm + y_norm.max(initial=0.0)) + 1e-300
+        row, col = np.nonzero(about <= (worst + room)[:, None])
+        if own is not None:
+            other = points[col] != own[row]
+            row, col = row[other], col[other]
+        d = np.zeros(len(row))
+        for j in range(q.shape[1]):
+            gap = q[row, j] - y[col, j]
+            d += gap * gap
+        fits = d <= worst[row]
+        return row[fits], points[col[fits]], d[fits]
 
 
 def _lists(row: np.ndarray, point: np.ndarray, d2: np.ndarray, keys: Sequence[Sequence[str]], k: int, n: int) -> tuple[list, list]:
