@@ -21,7 +21,7 @@ from skyrisk.sources.ledger import Ledger
 from skyrisk.sources.weeks import WEEK
 
 BITS = 14
-_SETS = {"ids": F.col("id").isNotNull, "hazardous": lambda: F.col("is_potentially_hazardous"), "sentry": lambda: F.col("is_sentry_object")}
+_SETS = {"ids": lambda: F.col("id").isNotNull(), "hazardous": lambda: F.col("is_potentially_hazardous"), "sentry": lambda: F.col("is_sentry_object")}
 SKETCHES = T.StructType([*(T.StructField(s, T.BinaryType()) for s in _SETS), T.StructField("total_approaches", T.LongType()),
                          T.StructField("closest_km", T.DoubleType()), T.StructField("fastest_kps", T.DoubleType()), T.StructField("latest_date", T.StringType()),
                          T.StructField(WEEK, T.DateType())])
