@@ -1,14 +1,17 @@
 """Data-drift report: PSI (numeric and categorical) and chi-square goodness of fit.
 
-All features are handled at once in long form (feature, value): each side is read once into value
-counts, from which edges, histograms and row counts come; one grouped count serves the categories.  The per-feature edge arrays (<= buckets + 1 values per feature) are the only
-broadcast; nothing is collected to the driver.
+All features are handled at once in long form (feature, value): the few columns of both sides are materialised
+once, and edges, histograms and row counts are passes over them, none of which sorts or shuffles all values; one grouped
+count serves the categories.  The per-feature edge arrays (<= buckets + 1 values per feature) are the only
+broadcast.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,18 +42,18 @@ def align_columns(base: DataFrame, new: DataFrame, include: Sequence[str] | None
     return base.select(*common), new.select(*common), numeric, categorical
 
 
-def numeric_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature, value) for non-null, non-NaN values."""
+def numeric_long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(feature, value) for non-null, non-NaN values, with the columns ``keep``."""
     kv = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
                              for c in cols])).alias("_kv")
-    long = df.select(kv).select("_kv.feature", "_kv.value")
+    long = df.select(kv, *keep).select("_kv.feature", "_kv.value", *keep)
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def categorical_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def categorical_long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     kv = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category"))
                              for c in cols])).alias("_kv")
-    return df.select(kv).select("_kv.feature", "_kv.category").where(F.col("category").isNotNull())
+    return df.select(kv, *keep).select("_kv.feature", "_kv.category", *keep).where(F.col("category").isNotNull())
 
 
 def value_counts(base_long: DataFrame, new_long: DataFrame) -> DataFrame:
@@ -84,7 +87,8 @@ def _bins(long: DataFrame, edges: DataFrame) -> DataFrame:
     j = long.join(F.broadcast(edges), "feature")
     n_bins = F.size("edges") - 1
     in_range = (F.col("value") >= F.element_at("edges", 1)) & (F.col("value") <= F.element_at("edges", -1))
-    le = F.size(F.filter("edges", lambda e: e <= F.col("value")))
+    most = edges.agg(F.max(F.size("edges"))).first()[0] or 0  # a few edges for each feature
+    le = reduce(add, (F.coalesce((F.get("edges", F.lit(i)) <= F.col("value")).cast("int"), F.lit(0)) for i in range(most)), F.lit(0))
     return j.where(in_range).withColumn("bin", F.least(le - 1, n_bins - 1).cast("long")).drop("edges")
 
 
@@ -152,15 +156,18 @@ def drift_report(base: DataFrame, new: DataFrame, run_id: str, created_at: dt.da
                  exclude: Sequence[str] | None = None, with_p_value: bool = True) -> DataFrame:
     """One row per feature (numeric first, then categorical); features with an empty side skipped."""
     b, n, num, cat = align_columns(base, new, include, exclude)
-    values = value_counts(numeric_long(b, num), numeric_long(n, num)) if num else None
-    categories = category_sides(categorical_long(b, cat), categorical_long(n, cat)) if cat else None
+    sides = cut_lineage(reduce(DataFrame.unionByName, [x.select(*[F.col(c).cast("double").alias(c) for c in num], *[F.col(c) if b.schema[c].dataType == n.schema[c].dataType else F.col(c).cast("string").alias(c) for c in cat],
+                                                                F.lit(side).alias("_b"), F.lit(1 - side).alias("_n")) for x, side in ((b, 1), (n, 0))]))
+    values = numeric_long(sides, num, ["_b", "_n"]).withColumnsRenamed({"_b": "b", "_n": "n"}) if num else None
+    categories = categorical_long(sides, cat, ["_b", "_n"]).groupBy("feature", "category").agg(F.sum("_b").alias("b"), F.sum("_n").alias("n")) if cat else None
     return report_from_counts(base.sparkSession, values, categories, run_id, created_at, numeric_buckets, psi_warn, psi_alert, chi2_alpha, with_p_value)
 
 
 def report_from_counts(spark: SparkSession, values: DataFrame | None, categories: DataFrame | None, run_id: str, created_at: dt.datetime | str,
                        numeric_buckets: int = NUMERIC_BUCKETS, psi_warn: float = PSI_WARN, psi_alert: float = PSI_ALERT,
                        chi2_alpha: float = CHI2_ALPHA, with_p_value: bool = True) -> DataFrame:
-    """The report from counts of both sides: (feature, value, b, n), materialised, and (feature, category, b, n)."""
+    """The report from counts of both sides: (feature, value, b, n), which may repeat a value, and (feature, category, b, n).
+    The report, a row for each feature, is materialised, as its readers ask it more than once."""
     ts = F.lit(str(created_at)).cast("timestamp")
     parts = []
     if values is not None:
@@ -190,6 +197,7 @@ def report_from_counts(spark: SparkSession, values: DataFrame | None, categories
                  "new_count long, created_at timestamp"
         return spark.createDataFrame([], schema)
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = cut_lineage(out)
     return out.select(F.lit(run_id).alias("run_id"), "feature", "feature_type", "method", "psi", "chi2_stat",
                       "chi2_p_value", F.lit(float(chi2_alpha)).alias("chi2_alpha"), "drift_status",
                       F.col("baseline_count").cast("long"), F.col("new_count").cast("long"), ts.alias("created_at"))

@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 from skyrisk.operators.drift import align_columns, report_from_counts
 from skyrisk.operators.features import diameter_spread, drop_columns
 from skyrisk.schemas import DROP_COLUMNS
-from skyrisk.session import cut_lineage
 from skyrisk.sources.ledger import Ledger
 from skyrisk.sources.weeks import WEEK, folder_weeks
 
@@ -80,6 +79,6 @@ def drift_from_profile(spark: SparkSession, profile_path: str, ledger_path: str,
     profile = Ledger(spark, ledger_path).read(profile_path, PROFILE)
     before = F.col("day") < F.lit(cutoff)
     sides = [F.sum(F.when(before, F.col("n")).otherwise(F.lit(0))).alias("b"), F.sum(F.when(before, F.lit(0)).otherwise(F.col("n"))).alias("n")]
-    values = cut_lineage(profile.where("numeric").groupBy("feature", "value").agg(*sides))
+    values = profile.where("numeric").select("feature", "value", *[F.when(x, F.col("n")).otherwise(F.lit(0)).alias(c) for x, c in ((before, "b"), (~before, "n"))])
     categories = profile.where("not numeric").groupBy("feature", "category").agg(*sides)
     return report_from_counts(spark, values, categories, run_id, created_at, **kw)
