@@ -39,7 +39,7 @@ def _scratch(spark, tag: str) -> str:
 # ------------------------------------------------------------------ A1-A6, B19
 def _feed_flatten(s, sf):
     landing = _scratch(s, "landing")
-    FX.feed_documents(appr(s, sf)).write.json(landing)
+    FX.land_feed(appr(s, sf), landing)
     return IN.flatten_feed(IN.read_feed(s, landing))
 
 
@@ -210,9 +210,9 @@ def _feed_ingest(s, sf):
     root = _scratch(s, "feed")
     a = appr(s, sf)
     paths = f"{root}/landing/*", f"{root}/train", f"{root}/test", f"{root}/ckpt"
-    FX.feed_documents(a.where(F.col("close_approach_date") < DROP_AT)).write.json(f"{root}/landing/week=1")
+    FX.land_feed(a.where(F.col("close_approach_date") < DROP_AT), f"{root}/landing/week=1")
     ST.stream_feed_ingest(s, *paths)
-    FX.feed_documents(a.where(F.col("close_approach_date") >= DROP_AT)).write.json(f"{root}/landing/week=2")
+    FX.land_feed(a.where(F.col("close_approach_date") >= DROP_AT), f"{root}/landing/week=2")
     ST.stream_feed_ingest(s, *paths)
     return reduce(DataFrame.unionAll, [s.read.schema(a.schema).parquet(f"{p}/*").withColumn("table", F.lit(t)) for p, t in ((paths[1], "train"), (paths[2], "test"))])
 
@@ -223,7 +223,7 @@ register("stream_feed_ingest", f"{W(O.APPROACHES)}SELECT a.*, t.table FROM appro
 def _job_ingest_week(s, sf):
     """Two months of landed pages, by windows, appended to both tables."""
     root = _scratch(s, "ingest-week")
-    FX.feed_documents(appr(s, sf)).write.json(f"{root}/landing")
+    FX.land_feed(appr(s, sf), f"{root}/landing")
     paths = Paths(approaches=f"{root}/train", approaches_copy=f"{root}/test")
     job_ingest_week(s, f"{root}/landing", paths, WEEK_START, WEEK_END)
     return reduce(DataFrame.unionAll, [s.read.parquet(p).withColumn("table", F.lit(t)) for p, t in ((paths.approaches, "train"), (paths.approaches_copy, "test"))])
