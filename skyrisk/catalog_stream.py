@@ -127,7 +127,7 @@ def _run_new_ids(s, sf, with_baseline: bool, events: bool = False):
     ST.run_available(sink, out, ckpt)                                                   # micro-batch(es) for drop 1
     a.where(F.col("close_approach_date") >= DROP_AT).write.parquet(f"{inp}/d2")
     ST.run_available(sink, out, ckpt)                                                   # drop 2, same state
-    return s.read.schema(sink.schema).parquet(out)
+    return s.read.schema(sink.schema).parquet(f"{out}/batch=*")
 
 
 _L1 = f"""

@@ -7,25 +7,21 @@ id's newest approach.  Here the fact table's landed files are a stream:
 
 1. optional stream-static ``left_anti`` join against a baseline of known ids (the reference's
    silent first pass);
-2. a stateless per-partition pre-reduction (``mapInPandas``) keeps only each id's newest row
-   inside each input partition - the map-side combine that keeps a hot id from sending all its
-   rows of a micro-batch to one task;
-3. ``groupBy(id).applyInPandasWithState`` with a one-flag state: the first micro-batch that sees
-   an id emits its newest row of that batch, later batches emit nothing for it (append mode).
+2. a streaming aggregate by id holds its newest row with the times of the first and the last
+   micro-batch that had the id; its partial aggregate is the map-side combine that keeps a hot id
+   from sending all its rows of a micro-batch to one task;
+3. in update mode a micro-batch gives the ids it has; those whose first and last batch are one are
+   new, and their row is the newest of that batch.
 
-State is one boolean per id ever seen (unbounded, like the reference's id set); use the RocksDB
+State is one row per id ever seen (unbounded, like the reference's id set); use the RocksDB
 state store provider on a cluster.  Ids vanishing and coming back cannot happen on an append-only
 fact table, so they are never announced twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from skyrisk.operators.explore import EPOCH, LATEST_COLUMNS, latest_approach
 from skyrisk.schemas import FEED, NEW_ASTEROID_EVENT
@@ -33,47 +29,18 @@ from skyrisk.session import cut_lineage
 from skyrisk.sources.ingest import flatten_feed, path_exists
 
 
-def _newest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Newest row per id: epoch DESC with NULL epochs first, remaining columns as tie-break."""
-    if pdf.empty:
-        return pdf
-    key = pdf[EPOCH].isna().astype("int8")
-    ordered = pdf.assign(_null=key).sort_values(["id", "_null", EPOCH] + [c for c in pdf.columns if c not in ("id", EPOCH)],
-                                                ascending=[True, False, False] + [False] * (len(pdf.columns) - 2),
-                                                kind="mergesort", na_position="first")
-    return ordered.drop_duplicates("id", keep="first").drop(columns="_null")
-
-
-def _partition_newest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    best = None
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        best = _newest(pdf if best is None else pd.concat([best, pdf], ignore_index=True))
-    if best is not None and not best.empty:
-        yield best
-
-
-def _emit_once(key, pdfs: Iterator[pd.DataFrame], state):
-    best = None
-    for pdf in pdfs:
-        best = _newest(pdf if best is None else pd.concat([best, pdf], ignore_index=True))
-    if state.exists or best is None or best.empty:
-        return
-    state.update((True,))
-    yield best
-
-
 def stream_new_ids(stream: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
     """Streaming frame of first sightings: one row per id ever, the newest approach of the
-    micro-batch in which it first appears (append mode)."""
+    micro-batch in which it first appears (epoch DESC with NULL epochs first, remaining columns as
+    tie-break, NULL first), for update mode."""
     src = stream.select(*LATEST_COLUMNS)
     if baseline is not None:
         src = src.join(baseline.select("id").distinct(), "id", "left_anti").select(*LATEST_COLUMNS)
-    schema = src.schema
-    reduced = src.mapInPandas(_partition_newest, schema)
-    return reduced.groupBy("id").applyInPandasWithState(
-        _emit_once, schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    order = [EPOCH, *[c for c in LATEST_COLUMNS if c not in ("id", EPOCH)]]
+    packed = F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"_null_{c}"), F.col(c))])
+    src = src.withColumn("_time", F.current_timestamp())  # one value for all rows of a micro-batch, also when it is run again
+    seen = src.groupBy("id").agg(F.max(packed).alias("_latest"), F.min("_time").alias("_first"), F.max("_time").alias("_last"))
+    return seen.where(F.col("_first") == F.col("_last")).select(*[F.col(c) if c == "id" else F.col(f"_latest.{c}").alias(c) for c in LATEST_COLUMNS])
 
 
 def to_events(df: DataFrame) -> DataFrame:
@@ -84,9 +51,13 @@ def to_events(df: DataFrame) -> DataFrame:
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> None:
-    """Process everything available now into ``path`` (append), then stop."""
-    q = (df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start(path))
+    """Process everything available now, then stop.  Each micro-batch goes to ``batch=<id>`` of ``path`` with overwrite,
+    so a batch that is run again replaces its own rows."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").format(fmt).save(f"{path}/batch={batch_id}")
+
+    q = df.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
