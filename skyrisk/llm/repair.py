@@ -4,7 +4,8 @@ Documents are dealt by ascending id over the partitions (ranges from Spark's own
 task), encoded by a tokenizer file, each ended by ``end_id``, and gathered into shards of about
 ``SHARD_IDS`` ids.  In a shard the most frequent neighbouring symbols are replaced by nonterminals, in
 rounds: a round counts all pairs, takes up to ``ROUND_RULES`` of the most frequent ones that occur at
-least ``MIN_COUNT`` times, and replaces their occurrences from left to right.  Pairs never reach over
+least ``MIN_COUNT`` times (fewer hardly pay for a rule), and replaces their occurrences from left to right, until no
+pair occurs that often.  Pairs never reach over
 the end of a document, so every document is a run of whole symbols and can be decoded alone.
 
 File format (``GRMR1``; little endian; one binary value per shard in a Parquet table, so that Spark's
@@ -33,12 +34,10 @@ from skyrisk.llm.common import id_text, scratch
 from skyrisk.llm.tokens import encoder, shipped, tokenizer_file
 
 SHARD_IDS = 1 << 20
-ROUNDS = 5
 ROUND_RULES = 2048
 MIN_COUNT = 16
 END_ID = 0
 MAGIC = b"GRMR1\0\0\0"
-_BUCKET_BITS = 18
 _HEAD = struct.Struct("<6I")
 
 
@@ -49,27 +48,31 @@ def compress(ids: np.ndarray, doc_lengths: np.ndarray) -> bytes:
     last = np.zeros(len(sym), bool)  # the last symbol of a document takes no part as a left one
     last[np.cumsum(doc_lengths) - 1] = True
     left, right = [], []
-    for _ in range(ROUNDS):
-        a, b = sym[:-1], sym[1:]
-        bucket = ((a * np.uint32(2654435761) ^ b * np.uint32(2246822519)) >> np.uint32(32 - _BUCKET_BITS)).astype(np.int32)
-        free = ~last[:-1]
-        first, second = np.zeros((2, 1 << _BUCKET_BITS), np.uint32)
-        first[bucket[free]], second[bucket[free]] = a[free], b[free]  # one pair stands for each bucket
-        same = (first[bucket] == a) & (second[bucket] == b) & free
-        count = np.bincount(bucket[same], minlength=1 << _BUCKET_BITS)
+    while True:
+        free = np.flatnonzero(~last[:-1])
+        a, b = sym[free], sym[free + 1]
+        code = a.astype(np.uint64) << np.uint64(32) | b
+        ordered = np.sort(code)  # every pair is counted
+        start = np.flatnonzero(np.diff(ordered, prepend=ordered[:1] + np.uint64(1)) != 0)
+        count = np.diff(start, append=len(ordered))
         top = np.flatnonzero(count >= MIN_COUNT)
-        top = top[np.argsort(-count[top], kind="stable")][:ROUND_RULES]
         if not len(top):
             break
-        rule_of = np.full(1 << _BUCKET_BITS, -1, np.int32)
-        rule_of[top] = np.arange(len(top), dtype=np.int32)
-        at = np.flatnonzero(same & (rule_of[bucket] >= 0))
+        top = top[np.argsort(-count[top], kind="stable")][:ROUND_RULES]  # the others are counted again in the next round
+        pairs = np.sort(ordered[start[top]])
+        first, second = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
+        is_first, is_second = np.zeros((2, base + len(left)), bool)
+        is_first[first], is_second[second] = True, True
+        maybe = np.flatnonzero(is_first[a] & is_second[b])
+        rule = np.minimum(np.searchsorted(pairs, code[maybe]), len(pairs) - 1)
+        hit = pairs[rule] == code[maybe]
+        at, rule = free[maybe[hit]], rule[hit]
         run = np.flatnonzero(np.diff(at, prepend=-9) > 1)  # in a run of neighbours every second one is replaced
         offset = np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))
-        at = at[offset % 2 == 0]
-        name = np.uint32(base + len(left)) + rule_of[bucket[at]].astype(np.uint32)
-        left += first[top].tolist()
-        right += second[top].tolist()
+        at, rule = at[offset % 2 == 0], rule[offset % 2 == 0]
+        name = np.uint32(base + len(left)) + rule.astype(np.uint32)
+        left += first.tolist()
+        right += second.tolist()
         sym[at] = name
         last[at] = last[at + 1]
         keep = np.ones(len(sym), bool)

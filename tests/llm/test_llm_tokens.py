@@ -113,3 +113,19 @@ def test_best_fit_takes_the_fullest_bin():
 def test_empty_table(spark, operator):
     assert operator(frame(spark, [])).count() == 0
     assert rows_of(operator(frame(spark, [(1, None)])), "doc_id", "start") == [(1, 0)]
+
+
+def test_no_frequent_pair_is_left():
+    n = 12_000  # more pairs than five rounds take, and enough that two share a hashed cell
+    first = np.tile(np.arange(1, n + 1, dtype=np.uint32), repair.MIN_COUNT)
+    ids = np.stack([first, first + n], 1).ravel()
+    shard = repair.Shard(repair.compress(ids, np.full(len(first), 2)))
+    assert len(shard.size) == n and len(shard.symbols) == len(first)
+    assert (shard.expand(shard.symbols) == ids).all()
+    runs = np.random.default_rng(2).integers(0, 3, 5000).astype(np.uint32)
+    shard = repair.Shard(repair.compress(runs, np.array([1, 1999, 3000])))
+    assert (shard.expand(shard.symbols) == runs).all()
+    within = np.ones(len(shard.symbols), bool)
+    within[shard.ends - 1] = False
+    left = np.flatnonzero(within)
+    assert np.unique(shard.symbols[left].astype(np.int64) << 32 | shard.symbols[left + 1], return_counts=True)[1].max(initial=0) < repair.MIN_COUNT
