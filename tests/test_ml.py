@@ -17,6 +17,7 @@ from skyrisk.operators import neighbors
 from skyrisk.operators.features import stratified_split
 from skyrisk.operators.ml import knn, smote, tomek_links
 from skyrisk.plans.jobs import Paths, job_train
+from skyrisk.session import cut_lineage
 from skyrisk.sources.ingest import append_table
 from skyrisk.sources.registry import load_best_model
 
@@ -63,6 +64,66 @@ def test_knn_with_ties_copies_and_bad_coordinates(spark, monkeypatch, k, visit):
         assert [got[q][r] for r in range(1, k + 1)] == want, q
 
 
+def test_knn_of_a_large_cell_of_copies(spark, monkeypatch):
+    """Half of all rows in one point: its copies beyond k + 1 stay out of the cell and get the same answers."""
+    monkeypatch.setattr(neighbors, "LEAST_CELL_ROWS", 15)
+    monkeypatch.setattr(neighbors, "CELL_ROWS", 20)
+    rng = np.random.default_rng(5)
+    xy = np.vstack([rng.integers(0, 30, size=(200, 2)), np.full((200, 2), 4)]).astype(float)
+    rows = [(f"k{i:04d}", float(a), float(b), i % 3) for i, (a, b) in enumerate(xy[rng.permutation(400)])]
+    df = spark.createDataFrame(rows, "row_key string, x double, y double, label int").repartition(6)
+    at = np.array([r[1:3] for r in rows])
+    got = {r.vid: (r.tag, [(x.d2, x.c, x.ctag) for x in r.pairs]) for r in neighbors.neighbor_lists(df, 3, ["x", "y"], tag_col="label").collect()}
+    assert len(got) == 400
+    for i, (q, _, _, label) in enumerate(rows):
+        d = ((at[i] - at) ** 2).sum(1)
+        assert got[q] == (label, sorted((d[j], rows[j][0], rows[j][3]) for j in range(400) if j != i)[:3]), q
+
+
+def _held_rows(monkeypatch, *modules):
+    """Counts the rows that are written to the checkpoint folder."""
+    held = []
+
+    def count(df):
+        out = cut_lineage(df)
+        held.append(out.count())
+        return out
+
+    for module in modules:
+        monkeypatch.setattr(module, "cut_lineage", count)
+    return held
+
+
+def test_links_are_found_without_copies_of_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(f"k{i}", *map(float, p), float(p[0] > 0.5)) for i, p in enumerate(rng.uniform(size=(3000, 2)))]
+    df = spark.createDataFrame(rows, "row_key string, x double, y double, label double")
+    held = _held_rows(monkeypatch, neighbors)
+    links = tomek_links(df, ["x", "y"])
+    assert links.count() > 0 and sum(held) < len(rows)  # six copies of them before
+
+
+def test_smote_takes_lists_once(spark, monkeypatch):
+    """Minority rows are held with their places and with their neighbours, and new rows need no range to be joined with."""
+    rng = np.random.default_rng(9)
+    rows = [(f"k{i}", *map(float, p), float(i % 5 == 0)) for i, p in enumerate(rng.uniform(size=(1000, 2)))]
+    df = spark.createDataFrame(rows, "row_key string, x double, y double, label double")
+    held = _held_rows(monkeypatch, neighbors, M)
+    out = smote(df, ["x", "y"])
+    assert sum(held) < 3 * 200 and "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(map(tuple, out.collect()))
+    monkeypatch.setattr(M, "NEW_OF_ONE", 0)
+    assert sorted(map(tuple, smote(df, ["x", "y"]).collect())) == want and len(want) == 1600
+
+
+def test_training_holds_each_set_of_rows_once(spark, monkeypatch):
+    a = appr(spark, SF0001)
+    held = _held_rows(monkeypatch, neighbors, M)
+    got = M.training_inputs(a)
+    resampled = got.rows.count()
+    assert got.search.count() > 0 and sum(n >= resampled for n in held) <= 3  # the split, and both sets before links are cut
+
+
 def test_knn_of_few_points(spark):
     df = spark.createDataFrame([("a", 0.0), ("b", 2.0)], "row_key string, x double")
     assert sorted((r.q, r.c, r.d2, r.nn_rank) for r in knn(df, 5, ["x"]).collect()) == [("a", "b", 4.0, 1), ("b", "a", 4.0, 1)]
