@@ -100,7 +100,7 @@ def test_links_are_found_without_copies_of_all_rows(spark, monkeypatch):
     df = spark.createDataFrame(rows, "row_key string, x double, y double, label double")
     held = _held_rows(monkeypatch, neighbors)
     links = tomek_links(df, ["x", "y"])
-    assert links.count() > 0 and sum(held) < len(rows)  # six copies of them before
+    assert links.count() > 0 and sum(held) < len(rows)  # at least five copies of them before
 
 
 def test_smote_takes_lists_once(spark, monkeypatch):
