@@ -222,6 +222,15 @@ def test_smote_query_takes_all_training_rows(spark):
     assert {r.label: r["count"] for r in queries()["smote"](spark, SF001).groupBy("label").count().collect()} == {0.0: most, 1.0: most}
 
 
+def test_training_reads_the_approaches_once(spark):
+    from skyrisk.catalog import appr
+
+    split, medians = M.split_inputs(M.stored_inputs(appr(spark, SF001)))
+    files = split.inputFiles()
+    assert len(files) >= spark.sparkContext.defaultParallelism and all("/stored-" in f for f in files)
+    assert split.count() == appr(spark, SF001).count() and medians.count() == 9
+
+
 def test_places_are_the_rank_in_the_order(spark):
     df = spark.createDataFrame([(f"k{i}", (i * 7919) % 1000) for i in range(1000)], "row_key string, h int").repartition(5)
     got = M._placed(df, [F.col("h"), F.col("row_key")]).collect()
