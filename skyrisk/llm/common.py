@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from skyrisk.session import checkpoint_dir
 
 CACHE_WORDS = 400_000
 BROADCAST_ROWS = 200_000
+SLICE_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +105,20 @@ def held_in_worker(kind: str, key: object, build):
     return _HELD[kind, key]
 
 
+def nothing_held() -> None:
+    """Let go of what the operator before left in this worker; for tasks that hold nothing themselves."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of up to ``rows`` rows: a task's Python objects are those of one part."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, on arrays of unsigned 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyrisk.llm.common import id_text, small, working, written
+from skyrisk.llm.common import id_text, nothing_held, slices, small, working, written
 
 MIN_WORDS = 10
 
@@ -59,7 +59,8 @@ def _halves(words: list[bytes]) -> list[int]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    nothing_held()
+    for batch in slices(batches):
         row, number, name, halves = [], [], [], []
         for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
             for k, line in enumerate(text.split(b"\n") if text is not None else ()):
@@ -192,7 +193,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _rebuilt(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        nothing_held()
+        for batch in slices(batches):
             texts, n_lines, n_gone = [], [], []
             for text, gone in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 lines = text.split(b"\n") if text is not None else []

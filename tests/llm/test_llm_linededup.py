@@ -83,3 +83,17 @@ def test_one_edit():
         a = [rng.choice("ab") for _ in range(rng.randrange(7))]
         b = [rng.choice("ab") for _ in range(rng.randrange(7))]
         assert L.one_edit(a, b) == near(a, b)
+
+
+def test_a_task_lets_go_of_the_operator_before_and_takes_few_rows_at_a_time():
+    import pyarrow as pa
+
+    from skyrisk.llm import common, linededup
+
+    common.held_in_worker("before", 0, lambda: [0])
+    n = 2 * common.SLICE_ROWS + 5
+    batch = pa.record_batch({"doc_id": list(range(n)), "text": ["a b\nc"] * (n - 1) + [None]})
+    got = list(linededup._lines(iter([batch])))
+    assert not common._HELD
+    assert [b.num_rows for b in got] == [2 * common.SLICE_ROWS, 2 * common.SLICE_ROWS, 8]
+    assert [x for b in got for x in b.column("doc_id").to_pylist()] == [i for i in range(n - 1) for _ in range(2)]
