@@ -3,7 +3,7 @@
 Documents are dealt by ascending id over the partitions (ranges from Spark's own sampling, no single
 task), encoded by a tokenizer file, each ended by ``end_id``, and gathered into shards of about
 ``SHARD_IDS`` ids.  In a shard the most frequent neighbouring symbols are replaced by nonterminals, in
-rounds: a round counts all pairs, takes up to ``ROUND_RULES`` of the most frequent ones that occur at
+rounds: a round knows the count of every pair, takes up to ``ROUND_RULES`` of the most frequent ones that occur at
 least ``MIN_COUNT`` times (fewer hardly pay for a rule), and replaces their occurrences from left to right, until no
 pair occurs that often.  Pairs never reach over
 the end of a document, so every document is a run of whole symbols and can be decoded alone.
@@ -41,47 +41,86 @@ MAGIC = b"GRMR1\0\0\0"
 _HEAD = struct.Struct("<6I")
 
 
+def _occurrences(sym: np.ndarray, nxt: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places ``at`` whose pairs occur ``MIN_COUNT`` times there, by pair and place, with each such pair's code and count."""
+    a, b = sym[at], sym[nxt[at]]
+    cell = ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(14)).astype(np.int64)
+    maybe = np.flatnonzero((np.bincount(cell, minlength=1 << 18) >= MIN_COUNT)[cell])  # a cell has all places of a pair, or more
+    at, a, b = at[maybe], a[maybe].astype(np.uint64), b[maybe].astype(np.uint64)
+    bits, place_bits = int(max(a.max(initial=0), b.max(initial=0))).bit_length(), len(sym).bit_length()
+    if 2 * bits + place_bits <= 64:  # pair and place in one number
+        a <<= np.uint64(bits)
+        a |= b
+        a <<= np.uint64(place_bits)
+        a |= at.view(np.uint64)
+        a.sort()
+        at = (a & np.uint64((1 << place_bits) - 1)).view(np.int64)
+        code = a >> np.uint64(place_bits)
+    else:
+        bits, code = 32, a << np.uint64(32) | b
+        order = np.lexsort((at, code))
+        at, code = at[order], code[order]
+    start = np.append(np.zeros(min(1, len(code)), np.int64), np.flatnonzero(code[1:] != code[:-1]) + 1)
+    count = np.diff(start, append=len(code))
+    often = count >= MIN_COUNT
+    code = code[start[often]]
+    code = code >> np.uint64(bits) << np.uint64(32) | code & np.uint64((1 << bits) - 1)
+    return at[np.repeat(often, count)], code, count[often]
+
+
 def compress(ids: np.ndarray, doc_lengths: np.ndarray) -> bytes:
-    """One shard: ``ids`` (unsigned 32-bit) of documents of ``doc_lengths`` ids (each at least 1)."""
-    base = int(ids.max(initial=0)) + 1
-    sym = ids.astype(np.uint32)
-    last = np.zeros(len(sym), bool)  # the last symbol of a document takes no part as a left one
-    last[np.cumsum(doc_lengths) - 1] = True
+    """One shard: ``ids`` (unsigned 32-bit) of documents of ``doc_lengths`` ids (each at least 1).
+
+    Places are linked, so a round touches only what it replaces and the neighbours.  A pair gains occurrences only in the round
+    that names one of its symbols, so all its places are listed then, its count falls by those that end, and a pair that is
+    rare once stays so and is not looked at again.  The counts of each round are those of a full count."""
+    base, n = int(ids.max(initial=0)) + 1, len(ids)
+    sym = np.append(ids.astype(np.uint32), np.uint32(0))  # and a place after the end
+    nxt, prv = np.arange(1, n + 2), np.arange(-1, n)
+    last = np.zeros(n + 1, bool)  # the last symbol of a document takes no part as a left one
+    last[np.cumsum(doc_lengths) - 1] = last[n] = True
+    gone = np.zeros(n, bool)
     left, right = [], []
+    at, code, count = _occurrences(sym, nxt, np.flatnonzero(~last))
+    size, begin = count.copy(), np.cumsum(count) - count  # listed places of each pair
+    pair = np.full(n + 1, -1)  # the listed pair that begins at a place
+    pair[at] = np.repeat(np.arange(len(code)), count)
     while True:
-        free = np.flatnonzero(~last[:-1])
-        a, b = sym[free], sym[free + 1]
-        code = a.astype(np.uint64) << np.uint64(32) | b
-        ordered = np.sort(code)  # every pair is counted
-        start = np.flatnonzero(np.diff(ordered, prepend=ordered[:1] + np.uint64(1)) != 0)
-        count = np.diff(start, append=len(ordered))
         top = np.flatnonzero(count >= MIN_COUNT)
         if not len(top):
             break
-        top = top[np.argsort(-count[top], kind="stable")][:ROUND_RULES]  # the others are counted again in the next round
-        pairs = np.sort(ordered[start[top]])
-        first, second = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
-        is_first, is_second = np.zeros((2, base + len(left)), bool)
-        is_first[first], is_second[second] = True, True
-        maybe = np.flatnonzero(is_first[a] & is_second[b])
-        rule = np.minimum(np.searchsorted(pairs, code[maybe]), len(pairs) - 1)
-        hit = pairs[rule] == code[maybe]
-        at, rule = free[maybe[hit]], rule[hit]
-        run = np.flatnonzero(np.diff(at, prepend=-9) > 1)  # in a run of neighbours every second one is replaced
-        offset = np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))
-        at, rule = at[offset % 2 == 0], rule[offset % 2 == 0]
-        name = np.uint32(base + len(left)) + rule.astype(np.uint32)
-        left += first.tolist()
-        right += second.tolist()
-        sym[at] = name
-        last[at] = last[at + 1]
-        keep = np.ones(len(sym), bool)
-        keep[at + 1] = False
-        sym, last = sym[keep], last[keep]
+        top = top[np.lexsort((code[top], -count[top]))][:ROUND_RULES]  # the others have their turn in a later round
+        top = top[np.argsort(code[top])]
+        name = np.uint32(base + len(left))
+        left += (code[top] >> np.uint64(32)).tolist()
+        right += (code[top] & np.uint64(0xFFFFFFFF)).tolist()
+        rule = np.zeros(len(code), np.uint32)
+        rule[top] = name + np.arange(len(top), dtype=np.uint32)
+        listed = size[top]
+        here = at[np.repeat(begin[top] - np.cumsum(listed) + listed, listed) + np.arange(int(listed.sum()))]
+        here = np.sort(here[pair[here] == np.repeat(top, listed)])
+        run = np.flatnonzero(np.append(True, nxt[here[:-1]] != here[1:]))  # in a run of neighbours every second one is replaced
+        offset = np.arange(len(here)) - np.repeat(run, np.diff(run, append=len(here)))
+        here = here[offset % 2 == 0]
+        second = nxt[here]
+        after = nxt[second]
+        sym[here], last[here], gone[second] = rule[pair[here]], last[second], True
+        nxt[here], prv[after] = after, here
+        before = prv[here]
+        before = before[before >= 0]
+        before = before[~last[before] & (sym[before] < name)]  # a place replaced in this round is in ``here``
+        ended = np.concatenate([pair[here], pair[second], pair[before]])
+        count -= np.bincount(ended[ended >= 0], minlength=len(count))
+        pair[here] = pair[second] = pair[before] = -1
+        new_at, new_code, new_count = _occurrences(sym, nxt, np.concatenate([here[~last[here]], before]))
+        pair[new_at] = np.repeat(np.arange(len(code), len(code) + len(new_code)), new_count)
+        begin = np.append(begin, len(at) + np.cumsum(new_count) - new_count)
+        at, code, count, size = np.append(at, new_at), np.append(code, new_code), np.append(count, new_count), np.append(size, new_count)
+    sym, last = sym[:n][~gone], last[:n][~gone]
     size = _lengths(base, left, right)
     symbols = np.diff(np.flatnonzero(last), prepend=-1)
     width = 2 if base + len(left) <= 1 << 16 else 4
-    head = _HEAD.pack(len(ids), len(doc_lengths), base, len(left), len(sym), width)
+    head = _HEAD.pack(n, len(doc_lengths), base, len(left), len(sym), width)
     parts = [left, right, size, symbols, doc_lengths]
     return MAGIC + head + b"".join(np.asarray(x, "<u4").tobytes() for x in parts) + sym.astype(f"<u{width}").tobytes()
 

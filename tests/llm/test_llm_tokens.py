@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -129,3 +130,50 @@ def test_no_frequent_pair_is_left():
     within[shard.ends - 1] = False
     left = np.flatnonzero(within)
     assert np.unique(shard.symbols[left].astype(np.int64) << 32 | shard.symbols[left + 1], return_counts=True)[1].max(initial=0) < repair.MIN_COUNT
+
+
+def _grammar_by_full_counts(ids, doc_lengths):
+    """Rules and symbols by a full count of all pairs in each round, in plain Python."""
+    docs, at, rules = [], 0, []
+    for n in doc_lengths:
+        docs.append(ids[at:at + n].tolist())
+        at += n
+    base = int(ids.max()) + 1
+    while True:
+        count = Counter(p for d in docs for p in zip(d, d[1:]))
+        top = sorted((p for p in count if count[p] >= repair.MIN_COUNT), key=lambda p: (-count[p], p))[:repair.ROUND_RULES]
+        if not top:
+            return rules, [s for d in docs for s in d]
+        name = {p: base + len(rules) + k for k, p in enumerate(sorted(top))}
+        rules += sorted(top)
+        for k, d in enumerate(docs):
+            hit = [p in name for p in zip(d, d[1:])]
+            i, out = 0, []
+            while i < len(d):
+                if i < len(hit) and hit[i]:
+                    out.append(name[d[i], d[i + 1]])
+                    i += 2
+                else:
+                    out.append(d[i])
+                    i += 1
+            docs[k] = out
+
+
+@pytest.mark.parametrize("rules", [3, 2048])
+def test_rounds_count_only_what_changed(monkeypatch, rules):
+    """The grammar of full counts, but after the first round only replaced places and their neighbours are looked at."""
+    monkeypatch.setattr(repair, "ROUND_RULES", rules)
+    looked = []
+    whole = repair._occurrences
+    monkeypatch.setattr(repair, "_occurrences", lambda sym, nxt, at: looked.append(len(at)) or whole(sym, nxt, at))
+    rng = np.random.default_rng(4)
+    for top, scale in ((2, 1), (9, 1), (60, 1), (5, 1 << 29)):
+        ids = (rng.zipf(1.4, 6000) % top * scale).astype(np.uint32)
+        cut = np.unique(np.append(rng.integers(1, 6001, 20), 6000))
+        lengths = np.diff(cut, prepend=0)
+        looked.clear()
+        shard = repair.Shard(repair.compress(ids, lengths))
+        want = _grammar_by_full_counts(ids, lengths)
+        assert len(shard.size) == len(want[0]) and shard.symbols.tolist() == want[1]
+        assert (shard.expand(shard.symbols) == ids).all()
+        assert looked[0] == 6000 - len(lengths) and sum(looked[1:]) < 3 * 6000
