@@ -21,7 +21,8 @@ from skyrisk.llm.common import held_in_worker
 CACHE_WORDS = 300_000
 
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_TAIL = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]{2,})([.,!?;:])")
+_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{2,})([!-&(-/:-@\[-`{-~]+)")  # no apostrophe, which a word may go on after
+MARKS = 10_000  # runs of marks that are kept
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -46,7 +47,7 @@ class TextEncoder:
         self.model = self.whole.model
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.marks = {c: self.plain(c) for c in ".,!?;:\n"}
+        self.marks = {"\n": self.plain("\n")}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         hidden = [b for b in range(256) if b not in shown]
         self.space = chr(256 + hidden.index(32))
@@ -55,6 +56,15 @@ class TextEncoder:
     def plain(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _mark(self, run: str) -> bytes:
+        """Ids of a run of marks after a word, or of a line break."""
+        found = self.marks.get(run)
+        if found is None:
+            found = self.plain(run)
+            if len(self.marks) < MARKS:
+                self.marks[run] = found
+        return found
+
     def _word(self, word: str, space: str) -> bytes:
         """Ids of one run of letters, with a space before it or not: one BPE word."""
         if not word.isascii():
@@ -66,12 +76,12 @@ class TextEncoder:
         text can't be cut there."""
         found = self.old.get(piece)
         if found is None:
-            if _LETTERS.fullmatch(piece):
+            if piece.isascii() and piece.isalpha() or _LETTERS.fullmatch(piece):
                 found = self._word(piece, self.space)
             elif not piece or piece[-1].isspace() or piece[0].isspace() and (piece[0] != "\n" or piece[1].isspace()):
                 return None
             elif tail := _TAIL.fullmatch(piece):
-                found = self.piece(tail[1]) + self.marks[tail[2]]
+                found = self.piece(tail[1]) + self._mark(tail[2])
             elif _LETTERS.fullmatch(piece, 1):
                 found = self.marks["\n"] + self._word(piece[1:], "") if piece[0] == "\n" else self.plain(" " + piece)
             else:
@@ -93,14 +103,12 @@ class TextEncoder:
         if not head or head[-1].isspace() or "<|" in text:
             return self.plain(text)
         out = list(map(self.new.get, pieces))
-        out[0] = b""
-        if None in out:
-            for i, x in enumerate(out):
-                if x is None:
-                    out[i] = x = self.piece(pieces[i])
-                    if x is None:
-                        return self.plain(text)
-        return self.plain(head) + b"".join(out)
+        out[0] = self._word(head, "") if _LETTERS.fullmatch(head) else self.plain(head)
+        for i in [i for i, x in enumerate(out) if x is None]:
+            out[i] = x = self.piece(pieces[i])
+            if x is None:
+                return self.plain(text)
+        return b"".join(out)
 
 
 def encoder(spec: Broadcast) -> TextEncoder:

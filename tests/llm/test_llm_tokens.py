@@ -32,6 +32,17 @@ def test_cached_words_give_the_library_ids(enc):
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == library(enc, text), repr(text)
 
 
+def test_words_before_marks_are_cut_off(monkeypatch):
+    """A word and the marks after it are encoded by parts; the marks once."""
+    with open(tokenizer_file(), encoding="utf-8") as f:
+        enc = TextEncoder(f.read())
+    whole, plain = [], enc.plain
+    monkeypatch.setattr(enc, "plain", lambda text: whole.append(text) or plain(text))
+    text = "start " + " ".join(f"{w}{m}" for m in ("%%%", "###", ",$$$", ".") for w in ("one", "réé", "Über", "oui"))
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == library(enc, text)
+    assert whole == ["%%%", "###", ",$$$", "."]  # sixteen words with their marks before
+
+
 def test_generations_of_the_cache(enc, monkeypatch):
     from skyrisk.llm import tokens
 
