@@ -3,6 +3,7 @@ Tomek links, split sizes per label, the bounded fit sample, training, persistenc
 
 import datetime as dt
 import json
+import os
 import subprocess
 import sys
 
@@ -17,6 +18,8 @@ from skyrisk.operators import neighbors
 from skyrisk.operators.features import stratified_split
 from skyrisk.operators.ml import knn, smote, tomek_links
 from skyrisk.plans.jobs import Paths, job_train
+from skyrisk import session
+from skyrisk.schemas import NUMERIC_COLUMNS
 from skyrisk.session import cut_lineage
 from skyrisk.sources.ingest import append_table
 from skyrisk.sources.registry import load_best_model
@@ -124,6 +127,37 @@ def test_training_holds_each_set_of_rows_once(spark, monkeypatch):
     assert got.search.count() > 0 and sum(n >= resampled for n in held) <= 3  # the split, and both sets before links are cut
 
 
+def _tables(spark):
+    from skyrisk.session import checkpoint_dir
+
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    return {x for x in os.listdir(folder) if x.startswith("stored-")}
+
+
+def test_working_tables_are_deleted(spark):
+    """What is left of resampling: its rows and the links.  Places, neighbours and answers are deleted as soon as they are used."""
+    rng = np.random.default_rng(9)
+    rows = [(f"k{i}", *map(float, p), float(i % 5 == 0)) for i, p in enumerate(rng.uniform(size=(1000, 2)))]
+    df = spark.createDataFrame(rows, "row_key string, x double, y double, label double")
+    before = _tables(spark)
+    out = M.smote_tomek(df, ["x", "y"])
+    assert len(_tables(spark) - before) == 2 and 0 < out.count() <= 1600
+    session.unstore(out)
+    assert _tables(spark) == before
+
+
+def test_fewer_learners_at_a_time_of_many_rows(spark, monkeypatch):
+    assert M.fits_at_a_time(0) == M.fits_at_a_time(800_000) == M.FITS
+    assert M.fits_at_a_time(5_000_000) == 3 and M.fits_at_a_time(1 << 40) == 1
+    rows = spark.createDataFrame([(f"k{i}", float(i % 17), float(i % 17 > 8)) for i in range(200)], "row_key string, f0 double, label double")
+    at_a_time, each = [], M._side_by_side
+    monkeypatch.setattr(M, "_side_by_side", lambda s, tasks, run, fits: at_a_time.append(fits) or each(s, tasks, run, fits))
+    monkeypatch.setattr(M, "FIT_ROWS", 400)
+    before = _tables(spark)
+    M.train_stack(rows, ["f0"], [{"trees": 1, "depth": 1, "step": 0.1}], {}, folds=2, meta_trees=2)
+    assert at_a_time == [2] and _tables(spark) == before
+
+
 def test_knn_of_few_points(spark):
     df = spark.createDataFrame([("a", 0.0), ("b", 2.0)], "row_key string, x double")
     assert sorted((r.q, r.c, r.d2, r.nn_rank) for r in knn(df, 5, ["x"]).collect()) == [("a", "b", 4.0, 1), ("b", "a", 4.0, 1)]
