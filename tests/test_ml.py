@@ -158,6 +158,15 @@ def test_fewer_learners_at_a_time_of_many_rows(spark, monkeypatch):
     assert at_a_time == [2] and _tables(spark) == before
 
 
+def test_scoring_is_dealt_over_the_cores(spark):
+    a = appr(spark, SF0001).coalesce(1)
+    fitted = {"medians": {c: 1.0 for c in NUMERIC_COLUMNS}, "mean": {c: 0.0 for c in NUMERIC_COLUMNS},
+              "std": {c: 1.0 for c in NUMERIC_COLUMNS}, "categories": M.CATEGORIES}
+    out = M.FeatureStage(fitted=json.dumps(fitted)).transform(a)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == a.count() and len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < a.count() / 4
+
+
 def test_knn_of_few_points(spark):
     df = spark.createDataFrame([("a", 0.0), ("b", 2.0)], "row_key string, x double")
     assert sorted((r.q, r.c, r.d2, r.nn_rank) for r in knn(df, 5, ["x"]).collect()) == [("a", "b", 4.0, 1), ("b", "a", 4.0, 1)]
