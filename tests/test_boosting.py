@@ -9,6 +9,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from conftest import SF001
+from skyrisk import catalog_ml as C
 from skyrisk.operators import boosting as B
 from skyrisk.operators import ml as M
 from skyrisk.session import scratch_path
@@ -92,3 +94,20 @@ def test_one_label_and_one_value(spark):
     (trees,) = B.fit(binned, P, [B.EVERY])
     assert (B.probability(trees.margins(np.zeros((1, 3), np.uint8))) > 0.8).all()
     binned.drop()
+
+
+def test_the_search_query_is_whole(spark, monkeypatch):
+    """Ten candidates of 100 to 500 trees for each learner, on all resampled training rows."""
+    asked = []
+
+    def seen(df, names, spaces):
+        asked.append((df.count(), spaces))
+        return [space[0] | {"cv_accuracy": 1.0} for space in spaces]
+
+    monkeypatch.setattr(M, "tune", seen)
+    assert C._tune(spark, SF001).count() == 2
+    ((n, spaces),) = asked
+    assert n > 48_050 > M.MAX_SEARCH_ROWS  # rows of sf0.01 to train on, before resampling
+    assert [len(space) for space in spaces] == [M.TUNE_TRIALS] * 2 == [10, 10]
+    assert all(100 <= p["trees"] <= 500 and 4 <= p["depth"] <= 10 for space in spaces for p in space)
+    assert spaces[1] != spaces[0] and max(p["trees"] for p in spaces[0]) > 250
