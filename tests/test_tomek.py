@@ -55,3 +55,46 @@ def test_links_of_few_rows(spark):
     for rows in ([], [("a", 1.0, 0.0)], [("a", 1.0, None), ("b", 2.0, None)], [("a", 1.0, 1.0), ("b", 2.0, 1.0)]):
         assert tomek_links(spark.createDataFrame(rows, kinds), ["x"]).collect() == []
     assert sorted(r.row_key for r in tomek_links(spark.createDataFrame([("a", 1.0, 1.0), ("b", 2.0, 0.0)], kinds), ["x"]).collect()) == ["a", "b"]
+
+
+def _tables(spark):
+    import os
+
+    from skyrisk.session import checkpoint_dir
+
+    return {x for x in os.listdir(checkpoint_dir(spark).removeprefix("file:")) if x.startswith("stored-")}
+
+
+def test_only_rows_of_repeated_keys_are_sorted(spark, monkeypatch):
+    from skyrisk.operators import ml as M
+
+    kinds = "row_key string, label double, f0 double"
+    once = M.unique_rows(spark.createDataFrame([(f"k{i}", 1.0 if i % 9 else None, float(i)) for i in range(90)], kinds))
+    assert once.count() == 80 and "Window" not in once._jdf.queryExecution().optimizedPlan().toString()  # all rows were shuffled by key
+    rows = spark.createDataFrame([(f"k{i % 70}" if i % 13 else None, float(i % 2), float(i)) for i in range(100)], kinds)
+    want = sorted(map(str, M._numbered(rows, "row_key").select(*rows.columns).collect()))
+    assert sorted(map(str, M.unique_rows(rows).collect())) == want
+    monkeypatch.setattr(M, "REPEATED_KEYS", 3)
+    assert sorted(map(str, M.unique_rows(rows).collect())) == want and any("#2" in x for x in want)
+
+
+def test_inputs_of_resampling_are_deleted(spark):
+    """The engineered rows go when the training rows are there, and these when they are resampled."""
+    from conftest import SF0001
+    from skyrisk import catalog_ml as C
+
+    before = _tables(spark)
+    rows = C._training_rows(spark, SF0001)
+    assert len(_tables(spark) - before) == 1
+    out = C._resampled(rows)
+    assert len(_tables(spark) - before) == 2 and out.count() > 0  # the resampled rows and the links
+
+
+def test_shuffle_files_of_stored_tables_are_garbage(spark, monkeypatch):
+    from skyrisk import session
+
+    calls = []
+    monkeypatch.setattr(session, "GARBAGE_SECONDS", 0.0)
+    monkeypatch.setattr(session.gc, "collect", lambda: calls.append(1))
+    session.unstore(session.stored(spark.range(10).repartition(3)))
+    assert calls == [1]
