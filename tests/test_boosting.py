@@ -51,7 +51,7 @@ def test_many_rows_give_the_trees_of_few(spark, rows, monkeypatch):
     folds = [B.EVERY, 0, 1, 2]
     few = M._binned(rows, NAMES, 3, 42)
     want, right = B.fit(few, P, folds), B.accuracies(few, P, range(3))
-    monkeypatch.setattr(B, "WHOLE_ROWS", 10)
+    monkeypatch.setattr(B, "WHOLE_BYTES", 10)
     monkeypatch.setattr(B, "BLOCK_ROWS", 100)
     monkeypatch.setattr(B, "FILE_BLOCKS", 4)
     many = M._binned(rows.repartition(3, "f1"), NAMES, 3, 42)
